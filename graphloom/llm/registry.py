@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup
+from graphloom.llm import chat_format, exact_dedup, syncmers
 
 QUERIES = {
+    "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
