@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, exact_dedup, syncmers
+from graphloom.llm import bpe, chat_format, exact_dedup, syncmers
 
 QUERIES = {
     "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
