@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, syncmers
+from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, substring_dedup, syncmers
 
 QUERIES = {
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES = {
+    "op7_substring_dedup": substring_dedup.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
