@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, substring_dedup, syncmers
+from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, quality_fm, substring_dedup, syncmers
 
 QUERIES = {
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
+    "op5_quality_fm": quality_fm.op5_quality_fm,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
