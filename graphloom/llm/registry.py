@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, quality_fm, substring_dedup, syncmers
+from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, quality_fm, substring_dedup, syncmers, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
     "op5_quality_fm": quality_fm.op5_quality_fm,
