@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, quality_fm, substring_dedup, syncmers, url_filter
+from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, quality_fm, substring_dedup, syncmers, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
     "op5_quality_fm": quality_fm.op5_quality_fm,
+    "op6_warc": warc.op6_warc,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES = {
+    "op6_warc": warc.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
