@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, quality_fm, substring_dedup, syncmers, url_filter, warc
+from graphloom.llm import bpe, chat_format, exact_dedup, jaccard_join, mixing, quality_fm, substring_dedup, syncmers, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_mixing": mixing.op2_mixing,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
     "op5_quality_fm": quality_fm.op5_quality_fm,
