@@ -1 +1 @@
-
+"""Column expressions of the engine: all built from Spark functions, none a UDF."""

@@ -1,10 +1,648 @@
-"""Names of all queries of the graph engine, with oracle SQL where there is any."""
+"""All queries of the graph engine by name, with oracle SQL where there is any."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as T
+from graphloom.operators import assemble, budget, churn, index_state, neighborhood, rank, retrieval, viewer, views as rendered
+from graphloom.operators.model import Graph
+from graphloom.plans import views as V
+from graphloom.sources import exchange, languages, scan
+from graphloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register under the function's name; without SQL a driver can only count rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def with_(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+# ---- scanning and scalar functions -------------------------------------------------
+
+@query(with_(V.DOCS) + r"""
+SELECT id, length(list_filter(string_split(content, chr(10)), lambda x: length(replace(x, chr(13), '')) > 0)) AS loc,
+  CASE WHEN strlen(content) = length(content) THEN substr(sha1(content), 1, 12) END AS ascii_sha,
+  position(chr(0) IN substr(content, 1, 8000)) > 0 AS is_binary FROM docs""")
+def scan_loc_sha(spark, d):
+    c = F.col("content")
+    sha = F.when(F.octet_length(c) == F.length(c), T.low_byte_sha(c))
+    return V.documents(spark, d).select("id", T.loc(c).alias("loc"), sha.alias("ascii_sha"), T.looks_binary(c).alias("is_binary"))
+
+
+@query(with_(V.FILES) + "SELECT id, path, language FROM files")
+def detect_language(spark, d):
+    return V.files(spark, d).select("id", "path", languages.detect_language(F.col("path")).alias("language"))
+
+
+@query(with_(V.DOCS) + "SELECT id, ceil((length(content) + length(regexp_replace(content, '[\\x{0}-\\x{FFFF}]', '', 'g'))) / 4.0)::BIGINT AS tokens FROM docs")
+def estimate_tokens(spark, d):
+    return V.documents(spark, d).select("id", T.estimate_tokens(F.col("content")).alias("tokens"))
+
+
+@query(with_(V.DOCS) + """
+SELECT id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct FROM (
+  SELECT id, list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda x: length(x) >= 3) AS t FROM docs)""")
+def tokenize_terms(spark, d):
+    t = T.terms(F.col("content"))
+    return V.documents(spark, d).select("id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query(with_(V.FILES) + """
+SELECT id, CASE WHEN language = 'markdown' THEN 'docs' WHEN language = 'json' THEN 'config' WHEN path LIKE '%.css' THEN 'style' ELSE 'source' END AS file_type FROM files""")
+def file_type(spark, d):
+    return V.files(spark, d).select("id", T.file_type(F.col("path"), F.col("language")).alias("file_type"))
+
+
+@query(with_(V.FILES) + f"SELECT id, {V.FOLDER} AS folder, {V.FOLDER} || '/' || split_part(path, '/', 2) AS cluster, split_part(path, '/', 3) AS short_name FROM files")
+def folders_and_clusters(spark, d):
+    p = F.col("path")
+    return V.files(spark, d).select("id", T.top_level_folder(p).alias("folder"), T.cluster_key(p).alias("cluster"), T.base_name(p).alias("short_name"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
+  len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS n_targets FROM pages""")
+def page_links(spark, d):
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    title = F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(""))
+    return V.read(spark, d, "pages").select("page_id", title.alias("title"), F.size(links).alias("n_links"), F.size(F.array_distinct(links)).alias("n_targets"))
+
+
+# ---- graph assembly ----------------------------------------------------------------
+
+@query(with_(V.FILES) + "SELECT path, row_number() OVER (ORDER BY path) - 1 AS id FROM files")
+def file_ids(spark, d):
+    return assemble.file_ids(V.files(spark, d).select("path"))
+
+
+@query(with_(V.FILES) + """, old AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS id FROM files WHERE id % 3 <> 0)
+SELECT path, id FROM old UNION ALL
+SELECT path, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY path) - 1 FROM files WHERE path NOT IN (SELECT path FROM old)""")
+def sticky_file_ids(spark, d):
+    f = V.files(spark, d)
+    return assemble.file_ids(f.select("path"), assemble.file_ids(f.where("id % 3 <> 0").select("path")))
+
+
+@query(with_(V.EDGES) + "SELECT src, dst, weight FROM edges")
+def import_edges(spark, d):
+    found = V._consecutive(spark, d).select(F.col("src").alias("file_id"), F.col("dst").alias("target_id"), F.concat_ws(":", "l_orderkey", F.monotonically_increasing_id()).alias("specifier"))
+    return assemble.import_edges(found)
+
+
+@query(with_(V.FILES, V.RANK_EDGES) + """SELECT row_number() OVER (ORDER BY s.path, t.path) - 1 AS id, src AS source_id, dst AS target_id, weight
+FROM edges JOIN files s ON s.id = src JOIN files t ON t.id = dst""")
+def numbered_edges(spark, d):
+    return assemble.numbered_edges(V.rank_edges(spark, d), V.files(spark, d))
+
+
+@query(with_(V.EDGES) + """SELECT id, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, count(*) AS degree FROM (
+  SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id""")
+def import_degree(spark, d):
+    return assemble.degrees(V.edges(spark, d))
+
+
+@query(with_(V.EDGES) + "SELECT src, count(*) AS n_out, sum(weight)::BIGINT AS out_weight FROM edges GROUP BY src")
+def adjacency_out(spark, d):
+    return V.edges(spark, d).groupBy("src").agg(F.count("*").alias("n_out"), F.sum("weight").alias("out_weight"))
+
+
+@query(with_(V.FILES) + """, dirs AS (
+  SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS dir FROM files WHERE id % 5 = 0 UNION SELECT DISTINCT split_part(path, '/', 1) FROM files WHERE id % 3 = 0 UNION SELECT '')
+SELECT f.id, arg_max(dir, length(dir)) AS config_dir FROM files f JOIN dirs ON dir = '' OR starts_with(f.path, dir || '/') GROUP BY f.id""")
+def nearest_config(spark, d):
+    f = V.files(spark, d)
+    parts = F.split("path", "/")
+    dirs = f.where("id % 5 = 0").select(F.array_join(F.slice(parts, 1, 2), "/").alias("config_dir")).unionByName(f.where("id % 3 = 0").select(parts[0].alias("config_dir")))
+    return assemble.nearest_config(f, dirs.unionByName(spark.sql("SELECT '' AS config_dir")))
+
+
+@query(with_(V.FILES) + """, cand AS (
+  SELECT id, unnest([split_part(path, '.', 1) || '.md', split_part(path, '.', 1) || '.ts', path]) AS path, unnest([0, 1, 2]) AS pos FROM files)
+SELECT c.id, arg_min(f.id, c.pos) AS target_id FROM cand c JOIN files f USING (path) GROUP BY c.id""")
+def resolve_import_candidates(spark, d):
+    f = V.files(spark, d)
+    stem = F.substring_index("path", ".", 1)
+    wanted = f.select("id", F.array(F.concat(stem, F.lit(".md")), F.concat(stem, F.lit(".ts")), F.col("path")).alias("candidates"))
+    return assemble.first_candidate(wanted, f, ["id"])
+
+
+@query(with_(V.FILES) + """, wanted AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder FROM files)
+SELECT folder, arg_min(id, path) AS target_id FROM wanted JOIN files ON starts_with(path, folder || '/') GROUP BY folder""")
+def resolve_folder_imports(spark, d):
+    f = V.files(spark, d)
+    wanted = f.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("folder")).distinct()
+    return assemble.under_folder(wanted, f, ["folder"])
+
+
+@query(with_(V.FILES) + """, wanted AS (SELECT DISTINCT replace(p_name, ' ', '_') AS needle FROM part)
+SELECT needle, arg_min(id, path) AS target_id FROM wanted JOIN files ON contains(path, needle) GROUP BY needle""")
+def resolve_substring_imports(spark, d):
+    wanted = V.read(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("needle")).distinct()
+    return assemble.containing(wanted, V.files(spark, d), ["needle"])
+
+
+ENCLOSED = """inside AS (
+  SELECT c.call_id, arg_min(s.id, ((s.end_line - s.start_line)::BIGINT * 1000000 + s.start_line) * 10000000 + s.id) AS caller_id
+  FROM calls c JOIN symbols s ON s.file_id = c.file_id AND c.line BETWEEN s.start_line AND s.end_line GROUP BY c.call_id)"""
+CALLEES = """named AS (SELECT DISTINCT file_id, callee FROM calls),
+own AS (SELECT n.file_id, n.callee, min(s.id) AS callee_id FROM named n JOIN symbols s ON s.file_id = n.file_id AND s.name = n.callee GROUP BY ALL),
+far AS (SELECT n.file_id, n.callee, arg_min(s.id, CASE WHEN s.exported THEN s.id ELSE s.id + 1000000000000 END) AS callee_id
+  FROM named n JOIN edges e ON e.src = n.file_id JOIN symbols s ON s.file_id = e.dst AND s.name = n.callee GROUP BY ALL),
+callees AS (SELECT *, 'same_file' AS via FROM own UNION ALL SELECT f.*, 'imported' FROM far f ANTI JOIN own USING (file_id, callee))"""
+
+
+@query(with_(V.SYMBOLS, V.CALLS, ENCLOSED) + "SELECT call_id, caller_id FROM inside")
+def enclosing_symbol(spark, d):
+    return assemble.enclosing(V.calls(spark, d), V.symbols(spark, d))
+
+
+@query(with_(V.SYMBOLS, V.CALLS, V.RANK_EDGES, CALLEES) + "SELECT file_id, callee, callee_id, via FROM callees")
+def resolve_callees(spark, d):
+    return assemble.resolved_callees(V.calls(spark, d), V.symbols(spark, d), V.rank_edges(spark, d))
+
+
+CALL_EDGES = """call_edges AS (
+  SELECT i.caller_id AS src, r.callee_id AS dst, count(*) AS weight FROM calls c JOIN inside i USING (call_id) JOIN callees r USING (file_id, callee)
+  WHERE i.caller_id <> r.callee_id GROUP BY 1, 2)"""
+
+
+@query(with_(V.SYMBOLS, V.CALLS, V.RANK_EDGES, ENCLOSED, CALLEES, CALL_EDGES) + "SELECT src, dst, weight FROM call_edges")
+def call_edges(spark, d):
+    return assemble.call_edges(V.calls(spark, d), V.symbols(spark, d), V.rank_edges(spark, d))
+
+
+# ---- ranking -----------------------------------------------------------------------
+
+def _scores(spark, d):
+    return rank.centrality(V.files(spark, d), V.rank_edges(spark, d))
+
+
+def _rounded(df: DataFrame, n: int) -> DataFrame:
+    return df.select("id", F.round("score", 6).alias("score"), F.round(F.col("rank") * n, 6).alias("rank_n"))
+
+
+RANKS = with_(V.FILES, V.RANK_EDGES, V.pagerank_sql())
+ROUNDED = "SELECT id, round(score, 6) AS score, round(rank * (SELECT count(*) FROM files), 6) AS rank_n FROM ranks"
+
+
+@query(RANKS + ROUNDED)
+def pagerank_plain(spark, d):
+    return _rounded(_scores(spark, d), V.files(spark, d).count())
+
+
+@query(with_(V.FILES, V.RANK_EDGES, V.pagerank_sql("CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END")) + ROUNDED)
+def pagerank_personalized(spark, d):
+    f = V.files(spark, d)
+    lean = f.where("id % 97 = 0").select("id", F.lit(1.0).alias("weight"))
+    return _rounded(rank.centrality(f, V.rank_edges(spark, d), lean), f.count())
+
+
+@query(RANKS + "SELECT id, path, row_number() OVER (ORDER BY round(score, 12) DESC, path) AS rnk FROM ranks JOIN files USING (id)")
+def rank_by_centrality(spark, d):
+    return rank.ranked(V.files(spark, d), _scores(spark, d)).select("id", "path", "rnk")
+
+
+@query(RANKS + "SELECT id, path, loc, round(score, 6) AS score FROM ranks JOIN files USING (id) ORDER BY round(ranks.score, 12) DESC, path LIMIT 20")
+def top_central_files(spark, d):
+    f = V.files(spark, d)
+    joined = f.join(_scores(spark, d), "id").orderBy(F.round("score", 12).desc(), "path").limit(20)
+    return joined.select("id", "path", "loc", F.round("score", 6).alias("score"))
+
+
+TASK = "add red widget rotation to economy brand17"
+MATCHED = f"""task AS (SELECT list_filter(regexp_extract_all(lower('{TASK}'), '[a-z0-9]+'), lambda x: length(x) >= 3) AS t),
+matched AS (SELECT f.id, len(list_filter(regexp_extract_all(lower(path), '[a-z0-9]+'), lambda x: length(x) >= 3 AND list_contains(t, x)))::DOUBLE AS m FROM files f, task)"""
+
+
+@query(with_(V.FILES, V.RANK_EDGES, MATCHED, V.pagerank_sql("(SELECT m FROM matched WHERE matched.id = files.id)")) + """
+SELECT id, round(2 * m / (SELECT max(m) FROM matched) + score, 6) AS score FROM ranks JOIN matched USING (id)""")
+def rank_for_task(spark, d):
+    s = V.symbols(spark, d)
+    return rank.rank_for_task(V.files(spark, d), s, V.rank_edges(spark, d), TASK).select("id", F.round("score", 6).alias("score"))
+
+
+# ---- retrieval ---------------------------------------------------------------------
+
+HITS = "FROM symbols s JOIN files f ON f.id = s.file_id JOIN ranks r ON r.id = f.id WHERE {0} ORDER BY {1}round(r.score, 12) DESC, exported DESC, path, start_line, s.id LIMIT 25"
+
+
+@query(with_(V.FILES, V.SYMBOLS, V.RANK_EDGES, V.pagerank_sql()) + "SELECT s.id, s.file_id, start_line, round(r.score, 6) AS score " + HITS.format("name = 'fn_7'", ""))
+def find_symbols_exact(spark, d):
+    hits = retrieval.find_symbols(V.symbols(spark, d), V.files(spark, d), _scores(spark, d), name="fn_7")
+    return hits.select("id", "file_id", "start_line", F.round("score", 6).alias("score"))
+
+
+@query(with_(V.FILES, V.SYMBOLS, V.RANK_EDGES, V.pagerank_sql()) + "SELECT s.id, s.file_id, name, round(r.score, 6) AS score " + HITS.format("name = 'fn_3' OR regexp_matches(name, '^FN_.*[57]$', 'i')", "(name = 'fn_3') DESC, "))
+def find_symbols_regex(spark, d):
+    hits = retrieval.find_symbols(V.symbols(spark, d), V.files(spark, d), _scores(spark, d), name="fn_3", pattern="^FN_.*[57]$")
+    return hits.select("id", "file_id", "name", F.round("score", 6).alias("score"))
+
+
+def _neighbours(spark, d, direction):
+    f = V.files(spark, d)
+    out = retrieval.neighbours(V.rank_edges(spark, d), f, _scores(spark, d), f.where("id % 40 = 0").select("id"), direction)
+    return out.select("centre", "id", "weight", F.round("score", 6).alias("score"))
+
+
+@query(RANKS + "SELECT dst AS centre, src AS id, weight, round(score, 6) AS score FROM edges JOIN ranks ON ranks.id = src WHERE dst % 40 = 0")
+def dependents(spark, d):
+    return _neighbours(spark, d, "in")
+
+
+@query(RANKS + "SELECT src AS centre, dst AS id, weight, round(score, 6) AS score FROM edges JOIN ranks ON ranks.id = dst WHERE src % 40 = 0")
+def dependencies(spark, d):
+    return _neighbours(spark, d, "out")
+
+
+@query(with_(V.FILES, V.SYMBOLS) + """, targets AS (
+  SELECT path AS target FROM files WHERE id % 50 = 0 UNION SELECT split_part(path, '/', 3) FROM files WHERE id % 50 = 1
+  UNION SELECT name FROM symbols UNION SELECT 'nowhere.ts'),
+exact AS (SELECT target, f.id FROM targets JOIN files f ON path = target),
+tail AS (SELECT target, min(f.id) AS id FROM targets JOIN files f ON path = target OR ends_with(path, '/' || target) GROUP BY target HAVING count(*) = 1),
+sym AS (SELECT target, min(file_id) AS id FROM targets JOIN symbols ON name = target GROUP BY target HAVING count(DISTINCT file_id) = 1)
+SELECT target, coalesce(e.id, t.id, s.id) AS file_id, CASE WHEN e.id IS NOT NULL THEN 'path' WHEN t.id IS NOT NULL THEN 'suffix' WHEN s.id IS NOT NULL THEN 'symbol' END AS via
+FROM targets LEFT JOIN exact e USING (target) LEFT JOIN tail t USING (target) LEFT JOIN sym s USING (target)""")
+def resolve_file_target(spark, d):
+    f, s = V.files(spark, d), V.symbols(spark, d)
+    targets = f.where("id % 50 = 0").select(F.col("path").alias("target")).unionByName(f.where("id % 50 = 1").select(T.base_name(F.col("path")).alias("target")))
+    targets = targets.unionByName(s.select(F.col("name").alias("target"))).unionByName(spark.sql("SELECT 'nowhere.ts' AS target")).distinct()
+    return retrieval.resolve_file_target(f, s, targets)
+
+
+@query(with_(V.EDGES) + "SELECT src, dst, weight FROM edges WHERE src % 9 = 0 AND dst % 9 = 0")
+def spotlight_payload(spark, d):
+    return retrieval.payload_edges(V.edges(spark, d), V.files(spark, d).where("id % 9 = 0"))
+
+
+KEYWORDS = ["tion", "thon", "licensed", "general"]
+GREP = """hits AS (SELECT id, ((lower(path || chr(10) || content) LIKE '%tion%')::INT + (lower(path || chr(10) || content) LIKE '%thon%')::INT
+  + (lower(path || chr(10) || content) LIKE '%licensed%')::INT + (lower(path || chr(10) || content) LIKE '%general%')::INT)::BIGINT AS hits FROM docs)"""
+
+
+@query(with_(V.DOCS, GREP) + "SELECT id, hits FROM hits WHERE hits >= 2 ORDER BY hits DESC, id LIMIT 20")
+def keyword_files(spark, d):
+    return retrieval.keyword_hits(V.documents(spark, d), KEYWORDS)
+
+
+@query(with_(V.DOCS, V.EDGES, GREP) + """, grep AS (SELECT id FROM hits WHERE hits >= 2 ORDER BY hits DESC, id LIMIT 20),
+opened AS (SELECT id FROM grep UNION SELECT dst FROM edges JOIN grep ON src = id)
+SELECT count(*) AS n_files, sum(ceil((length(content) + length(regexp_replace(content, '[\\x{0}-\\x{FFFF}]', '', 'g'))) / 4.0))::BIGINT AS tokens FROM opened JOIN docs USING (id)""")
+def exploration_baseline(spark, d):
+    docs = V.documents(spark, d)
+    opened = retrieval.one_hop(retrieval.keyword_hits(docs, KEYWORDS), V.edges(spark, d)).join(docs, "id")
+    return opened.agg(F.count("*").alias("n_files"), F.sum(T.estimate_tokens(F.col("content"))).alias("tokens"))
+
+
+# ---- traversal ---------------------------------------------------------------------
+
+def _rings_sql(edges: str, step: int, depth: int) -> str:
+    head = with_(edges, "ways AS (SELECT src AS a, dst AS b, 1 AS way FROM edges UNION ALL SELECT dst, src, 2 FROM edges)", f"r0 AS (SELECT p_partkey AS centre, p_partkey AS id, 0 AS ring, 'center' AS relation FROM part WHERE p_partkey % {step} = 0)")
+    seen = ["r0"]
+    for k in range(1, depth + 1):
+        known = " UNION ALL ".join(f"SELECT centre, id FROM {r}" for r in seen)
+        head += f""", r{k} AS (SELECT centre, b AS id, {k} AS ring, CASE bit_or(way) WHEN 1 THEN 'dependency' WHEN 2 THEN 'dependent' ELSE 'mixed' END AS relation
+  FROM r{k - 1} JOIN ways ON a = id WHERE (centre, b) NOT IN ({known}) GROUP BY centre, b)
+"""
+        seen.append(f"r{k}")
+    return head + " UNION ALL ".join(f"SELECT centre, id, ring, relation FROM {r}" for r in seen)
+
+
+def _rings(spark, d, edges, step, depth):
+    return neighborhood.rings(edges, V.files(spark, d).where(f"id % {step} = 0").select("id"), depth)
+
+
+@query(_rings_sql(V.RANK_EDGES, 40, 1))
+def neighborhood_depth1(spark, d):
+    return _rings(spark, d, V.rank_edges(spark, d), 40, 1)
+
+
+@query(_rings_sql(V.RANK_EDGES, 40, 2))
+def neighborhood_depth2(spark, d):
+    return _rings(spark, d, V.rank_edges(spark, d), 40, 2)
+
+
+@query(_rings_sql(V.RANK_EDGES, 40, 3))
+def neighborhood_depth3(spark, d):
+    return _rings(spark, d, V.rank_edges(spark, d), 40, 3)
+
+
+@query(_rings_sql(V.EDGES, 400, 2))
+def neighborhood_dense(spark, d):
+    return _rings(spark, d, V.edges(spark, d), 400, 2)
+
+
+# ---- budgets -----------------------------------------------------------------------
+
+@query(with_(V.FILES) + "SELECT language, count(*) AS n_files, sum(loc)::BIGINT AS loc FROM files GROUP BY language")
+def languages_inventory(spark, d):
+    return V.files(spark, d).groupBy("language").agg(F.count("*").alias("n_files"), F.sum("loc").alias("loc"))
+
+
+@query(with_(V.FILES) + "SELECT count(*) AS n_files, sum(loc)::BIGINT AS total_loc, count(DISTINCT language) AS n_languages, max(loc) AS max_loc FROM files")
+def repo_totals(spark, d):
+    return V.files(spark, d).agg(F.count("*").alias("n_files"), F.sum("loc").alias("total_loc"), F.countDistinct("language").alias("n_languages"), F.max("loc").alias("max_loc"))
+
+
+LIMIT = 400
+
+
+@query(RANKS + f""", hits AS (SELECT src AS id, path, weight, ceil(length(path) / 4.0) AS tok, row_number() OVER (ORDER BY round(score, 12) DESC, weight DESC, path) AS no
+  FROM edges JOIN files ON files.id = src JOIN ranks ON ranks.id = src WHERE dst % 40 = 0),
+runs AS (SELECT *, sum(tok) OVER (ORDER BY no) AS used FROM hits)
+SELECT id, path, weight FROM runs WHERE no < coalesce((SELECT min(no) FROM runs WHERE used > {LIMIT} AND no > 1), 1000000000)""")
+def dependents_budgeted(spark, d):
+    f = V.files(spark, d)
+    hits = retrieval.neighbours(V.rank_edges(spark, d), f, _scores(spark, d), f.where("id % 40 = 0").select("id"), "in")
+    kept = budget.within_budget(hits, [F.round("score", 12).desc(), F.desc("weight"), F.asc("path")], T.estimate_tokens(F.col("path")), LIMIT)
+    return kept.select("id", "path", "weight")
+
+
+UNTIL = "(SELECT max(l_shipdate) FROM lineitem)"
+
+
+@query(RANKS.rstrip() + f""", ch AS (SELECT l_partkey AS id, count(*) AS commits FROM lineitem WHERE l_shipdate >= {UNTIL} - INTERVAL 90 DAY GROUP BY 1),
+s AS (SELECT id, path, coalesce(commits, 0) AS commits, score + coalesce(commits, 0)::DOUBLE / (coalesce(commits, 0) + 5) AS total FROM ranks JOIN files USING (id) LEFT JOIN ch USING (id))
+SELECT id, path, commits, round(total, 6) AS score FROM s ORDER BY round(total, 12) DESC, path LIMIT 20""")
+def hotspots(spark, d):
+    churned = churn.churn(V.commits(spark, d), V.last_commit(spark, d))
+    return churn.hotspots(V.files(spark, d), _scores(spark, d), churned).select("id", "path", "commits", F.round("score", 6).alias("score"))
+
+
+def _graph(spark, d) -> Graph:
+    f, s, e = V.files(spark, d), V.symbols(spark, d), V.rank_edges(spark, d)
+    numbered = assemble.numbered_edges(e, f)
+    calls_ = assemble.call_edges(V.calls(spark, d), s, e).select(F.lit(0).cast("long").alias("id"), F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "weight")
+    return Graph("parts", f, s, numbered, calls_)
+
+
+def _shown(spark, view) -> DataFrame:
+    return spark.createDataFrame([(view.text, view.file_ids)], "text string, file_ids array<long>")
+
+
+@query()
+def skeleton(spark, d):
+    return _shown(spark, rendered.skeleton(_graph(spark, d)))
+
+
+@query()
+def neighborhood_view(spark, d):
+    return _shown(spark, rendered.neighborhood(_graph(spark, d), 40))
+
+
+@query()
+def resolve_context(spark, d):
+    return _shown(spark, rendered.resolve_context(_graph(spark, d), TASK))
+
+
+# ---- history -----------------------------------------------------------------------
+
+@query(with_(V.FILES, V.COMMITS) + f"SELECT path, count(*) AS commits FROM commits JOIN files ON files.id = file_id WHERE ts >= {UNTIL} - INTERVAL 90 DAY GROUP BY path")
+def churn_90d(spark, d):
+    return churn.churn(V.commits(spark, d), V.last_commit(spark, d))
+
+
+@query(with_(V.COMMITS) + f"""SELECT file_id, count(DISTINCT commit_id) FILTER (ts >= {UNTIL} - INTERVAL 30 DAY) AS commits_30d,
+  count(DISTINCT commit_id) AS commits_90d, count(DISTINCT author) AS authors_90d FROM commits WHERE ts >= {UNTIL} - INTERVAL 90 DAY GROUP BY file_id""")
+def history_30_90(spark, d):
+    return churn.history(V.commits(spark, d), V.files(spark, d), V.last_commit(spark, d))
+
+
+@query(with_("t AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem)", "k AS (SELECT c FROM t GROUP BY c HAVING count(*) BETWEEN 2 AND 50)") + """
+SELECT a.f AS file_a_id, b.f AS file_b_id, count(*) AS co_changes FROM k JOIN t a USING (c) JOIN t b ON b.c = a.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2""")
+def coupling(spark, d):
+    return churn.coupling(V.commits(spark, d), V.files(spark, d))
+
+
+@query(with_(V.FILES, V.EDGES) + """SELECT split_part(s.path, '/', 1) AS source_folder, split_part(t.path, '/', 1) AS target_folder, sum(weight)::BIGINT AS import_count, count(*) AS file_pairs
+FROM edges JOIN files s ON s.id = src JOIN files t ON t.id = dst WHERE split_part(s.path, '/', 1) <> split_part(t.path, '/', 1) GROUP BY 1, 2""")
+def group_graph(spark, d):
+    return churn.group_graph(V.edges(spark, d), V.files(spark, d))
+
+
+# ---- viewers -----------------------------------------------------------------------
+
+DEGREES = "deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
+
+
+@query(with_(V.FILES, V.RANK_EDGES, DEGREES) + "SELECT id, loc, coalesce(degree, 0) AS degree FROM files LEFT JOIN deg USING (id) ORDER BY degree DESC NULLS LAST, loc DESC, id LIMIT 150")
+def cap_file_graph(spark, d):
+    return viewer.cap_files(V.files(spark, d), V.rank_edges(spark, d), 150).select("id", "loc", "degree")
+
+
+@query(with_(V.FILES, V.RANK_EDGES, DEGREES, V.SYMBOLS) + """, kept AS (SELECT id FROM files LEFT JOIN deg USING (id) ORDER BY degree DESC NULLS LAST, loc DESC, id LIMIT 150)
+SELECT src AS source_id, dst AS target_id FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)""")
+def cap_edges(spark, d):
+    f, e = V.files(spark, d), V.rank_edges(spark, d)
+    kinds = e.select(F.col("src").alias("source_id"), F.lit("file").alias("source_kind"), F.col("dst").alias("target_id"), F.lit("file").alias("target_kind"))
+    return viewer.cap_edges(kinds, viewer.cap_files(f, e, 150), V.symbols(spark, d)).select("source_id", "target_id")
+
+
+@query(with_(V.FILES, V.EDGES, V.COMMITS) + f""", kept AS (SELECT id FROM files WHERE language IN ('python', 'go') AND {V.FOLDER} IN ('brand1', 'brand2', 'brand3')
+  AND id IN (SELECT file_id FROM commits WHERE ts >= {UNTIL} - INTERVAL 1500 DAY))
+SELECT src, dst, weight FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)""")
+def workspace_filter(spark, d):
+    f = V.files(spark, d)
+    recent = churn.churn(V.commits(spark, d), V.last_commit(spark, d), 1500).join(f, "path").select(F.col("id").alias("file_id"), F.col("commits").alias("commits_30d"))
+    return viewer.workspace_filter(f, V.edges(spark, d), recent, ["python", "go"], ["brand1", "brand2", "brand3"], recent=True)[1].select("src", "dst", "weight")
+
+
+DISTRICTS = f"""dis AS (SELECT *, ceil(n_files / cols)::BIGINT AS n_rows, row_number() OVER (ORDER BY n_files DESC, folder) - 1 AS no FROM (
+  SELECT {V.FOLDER} AS folder, count(*) AS n_files, sum(greatest(loc, 1))::BIGINT AS total_loc, greatest(1, ceil(sqrt(count(*) * 1.4)))::BIGINT AS cols FROM files GROUP BY 1)),
+sized AS (SELECT *, cols * 7.0 + (cols - 1) * 2.2 + 6 AS w, n_rows * 7.0 + (n_rows - 1) * 2.2 + 11 AS d FROM dis)"""
+PLACED = """run AS (SELECT *, sum(w + 8) OVER (ORDER BY no) AS row_w, sqrt(sum(w * d) OVER () * 1.4) AS aim FROM sized),
+per AS (SELECT coalesce((SELECT min(no) + 1 FROM run WHERE row_w > aim), (SELECT count(*) FROM run)) AS p),
+cells AS (SELECT sized.*, no % p AS c, no // p AS r FROM sized, per),
+cw AS (SELECT c, coalesce(sum(s + 8) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM (SELECT c, max(w) AS s FROM cells GROUP BY c)),
+rd AS (SELECT r, coalesce(sum(s + 8) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM (SELECT r, max(d) AS s FROM cells GROUP BY r)),
+placed AS (SELECT cells.*, x, z FROM cells JOIN cw USING (c) JOIN rd USING (r))"""
+
+
+@query(with_(V.FILES, DISTRICTS, PLACED) + "SELECT folder, n_files, total_loc, cols, n_rows, round(w::DOUBLE, 6) AS w, round(d::DOUBLE, 6) AS d, round(x::DOUBLE, 6) AS x, round(z::DOUBLE, 6) AS z FROM placed")
+def city_districts(spark, d):
+    p = viewer.placed_districts(V.files(spark, d))
+    return p.select("folder", "n_files", "total_loc", "cols", "n_rows", *[F.round(c, 6).alias(c) for c in ("w", "d", "x", "z")])
+
+
+@query(with_(V.FILES, DISTRICTS, PLACED) + f""", ranked AS (SELECT id, loc, {V.FOLDER} AS folder, row_number() OVER (PARTITION BY {V.FOLDER} ORDER BY loc DESC, id) - 1 AS k FROM files)
+SELECT id, folder, round((x + 3 + (k % cols) * 9.2)::DOUBLE, 6) AS x, round((z + 8 + (k // cols) * 9.2)::DOUBLE, 6) AS z,
+  round(0.8 + ln(loc + 1) / ln((SELECT greatest(1, max(loc)) FROM files) + 1) * 23.2, 6) AS h FROM ranked JOIN placed USING (folder)""")
+def city_buildings(spark, d):
+    return viewer.buildings(V.files(spark, d)).select("id", "folder", *[F.round(c, 6).alias(c) for c in ("x", "z", "h")])
+
+
+@query(with_(V.FILES, V.RANK_EDGES, DEGREES) + f"""SELECT (SELECT sum(loc)::BIGINT FROM files) AS total_loc, (SELECT max(loc) FROM files) AS max_loc,
+  (SELECT id FROM files ORDER BY loc DESC, id LIMIT 1) AS tallest_id, (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1) AS hub_id, (SELECT max(degree) FROM deg) AS hub_degree,
+  folder AS largest_district, n AS district_files FROM (SELECT {V.FOLDER} AS folder, count(*) AS n FROM files GROUP BY 1 ORDER BY n DESC, folder LIMIT 1)""")
+def city_totals(spark, d):
+    return viewer.city_totals(V.files(spark, d), V.rank_edges(spark, d))
+
+
+ATLAS = """links AS (SELECT 'f' || file_id AS source, 's' || id AS target, 'defines' AS kind FROM symbols
+  UNION ALL SELECT 'f' || src, 'f' || dst, 'imports' FROM edges UNION ALL SELECT 's' || src, 's' || dst, 'calls' FROM call_edges)"""
+ATLAS_WITH = with_(V.SYMBOLS, V.CALLS, V.RANK_EDGES, ENCLOSED, CALLEES, CALL_EDGES, ATLAS)
+
+
+def _atlas(spark, d):
+    s, e = V.symbols(spark, d), V.rank_edges(spark, d)
+    return viewer.atlas_links(V.files(spark, d), s, e, assemble.call_edges(V.calls(spark, d), s, e))
+
+
+@query(ATLAS_WITH + "SELECT source, target, kind FROM links")
+def atlas_links(spark, d):
+    return _atlas(spark, d)
+
+
+@query(ATLAS_WITH + "SELECT kind, count(*) AS n FROM links GROUP BY kind")
+def atlas_counts(spark, d):
+    return _atlas(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(with_(V.FILES, V.SYMBOLS) + "SELECT 'f' || id AS node, 'file' AS type, id AS file_id FROM files UNION ALL SELECT 's' || id, kind, file_id FROM symbols")
+def atlas_nodes_union(spark, d):
+    f = V.files(spark, d)
+    flat = f.select("id", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    return viewer.atlas_nodes(f, V.symbols(spark, d), flat).select("node", "type", "file_id")
+
+
+SEEDED = "(id * 7919 % 1009)::DOUBLE AS x, (id * 104729 % 1013)::DOUBLE AS y"
+
+
+@query(with_(V.FILES) + f""", p AS (SELECT id, {SEEDED} FROM files), c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM p),
+a AS (SELECT id, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS away FROM p, c), m AS (SELECT greatest(1, max(away)) AS r FROM a),
+h1 AS (SELECT id, away, r, fmod(id * 2654435761.0::DOUBLE, 4294967296.0::DOUBLE)::BIGINT AS h FROM a, m),
+h2 AS (SELECT id, away, r, fmod(xor(h, h >> 15)::DOUBLE * 2246822519.0::DOUBLE, 4294967296.0::DOUBLE)::BIGINT AS h FROM h1)
+SELECT 'f' || id AS node, round(r * 0.7 * (1 - (away / r) ** 2) + (xor(h, h >> 13) / 4294967295.0::DOUBLE * 2 - 1) * r * 0.14, 5) AS z FROM h2""")
+def atlas_heights(spark, d):
+    f = V.files(spark, d)
+    flat = f.select("id", (F.col("id") * 7919 % 1009).alias("x"), (F.col("id") * 104729 % 1013).alias("y"))
+    return viewer.atlas_nodes(f, V.symbols(spark, d).limit(0), flat).select("node", F.round("z", 5).alias("z"))
+
+
+@query(with_(V.FILES) + """, m AS (SELECT greatest(1, max(loc)) AS top FROM files)
+SELECT q AS share, floor(top * q + 0.5)::BIGINT AS at_loc, (SELECT count(*) FROM files WHERE loc <= floor(top * q + 0.5)) AS n_files FROM m, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS q)""")
+def legend_bands(spark, d):
+    f = V.files(spark, d)
+    top = f.agg(F.greatest(F.lit(1), F.max("loc")).alias("top"))
+    bands = top.select("top", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("share")).withColumn("at_loc", F.floor(F.col("top") * F.col("share") + 0.5))
+    # Five bands against counts by size.
+    sizes = f.groupBy("loc").agg(F.count("*").alias("n")).join(F.broadcast(bands), F.col("loc") <= F.col("at_loc"), "right")
+    return sizes.groupBy("share", "at_loc").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+
+
+@query()
+def layout(spark, d):
+    f, e = V.files(spark, d), V.rank_edges(spark, d)
+    scores = _scores(spark, d)
+    # Viewers lay out a capped graph.
+    return viewer.graph_layout(viewer.cap_files(f, e, 1500).select("id", "path"), e, scores)
+
+
+# ---- sets and differences ----------------------------------------------------------
+
+@query(with_(V.FILES) + """, a AS (SELECT path, sha FROM files WHERE id % 7 <> 0), b AS (SELECT path, CASE WHEN id % 5 = 0 THEN 'x' || sha ELSE sha END AS sha FROM files WHERE id % 11 <> 0)
+SELECT path, CASE WHEN a.sha IS NULL THEN 'added' WHEN b.sha IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE a.sha IS DISTINCT FROM b.sha""")
+def index_changes(spark, d):
+    f = V.files(spark, d)
+    after = f.where("id % 11 <> 0").withColumn("sha", F.when(F.col("id") % 5 == 0, F.concat(F.lit("x"), "sha")).otherwise(F.col("sha")))
+    return index_state.changes(f.where("id % 7 <> 0"), after)
+
+
+@query(with_(V.DOCS) + "SELECT count(*) AS n_parsed FROM (SELECT DISTINCT content, language FROM docs)")
+def parse_cache_misses(spark, d):
+    docs = V.documents(spark, d).withColumn("sha", F.sha1(F.col("content").cast("binary")))
+    return index_state.unparsed(docs, None).agg(F.count("*").alias("n_parsed"))
+
+
+@query(with_(V.FILES, V.SYMBOLS) + "SELECT path FROM files WHERE id NOT IN (SELECT file_id FROM symbols WHERE kind = 'class' AND exported)")
+def inventory_rest(spark, d):
+    shown = V.symbols(spark, d).where("kind = 'class' and exported").select(F.col("file_id").alias("id"))
+    return V.files(spark, d).join(shown, "id", "left_anti").select("path")
+
+
+@query(with_(V.FILES) + f"SELECT DISTINCT {V.FOLDER} AS folder FROM files")
+def folder_list(spark, d):
+    return V.files(spark, d).select(T.top_level_folder(F.col("path")).alias("folder")).distinct()
+
+
+# ---- live --------------------------------------------------------------------------
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type AS tool, count(*) AS calls, round(sum(value), 4) AS total_ms, max(value) AS max_ms FROM events GROUP BY 1, 2")
+def telemetry_hourly(spark, d):
+    rows = V.events(spark, d).select("ts", F.col("kind").alias("tool"), F.col("value").alias("latency_ms"))
+    return live.telemetry_hourly(rows).withColumn("total_ms", F.round("total_ms", 4))
+
+
+@query(with_("g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))",
+    "s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g)") + "SELECT user_id AS key, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FROM s GROUP BY user_id, no")
+def debounce_sessions(spark, d):
+    return live.debounced(V.events(spark, d), "2 hours")
+
+
+@query("SELECT user_id AS key, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS kind FROM events GROUP BY user_id")
+def last_event(spark, d):
+    return live.last_event(V.events(spark, d))
+
+
+@query()
+def request_queue(spark, d):
+    action = F.when(F.col("kind") == "purchase", "take").when(F.col("kind") == "error", "take_question").otherwise("put")
+    kind = F.when(F.col("kind") == "signup", "question").otherwise("instruction")
+    return live.queue_results(V.events(spark, d).select((F.col("key") % 10).alias("key"), "ts", "event_id", action.alias("action"), kind.alias("kind")))
+
+
+@query(with_(V.FILES, "e AS (SELECT user_id, ceil(length(props) / 4.0)::BIGINT AS tok, (props::JSON->>'k')::BIGINT AS f FROM events)",
+    "b AS (SELECT user_id, count(*) AS n_files, sum(greatest(loc, 1) * 8)::BIGINT AS baseline FROM (SELECT DISTINCT user_id, f FROM e) JOIN files ON files.id = f GROUP BY user_id)") + """
+SELECT e.user_id AS session, count(*) AS calls, sum(tok)::BIGINT AS tokens, coalesce(any_value(n_files), 0) AS n_files, coalesce(any_value(baseline), 0) AS baseline FROM e LEFT JOIN b USING (user_id) GROUP BY e.user_id""")
+def savings_receipt(spark, d):
+    e = V.events(spark, d)
+    calls_ = e.select(F.col("key").alias("session"), T.estimate_tokens(F.col("props")).alias("tokens"))
+    touched = e.select(F.col("key").alias("session"), F.get_json_object("props", "$.k").cast("long").alias("file_id"))
+    return live.receipt(calls_, touched, V.files(spark, d))
+
+
+@query(with_("m AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 'query' WHEN 'purchase' THEN 'write' WHEN 'view' THEN 'search' ELSE 'other' END AS kind FROM events)",
+    "p AS (SELECT *, last_value(CASE kind WHEN 'query' THEN 1 WHEN 'write' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS primed FROM m)") + """
+SELECT event_id, user_id AS session, kind, CASE WHEN kind = 'search' AND coalesce(primed, 0) = 0 THEN 'deny' ELSE 'allow' END AS decision FROM p""")
+def prime_gate(spark, d):
+    kind = F.when(F.col("kind") == "signup", "query").when(F.col("kind") == "purchase", "write").when(F.col("kind") == "view", "search").otherwise("other")
+    return live.gate(V.events(spark, d).select("event_id", F.col("key").alias("session"), "ts", kind.alias("kind")))
+
+
+@query("""SELECT q.user_id AS request_id, 'signup' AS kind, a.props AS answer, epoch_us(a.ts) // 1000 - epoch_us(q.ts) // 1000 AS waited_ms FROM events q JOIN events a
+ON a.user_id = q.user_id AND a.event_type = 'purchase' AND a.ts >= q.ts AND a.ts <= q.ts + INTERVAL 6 HOUR WHERE q.event_type = 'signup'""")
+def answered_requests(spark, d):
+    e = V.events(spark, d)
+    asked = e.where("kind = 'signup'").select(F.col("key").alias("request_id"), "kind", "ts")
+    replies = e.where("kind = 'purchase'").select(F.col("key").alias("request_id"), F.col("props").alias("answer"), "ts")
+    return live.answers(asked, replies, "6 hours")
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN 'invalid_graph' ELSE 'invalid_json' END AS verdict, substr(sha256(props), 1, 10) AS import_id FROM events")
+def import_verdicts(spark, d):
+    p = F.col("props")
+    return V.events(spark, d).select("event_id", exchange.import_verdict(p).alias("verdict"), exchange.import_id(p).alias("import_id"))
+
+
+IGNORES = ["brand1/", "*.css", "!brand2/**", "/brand3/economy", "#comment"]
+
+
+@query(with_(V.FILES) + """SELECT id, path FROM files WHERE CASE WHEN path LIKE 'brand3/economy/%' THEN false WHEN path LIKE 'brand2/%' THEN true
+  WHEN path LIKE '%.css' THEN false WHEN path LIKE 'brand1/%' THEN false ELSE true END""")
+def ignore_rules(spark, d):
+    return V.files(spark, d).where(~scan.excluded(F.col("path"), scan.compile_rules(IGNORES))).select("id", "path")

@@ -1 +1 @@
-
+"""Where files, commits and graphs come from, and where they go."""
