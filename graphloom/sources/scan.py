@@ -1,7 +1,7 @@
 """Scanning a repository: ignore rules, languages, line counts, digests.
 
-Names are listed on the driver so that ignored folders are never entered; the
-content of the files that are left is read by Spark's ``binaryFile`` source.
+Names are listed on the driver so that ignored folders are never entered; tasks
+read the content of the files that are left.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,15 +140,29 @@ def described(raw: DataFrame) -> DataFrame:
 
 
 def scan_repo(spark: SparkSession, root: str, extra: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``path, language, loc, sha, last_modified_ms, content`` of a repository's text files."""
+    """``path, language, loc, sha, last_modified_ms, content`` of a repository's text files.
+
+    Spark's own file sources skip names that begin with a dot or an underscore,
+    which repositories are full of, so tasks open the listed files themselves;
+    the repository must lie where executors reach it.
+    """
     root = os.path.abspath(root)
-    paths = [p for p in listed(root, extra)]
-    if not paths:
-        return described(spark.createDataFrame([], "path string, content string, last_modified_ms long"))
-    files = spark.read.format("binaryFile").load([f"file://{root}/{p}" for p in paths]).where(F.col("length") <= most_bytes)
-    rel = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(root) + 2, 1 << 20)
-    raw = files.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("last_modified_ms"))
-    return described(raw)
+    paths = spark.createDataFrame([(p,) for p in listed(root, extra)], "path string")
+    # Known binaries are never opened.
+    wanted = paths.where(detect_language(F.col("path")).isNotNull())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(f"file://{root}")
+        for frame in frames:
+            for info in store.get_file_info([f"{top}/{p}" for p in frame["path"]]):
+                if info.is_file and info.size <= most_bytes:
+                    with store.open_input_stream(info.path) as file:
+                        text = file.read().decode("utf-8", "replace")
+                    yield pd.DataFrame({"path": [info.path[len(top) + 1 :]], "content": [text], "last_modified_ms": [info.mtime_ns // 1_000_000]})
+
+    return described(wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, "path string, content string, last_modified_ms long"))
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
