@@ -15,8 +15,8 @@ Given targets are normalised over the values that occur.
 Topic.  A document's topic is the group, of ``TOPICS``, of its most frequent
 long word (ties: the least word), so documents about the same thing share it.
 
-Everything about cells is computed over aggregates, as window sums; a source
-with a third of all rows costs a few rows a task.  Cells reach documents by an
+Everything about cells is computed over aggregates; a source with a third of
+all rows costs a few rows a task.  Cells reach documents by an
 ordinary join that adaptive execution can split or broadcast.
 
 Defined cases.  Null text counts as empty and has no tokens: such a document is
@@ -41,6 +41,8 @@ from graphloom.llm.shared import table, text_of, written
 from graphloom.llm.words import words_of
 
 TEMPER, BUDGET, ROUNDS, TOPICS, LONG_WORD = 0.7, 0.5, 8, 8, 6
+#: Cells (rows of three short strings and numbers) that the driver may hold.
+MOST_CELLS = 100_000
 CELL = ["source", "lang", "topic"]
 _WORD_MARKS = b".,;:!?|*#$%&()[]{}\"'<>"
 
@@ -66,25 +68,50 @@ def described(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
     return docs.select(*kept, text_of("text").alias("text")).mapInArrow(run, "doc_id long, source string, lang string, tokens long, topic string")
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """``source, lang, topic, tokens, lift`` from ``source, lang, topic, tokens``."""
+def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float) -> DataFrame:
+    """``cells`` with each marginal's wanted tokens, which add up to all tokens over the marginal's values."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    w = cells.withColumn("weight", F.col("tokens").cast("double"))
+    w = cells
     for c in CELL:
         if targets and c in targets:
             given = F.create_map(*[F.lit(x) for pair in targets[c].items() for x in pair])
             share = F.coalesce(given[F.col(c)], F.lit(0.0))
         else:
             share = F.pow(F.sum("tokens").over(Window.partitionBy(c)) / F.lit(max(1, total)), F.lit(temper))
-        w = w.withColumn(f"share_{c}", share)
-    # Each marginal's shares, summed over its values, are made to add up to 1.
-    sums = {c: w.groupBy(c).agg(F.first(f"share_{c}").alias("s")).agg(F.sum("s")).first()[0] or 1.0 for c in CELL}
-    for _ in range(rounds):
-        for c in CELL:
-            now = F.sum("weight").over(Window.partitionBy(c))
-            wanted = F.col(f"share_{c}") * F.lit(total / sums[c])
-            w = w.withColumn("weight", F.when(now > 0, F.col("weight") * wanted / now).otherwise(F.col("weight")))
-    return w.select(*CELL, "tokens", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(1.0)).alias("lift"))
+        w = w.withColumn(f"want_{c}", share)
+    sums = {c: w.groupBy(c).agg(F.first(f"want_{c}").alias("s")).agg(F.sum("s")).first()[0] or 1.0 for c in CELL}
+    return w.withColumns({f"want_{c}": F.col(f"want_{c}") * F.lit(total / sums[c]) for c in CELL})
+
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, most_cells: int = MOST_CELLS) -> DataFrame:
+    """``source, lang, topic, tokens, lift`` from ``source, lang, topic, tokens``.
+
+    Up to ``most_cells`` cells (counted first) are raked as arrays on the driver,
+    more as window sums, written once a round; the results agree.
+    """
+    w = written(_targets(cells, targets, temper), "mix-targets")
+    lift = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(1.0)).alias("lift")
+    if w.limit(most_cells + 1).count() > most_cells:
+        w = w.withColumn("weight", F.col("tokens").cast("double"))
+        for _ in range(rounds):
+            for c in CELL:
+                now = F.sum("weight").over(Window.partitionBy(c))
+                w = w.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"want_{c}") / now).otherwise(F.col("weight")))
+            w = written(w, "mix-round")
+        return w.select(*CELL, "tokens", lift)
+    rows = w.orderBy(*CELL).collect()
+    weight = np.array([float(r.tokens) for r in rows])
+    places = {}
+    for c in CELL:
+        known: dict = {}
+        places[c] = (np.array([known.setdefault(r[c], len(known)) for r in rows], int), np.array([r[f"want_{c}"] for r in rows]))
+    for _ in range(rounds if rows else 0):
+        for at, wanted in places.values():
+            now = np.bincount(at, weights=weight)[at]
+            weight = np.where(now > 0, weight * wanted / np.where(now > 0, now, 1), weight)
+    schema = "source string, lang string, topic string, tokens long, weight double"
+    done = cells.sparkSession.createDataFrame([(r.source, r.lang, r.topic, r.tokens, float(x)) for r, x in zip(rows, weight, strict=True)], schema)
+    return done.select(*CELL, "tokens", lift)
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> float:
