@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import parallelism, scratch, table, text_of, written
@@ -96,16 +96,10 @@ def keep_new(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_c
     same = kept.withColumnsRenamed({"__id": "__kid", "__digest": "__kdigest"})
     joined = signed.join(same, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__digest") == F.col("__kdigest")), "left_semi")
     # Of repeated rows one stays; the join has dealt rows by the same keys already.
-    first = F.row_number().over(_same_row())
+    first = F.row_number().over(Window.partitionBy("__digest", "__id").orderBy("__id"))
     return joined.withColumn("__first", first).where("__first = 1").drop("__id", "__digest", "__first")
 
 
-def _same_row():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__digest", "__id").orderBy("__id")
-
-
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, scratch(spark, "digest-index"))
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), index)

@@ -328,8 +328,6 @@ def gaps(manifest: DataFrame, folder: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
-    if "://" not in folder and not folder.startswith("/"):
-        folder = f"file://{folder.removeprefix('file:')}"
     manifest = written(write(roles(table(spark, sf_dir, "pages")), folder), "warc-manifest")
     return records(manifest, folder)
 
