@@ -8,6 +8,7 @@ import xxhash
 _hash = xxhash.xxh3_64_intdigest
 U64 = np.uint64
 #: Odd multipliers of the mixing steps below (64-bit finaliser constants of MurmurHash3).
+_PLACE = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) for j in range(64)], np.uint64)
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
@@ -37,7 +38,8 @@ def shingle_set(words: list[bytes], size: int = 5) -> np.ndarray:
     h = hashes(words)
     n = max(1, len(h) - size + 1)
     k = min(size, len(h))
+    # Each place has an odd factor of its own; words' hashes are spread over all bits already.
     total = np.full(n, U64(k))
     for j in range(k):
-        total = mix(total + h[j : j + n])
-    return np.unique(total)
+        total += h[j : j + n] * _PLACE[j % len(_PLACE)]
+    return np.unique(mix(total))
