@@ -8,7 +8,6 @@ import xxhash
 _hash = xxhash.xxh3_64_intdigest
 U64 = np.uint64
 #: Odd multipliers of the mixing steps below (64-bit finaliser constants of MurmurHash3).
-_PLACE = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) for j in range(64)], np.uint64)
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
@@ -21,6 +20,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+#: An odd factor for each place of a shingle, from an unrelated sequence: factors in a progression would make swapped words collide.
+_PLACE = mix(np.arange(1, 65, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
+
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Words between spaces and the characters 0x09-0x0D: what ``bytes.split`` does; lower-casing bytes is A-Z only."""
     data = (text or "").encode("utf-8", "surrogatepass")
