@@ -227,11 +227,12 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     )
     groups = groups.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> shiftright(salts, i) & 1L = 1L)"))).select("digest", "salt", "keeper")
     answers = sigs.join(groups, ["digest", "salt"]).select("page_id", "digest", "keeper", (F.col("size") >= least).alias("shared")).distinct()
-    answers = answers.withColumnsRenamed({"page_id": "__id", "digest": "__digest"})
+    # Joined by a key that is never null, so that the window below needs no other shuffle of the texts.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    answers = answers.select(key.alias("key"), "digest", "keeper", "shared")
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"), F.unhex(F.sha1(html)).alias("digest"))
-    same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
-    joined = given.join(answers, same).drop("__id", "__digest")
-    first = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    joined = given.withColumn("key", key).join(answers, ["key", "digest"])
+    first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("url"))
     revisit = F.col("shared") & ~(F.col("page_id").eqNullSafe(F.col("keeper")) & (first == 1))
     return joined.withColumn("revisit", revisit).select("page_id", "url", "html", "keeper", "revisit")
 
