@@ -91,13 +91,14 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
 
 def keep_new(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = dedup(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    signed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))})
-    same = kept.withColumnsRenamed({"__id": "__kid", "__digest": "__kdigest"})
-    joined = signed.join(same, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__digest") == F.col("__kdigest")), "left_semi")
-    # Of repeated rows one stays; the join has dealt rows by the same keys already.
-    first = F.row_number().over(Window.partitionBy("__digest", "__id").orderBy("__id"))
-    return joined.withColumn("__first", first).where("__first = 1").drop("__id", "__digest", "__first")
+    # Joined by keys that are never null, so that the window below needs no other shuffle of the texts.
+    key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
+    kept = dedup(docs, index, id_col, text_col).where("kept").select(key("doc_id").alias("__key"), F.col("digest").alias("__digest"))
+    signed = docs.withColumns({"__key": key(id_col), "__digest": F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))})
+    joined = signed.join(kept, ["__key", "__digest"], "left_semi")
+    # Of repeated rows one stays.
+    first = F.row_number().over(Window.partitionBy("__key", "__digest").orderBy("__key"))
+    return joined.withColumn("__first", first).where("__first = 1").drop("__key", "__digest", "__first")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
