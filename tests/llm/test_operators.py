@@ -169,6 +169,22 @@ def test_large_hubs_are_compared_in_chunks(spark, monkeypatch):
     assert {r.component_id for r in found} == {0} and len(found) == 40
 
 
+def test_parts_do_not_depend_on_when_pairs_are_settled(monkeypatch):
+    """Whatever number of pairs is held, a part has all that possible pairs connect."""
+    rng = np.random.default_rng(0)
+    for most in (0, 1, 5):
+        monkeypatch.setattr(jaccard_join, "MOST_PAIRS", most)
+        for _ in range(100):
+            place = rng.integers(0, 60, 24)
+            histograms = np.zeros((24, jaccard_join.PLACES), np.uint8)
+            histograms[:, 0], histograms[:, 1] = 100 + place, 160 - place
+            sizes = histograms.sum(axis=1, dtype=np.int64)
+            possible = 2 * np.abs(place[:, None] - place[None, :]) <= 10 * 2 * sizes[0] // 190
+            first = jaccard_join.labels_of(possible)
+            alone = possible.sum(axis=1) == 1
+            assert jaccard_join.possible_parts(histograms, sizes, 90).tolist() == np.where(alone, -1, first).tolist()
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 100)], "a long, b long")
     found = {r.node: r.component for r in components.components(links).collect()}
