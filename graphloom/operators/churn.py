@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import churn_saturation, top_level_folder
 
-#: Commits of more files than this tell nothing about pairs; a bound on pairs made from one commit.
-MOST_FILES_TOGETHER = 50
+#: Files of a commit that come together at once; larger commits are split into blocks, compared two by two.
+FILES_A_BLOCK = 256
 
 
 def churn(commits: DataFrame, until, days: int = 90) -> DataFrame:
@@ -31,12 +31,23 @@ def history(commits: DataFrame, files: DataFrame, until) -> DataFrame:
 def coupling(commits: DataFrame, files: DataFrame, least: int = 2) -> DataFrame:
     """``file_a_id, file_b_id, co_changes`` of files changed in the same commits, ``least`` times or more.
 
-    Pairs arise within a commit; commits of more than ``MOST_FILES_TOGETHER``
-    files (mass renames and the like) make none, which is part of the measure.
+    Pairs arise within a commit, however large.  Files of fewer commits than
+    ``least`` are in no such pair, so they are left out first.
     """
     touched = commits.join(files.select("path", F.col("id").alias("file_id")), "path").select("commit_id", "file_id").distinct()
-    usable = touched.groupBy("commit_id").agg(F.sort_array(F.collect_set("file_id")).alias("ids")).where(F.size("ids").between(2, MOST_FILES_TOGETHER))
-    pairs = usable.select(F.posexplode("ids").alias("i", "file_a_id"), "ids").select("file_a_id", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("file_b_id"))
+    often = touched.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("file_id")
+    touched = touched.join(often, "file_id", "left_semi")
+    large = touched.groupBy("commit_id").agg(F.ceil(F.count("*") / FILES_A_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = touched.join(large, "commit_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # A file comes once for each pair of blocks that its own is in.
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("file_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    met = dealt.groupBy("commit_id", "i", "j").agg(
+        F.sort_array(F.collect_set(F.when(F.col("own") == F.col("i"), F.col("file_id")))).alias("ids"), F.collect_set(F.when(F.col("own") == F.col("j"), F.col("file_id"))).alias("others")
+    )
+    one = met.select(F.posexplode("ids").alias("k", "a"), "ids", "others", "i", "j")
+    partners = F.when(F.col("i") == F.col("j"), F.slice("ids", F.col("k") + 2, F.size("ids"))).otherwise(F.col("others"))
+    pairs = one.select("a", F.explode(partners).alias("b")).select(F.least("a", "b").alias("file_a_id"), F.greatest("a", "b").alias("file_b_id"))
     return pairs.groupBy("file_a_id", "file_b_id").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
 
 

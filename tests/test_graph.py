@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import assemble, budget, index_state, neighborhood, rank, retrieval, viewer, views
+from graphloom.operators import assemble, budget, churn, index_state, neighborhood, rank, retrieval, viewer, views
 from graphloom.operators.model import Graph
 from graphloom.operators.numbering import numbered
 
@@ -139,6 +139,19 @@ def test_text_functions(spark):
     assert (row["loc"], row.trim, row.tok, row.fnv, row.fh, row.c, row.k, row.slug) == (2, 1, 2, h, abs(g), "#808080", "1.2K", "my-repo") and row.label == "averyve….tsx" and row.kw == ["widget"]
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_coupling_counts_commits_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(churn, "FILES_A_BLOCK", block, raising=False)
+    f = files(spark, [f"f{i}" for i in range(90)])
+    of = {"all": range(90), "most": range(0, 90, 2), "pair": (3, 5), "one": (4,)}
+    commits = spark.createDataFrame([(f"f{i}", c) for c, ids in of.items() for i in ids] + [("f3", "pair")], "path string, commit_id string")
+    for least in (1, 2):
+        found = churn.coupling(commits, f, least).collect()
+        counts = {(a, b): sum(a in ids and b in ids for ids in of.values()) for a in range(90) for b in range(a + 1, 90)}
+        expected = {(a, b, n) for (a, b), n in counts.items() if n >= least}
+        assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+
+
 def test_layout_is_bounded_and_repeats(spark):
     f = files(spark, [f"src/d{i % 3}/f{i}.ts" for i in range(30)])
     e = edges(spark, [(i, (i * 7 + 1) % 30) for i in range(30)])
