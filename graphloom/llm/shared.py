@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: tables and the shared folder."""
+"""What the operators of this subpackage share: tables, the shared folder, salts and bitmaps."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What Python's ``bytes.split`` without arguments splits at; the contracts' word separators.
-WORD_GAPS = r"[\x20\x09-\x0D]+"
+#: Salts over which the rows of one key are dealt; as many as a long has usable bits.
+SALTS = 62
+#: Bits of one row of a bitmap: what ``bitmap_construct_agg`` makes.
+PAGE = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only in a local session where that is unset (as in tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,3 +50,64 @@ def text_of(column: str) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def new_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def salt_of(*columns: str) -> Column:
+    """Deals rows over ``SALTS`` values."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def salt_mask(salt: str) -> Column:
+    """Aggregates which salts occur."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {salt})"))
+
+
+def salts_of(mask: str) -> Column:
+    """One row for each salt of a mask: a group's figures go to its rows by ``(key, salt)``, so a hot key's rows stay dealt out."""
+    return F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> shiftright({mask}, i) & 1L = 1L)"))
+
+
+def bitmap(rows: DataFrame, value: Column, bits: int) -> DataFrame:
+    """``page, bits``: a bit for each cell that a (long) value falls in; ``2**bits`` cells whatever the number of rows."""
+    cell = value.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    cells = rows.select(cell.alias("cell")).where("cell is not null")
+    return cells.groupBy(F.expr(f"cast(cell div {PAGE} as int)").alias("page")).agg(F.bitmap_construct_agg(F.expr(f"cell % {PAGE}")).alias("bits"))
+
+
+def bitmap_bytes(pages: DataFrame, bits: int) -> bytes:
+    """The whole bitmap, for tasks in Python; cell ``c`` is bit ``c % 8`` of byte ``c // 8``."""
+    found = {r["page"]: bytes(r["bits"]) for r in pages.collect()}
+    return b"".join(found.get(p, bytes(PAGE // 8)) for p in range(max(1, (1 << bits) // PAGE)))[: max(1, (1 << bits) // 8)]
+
+
+def marked(df: DataFrame, value: Column, pages: DataFrame, bits: int, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: whether the value's bit is set.  Broadcast are at most ``2**bits / 8`` bytes."""
+    cell, page, held = new_name(df, "cell_of_row"), new_name(df, "page_of_bits"), new_name(df, "bits_of_page")
+    told = F.broadcast(pages.select(F.col("page").alias(page), F.col("bits").alias(held)))
+    given = df.withColumn(cell, value.bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+    joined = given.join(told, F.expr(f"cast(`{cell}` div {PAGE} as int)") == F.col(page), "left")
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(`{held}`, cast(`{cell}` % {PAGE} div 8 as int) + 1, 1)), 16, 10) as int), cast(`{cell}` % 8 as int)) & 1 = 1")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop(cell, page, held)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` whose id isn't the (only) column of ``ids``; rows with a null id stay.
+
+    Only rows whose id may be among ``ids``, by a bitmap of fixed size, are joined:
+    where few go, hardly any text moves.
+    """
+    gone, flag = new_name(docs, "id_that_goes"), new_name(docs, "may_go")
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias(gone))
+    number = F.col(id_col).cast("long")
+    seen = marked(docs, F.xxhash64(number), written(bitmap(ids, F.xxhash64(gone), bits), "bitmap"), bits, flag)
+    stay = seen.where(~F.col(flag)).drop(flag)
+    maybe = seen.where(F.col(flag)).drop(flag)
+    return stay.unionByName(maybe.join(ids, number == F.col(gone), "left_anti")).select(*[f"`{c}`" for c in docs.columns])
