@@ -28,7 +28,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.shared import table, text_of
+from graphloom.llm.shared import small_batches, table, text_of
 
 #: Pieces and neighbour checks remembered by a worker, at most.
 CACHE, PAIRS = 500_000, 1_000_000
@@ -199,6 +199,7 @@ def rank_file_bytes(path: str, most: int = 64 << 20) -> bytes:
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id, ids array<int>`` for each row."""
+    small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(rank_file_bytes(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,6 +224,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded and decoded within a batch, so token lists never move."""
+    small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(rank_file_bytes(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import table, text_of, written
+from graphloom.llm.shared import small_batches, table, text_of, written
 from graphloom.llm.words import words_of
 
 TEMPER, BUDGET, ROUNDS, TOPICS, LONG_WORD = 0.7, 0.5, 8, 8, 6
@@ -64,6 +64,7 @@ def described(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
             words = [words_of(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([*others, pa.array([len(w) for w in words], pa.int64()), pa.array([topic_of(w, topics) for w in words])], ["doc_id", "source", "lang", "tokens", "topic"])
 
+    small_batches(docs.sparkSession)
     kept = [F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("lang", "string"))]
     return docs.select(*kept, text_of("text").alias("text")).mapInArrow(run, "doc_id long, source string, lang string, tokens long, topic string")
 

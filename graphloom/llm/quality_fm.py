@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from graphloom.llm.shared import table, text_of
+from graphloom.llm.shared import small_batches, table, text_of
 from graphloom.llm.words import hashes, words_of
 
 DIMS, RANK, BINS = 1 << 15, 8, 12
@@ -127,6 +127,7 @@ def fold(id_column: str) -> Column:
 
 def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
     """Fit on the labelled documents outside fold 0, at most ``most_rows`` of least hash."""
+    small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").where(fold("doc_id") != 0)
     chosen = known.select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
 
@@ -149,6 +150,7 @@ def _model(bias: float, packed: bytes) -> Machine:
 
 def scored(docs: DataFrame, machine: Machine, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all, unless given) and ``__score``."""
+    small_batches(docs.sparkSession)
     packed = zlib.compress(machine.w.astype(np.float32).tobytes() + machine.v.astype(np.float32).tobytes(), 1)
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, packed))
     kept = docs.select(*columns) if columns else docs

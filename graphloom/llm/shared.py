@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Salts over which the rows of one key are dealt; as many as a long has usable bits.
 SALTS = 62
+#: Bytes of an Arrow batch of texts; both sides of a Python worker hold one, and pools keep what the largest took.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bits of one row of a bitmap: what ``bitmap_construct_agg`` makes.
 PAGE = 1 << 15
 
@@ -43,6 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to ``BATCH_BYTES``, so that long texts take bounded memory."""
+    now = spark.conf.get(_BATCH).lower()
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def text_of(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

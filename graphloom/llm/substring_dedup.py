@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import parallelism, table, text_of, written
+from graphloom.llm.shared import parallelism, small_batches, table, text_of, written
 from graphloom.llm.words import U64, hashes, mix, words_of
 
 WINDOW, ANCHOR = 50, 25
@@ -208,6 +208,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR, b
 
 
 def _joined(docs: DataFrame, size: int, inner: int, bits: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     return given.join(repeated_windows(given, size, inner, bits), "doc_id", "left")
 
