@@ -6,16 +6,26 @@ files that a finished task has named are read, so a task that is run again does
 no harm.  Of equal payloads one record is a response and the others revisit it.
 
 *Reading.*  A record passes if its member decompresses, its version line and
-headers parse, its block has the length and end that it states, and its payload
-has the stated digest.  After a failure the reader looks for the next place
+headers parse, its block has the length and end that it states, and block and
+payload have the digests (SHA-1) that are stated.  After a failure the reader looks for the next place
 where a gzip member or a version line begins a record that passes, goes on
-there, and reports the bytes between as a quarantined gap.
+there, and reports the bytes between as a quarantined gap.  A member may hold
+several records; of one that breaks off, those that passed and were followed by
+another are kept (damage shows there by digests alone).  One pass over the archives yields records and gaps, as two
+kinds of rows of one table.
+
+*Foreign archives.*  Records of any type are read (warcinfo, request, metadata and
+others as much as response and revisit), without a digest or with one of another
+kind, and with ids of any form: a page id is known only from ids of our form.
 
 Defined cases.  A null payload is empty; null urls are written without target.
 Of equal payloads of at least ``least`` bytes the row with the largest
 ``page_id`` is the response; of repeated rows with that id, one.  A null id
-counts as the smallest.  Payloads may hold version lines or gzip magic.  An
-empty table writes no archive.  Other columns are ignored.
+counts as the smallest.  Record ids are made of page id, payload digest and, for
+repeated rows, a number, so they differ.  Pages have no date of their own, so all
+records have the one given.  Payloads may hold version lines or gzip magic.  Very
+long payloads up to ``MOST_BYTES`` are read; larger ones become gaps.  An empty
+table writes no archive.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import parallelism, scratch, table, text_of, written
+from graphloom.llm.shared import parallelism, scratch, small_batches, table, text_of, written
 
 VERSION = b"WARC/1.1\r\n"
 #: An archive is closed once it has this many bytes.
@@ -49,26 +59,26 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str, copy: int = 1) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{f':{copy}' if copy > 1 else ''}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, copy: int = 1, date: str = DATE) -> bytes:
     """One record, uncompressed.  A revisit has the HTTP header alone, with the full payload's length."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if revisit else head + payload
+    block, digest = head if revisit else head + payload, base32_sha1(payload)
     lines = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
+        f"WARC-Record-ID: {record_id(page_id, digest, copy)}",
+        f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if url:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Profile: {PROFILE}"]
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -97,6 +107,10 @@ class Malformed(ValueError):
     pass
 
 
+class Broken(Malformed):
+    """A member that doesn't decompress to its end."""
+
+
 @dataclass
 class _Ahead:
     """A file seen through a buffer that only moves on."""
@@ -144,66 +158,119 @@ def parse(data: bytes | bytearray, ahead: _Ahead | None = None) -> tuple[dict[st
     if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
         raise Malformed("the block doesn't end where it should")
     block = bytes(data[end + 4 : stop])
+    if (digest := headers.get("warc-block-digest", "")).startswith("sha1:") and base32_sha1(block) != digest[5:]:
+        raise Malformed("the block has another digest")
     if headers.get("warc-type") == "response" and (digest := headers.get("warc-payload-digest", "")).startswith("sha1:"):
         if base32_sha1(block.partition(b"\r\n\r\n")[2]) != digest[5:]:
             raise Malformed("the payload has another digest")
     return headers, block, stop + 4
 
 
-def _member(ahead: _Ahead) -> tuple[dict[str, str], bytes, int]:
-    """The record in the gzip member at the buffer's start, and the member's length."""
-    unzip, out, fed = zlib.decompressobj(31), bytearray(), 0
-    try:
-        while not unzip.eof:
-            if fed == len(ahead.data) and not ahead.fetch():
-                raise Malformed("a member without end")
-            piece = bytes(ahead.data[fed : fed + CHUNK])
-            fed += len(piece)
-            out += unzip.decompress(piece, MOST_BYTES - len(out) + 1)
-            if len(out) > MOST_BYTES:
-                raise Malformed("a member too large")
-    except zlib.error as error:
-        raise Malformed(f"a broken member: {error}") from None
-    headers, block, length = parse(out)
-    if length != len(out):
-        raise Malformed("a member with more than a record")
-    return headers, block, fed - len(unzip.unused_data)
+class _Content:
+    """What the gzip member at a buffer's start decompresses to."""
+
+    def __init__(self, ahead: _Ahead):
+        self.ahead, self.unzip, self.fed = ahead, zlib.decompressobj(31), 0
+
+    def read(self, n: int) -> bytes:
+        while not self.unzip.eof:
+            piece = self.unzip.unconsumed_tail
+            if not piece:
+                if self.fed == len(self.ahead.data) and not self.ahead.fetch():
+                    raise Broken("a member without end")
+                piece = bytes(self.ahead.data[self.fed : self.fed + CHUNK])
+                self.fed += len(piece)
+            try:
+                out = self.unzip.decompress(piece, n)
+            except zlib.error as error:
+                raise Broken(f"a broken member: {error}") from None
+            if out:
+                return out
+        return b""
+
+    def position(self) -> int:
+        return self.ahead.base + self.fed - len(self.unzip.unconsumed_tail) - len(self.unzip.unused_data)
+
+    def settle(self, position: int) -> None:
+        """What is surely read needs no second look, so a member of any length takes bounded memory."""
+        self.fed -= position - self.ahead.base
+        self.ahead.drop(position - self.ahead.base)
+
+
+def _member(ahead: _Ahead) -> Iterator[Record | Gap]:
+    """Records and gaps in the member at the buffer's start, which is dropped as its records pass."""
+    content, begin = _Content(ahead), ahead.base
+    inner, held, start, reason, at = _Ahead(content), None, None, "", begin
+
+    def lost() -> Gap:
+        return Gap(begin, content.position(), f"bytes {start} to {inner.base} of a member's content: {reason}")
+
+    while inner.has(1):
+        try:
+            inner.has(5)
+            headers, block, length = parse(inner.data, inner)
+        except Broken:
+            raise
+        except Malformed as error:
+            if start is None:
+                start, reason = inner.base, str(error)
+            inner.drop(1)
+            _skip(inner, rb"WARC/\d")
+            continue
+        if held is not None:
+            content.settle(at)
+            yield held
+        if start is not None:
+            yield lost()
+            start = None
+        held, at = Record(begin, headers, block), content.position()
+        inner.drop(length)
+    # The member is whole: its checksum was checked at its end.
+    last = None if start is None else lost()
+    content.settle(content.position())
+    yield from (x for x in (held, last) if x is not None)
+
+
+def _plain(ahead: _Ahead) -> Iterator[Record]:
+    headers, block, length = parse(ahead.data, ahead)
+    found = Record(ahead.base, headers, block)
+    ahead.drop(length)
+    yield found
 
 
 def read(file: io.RawIOBase) -> Iterator[Record | Gap]:
-    """Records of an archive, compressed by record or plain, and the gaps between them."""
+    """Records of an archive, compressed by member or plain, and the gaps between them."""
     ahead, start, reason = _Ahead(file), None, ""
     while ahead.has(1):
         ahead.has(10)
         try:
             if ahead.data[:3] == b"\x1f\x8b\x08":
-                headers, block, length = _member(ahead)
+                found = _member(ahead)
             elif ahead.data[:5] == b"WARC/":
-                headers, block, length = parse(ahead.data, ahead)
+                found = _plain(ahead)
             else:
                 raise Malformed("neither a member nor a version line")
+            before = ahead.base
+            item = next(found, None)
+            if start is not None:
+                yield Gap(start, before, reason)
+                start = None
+            if item is not None:
+                yield item
+                yield from found
         except Malformed as error:
             if start is None:
                 start, reason = ahead.base, str(error)
             ahead.drop(1)
             _skip(ahead)
-            continue
-        if start is not None:
-            yield Gap(start, ahead.base, reason)
-            start = None
-        yield Record(ahead.base, headers, block)
-        ahead.drop(length)
     if start is not None:
         yield Gap(start, ahead.base, reason)
 
 
-_BEGINS = re.compile(rb"\x1f\x8b\x08|WARC/\d")
-
-
-def _skip(ahead: _Ahead) -> None:
+def _skip(ahead: _Ahead, begins: bytes = rb"\x1f\x8b\x08|WARC/\d") -> None:
     """Drop bytes up to the next place where a record may begin."""
     while True:
-        found = _BEGINS.search(ahead.data)
+        found = re.search(begins, ahead.data)
         if found:
             ahead.drop(found.start())
             return
@@ -214,7 +281,7 @@ def _skip(ahead: _Ahead) -> None:
 
 
 def roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``page_id, url, html, keeper, shared``: which page answers for each payload.
+    """``page_id, url, html, keeper, revisit, copy``: which page answers for each payload; ``copy`` counts repeated rows.
 
     Payloads become digests before anything is grouped; a digest's keeper goes to
     its pages by salt, so a payload that a third of all pages share is dealt out.
@@ -234,10 +301,10 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     joined = given.withColumn("key", key).join(answers, ["key", "digest"])
     first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("url"))
     revisit = F.col("shared") & ~(F.col("page_id").eqNullSafe(F.col("keeper")) & (first == 1))
-    return joined.withColumn("revisit", revisit).select("page_id", "url", "html", "keeper", "revisit")
+    return joined.withColumns({"revisit": revisit, "copy": first}).select("page_id", "url", "html", "keeper", "revisit", "copy")
 
 
-def write(assigned: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFrame:
+def write(assigned: DataFrame, folder: str, most: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
     """``path, n_records, n_bytes`` of the archives written, one or more a task."""
 
     def run(batches):
@@ -253,11 +320,12 @@ def write(assigned: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["path", "n_records", "n_bytes"])
 
         for batch in batches:
-            for page_id, url, html, keeper, revisit in zip(*(batch.column(i) for i in range(5)), strict=True):
+            for page_id, url, html, keeper, revisit, copy in zip(*(batch.column(i) for i in range(6)), strict=True):
                 if out is None:
                     name, n, size = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{seq:03d}.warc.gz", 0, 0
-                    out, seq = store.open_output_stream(f"{root}/{name}"), seq + 1
-                data = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), keeper.as_py(), revisit.as_py())
+                    # Else the name's suffix would have the stream compressed as a whole once more.
+                    out, seq = store.open_output_stream(f"{root}/{name}", compression=None), seq + 1
+                data = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), keeper.as_py(), revisit.as_py(), copy.as_py(), date)
                 data = gzip.compress(data, 6, mtime=0)
                 out.write(data)
                 n, size = n + 1, size + len(data)
@@ -270,8 +338,38 @@ def write(assigned: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFr
     return assigned.mapInArrow(run, "path string, n_records long, n_bytes long")
 
 
-def _archives(manifest: DataFrame, folder: str, rows, schema: str) -> DataFrame:
-    """``rows(path, file)`` of every archive in the manifest, opened where the task runs."""
+#: What a pass over archives yields: for a record what its headers say, for a gap where it is and why.
+ITEM = (
+    "kind string, path string, start long, end long, reason string, record_id string, record_type string, target string, "
+    "payload_digest string, payload_bytes long, page_id long, refers_to long"
+)
+_NAMES = [c.split()[0] for c in ITEM.split(", ")]
+_TYPES = [pa.int64() if c.endswith("long") else pa.string() for c in ITEM.split(", ")]
+
+
+def page_of(name: str | None) -> int | None:
+    found = re.match(r"<urn:page:(-?\d{1,19}):", name or "")
+    return int(found[1]) if found else None
+
+
+def described(path: str, item: Record | Gap) -> tuple:
+    """A row of ``ITEM``."""
+    if isinstance(item, Gap):
+        return ("gap", path, item.start, item.end, item.reason, *[None] * 7)
+    h = item.headers
+    kind, digest = h.get("warc-type"), h.get("warc-payload-digest")
+    size = None
+    if kind == "response" or kind == "revisit":
+        head, payload = item.http
+        stated = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})", head)
+        # A revisit's payload is elsewhere; how long it is its HTTP header tells.
+        size = len(payload) if kind == "response" else int(stated[1]) if stated else None
+    name = h.get("warc-record-id")
+    return ("record", path, item.offset, None, None, name, kind, h.get("warc-target-uri"), digest and digest.removeprefix("sha1:"), size, page_of(name), page_of(h.get("warc-refers-to")))
+
+
+def salvage(manifest: DataFrame, folder: str) -> DataFrame:
+    """``ITEM`` rows of every archive in the manifest (a column ``path``), opened where the task runs."""
 
     def run(batches):
         from pyarrow import fs
@@ -279,58 +377,43 @@ def _archives(manifest: DataFrame, folder: str, rows, schema: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(f"{root}/{path}") as file:
-                    yield from rows(path, file)
-
-    n = parallelism(manifest.sparkSession)
-    return manifest.select("path").repartition(n, "path").mapInArrow(run, schema)
-
-
-def records(manifest: DataFrame, folder: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each record that passes."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-
-    def number(text: str) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", text)
-        return int(found[1]) if found else None
-
-    def rows(_, file):
-        held = []
-        for item in read(file):
-            if isinstance(item, Record):
-                h = item.headers
-                stated = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", item.http[0])
-                held.append((number(h["warc-record-id"]), int(stated[1]) if stated else None, h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], number(h.get("warc-refers-to", ""))))
-            if len(held) >= 1000:
-                yield _batch(held, names)
                 held = []
-        if held:
-            yield _batch(held, names)
+                with store.open_input_stream(f"{root}/{path}", compression=None) as file:
+                    for item in read(file):
+                        held.append(described(path, item))
+                        if len(held) >= 1000:
+                            yield _batch(held)
+                            held = []
+                if held:
+                    yield _batch(held)
 
-    return _archives(manifest, folder, rows, schema)
+    n = parallelism(manifest.sparkSession)
+    return manifest.select("path").repartition(n, "path").mapInArrow(run, ITEM)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"payload_digest": pa.string(), "record_type": pa.string(), "path": pa.string(), "reason": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
 
-def gaps(manifest: DataFrame, folder: str) -> DataFrame:
-    """``path, start, end, reason``: the log of quarantined bytes."""
+def records(items: DataFrame) -> DataFrame:
+    """The records among ``ITEM`` rows."""
+    return items.where("kind = 'record'").drop("kind", "end", "reason")
 
-    def rows(path, file):
-        held = [(path, g.start, g.end, g.reason) for g in read(file) if isinstance(g, Gap)]
-        if held:
-            yield _batch(held, ["path", "start", "end", "reason"])
 
-    return _archives(manifest, folder, rows, "path string, start long, end long, reason string")
+def gaps(items: DataFrame) -> DataFrame:
+    """``path, start, end, reason``: the log of quarantined bytes."""
+    return items.where("kind = 'gap'").select("path", "start", "end", "reason")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     folder = scratch(spark, "warc")
     manifest = written(write(roles(table(spark, sf_dir, "pages")), folder), "warc-manifest")
-    return records(manifest, folder)
+    items = written(salvage(manifest, folder), "warc-items")
+    # The log of gaps stays in the shared folder beside the archives; these have none unless storage damaged them.
+    gaps(items).write.parquet(f"{folder}-gaps")
+    found = records(items).where("page_id is not null or record_id like '<urn:page::%'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
