@@ -6,18 +6,23 @@ their first character once all backslashes are doubled; runs of backslashes in
 an escaped text are therefore even except in an escape, which makes this
 reversible.
 
-Prefix sums of turn tokens cut a conversation into spans: a turn belongs to span
-``floor(tokens before it / step)`` where ``step`` is what the budget leaves after
-the system turn, the history allowance and the longest turn, so that a span,
-whose last turn starts below its end, fits the budget.  Every window after the
-first repeats the system turn and the latest turns that fit the history
-allowance; what is repeated is masked, so each target counts once.
+Prefix sums of turn tokens cut a conversation into spans: a span takes turns as
+long as they fit what the budget leaves after the system turn and the history
+allowance (the first span, which repeats nothing, the whole budget), and the next
+span starts at the first turn that doesn't.  Every window after the first repeats
+the system turn and the latest turns that fit the history allowance; what is
+repeated is masked, so each target counts once.  A turn that leaves no room for
+the history gets a window without any.
+
+The cut needs tokens alone, so a first pass sums these by conversation and texts
+move once, to their conversation.
 
 Defined cases.  Null text or role counts as empty.  Turns that share a number are
-ordered by role, then text; repeated rows stay repeated turns.  Null ``conv_id``
-is a conversation of its own.  A turn larger than the budget gets a window that
-exceeds it, flagged ``over_budget``; turns are never cut.  An empty table gives
-no windows.  Other columns are ignored.  Only DataFrame functions are used.
+ordered by role, then by a hash of the text; repeated rows stay repeated turns.
+Null ``conv_id`` is a conversation of its own.  A turn larger than the budget
+gets a window that exceeds it, flagged ``over_budget``; turns are never cut,
+however long.  An empty table gives no windows.  Other columns are ignored.  Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -52,44 +57,74 @@ def estimated_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
 
 
+def _turns(turns: DataFrame, tokens) -> DataFrame:
+    """``key, conv_id, turn, role, target, is_system, body, tie, tokens``; ``key`` stands for ``conv_id`` and is never null."""
+    given = F.coalesce("role", F.lit(""))
+    t = turns.select(
+        F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("key"),
+        "conv_id",
+        F.col("turn"),
+        F.replace(escape(given), F.lit("\n"), F.lit(NEWLINE_IN_ROLE)).alias("role"),
+        (given == TARGET_ROLE).alias("target"),
+        (given == SYSTEM_ROLE).alias("is_system"),
+        escape(F.coalesce("text", F.lit(""))).alias("body"),
+    )
+    return t.withColumns({"tie": F.xxhash64("body"), "tokens": tokens(F.col("body"))})
+
+
+def starts_of(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """``key, starts``: the numbers (from 1) of the turns that open a span, by conversation."""
+    listed = turns.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "tie", "tokens", "is_system"))).alias("t"))
+    system = F.when(F.get("t", F.lit(0))["is_system"], F.get("t", F.lit(0))["tokens"]).otherwise(F.lit(0))
+    listed = listed.select("key", F.transform("t", lambda x: x["tokens"]).alias("tokens"), F.greatest(F.lit(1), F.lit(budget - history) - system).cast("long").alias("room"))
+
+    def jump(state, n):
+        fits = state["used"] + n <= F.when(F.size(state["starts"]) == 1, F.lit(budget).cast("long")).otherwise(F.col("room"))
+        opens = (state["no"] > 1) & ~fits
+        return F.struct(
+            (state["no"] + 1).alias("no"),
+            F.when(opens, n).otherwise(state["used"] + n).alias("used"),
+            F.when(opens, F.concat(state["starts"], F.array(state["no"]))).otherwise(state["starts"]).alias("starts"),
+        )
+
+    none = F.struct(F.lit(1).alias("no"), F.lit(0).cast("long").alias("used"), F.array(F.lit(1)).alias("starts"))
+    return listed.select("key", F.aggregate("tokens", none, jump)["starts"].alias("starts"))
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=estimated_tokens) -> DataFrame:
     """One row per window: ``conv_id, window, formatted, n_context, loss, n_tokens, over_budget``.
 
     ``n_context`` leading turns of the window are repeated from before; ``loss``
     lists ``start`` (from 0) and ``length``, in characters, of the target texts.
     """
-    t = turns.select(
-        "conv_id",
-        F.col("turn"),
-        F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(NEWLINE_IN_ROLE)).alias("role"),
-        (F.coalesce("role", F.lit("")) == TARGET_ROLE).alias("target"),
-        (F.coalesce("role", F.lit("")) == SYSTEM_ROLE).alias("is_system"),
-        escape(F.coalesce("text", F.lit(""))).alias("body"),
-    ).withColumn("tokens", tokens(F.col("body")))
-    by = Window.partitionBy("conv_id")
-    order = by.orderBy("turn", "role", "body")
+    t = _turns(turns, tokens)
+    starts = starts_of(t, budget, history)
+    by = Window.partitionBy("key")
+    order = by.orderBy("turn", "role", "tie")
     t = t.withColumn("no", F.row_number().over(order))
     piece = F.struct("no", "role", "body", "target", "tokens")
     t = t.withColumn("system", F.first(F.when((F.col("no") == 1) & F.col("is_system"), piece)).over(by.orderBy("no")))
     t = t.withColumn("before", F.sum("tokens").over(by.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)))
     t = t.withColumn("before", F.coalesce("before", F.lit(0)))
-    room = F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0)) - F.max("tokens").over(by)
-    t = t.withColumn("step", F.greatest(F.lit(1), room).cast("long"))
-    t = t.withColumn("span", F.floor(F.col("before") / F.col("step")))
     # Whole turns before this one that start at most `history` tokens back; the system turn comes apart.
     recent = F.collect_list(piece).over(by.orderBy("before").rangeBetween(-history, -1))
-    t = t.withColumn("opens", F.coalesce(F.lag("span").over(by.orderBy("no")) != F.col("span"), F.lit(True)))
-    t = t.withColumn("history", F.when(F.col("opens") & (F.col("no") > 1), recent))
-    spans = t.groupBy("conv_id", "span").agg(
+    t = t.withColumn("recent", recent).join(starts, "key").withColumn("opens", F.array_contains("starts", F.col("no"))).drop("starts")
+    t = t.withColumn("span", F.sum(F.col("opens").cast("long")).over(by.orderBy("no")) - 1)
+    t = t.withColumn("history", F.when(F.col("opens") & (F.col("no") > 1), F.col("recent")))
+    spans = t.groupBy("key", "span").agg(
+        F.first("conv_id").alias("conv_id"),
         F.min("no").alias("first_no"),
         F.first("system", ignorenulls=True).alias("system"),
         F.first("history", ignorenulls=True).alias("history"),
         F.sort_array(F.collect_list(piece)).alias("new"),
     )
     later = F.col("first_no") > 1
-    system = F.when(later & F.col("system").isNotNull(), F.array("system")).otherwise(F.expr("slice(new, 1, 0)"))
-    told = F.filter(F.coalesce("history", F.expr("slice(new, 1, 0)")), lambda p: F.col("system").isNull() | (p["no"] != F.col("system.no")))
-    spans = spans.withColumn("context", F.concat(system, told))
+    none = F.expr("slice(new, 1, 0)")
+    system = F.when(later & F.col("system").isNotNull(), F.array("system")).otherwise(none)
+    told = F.filter(F.coalesce("history", none), lambda p: F.col("system").isNull() | (p["no"] != F.col("system.no")))
+    spans = spans.withColumns({"lead": system, "told": told})
+    whole = F.aggregate(F.concat("lead", "told", "new"), F.lit(0).cast("long"), lambda n, p: n + p["tokens"])
+    spans = spans.withColumn("context", F.when(whole <= budget, F.concat("lead", "told")).otherwise(F.col("lead")))
     spans = spans.withColumn("n_context", F.size("context")).withColumn("turns", F.concat("context", "new"))
     spans = spans.withColumn("texts", F.transform("turns", lambda p: F.concat(F.lit(OPEN), p["role"], F.lit("\n"), p["body"], F.lit(CLOSE))))
     # Where each turn's body starts: the turns before it, its mark, its role and the line break.
