@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -72,20 +73,77 @@ def test_exact_dedup_against_earlier_batches(spark, docs, none):
     path = shared.scratch(spark, "t")
     index = exact_dedup.DigestIndex(spark, path, buckets=4)
     first = exact_dedup.keep_new(docs, index)
-    assert sorted(first.columns) == sorted(docs.columns) and first.count() == len({r[1] or "" for r in doc_rows()})
+    assert first.columns == docs.columns and first.count() == len({r[1] or "" for r in doc_rows()})
+    index.forget()
     again = exact_dedup.DigestIndex(spark, path, buckets=4)
-    assert again.read().count() == first.count()
+    assert again.totals().count() == first.count()
     fresh = spark.createDataFrame([(100, "new"), (101, "new"), (102, "one")], "doc_id long, text string")
     assert {r.doc_id for r in exact_dedup.keep_new(fresh, again).collect()} == {101}
-    assert exact_dedup.dedup(none, again).count() == 0
-
-
-def test_exact_dedup_joins_by_sort_merge(spark, docs):
+    assert exact_dedup.dedup(none, again).count() == 0 and exact_dedup.keep_new(none, again).count() == 0
+
+
+@pytest.mark.parametrize("bits", [15, 24])
+def test_survivors_keep_their_columns_whatever_the_bitmaps_say(spark, docs, bits, monkeypatch):
+    """With few cells nearly all rows pass the bitmaps and the joins alone decide."""
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda c: F.unhex(F.sha2(shared.text_of(c).cast("binary"), 256)))
+    clash = docs.withColumns({"keep_id": F.lit(1), "row": F.lit(2), "may_stay": F.lit(True), "told_digest": F.lit("x"), "salt": F.lit(0)})
+    many = clash.unionByName(spark.range(1000, 4000).select(*[(F.col("id") if c == "doc_id" else F.concat(F.lit("t"), (F.col("id") % 2900).cast("string")) if c == "text" else F.lit(None)).cast(t).alias(c) for c, t in clash.dtypes]))
+    out = exact_dedup.keep_new(many, exact_dedup.DigestIndex(spark, shared.scratch(spark, "t")), bits=bits)
+    rows = [(r["doc_id"], r["text"] or "") for r in many.collect()]
+    last = {}
+    for i, t in rows:
+        last[t] = max(last.get(t, -1), -1 if i is None else i)
+    assert out.columns == many.columns
+    assert collections.Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == collections.Counter((i, t) for t, i in last.items())
+
+
+def test_digest_index_over_batches_retries_and_compaction(spark):
+    rng = random.Random(4)
     index = exact_dedup.DigestIndex(spark, shared.scratch(spark, "t"), buckets=4)
-    exact_dedup.dedup(docs, index).count()
-    batch = exact_dedup.signatures(docs).groupBy("digest").agg(F.max("doc_id"))
-    plan = batch.join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    batches = [[(100 * b + i, f"t{rng.randrange(25)}") for i in range(30)] for b in range(4)]
+    keeper, size = {}, collections.Counter()
+
+    def run(b):
+        rows = spark.createDataFrame(batches[b], "doc_id long, text string")
+        return {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(rows, index, batch=f"b{b}").collect()}
+
+    texts = dict(row for rows in batches for row in rows)
+    for b, rows in enumerate(batches):
+        fresh = {t for _, t in rows} - set(keeper)
+        for t in fresh:
+            keeper[t] = max(i for i, u in rows if u == t)
+        size.update(t for _, t in rows)
+        want = {(i, keeper[t], size[t], i == keeper[t]) for i, t in rows}
+        assert run(b) == want
+        if b in (1, 2):
+            assert run(b) == want  # a batch that is run again decides as before
+        if b == 2:
+            index.compact()
+            assert len(index.parts()) == 1 and run(b) == want
+    totals = {(bytes(r.digest), r.keep_id, r.n) for r in index.totals().collect()}
+    assert totals == {(hashlib.sha256(t.encode()).digest(), keeper[t], size[t]) for t in size} and set(size) <= set(texts.values())
+    index.compact()
+    before = index.totals().collect()
+    assert sorted(map(str, before)) == sorted(map(str, index.totals().collect())) and len(before) == len(size)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_compacted_index_is_joined_without_shuffle_or_sort_of_its_side(spark, docs):
+    index = exact_dedup.DigestIndex(spark, shared.scratch(spark, "t"), buckets=4)
+    for b in range(3):
+        exact_dedup.dedup(docs.withColumn("text", F.concat(F.col("text"), F.lit(b))), index).count()
+    index.compact()
+    batch = spark.range(10).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest")).repartition(4, "digest").sortWithinPartitions("digest")
+    with exact_dedup.sorted_scans(spark):
+        plan = plan_of(batch.join(index.before("x").where("first").hint("merge"), "digest", "left_anti"))
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    side = plan[: plan.index("FileScan")].split("SortMergeJoin")[1].splitlines()[1:]
+    tail = plan[plan.index("SortMergeJoin") :].splitlines()
+    index_side = [line for line in tail if "digest_index" in line or "FileScan" in line]
+    assert index_side and plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and side
 
 
 # ---- n-gram Jaccard join ---------------------------------------------------------------
@@ -112,12 +170,12 @@ def brute_components(rows):
     least = collections.defaultdict(list)
     for i, (doc_id, _) in enumerate(sets):
         least[root(i)].append(doc_id)
-    return {(doc_id, len(s), min(least[root(i)])) for i, (doc_id, s) in enumerate(sets)}
+    known = lambda ids: min((x for x in ids if x is not None), default=None)
+    return collections.Counter((doc_id, len(s), known(least[root(i)])) for i, (doc_id, s) in enumerate(sets))
 
 
-def test_jaccard_join_equals_all_pairs(spark, docs, none):
-    rng = random.Random(8)
-    rows = [(r[0], r[1]) for r in doc_rows() if r[0] is not None]
+def edited_rows(rng):
+    rows = []
     for n in (1, 4, 5, 7, 12, 30, 80, 200):
         base = [f"v{rng.randrange(10_000)}" for _ in range(n)]
         for k in range(8):
@@ -125,12 +183,68 @@ def test_jaccard_join_equals_all_pairs(spark, docs, none):
             for _ in range(k * n // 60):
                 edited[rng.randrange(n)] = f"v{rng.randrange(10_000)}"
             rows.append((1000 + len(rows), " ".join(edited)))
-    given_docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("clash")).repartition(4)
-    found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(given_docs).collect()}
-    assert found == brute_components(rows)
+    return rows
+
+
+def found_components(df):
+    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect())
+
+
+def test_jaccard_join_equals_all_pairs_with_null_shared_and_repeated_ids(spark, docs, none):
+    rows = [(r[0], r[1]) for r in doc_rows()] + edited_rows(random.Random(8))
+    rows += [(None, rows[-1][1]), (None, "no other text has these words at all"), (5, rows[-20][1]), (5, rows[0][1]), (1003, "another text of an id that is taken")]
+    given_docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"class": F.lit("clash"), "own": F.lit(1), "g": F.lit(2)}).repartition(4)
+    assert found_components(given_docs) == brute_components(rows)
     assert jaccard_join.join(none).count() == 0
-    missing = [r for r in jaccard_join.join(docs).collect() if r.doc_id is None]
-    assert len(missing) == 1
+
+
+@pytest.mark.parametrize("few,sets,elements", [(2, 5, 1_500_000), (16, 3, 400), (2, 1024, 400)])
+def test_jaccard_join_in_small_chunks(spark, monkeypatch, few, sets, elements):
+    """Hubs, chunk pairs and parts kept as pairs give what pairs and whole parts give."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", sets)
+    monkeypatch.setattr(jaccard_join, "CHUNK_ELEMENTS", elements)
+    monkeypatch.setattr(jaccard_join, "CHUNK_HISTOGRAMS", 7 * 128)
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda index, rows=jaccard_join._candidates: rows(index, few))
+    rng = random.Random(2)
+    rows = edited_rows(rng)
+    base = [f"v{i}" for i in range(120)]
+    for i in range(40):
+        edited = list(base)
+        edited[rng.randrange(120)] = f"u{i}"
+        rows.append((i, " ".join(edited)))
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.booleans(), st.integers(0, 9)), max_size=60), st.integers(1, 9), st.integers(1, 5))
+def test_candidates_connect_all_that_share_a_key(rows, batch, few):
+    """Whatever the batches: each pair under a key is given, or both are members of one hub."""
+    held = sorted({(k << 1 | d, c) for k, d, c in rows})
+    arrays = [(np.array([k for k, _ in part], np.int64), np.array([c for _, c in part], np.int64)) for part in (held[i : i + batch] for i in range(0, len(held), batch))]
+    pairs, hubs = set(), collections.defaultdict(set)
+    for hub, a, b in jaccard_join.candidate_rows(iter(arrays), few):
+        for h, x, y in zip(hub.tolist(), a.tolist(), b.tolist(), strict=True):
+            if h:
+                hubs[x] |= {x, y}
+            else:
+                pairs.add((x, y))
+    for k, c in held:
+        for j, d in held:
+            if k >> 1 == j >> 1 and c < d and not (k & 1 and j & 1):
+                assert (c, d) in pairs or any({c, d} <= m for m in hubs.values())
+
+
+def test_near_survivors(spark, docs, none):
+    clash = docs.withColumns({"id_that_goes": F.lit(1), "may_go": F.lit(2), "component_id": F.lit(3)})
+    out = jaccard_join.keep_one(clash)
+    found = jaccard_join.join(clash).collect()
+    gone = {r.doc_id for r in found if r.doc_id is not None and r.doc_id != r.component_id}
+    assert gone == {1, 2, 9, 13} and out.columns == clash.columns
+    assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(r[0] for r in doc_rows() if r[0] not in gone)
+    assert jaccard_join.keep_one(none).count() == 0
+
+
+PLAN = jaccard_join.Plan()
 
 
 @settings(max_examples=150, deadline=None)
@@ -151,24 +265,11 @@ def test_similar_sets_share_a_key(size, seed, sketched):
         costs.counts[:] = rng.integers(0, 60_000, costs.counts.shape)
     keys = [collections.defaultdict(set) for _ in range(2)]
     for held, x in zip(keys, (r, s), strict=True):
-        for k in jaccard_join.signature_rows(x, costs).tolist():
+        for k in jaccard_join.signature_rows(x, costs, PLAN).tolist():
             held[k >> 1].add(k & 1)
     assert any(k in keys[1] and not (keys[0][k] == keys[1][k] == {1}) for k in keys[0])
 
 
-def test_large_hubs_are_compared_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", 5)
-    rng = random.Random(2)
-    base = [f"v{i}" for i in range(120)]
-    rows = []
-    for i in range(40):
-        edited = list(base)
-        edited[rng.randrange(120)] = f"u{i}"
-        rows.append((i, " ".join(edited)))
-    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.component_id for r in found} == {0} and len(found) == 40
-
-
 def test_parts_do_not_depend_on_when_pairs_are_settled(monkeypatch):
     """Whatever number of pairs is held, a part has all that possible pairs connect."""
     rng = np.random.default_rng(0)
@@ -182,7 +283,18 @@ def test_parts_do_not_depend_on_when_pairs_are_settled(monkeypatch):
             possible = 2 * np.abs(place[:, None] - place[None, :]) <= 10 * 2 * sizes[0] // 190
             first = jaccard_join.labels_of(possible)
             alone = possible.sum(axis=1) == 1
-            assert jaccard_join.possible_parts(histograms, sizes, 90).tolist() == np.where(alone, -1, first).tolist()
+            assert jaccard_join.possible_parts([h.tobytes() for h in histograms], sizes, 90).tolist() == np.where(alone, -1, first).tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(400, 3000), st.integers(0, 2**32))
+def test_histograms_of_any_length_are_lower_bounds(size, seed):
+    rng = np.random.default_rng(seed)
+    r = np.unique(rng.integers(0, 2**63, size=size, dtype=np.uint64))
+    s = np.unique(np.r_[rng.permutation(r)[: int(size * rng.uniform(0.7, 1))], rng.integers(0, 2**63, size=int(size * rng.uniform(0, 0.4)), dtype=np.uint64)])
+    a, b = jaccard_join.histogram(r), jaccard_join.histogram(s)
+    places = min(len(a), len(b))
+    assert np.abs(jaccard_join.stacked([a], places) - jaccard_join.stacked([b], places)).sum() <= len(np.setxor1d(r, s))
 
 
 def test_components_of_a_long_chain(spark):
@@ -286,7 +398,7 @@ def test_bpe_queries_whole_texts(spark, docs, none, codec):
 
 
 def test_fingerprints_of_edge_cases(spark, docs, none):
-    found = syncmers.with_next(docs, blocks=4).collect()
+    found = syncmers.with_next(docs, blocks=4).withColumn("fingerprint", syncmers.fingerprint(F.col("anchored"))).collect()
     assert len(found) == len(doc_rows())
     ids = sorted((-(2**63) if r[0] is None else r[0], r[1] or "") for r in doc_rows())
     want = collections.Counter((ids[i][1], ids[(i + 1) % len(ids)][1]) for i in range(len(ids)))
@@ -300,6 +412,48 @@ def test_fingerprints_of_edge_cases(spark, docs, none):
     assert syncmers.with_next(one).first().next_text == "a b c d e f g h i"
 
 
+def test_shared_ids_are_each_other_s_successors(spark):
+    """Rows with one id follow each other in some order, which is the same on every run."""
+    rows = spark.createDataFrame([(1, f"text {i}") for i in range(9)] + [(2, "last")], "doc_id long, text string")
+    told = {r.text: r.next_text for r in syncmers.with_next(rows).collect()}
+    at, seen = "last", []
+    while at not in seen:
+        seen.append(at)
+        at = told[at]
+    assert len(seen) == 10 and {r.text: r.next_text for r in syncmers.with_next(rows.repartition(3)).collect()} == told
+
+
+def likeness_of(spark, a, b):
+    shown = [syncmers.fingerprint(syncmers.packed(syncmers.anchors(F.col(c)))) for c in ("a", "b")]
+    return spark.createDataFrame([(a, b)], "a string, b string").select(syncmers.likeness(*shown).alias("x")).first().x
+
+
+@pytest.mark.parametrize("alphabet", ["漢字仮名交文書記号列一二三四五六七八九十", "abcdefghijklmnopqrstuvwxyz0123456789", "абвгдежзийклмнопрстуфхцчшщ"])
+def test_likeness_of_texts_without_gaps(spark, alphabet):
+    """One character in front, or five that go, change few anchors."""
+    rng = random.Random(1)
+    text = "".join(rng.choice(alphabet) for _ in range(2000))
+    other = "".join(rng.choice(alphabet) for _ in range(2000))
+    assert likeness_of(spark, text, rng.choice(alphabet) + text) > 0.95
+    assert likeness_of(spark, text, text[5:]) > 0.95 and likeness_of(spark, text, text[:900] + other[:30] + text[900:]) > 0.9
+    assert likeness_of(spark, text, other) < 0.05 and likeness_of(spark, text, text) == 1.0
+
+
+def test_anchors_are_matched_by_position(spark):
+    """The same passages in another order keep what lies within them; scattered anchors match nothing."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    parts = [words[i : i + 300] for i in (0, 300, 600)]
+    swapped = " ".join(parts[2] + parts[0] + parts[1])
+    assert 0.9 < likeness_of(spark, " ".join(words), swapped) < 1.0
+    apart = " ".join(w if i % 9 else f"{w} x{rng.randrange(10**6)}" for i, w in enumerate(words))
+    assert likeness_of(spark, " ".join(words), apart) < 0.2
+    shown = [syncmers.fingerprint(syncmers.packed(syncmers.anchors(F.col(c)))) for c in ("a", "b")]
+    long, passage = " ".join(f"z{rng.randrange(10**6)}" for _ in range(20_000)), " ".join(words[:80])
+    r = spark.createDataFrame([(long + " " + passage, passage)], "a string, b string").select(F.size(F.array_intersect(*[syncmers.links(syncmers.anchors_of(x)) for x in shown])).alias("common"), F.size(syncmers.links(syncmers.anchors_of(shown[1]))).alias("all")).first()
+    assert r.common == r.all > 10  # a passage in a long text is found whole
+
+
 def test_syncmers_are_context_free(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"a b c {passage}"), (2, f"{passage} x y")]
@@ -398,8 +552,9 @@ def test_archives_round_trip(spark):
     pages = spark.createDataFrame([(i, f"http://x/{k} \r\n", h, "clash") for k, (i, h) in enumerate(zip(ids, html, strict=True))], "page_id long, url string, html string, digest string").repartition(3)
     folder = shared.scratch(spark, "warc")
     manifest = shared.written(warc.write(warc.roles(pages), folder, most=2000), "manifest")
-    rows = warc.records(manifest, folder).collect()
-    assert len(rows) == 8 and warc.gaps(manifest, folder).count() == 0
+    items = shared.written(warc.salvage(manifest, folder), "items")
+    rows = warc.records(items).collect()
+    assert len(rows) == 8 and warc.gaps(items).count() == 0 and len({r.record_id for r in rows}) == 8
     assert collections.Counter((r.payload_digest, r.payload_bytes) for r in rows) == collections.Counter((warc.base32_sha1((h or "").encode()), len((h or "").encode())) for h in html)
     answers = [r for r in rows if r.record_type == "response"]
     assert sorted(r.page_id for r in answers) == [2, 4, 5, 6]
@@ -409,7 +564,8 @@ def test_archives_round_trip(spark):
 
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage_reads_on_after_damage(packed):
-    records = [warc.record(i, "http://a/", bytes([65 + i % 26]) * (50 + i), None, False) for i in range(40)]
+    payloads = [bytes([65 + i % 26]) * (50 + i) for i in range(40)]
+    records = [warc.record(i, "http://a/", p, None, False) for i, p in enumerate(payloads)]
     parts = [gzip.compress(r, mtime=0) if packed else r for r in records]
     data = bytearray(b"".join(parts))
     at = [sum(map(len, parts[:i])) for i in range(41)]
@@ -418,13 +574,59 @@ def test_salvage_reads_on_after_damage(packed):
     damaged = b"junk" + bytes(data) + b"tail"
     items = list(warc.read(io.BytesIO(damaged)))
     read = [i.headers["warc-record-id"] for i in items if isinstance(i, warc.Record)]
-    assert read == [warc.record_id(i) for i in range(40) if i not in (10, 20)]
+    assert read == [warc.record_id(i, warc.base32_sha1(payloads[i])) for i in range(40) if i not in (10, 20)]
     gaps = [i for i in items if isinstance(i, warc.Gap)]
     assert len(gaps) == 4 and gaps[0].start == 0 and gaps[-1].end == len(damaged)
     lost = sum(g.end - g.start for g in gaps)
     assert lost == len(damaged) - sum(len(parts[i]) for i in range(40) if i not in (10, 20))
 
 
+def test_archives_on_disk_are_gzip_by_member_and_are_salvaged(spark, tmp_path):
+    import os
+
+    rng = random.Random(1)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "".join(rng.choice("abcdef") for _ in range(900))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/archives"
+    manifest = shared.written(warc.write(warc.roles(pages).coalesce(1), folder), "manifest")
+    (name,) = [r.path for r in manifest.collect()]
+    path = f"{tmp_path}/archives/{name}"
+    data, members, rest = open(path, "rb").read(), [], b""
+    rest = data
+    while rest:
+        unzip = zlib.decompressobj(31)
+        out = unzip.decompress(rest)
+        assert unzip.eof and out.startswith(b"WARC/1.1")
+        members.append(len(rest) - len(unzip.unused_data))
+        rest = unzip.unused_data
+    assert len(members) == 60
+    damaged = bytearray(data)
+    damaged[sum(members[:7]) + 40] ^= 255
+    with open(path, "wb") as out:
+        out.write(damaged[: sum(members[:30]) + 9] + damaged[sum(members[:30]) + 60 :])
+    # A second archive is one of foreign making.
+    r = lambda kind, *lines, block=b"x: y\r\n": ("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *lines]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nbody"
+    several = r("request", "WARC-Record-ID: <urn:uuid:2>") + r("response", block=http) + b"garbage" + r("metadata", "WARC-Payload-Digest: md5:1")
+    foreign = gzip.compress(r("warcinfo", "WARC-Record-ID: <urn:uuid:1>")) + gzip.compress(several) + b"\0" * 33 + gzip.compress(r("revisit", "WARC-Refers-To: <urn:uuid:7>"))
+    blocks = [rng.randbytes(200_000) for _ in range(30)]
+    broken = bytearray(gzip.compress(b"".join(r("resource", f"WARC-Record-ID: <urn:uuid:{k}>", f"WARC-Block-Digest: sha1:{warc.base32_sha1(b)}", block=b) for k, b in enumerate(blocks)), 1))
+    broken[len(broken) * 2 // 3 + 90_000] ^= 255
+    with open(f"{tmp_path}/archives/foreign.warc.gz", "wb") as out:
+        out.write(foreign + broken + gzip.compress(r("conversion")))
+    both = spark.createDataFrame([(name,), ("foreign.warc.gz",)], "path string")
+    items = shared.written(warc.salvage(both, folder), "items")
+    rows, gaps = warc.records(items).collect(), warc.gaps(items).orderBy("path", "start").collect()
+    own = [x for x in rows if x.path == name]
+    assert len(own) == 58 and sorted({x.page_id for x in own}) == sorted(x.page_id for x in own)
+    assert sum(g.end - g.start for g in gaps if g.path == name) == members[7] + members[30] - 51
+    kinds = [x.record_type for x in sorted((x for x in rows if x.path != name), key=lambda x: (x.start, x.record_id or ""))]
+    assert kinds[0] == "warcinfo" and sorted(kinds[1:4]) == ["metadata", "request", "response"] and kinds[4] == "revisit" and kinds[-1] == "conversion"
+    assert {f"<urn:uuid:{k}>" for k in range(18)} <= {x.record_id for x in rows} and kinds.count("resource") < 30 and {x.payload_bytes for x in rows if x.record_type == "response" and x.path != name} == {4}
+    lost = [g for g in gaps if g.path != name]
+    assert len(lost) == 4 and "content" in lost[0].reason and lost[1].end - lost[1].start == 33
+    assert any("another digest" in g.reason for g in lost) and any("a broken member" in g.reason for g in lost) and max(g.end for g in lost) == os.path.getsize(f"{tmp_path}/archives/foreign.warc.gz") - len(gzip.compress(r("conversion")))
+
+
 # ---- chat formatting -------------------------------------------------------------------
 
 
@@ -460,6 +662,13 @@ def test_windows_hold_each_turn_once_and_mask_repeats(spark, budget, history):
     assert chat_format.windows(df.limit(0)).count() == 0
 
 
+def test_one_long_turn_adds_at_most_two_windows(spark):
+    turns = [(1, k, "user" if k % 2 else "assistant", "t" * 120) for k in range(40)]
+    count = lambda rows: chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count()
+    even = count(turns)
+    assert even == 2 and count([*turns[:20], (1, 19, "zz", "u" * 3200), *turns[20:]]) <= even + 2
+
+
 def chat_format_escaped(text):
     out = text.replace("\\", "\\\\")
     for c in chat_format.CONTROL:

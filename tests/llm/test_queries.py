@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from graphloom.llm import registry
+from graphloom.llm import chat_format, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,14 +42,25 @@ def spark_hash(*values):
     return h - 2**64 if h >= 2**63 else h
 
 
-def fingerprint(text, k=6, s=2, size=64):
-    w = [spark_hash(x.encode()) for x in re.findall(r"[^\x20\x09-\x0D]{1,8}", text)]
+TOKENS = re.compile("(?<![^ \t-\r])[^ \t-\r]{1,24}+(?![^ \t-\r])|[^ \t-\raeiouAEIOU02468\x80-\U0010ffff]*+[aeiouAEIOU02468\x80-\U0010ffff]|[^ \t-\raeiouAEIOU02468\x80-\U0010ffff]++")
+
+
+def syncmer_anchors(text, k=8, s=2):
+    w = [spark_hash(x.encode()) for x in TOKENS.findall(text)]
     if len(w) < k:
-        hashes = {spark_hash(*w)} if w else set()
-    else:
-        inner = [spark_hash(*w[i : i + s]) for i in range(len(w) - s + 1)]
-        hashes = {spark_hash(*w[i : i + k]) for i in range(len(w) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])}
-    return "".join(sorted(f"{h % 2**64:016x}" for h in hashes)[:size])
+        return [(0, spark_hash(*w) & 0xFFFFFFFF)] if w else []
+    inner = [spark_hash(*w[i : i + s]) for i in range(len(w) - s + 1)]
+    return [(i, spark_hash(*w[i : i + k]) & 0xFFFFFFFF) for i in range(len(w) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+
+
+def fingerprint(found):
+    return "".join(f"{p - q:x}{h:08x}" for (p, h), q in zip(found, [0, *[p for p, _ in found]], strict=False))
+
+
+def near(a, b):
+    linked = lambda x: {(h, q - p, g) for (p, h), (q, g) in zip(x, x[1:], strict=False)} if len(x) > 1 else {h for _, h in x}
+    a, b = linked(a), linked(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_op4_equals_brute_force(spark):
@@ -58,9 +69,10 @@ def test_op4_equals_brute_force(spark):
     for i, (doc_id, text) in enumerate(docs):
         half, after = len(text) // 2, docs[(i + 1) % len(docs)][1]
         edited = text[: len(text) - half] + after[:half]
+        own, changed, following = syncmer_anchors(text), syncmer_anchors(edited), syncmer_anchors(after)
         r = found[doc_id]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(text), fingerprint(edited))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(own), fingerprint(changed))
+        assert r.near_edited == pytest.approx(near(own, changed)) and r.near_next == pytest.approx(near(own, following))
 
 
 def test_op8_equals_the_tokenizer_library(spark):
@@ -77,6 +89,38 @@ def test_op8_equals_the_tokenizer_library(spark):
         assert (found[doc_id].n_tokens, found[doc_id].ids_sha256, found[doc_id].decoded_sha256) == (len(ids), shown, hashlib.sha256(text.encode()).hexdigest())
 
 
+def escaped(text):
+    out = text.replace("\\", "\\\\")
+    for c in chat_format.CONTROL:
+        out = out.replace(c, c[0] + "\\" + c[1:])
+    return out
+
+
+def cut(turns, budget=1024, history=256):
+    """Windows of (turn, role, text) rows in order: each as ``(repeated turns, new turns)`` of (role, escaped text, tokens)."""
+    told = [(escaped(r).replace("\n", chat_format.NEWLINE_IN_ROLE), escaped(t)) for _, r, t in turns]
+    told = [(r, t, max(1, -(-len(t) // 4))) for r, t in told]
+    system = 1 if turns[0][1] == "system" else 0
+    room = max(1, budget - history - (told[0][2] if system else 0))
+    starts, used = [0], 0
+    for i, (_, _, n) in enumerate(told):
+        if i and used + n > (budget if len(starts) == 1 else room):
+            starts, used = [*starts, i], 0
+        used += n
+    out = []
+    for begin, end in zip(starts, [*starts[1:], len(told)], strict=True):
+        lead, recent, new, size = told[:system] if begin else [], [], told[begin:end], 0
+        for i in range(begin - 1, system - 1, -1):
+            size += told[i][2]
+            if size > history:
+                break
+            recent.insert(0, told[i])
+        if sum(n for _, _, n in lead + recent + new) > budget:
+            recent = []
+        out.append((lead + recent, new))
+    return out
+
+
 def test_op10_reads_back_every_conversation(spark):
     found = {r.conv_id: r for r in registry.QUERIES["op10_chat_format"](spark, SF).collect()}
     turns = {-1: [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]}
@@ -86,8 +130,9 @@ def test_op10_reads_back_every_conversation(spark):
     for c, listed in turns.items():
         listed.sort()
         told, loss = "".join(f"{r}\n{t}\n" for _, r, t in listed), "".join(t for _, r, t in listed if r == "assistant")
-        want = (len(listed), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert (found[c].n_turns, found[c].turns_sha256, found[c].loss_chars, found[c].loss_sha256) == want
+        chars = sum(len(chat_format.OPEN + r + "\n" + t + chat_format.CLOSE) for repeated, new in cut(listed) for r, t, _ in repeated + new)
+        want = (len(listed), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+        assert (found[c].n_turns, found[c].turns_sha256, found[c].loss_chars, found[c].loss_sha256, found[c].formatted_chars) == want
 
 
 def test_op1_follows_the_rules(spark):
