@@ -21,17 +21,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.shared import small_batches, table, text_of
 
 #: Pieces and neighbour checks remembered by a worker, at most.
-CACHE, PAIRS = 500_000, 1_000_000
+CACHE, PAIRS = 250_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,13 +49,19 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        #: A node maps a byte to a node; at -1 it has the token that ends there.
+        #: A node maps a byte to a node; at -1 it has the token that ends there.  A node without children is its token.
         self.trie: dict = {}
-        for token, rank in ranks.items():
-            node = self.trie
-            for byte in token:
-                node = node.setdefault(byte, {})
-            node[-1] = rank
+        for token in sorted(ranks):  # a token comes after those that begin it
+            node, inner = self.trie, token[:-1]
+            for byte in inner:
+                below = node.get(byte)
+                if below.__class__ is int:
+                    below = node[byte] = {-1: below}
+                elif below is None:
+                    below = node[byte] = {}
+                node = below
+            if token:
+                node[token[-1]] = ranks[token]
         self._valid: dict[int, bool] = {}
         self._edges: dict[int, tuple[list[int], list[int]]] = {}
 
@@ -128,19 +136,33 @@ class PrefixTable:
                 node = node.get(data[end])
                 if node is None:
                     break
-                if end >= old and last[end] < 0 and -1 in node:
-                    token = node[-1]
+                leaf = node.__class__ is int
+                token = node if leaf else node.get(-1)
+                if token is not None and end >= old and last[end] < 0:
                     if begin == 0 or (valid.get(before << 32 | token) if before << 32 | token in valid else adjacent(before, token)):
                         last[end] = token
+                if leaf:
+                    break
             if begin >= old and last[begin] < 0:
                 raise ValueError("the vocabulary lacks a byte")
         return self
 
     def replace(self, begin: int, end: int, by: bytes) -> PrefixTable:
-        """Re-encode after an edit; prefixes that end before it are kept."""
-        tail = self.data[end:]
+        """Re-encode near an edit: prefixes that end before it are kept, and so is the rest once the table agrees again.
+
+        An entry follows from the bytes of at most a longest token and the entries
+        there, so after as many equal entries in a row all later ones are equal.
+        """
+        tail, known, size = self.data[end:], self.last[end:], max(1, self.vocabulary.longest)
         self.data, self.last = self.data[:begin], self.last[:begin]
-        return self.append(by + tail)
+        self.append(by)
+        for done in range(size, len(tail) + size, size):
+            self.append(tail[done - size : done])
+            if self.last[-size:] == known[done - size : done]:
+                self.data += tail[done:]
+                self.last += known[done:]
+                break
+        return self
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
@@ -158,24 +180,25 @@ class Codec:
 
         self.vocabulary, self.pieces = Vocabulary(ranks), regex.compile(pattern).findall
         self._known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self._known.get(piece)
-        if found is None:
-            data = piece.encode()
-            whole = self.vocabulary.ranks.get(data)
-            found = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
-            if len(self._known) >= CACHE:
-                # The older half goes; dictionaries keep the order of insertion.
-                for old in list(islice(self._known, CACHE // 2)):
-                    del self._known[old]
-            if len(piece) <= 64:
-                self._known[piece] = found
+        self.shown = {rank: str(rank) for rank in self.vocabulary.bytes_of}
+
+    def _learn(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        whole = self.vocabulary.ranks.get(data)
+        found = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
+        if len(self._known) >= CACHE:
+            # The older half goes; dictionaries keep the order of insertion.
+            for old in list(islice(self._known, CACHE // 2)):
+                del self._known[old]
+        if len(piece) <= 64:
+            self._known[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
-        piece = self.piece
-        return [token for p in self.pieces(text) for token in piece(p)]
+        known, out = self._known.get, []
+        for piece in self.pieces(text):
+            out += known(piece) or self._learn(piece)
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -197,29 +220,36 @@ def rank_file_bytes(path: str, most: int = 64 << 20) -> bytes:
     return found
 
 
+def _listed(encoded: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, encoded)])
+    flat = np.fromiter((t for ids in encoded for t in ids), np.int32, count=int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id, ids array<int>`` for each row."""
     small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(rank_file_bytes(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         codec = _codec(file.value, pattern)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": [codec.encode(t) for t in b["text"]]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed([codec.encode(t.as_py()) for t in batch.column(1)])], ["id", "ids"])
 
-    return docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text")).mapInPandas(run, "id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``id, data binary`` from ``id, ids``."""
+    """``id, data binary`` from ``id, ids``; null ids are none."""
+    small_batches(encoded.sparkSession)
     file = encoded.sparkSession.sparkContext.broadcast(rank_file_bytes(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         codec = _codec(file.value, "")
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "data": [codec.decode([] if i is None else i.tolist()) for i in b["ids"]]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(i.as_py() or []) for i in batch.column(1)], pa.binary())], ["id", "data"])
 
-    return encoded.select("id", "ids").mapInPandas(run, "id long, data binary")
+    return encoded.select(F.col("id").cast("long").alias("id"), "ids").mapInArrow(run, "id long, data binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -227,19 +257,18 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(rank_file_bytes(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         codec = _codec(file.value, pattern)
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                ids = codec.encode(text)
-                shown = " ".join(map(str, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", text_of("text").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in batches:
+            sizes, of_ids, of_bytes = [], [], []
+            for text in batch.column(1):
+                ids = codec.encode(text.as_py())
+                sizes.append(len(ids))
+                of_ids.append(hashlib.sha256(" ".join(map(codec.shown.__getitem__, ids)).encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_files() -> tuple[str, str]:
