@@ -6,8 +6,13 @@ least hash among its inner runs of ``ANCHOR`` words, so equal windows have equal
 anchors and neighbouring windows mostly share one, which keeps the sketch small.
 Merged, the sketches never underestimate in how many documents an anchor (hence
 a window) occurs.  The second pass groups exactly, by 96-bit hash, only windows
-whose estimate is two or more; none is lost.  The sketch has a fixed size: where
-a corpus fills it, more windows go to the exact pass and the result is the same.
+whose estimate is two or more; none is lost.  The sketch has ``CELLS`` cells for
+each anchor that texts of the corpus's length have, up to ``2**MOST_BITS``; where
+a corpus fills that, more windows go to the exact pass and the result is the same.
+
+A window whose estimate reaches ``HOT`` documents is dealt over ``SALTS`` tasks:
+each finds the least id among its share, and the shares' least ids meet in a
+second, small round.
 
 A window that a document of smaller id has too is removed: all words it covers.
 Windows are judged on the input.
@@ -22,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +38,12 @@ from graphloom.llm.shared import parallelism, small_batches, table, text_of, wri
 from graphloom.llm.words import U64, hashes, mix, words_of
 
 WINDOW, ANCHOR = 50, 25
-#: The sketch: rows, the logarithm of their length, and the ranges in which it is merged.
-ROWS, BITS, RANGES = 2, 25, 16
+#: The sketch: rows, cells for each anchor, the logarithm of a row's length at least and at most, and that of the ranges in which it is merged.
+ROWS, CELLS, LEAST_BITS, MOST_BITS, RANGE_BITS = 2, 4, 20, 28, 18
+#: Bytes of a word with its gap, and windows for each anchor, as texts have them on average.
+WORD_BYTES, WINDOWS = 6, 13
+#: From so many documents a window is dealt over so many tasks; counters stop at 255.
+HOT, SALTS = 200, 64
 
 #: Odd multipliers of the two window hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -83,8 +93,20 @@ def _cells(anchor: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (anchor >> U64(row * 32)) & U64((1 << bits) - 1)
 
 
+def bits_for(docs: DataFrame) -> int:
+    """The logarithm of a row's length for the texts of a corpus."""
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (CELLS * n // (WORD_BYTES * WINDOWS)).bit_length()))
+
+
+def _ranges(bits: int) -> int:
+    """Ranges of a row."""
+    return max(1, 1 << (bits - RANGE_BITS)) if bits > RANGE_BITS else 1
+
+
 def _sketches(docs: DataFrame, size: int, inner: int, bits: int) -> DataFrame:
-    """``g, cells, repeated``: for each range of the sketch, the cells a task has hit, and which of them twice."""
+    """``g, cells, counts``: for each range of the sketch, the cells that a task has hit and how often."""
+    per, names = _ranges(bits), ["g", "cells", "counts"]
 
     def run(batches):
         seen = [[] for _ in range(ROWS)]
@@ -95,46 +117,55 @@ def _sketches(docs: DataFrame, size: int, inner: int, bits: int) -> DataFrame:
                     a = np.unique(anchors(h, size, inner))
                     for row in range(ROWS):
                         seen[row].append(_cells(a, row, bits).astype(np.uint32))
-        out = []
         for row in range(ROWS):
             if not seen[row]:
                 continue
             cells, n = np.unique(np.concatenate(seen[row]), return_counts=True)
-            part = cells >> np.uint32(bits - 3)
-            for p in range(RANGES // ROWS):
-                of = part == p
-                if of.any():
-                    out.append((row * (RANGES // ROWS) + p, cells[of].tobytes(), np.packbits(n[of] > 1).tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["g", "cells", "repeated"])
+            n, cut = np.minimum(n, 255).astype(np.uint8), np.searchsorted(cells, np.arange(per + 1, dtype=np.uint64) << np.uint64(bits - per.bit_length() + 1))
+            out = [(row * per + p, cells[i:j].tobytes(), n[i:j].tobytes()) for p, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
 
-    return docs.mapInArrow(run, "g int, cells binary, repeated binary")
+    return docs.mapInArrow(run, "g int, cells binary, counts binary")
 
 
-def estimated_repeated(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR, bits: int = BITS) -> dict[int, bytes]:
-    """For each range of the merged sketch, a bit for each cell that counts two or more."""
-    length = 1 << (bits - 3)
+def estimated_repeated(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR, bits: int | None = None) -> tuple[int, dict[int, tuple[bytes, bytes]]]:
+    """The sketch's ``bits``; for each of its ranges, a bit for each cell that counts two or more, and one for ``HOT`` or more."""
+    bits = bits or bits_for(docs)
+    per = _ranges(bits)
+    length = (1 << bits) // per
 
     def merge(batches):
-        counts: dict[int, np.ndarray] = {}
+        at, total = None, None
+
+        def done():
+            packed = [zlib.compress(np.packbits(total >= least).tobytes(), 1) for least in (2, HOT)]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())], ["g", "repeated", "hot"])
+
         for batch in batches:
-            for g, cells, twice in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for g, cells, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if g != at:
+                    if at is not None:
+                        yield done()
+                    at, total = g, np.zeros(length, np.uint8)
                 cells = np.frombuffer(cells.as_buffer(), np.uint32) & np.uint32(length - 1)
-                twice = np.unpackbits(np.frombuffer(twice.as_buffer(), np.uint8), count=len(cells))
-                total = counts.setdefault(g, np.zeros(length, np.uint8))
-                total[cells] = np.minimum(2, total[cells] + 1 + twice)
-        for g, total in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([np.packbits(total > 1).tobytes()], pa.binary())], ["g", "bits"])
+                total[cells] = np.minimum(255, total[cells].astype(np.int64) + np.frombuffer(n.as_buffer(), np.uint8))
+        if at is not None:
+            yield done()
 
-    # 16 ranges, whose bits together are a fixed 2 * 2**25 / 8 bytes (8 MB).
-    merged = _sketches(docs, size, inner, bits).repartition(RANGES, "g").mapInArrow(merge, "g int, bits binary")
-    return {row["g"]: bytes(row["bits"]) for row in merged.toLocalIterator()}
+    # A task for each range, or as many as there are tasks; the bits of all are at most 2 * 2 * 2**28 / 8 bytes (128 MB).
+    tasks = max(parallelism(docs.sparkSession), min(ROWS * per, 1024))
+    dealt = _sketches(docs, size, inner, bits).repartition(tasks, "g").sortWithinPartitions("g")
+    merged = dealt.mapInArrow(merge, "g int, repeated binary, hot binary").coalesce(parallelism(docs.sparkSession))
+    return bits, {row["g"]: (bytes(row["repeated"]), bytes(row["hot"])) for row in merged.toLocalIterator()}
 
 
-def _unpacked(found: dict[int, bytes], bits: int) -> list[np.ndarray]:
-    none = bytes(1 << (bits - 6))
-    per = RANGES // ROWS
-    return [np.frombuffer(b"".join(found.get(row * per + p, none) for p in range(per)), np.uint8) for row in range(ROWS)]
+def _unpacked(found: dict[int, tuple[bytes, bytes]], bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By row, the bitmaps of repeated and of hot cells."""
+    per = _ranges(bits)
+    none = bytes(max(1, (1 << bits) // per // 8))
+    whole = lambda k, row: np.frombuffer(b"".join(zlib.decompress(found[g][k]) if g in found else none for g in range(row * per, (row + 1) * per)), np.uint8)
+    return [whole(0, row) for row in range(ROWS)], [whole(1, row) for row in range(ROWS)]
 
 
 def _set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -142,53 +173,63 @@ def _set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
 
 
-def candidates(docs: DataFrame, found: dict[int, bytes], size: int = WINDOW, inner: int = ANCHOR, bits: int = BITS) -> DataFrame:
-    """``h, g, doc_id`` once for each document and window that the sketch takes for repeated."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+def candidates(docs: DataFrame, found: dict[int, tuple[bytes, bytes]], size: int, inner: int, bits: int) -> DataFrame:
+    """``h, g, doc_id, salt`` once for each document and window that the sketch takes for repeated; ``salt`` is -1 unless the window is hot."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(found), ["h", "g", "doc_id", "salt"]
 
     def run(batches):
-        rows = _unpacked(shared.value, bits)
+        repeated, hot = _unpacked(shared.value, bits)
+        marked = lambda rows, a: np.logical_and.reduce([_set(rows[r], _cells(a, r, bits)) for r in range(ROWS)])
         for batch in batches:
-            hs, gs, ids = [], [], []
+            out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = hashes(words_of(text.as_py()))
                 if len(h) < size:
                     continue
                 a = anchors(h, size, inner)
-                maybe = np.logical_and.reduce([_set(rows[r], _cells(a, r, bits)) for r in range(ROWS)])
+                maybe = marked(repeated, a)
                 if maybe.any():
                     w, at = np.unique(windows(h, size)[maybe], return_index=True)
-                    hs.append(w.view(np.int64))
-                    gs.append(seconds(h, size)[maybe][at])
-                    ids.append(np.full(len(w), doc_id, np.int64))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(gs)), pa.array(np.concatenate(ids))], ["h", "g", "doc_id"])
+                    salt = np.where(marked(hot, a[maybe][at]), int(mix(np.array([doc_id & (2**64 - 1)], U64))[0] % U64(SALTS)), -1)
+                    out.append((w.view(np.int64), seconds(h, size)[maybe][at], np.full(len(w), doc_id, np.int64), salt.astype(np.int8)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
-    return docs.mapInArrow(run, "h long, g int, doc_id long")
+    return docs.mapInArrow(run, "h long, g int, doc_id long, salt byte")
 
 
-def later_copies(rows: DataFrame) -> DataFrame:
-    """``doc_id, h`` of windows that a document of smaller id has too.
+def _least_first(rows: DataFrame) -> DataFrame:
+    """``doc_id, h, g, head``: rows that aren't the first of their ``h, g, salt``, and (``head``) the first of salted ones.
 
-    Rows come sorted by window and id, so a group's first row is its least id; a
-    task holds one batch, however large a group is.
+    Rows come sorted, so a group's first row is its least id; a task holds one
+    batch, however large a group is.
     """
 
     def run(batches):
         last = None
         for batch in batches:
-            h, g, doc = (batch.column(i).to_numpy() for i in range(3))
-            same = np.r_[last is not None and h[0] == last[0] and g[0] == last[1], (h[1:] == h[:-1]) & (g[1:] == g[:-1])]
+            h, g, salt, doc = (batch.column(i).to_numpy() for i in range(4))
+            now = (h[0], g[0], salt[0])
+            same = np.r_[last is not None and now == last[:3], (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (salt[1:] == salt[:-1])]
             at = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
             least = doc[at]
             if same[0]:
-                least = np.where(np.cumsum(~same) == 0, last[2], least)
-            last = (h[-1], g[-1], least[-1])
-            keep = doc > least
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(h[keep])], ["doc_id", "h"])
+                least = np.where(np.cumsum(~same) == 0, last[3], least)
+            last = (h[-1], g[-1], salt[-1], least[-1])
+            head = ~same & (salt >= 0)
+            keep = (doc > least) | head
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(h[keep]), pa.array(g[keep]), pa.array(head[keep])], ["doc_id", "h", "g", "head"])
+
+    key = ["h", "g", "salt"]
+    dealt = rows.select(*key, "doc_id").repartition(parallelism(rows.sparkSession), *key).sortWithinPartitions(*key, "doc_id")
+    return dealt.mapInArrow(run, "doc_id long, h long, g int, head boolean")
 
-    dealt = rows.repartition(parallelism(rows.sparkSession), "h", "g").sortWithinPartitions("h", "g", "doc_id")
-    return dealt.mapInArrow(run, "doc_id long, h long")
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """``doc_id, h`` of windows that a document of smaller id has too."""
+    found = written(_least_first(rows), "later-copies")
+    heads = _least_first(found.where("head").select("h", "g", F.lit(-1).cast("byte").alias("salt"), "doc_id"))
+    return found.where("not head").select("doc_id", "h").unionByName(heads.select("doc_id", "h"))
 
 
 def covered(h: np.ndarray, gone: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -200,14 +241,14 @@ def covered(h: np.ndarray, gone: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR, bits: int = BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR, bits: int | None = None) -> DataFrame:
     """``doc_id, gone array<long>``: the hashes of each document's windows that go."""
-    found = estimated_repeated(docs, size, inner, bits)
+    bits, found = estimated_repeated(docs, size, inner, bits)
     named = docs.where("doc_id is not null")
     return later_copies(candidates(named, found, size, inner, bits)).groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
 
 
-def _joined(docs: DataFrame, size: int, inner: int, bits: int) -> DataFrame:
+def _joined(docs: DataFrame, size: int, inner: int, bits: int | None) -> DataFrame:
     small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     return given.join(repeated_windows(given, size, inner, bits), "doc_id", "left")
@@ -226,7 +267,7 @@ def _kept(batch, size: int):
             yield words, words, []
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR, bits: int = BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR, bits: int | None = None) -> DataFrame:
     """``doc_id, text`` (kept words, joined by one space) and ``spans`` of words that went, as ``[from, to)``."""
 
     def run(batches):
@@ -255,7 +296,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = _joined(table(spark, sf_dir, "documents"), WINDOW, ANCHOR, BITS)
+    joined = _joined(table(spark, sf_dir, "documents"), WINDOW, ANCHOR, None)
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
