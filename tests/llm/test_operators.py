@@ -344,6 +344,29 @@ def test_a_full_sketch_loses_nothing(spark):
     assert got == brute_repeats(rows)
 
 
+def test_hot_windows_are_dealt_out_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 5)
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60))] + passage + [f"w{rng.randrange(10**6)}" for _ in range(60)])) for i in rng.sample(range(-500, 500), 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()} == brute_repeats(rows)
+    bits, found = substring_dedup.estimated_repeated(df)
+    salted = substring_dedup.candidates(df, found, 50, 25, bits).where("salt >= 0")
+    assert salted.select("h").distinct().count() >= 21 and salted.select("salt").distinct().count() > 20
+
+
+def test_unique_text_passes_no_more_windows_as_a_corpus_grows(spark, monkeypatch):
+    """The sketch grows with the corpus, so the share that goes to the exact pass doesn't."""
+    monkeypatch.setattr(substring_dedup, "LEAST_BITS", 8)
+    rng, shares = random.Random(7), []
+    for n in (40, 400, 1600):
+        df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(200))) for i in range(n)], "doc_id long, text string").repartition(4)
+        bits, found = substring_dedup.estimated_repeated(df)
+        shares.append(substring_dedup.candidates(df, found, 50, 25, bits).count() / (151 * n))
+    assert max(shares) < 0.15 and shares[2] < 2 * max(0.03, shares[0])
+
+
 def test_rolling_hashes_and_anchors_follow_content():
     h = words.hashes([b"w%d" % (i % 7) for i in range(200)])
     for make in (substring_dedup.windows, substring_dedup.anchors):
@@ -385,6 +408,29 @@ def test_bpe_append_and_edit_equal_encoding_afresh(codec):
     assert bpe.PrefixTable(v).tokens() == []
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=0, max_size=400), st.integers(0, 400), st.integers(0, 30), st.binary(max_size=12))
+def test_bpe_edits_anywhere(codec, data, begin, length, by):
+    data = (data.hex().encode() + b" and therefore ") * 2
+    begin = min(begin, len(data))
+    end = min(len(data), begin + length)
+    t = bpe.PrefixTable(codec.vocabulary, data)
+    assert t.replace(begin, end, by).last == bpe.PrefixTable(codec.vocabulary, data[:begin] + by + data[end:]).last and t.data == data[:begin] + by + data[end:]
+
+
+def test_bpe_edits_touch_what_is_near(codec, monkeypatch):
+    v = codec.vocabulary
+    data = b"internationalisation " * 2000
+    t, read = bpe.PrefixTable(v, data), []
+    monkeypatch.setattr(bpe.PrefixTable, "append", lambda self, more, f=bpe.PrefixTable.append: read.append(len(more)) or f(self, more))
+    t.replace(21_000, 21_003, b"X")
+    assert sum(read) <= 1 + 4 * v.longest and t.tokens() == v_tokens(v, data[:21_000] + b"X" + data[21_003:])
+
+
+def v_tokens(v, data):
+    return bpe.PrefixTable(v, data).tokens()
+
+
 def test_bpe_queries_whole_texts(spark, docs, none, codec):
     path, pattern = bpe.public_files()
     texts = collections.Counter(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in doc_rows())
@@ -517,8 +563,32 @@ def test_mixing_edge_cases(spark, docs, none):
     expected, total = sum(r.tokens * r.probability for r in rows), sum(r.tokens for r in rows)
     assert expected == pytest.approx(mixing.BUDGET * total, rel=0.02)
     assert mixing.mixed(none).count() == 0 and mixing.sample(none).count() == 0
-    out = mixing.sample(docs)
-    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, mixing.sample(docs).collect()))
+    clash = docs.withColumns({"topic": F.lit("clash"), "drawn": F.lit(0), "mix_topic": F.lit(1), "probability": F.lit(2), "vector": F.lit(3)})
+    out = mixing.sample(clash)
+    assert out.columns == clash.columns and sorted(map(str, out.collect())) == sorted(map(str, mixing.sample(clash).collect()))
+    kept = collections.Counter((r.doc_id, r.source, r.lang, r.tokens) for r in rows if r.sampled)
+    assert collections.Counter((r["doc_id"], r["source"], r["lang"], len(word_list(r["text"]))) for r in out.collect()) == kept
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    rows = spark.createDataFrame([(None, f"text number {i}", "s", "l") for i in range(400)], "doc_id long, text string, source string, lang string")
+    assert 120 < mixing.sample(rows).count() < 280
+
+
+def test_topics_are_what_documents_are_about(spark):
+    rng, rows = random.Random(5), []
+    common = [f"the{i}" for i in range(20)]
+    for i in range(900):
+        subject = i % 8
+        rows.append((i, " ".join(rng.choice(common) if rng.random() < 0.5 else f"s{subject}w{int(rng.expovariate(1 / 20)) % 200}" for _ in range(120)), f"s{i % 7}", "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    weights = mixing.word_weights(df)
+    vectors = shared.written(mixing.described(df, weights), "v")
+    model = mixing.fitted(vectors.select("vector"), weights)
+    found = collections.defaultdict(collections.Counter)
+    for r in mixing.with_topics(vectors, model).collect():
+        found[r.topic][r.doc_id % 8] += 1
+    assert len(found) == 8 and sum(c.most_common(1)[0][1] for c in found.values()) > 0.9 * len(rows)
 
 
 # ---- URL filter ------------------------------------------------------------------------
