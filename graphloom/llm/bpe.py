@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import small_batches, table, text_of
+from graphloom.llm.shared import release, small_batches, table, text_of
 
 #: Pieces and neighbour checks remembered by a worker, at most.
-CACHE, PAIRS = 250_000, 250_000
+CACHE, PAIRS = 150_000, 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -200,6 +200,11 @@ class Codec:
             out += known(piece) or self._learn(piece)
         return out
 
+    def forget(self) -> None:
+        """What was remembered goes; the vocabulary stays."""
+        self._known.clear()
+        self.vocabulary._valid.clear()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
@@ -235,6 +240,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_
         codec = _codec(file.value, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _listed([codec.encode(t.as_py()) for t in batch.column(1)])], ["id", "ids"])
+        codec.forget()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>")
 
@@ -267,6 +274,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 of_ids.append(hashlib.sha256(" ".join(map(codec.shown.__getitem__, ids)).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from graphloom.llm.shared import new_name, small_batches, table, text_of, written
+from graphloom.llm.shared import new_name, release, small_batches, table, text_of, written
 from graphloom.llm.words import U64, hashes, words_of
 
 TEMPER, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.5, 50, 1e-9
@@ -131,6 +131,7 @@ def described(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             *others, texts = batch.columns
             words = [_lower_words(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([*others, pa.array([len(w) for w in words], pa.int64()), pa.array([model.vector(w).tobytes() for w in words], pa.binary())], names)
+        release()
 
     kept = [F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("lang", "string"))]
     return docs.select(*kept, draw("doc_id", "text").alias("drawn"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, source string, lang string, drawn double, tokens long, vector binary")
@@ -299,6 +300,7 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
         for batch in batches:
             topics = pa.array([found.topic(found.vector(_lower_words(t.as_py()))) for t in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, topics], [*batch.schema.names, names[2]])
+        release()
 
     given = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[2], StringType())]))
     given = given.withColumns({names[0]: F.col("source").cast("string"), names[1]: F.col("lang").cast("string"), names[3]: draw()})

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from graphloom.llm.shared import small_batches, table, text_of
+from graphloom.llm.shared import new_name, release, small_batches, table, text_of
 from graphloom.llm.words import hashes, words_of
 
 DIMS, RANK, BINS = 1 << 15, 8, 12
@@ -148,22 +148,25 @@ def _model(bias: float, packed: bytes) -> Machine:
     return Machine(bias, data[:PLACES], data[PLACES:].reshape(PLACES, RANK))
 
 
-def scored(docs: DataFrame, machine: Machine, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all, unless given) and ``__score``."""
+def scored(docs: DataFrame, machine: Machine, columns: list[str] | None = None, name: str = "__score") -> DataFrame:
+    """``columns`` of ``docs`` (all, unless given) and the score, under a name that none of these has."""
     small_batches(docs.sparkSession)
     packed = zlib.compress(machine.w.astype(np.float32).tobytes() + machine.v.astype(np.float32).tobytes(), 1)
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, packed))
     kept = docs.select(*columns) if columns else docs
+    # The text is passed once, and not on unless it is one of the columns.
+    at = kept.columns.index("text") if "text" in kept.columns else None
+    given = kept if at is not None else docs.select(*columns, "text")
 
     def run(batches):
         m = _model(*shared.value)
         for batch in batches:
-            *others, texts = batch.columns
-            scores = pa.array([m.score(t.as_py()) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*others, scores], [*batch.schema.names[:-1], "__score"])
+            others = batch.columns if at is not None else batch.columns[:-1]
+            scores = pa.array([m.score(t.as_py()) for t in (batch.column(at) if at is not None else batch.columns[-1])], pa.float64())
+            yield pa.RecordBatch.from_arrays([*others, scores], [*batch.schema.names[: len(others)], name])
+        release()
 
-    schema = StructType([*kept.schema.fields, StructField("__score", DoubleType())])
-    return docs.select(*kept.columns, text_of("text").alias("__text")).mapInArrow(run, schema)
+    return given.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,4 +178,5 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
-    return scored(docs, trained(docs, labels)).where(F.col("__score") >= threshold).drop("__score")
+    name = new_name(docs, "__score")
+    return scored(docs, trained(docs, labels), name=name).where(F.col(name) >= threshold).drop(name)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import parallelism, small_batches, table, text_of, written
+from graphloom.llm.shared import parallelism, release, small_batches, table, text_of, written
 from graphloom.llm.words import U64, hashes, mix, words_of
 
 WINDOW, ANCHOR = 50, 25
@@ -194,6 +194,7 @@ def candidates(docs: DataFrame, found: dict[int, tuple[bytes, bytes]], size: int
                     out.append((w.view(np.int64), seconds(h, size)[maybe][at], np.full(len(w), doc_id, np.int64), salt.astype(np.int8)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+        release()
 
     return docs.mapInArrow(run, "h long, g int, doc_id long, salt byte")
 

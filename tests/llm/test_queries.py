@@ -326,3 +326,33 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     texts = dict(documents())
     assert ids and len(ids) == len(set(ids)) and len({texts[i] for i in ids}) == len(ids)
+
+
+def test_pipeline_stages_on_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names, an empty table."""
+    import corpus_pipeline
+
+    near = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, t, l, s) for i, (t, l, s) in enumerate([(None, None, None), ("", "en", "s"), ("plain text here", "en", None), ("plain text here", None, "s"), ("long " * 40_000, "en", "s"), (near, "en", "s"), (near + " more", "en", "s"), ("\x00 odd \u2028 漢字", "zh", "s")])]
+    rows += [rows[2], (None, "no id", "en", "s"), (None, "no id", "en", "s"), (None, near, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text").cast("long"), "score": F.lit("x"), "may_go": F.lit(1), "id": F.lit(2), "digest": F.lit("y"), "topic": F.lit(3)})
+    labels = spark.createDataFrame([(2, 1, 0), (5, 0, 0), (None, 1, 1), (7, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, str(tmp_path)).collect()
+            if given is not docs:
+                assert out == []
+                continue
+            ids = collections.Counter(r["doc_id"] for r in out)
+            if name == "quality":
+                assert stage(spark, docs, str(tmp_path)).columns == docs.columns and ids[2] in (0, 2) and ids[2] // 2 == ids[3]
+            elif name == "exact":
+                assert ids == collections.Counter([1, 3, 4, 5, 6, 7, None])
+                assert sum(r["text"] == "no id" for r in out) == 1 and {r["lang"] for r in out if r["doc_id"] == 3} == {None}
+            elif name == "near":
+                assert ids == collections.Counter([0, 1, 2, 2, 4, 5, 7, None, None, None])
+            elif name == "mix":
+                assert stage(spark, docs, str(tmp_path)).columns == docs.columns and ids[2] in (0, 2) and set(ids) <= {r[0] for r in rows}
+            else:
+                assert len(out) == len(rows) and {r["n_tokens"] for r in out if r["doc_id"] in (0, 1)} == {0} and all(r["n_tokens"] == len(r["ids"]) for r in out)
