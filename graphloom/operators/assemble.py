@@ -44,18 +44,27 @@ def containing(wanted: DataFrame, files: DataFrame, key: list[str], suffix: str
     """``key..., target_id``: the first path, in path order, that contains ``needle``.
 
     A substring has no key to join by; both sides share every run of four
-    characters, so needles join by their first run and then are checked.
-    Needles shorter than a run join nothing.
+    characters, so needles join by their first run and then are checked.  A
+    shorter needle joins by runs of its own length, which only paths of a run that
+    some needle has are cut into.  An empty needle is in the first path.
     """
     run = 4
     of = (lambda c: F.lower(c)) if fold_case else (lambda c: c)
     paths = files.select("path", F.col("id").alias("target_id"), of(F.col("path")).alias("p"))
     if suffix:
         paths = paths.where(F.col("path").endswith(suffix))
-    grams = paths.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - run + 1)), lambda i: F.substring(F.col("p"), i, F.lit(run))))))
-    needles = wanted.withColumn("n", of(F.col("needle"))).where(F.length("n") >= run).withColumn("gram", F.substring("n", 1, run))
-    found = needles.join(grams, "gram").where(F.contains("p", "n"))
-    return found.groupBy(*key).agg(F.min_by("target_id", "path").alias("target_id"))
+    needles = wanted.withColumn("n", of(F.col("needle"))).where("n is not null").withColumn("size", F.least(F.lit(run), F.length("n")))
+    needles = needles.withColumn("gram", F.substring("n", F.lit(1), F.col("size")))
+    sizes = sorted(r["size"] for r in needles.select("size").distinct().collect())  # at most five numbers
+    runs = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - size + 1)), lambda i: F.substring(F.col("p"), i, F.lit(size)))
+    cut = F.flatten(F.array(*[F.array(F.lit("")) if size == 0 else runs(size) for size in sizes])) if sizes else F.array().cast("array<string>")
+    grams = paths.withColumn("gram", F.explode(F.array_distinct(cut)))
+    # Of the paths with a run the least is enough for a needle that is no longer.
+    least = grams.groupBy("gram").agg(F.min_by("target_id", "path").alias("target_id"))
+    short = needles.where(F.length("n") <= run).join(least, "gram").select(*key, "target_id")
+    found = needles.where(F.length("n") > run).join(grams, "gram").where(F.contains("p", "n"))
+    long = found.groupBy(*key).agg(F.min_by("target_id", "path").alias("target_id"))
+    return long.unionByName(short.dropDuplicates(key))
 
 
 def under_folder(wanted: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
@@ -99,10 +108,18 @@ def numbered_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
 def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """``call_id, caller_id``: the smallest symbol around a call's line; of equal ones the first by line, then id.
 
-    Lines meet ranges within one file only, so the join is on the file.
+    Lines are cut into bins of a power of two.  A symbol stands in the one or two
+    bins, of the size that is next to its length, that it reaches into; a call
+    looks into the bin of each size that occurs.  So a call meets symbols near
+    it, not all of its file.
     """
-    s = symbols.select("file_id", F.col("id").alias("caller_id"), "start_line", "end_line")
-    inside = calls.select("call_id", "file_id", "line").join(s, "file_id").where("start_line <= line and line <= end_line")
+    size = F.greatest(F.lit(0), F.ceil(F.log2((F.col("end_line") - F.col("start_line") + 1).cast("double")))).cast("int")
+    bin_of = lambda line: F.floor(F.col(line) / F.pow(F.lit(2.0), F.col("size"))).cast("long")
+    s = symbols.where("end_line >= start_line").select("file_id", F.col("id").alias("caller_id"), "start_line", "end_line", size.alias("size"))
+    sizes = [r["size"] for r in s.select("size").distinct().collect()]  # at most 32 numbers
+    s = s.withColumn("bin", F.explode(F.array_distinct(F.array(bin_of("start_line"), bin_of("end_line")))))
+    c = calls.select("call_id", "file_id", "line", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).withColumn("bin", bin_of("line"))
+    inside = c.join(s, ["file_id", "size", "bin"]).where("start_line <= line and line <= end_line")
     best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "caller_id"))
     return inside.groupBy("call_id").agg(best.alias("best")).select("call_id", "best.caller_id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.shared_folder import written
 
 #: Up to so many rows (counted first) one task numbers them.
-SMALL = 1_000_000
+SMALL = 50_000
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
@@ -28,4 +28,5 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0)
         offsets += [F.lit(k), F.lit(at)]
         at += sizes[k]
     number: Column = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1 + F.create_map(*offsets)[F.col("__range")]
-    return ranged.withColumn(name, number.cast("long")).drop("__range")
+    # Numbered tables are used several times, so the rows are written once.
+    return written(ranged.withColumn(name, number.cast("long")).drop("__range"), "numbered")

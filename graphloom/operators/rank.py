@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
+from graphloom.operators.numbering import numbered
 from graphloom.plans.shared_folder import written
 
 DAMPING, ITERATIONS, MATCH_WEIGHT = 0.85, 40, 2.0
@@ -102,8 +103,8 @@ def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
 def ranked(files: DataFrame, scores: DataFrame) -> DataFrame:
     """``id, path, score, rnk``: by score, then path; scores that differ by rounding only are equal."""
     joined = files.join(scores.select("id", "score"), "id", "left").select("id", "path", F.coalesce("score", F.lit(0.0)).alias("score"))
-    # Ranks number all files, which needs one order; aggregates and limits before this are cheaper.
-    return joined.withColumn("rnk", F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "path")).cast("long"))
+    lowest_first = joined.withColumn("__order", -F.round("score", 12))
+    return numbered(lowest_first, ["__order", "path"], "rnk", start=1).drop("__order")
 
 
 def task_matches(files: DataFrame, symbols: DataFrame, task: str, focus: list[int] | None = None) -> DataFrame:

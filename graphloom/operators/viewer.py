@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import base_name, building_height, cluster_key, fnv1a, jitter, node_radius, top_level_folder
+from graphloom.functions.text import base_name, building_height, cluster_key, file_type, fnv1a, jitter, node_radius, top_level_folder
 from graphloom.operators.assemble import degrees
 
 #: The city's measures.
@@ -271,3 +271,80 @@ def legend_bands(largest: int) -> list[tuple[str, float]]:
     """Labels and places of a metric's legend."""
     top = max(1, largest)
     return [(str(math.floor(top * q + 0.5)) if q < 1 else str(top), q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]
+
+
+def visible(nodes: DataFrame, links: DataFrame, hidden_types: list[str], hidden_kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes of shown types, and links of shown kinds between them."""
+    shown = nodes.where(~F.col("type").isin(hidden_types)) if hidden_types else nodes
+    kept = links.where(~F.col("kind").isin(hidden_kinds)) if hidden_kinds else links
+    for end in ("source", "target"):
+        kept = kept.join(shown.select(F.col("node").alias(end)), end, "left_semi")
+    return shown, kept
+
+
+def bounds(nodes: DataFrame) -> DataFrame:
+    """One row ``cx, cy, cz, dist, pick``: the middle of all nodes, how far to look from and how near to pick; defaults without nodes."""
+    box = nodes.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y", "z") for n, f in (("low", F.min), ("high", F.max))])
+    middle = lambda c: F.coalesce((F.col(f"low_{c}") + F.col(f"high_{c}")) / 2, F.lit(0.0)).alias(f"c{c}")
+    extent = F.greatest(*[F.col(f"high_{c}") - F.col(f"low_{c}") for c in ("x", "y", "z")], F.lit(50.0))
+    empty = F.col("low_x").isNull()
+    return box.select(middle("x"), middle("y"), middle("z"), F.when(empty, 1000.0).otherwise(extent * 1.2).alias("dist"), F.when(empty, 6.0).otherwise(F.greatest(F.lit(5.0), extent / 180)).alias("pick"))
+
+
+def incident(edges: DataFrame, focus: int) -> DataFrame:
+    """Edges that touch a file."""
+    return edges.where((F.col("src") == focus) | (F.col("dst") == focus))
+
+
+def focus_neighbours(edges: DataFrame, focus: int) -> DataFrame:
+    """``id, weight, top``: a file's neighbours with the weights of all edges between them, and the largest (1 at least)."""
+    other = F.when(F.col("src") == focus, F.col("dst")).otherwise(F.col("src"))
+    near = incident(edges, focus).groupBy(other.alias("id")).agg(F.sum("weight").alias("weight"))
+    top = near.agg(F.greatest(F.lit(1), F.max("weight")).alias("top"))
+    return near.join(F.broadcast(top))
+
+
+def heaviest(edges: DataFrame, cap: int = 400) -> DataFrame:
+    """What is drawn without a focus; ties by ids."""
+    return edges.orderBy(F.desc("weight"), "src", "dst").limit(cap)
+
+
+def partitioned(buildings: DataFrame, special: DataFrame) -> DataFrame:
+    """``buildings`` with ``special``: whether a building is in focus, connected or cited."""
+    ids = special.select("id").distinct().withColumn("special", F.lit(True))
+    return buildings.join(ids, "id", "left").withColumn("special", F.coalesce("special", F.lit(False)))
+
+
+def labelled(buildings: DataFrame, files: DataFrame, budget: int = 140) -> DataFrame:
+    """Special buildings, and the ``budget`` largest of the others; ties by id."""
+    base = buildings.where(~F.col("special")).join(files.select("id", "loc"), "id").orderBy(F.desc("loc"), "id").limit(budget)
+    return buildings.where("special").select("id").unionByName(base.select("id"))
+
+
+def legend(files: DataFrame, by: str = "language") -> DataFrame:
+    """``key, label, colour, n`` by language or by type of file."""
+    key = F.col("language") if by == "language" else file_type(F.col("path"), F.col("language"))
+    counts = files.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    if by == "language":
+        return counts.select("key", F.col("key").alias("label"), language_colour(F.col("key")).alias("colour"), "n")
+    named = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("key")]
+    return counts.select("key", named(TYPE_LABELS).alias("label"), named(TYPE_COLOURS).alias("colour"), "n")
+
+
+#: Colours by language; any other has that of ``other``.
+LANGUAGE_COLOURS = {
+    "typescript": "#4DA3FF", "javascript": "#FFD43B", "python": "#5BA8FF", "go": "#22D3EE", "rust": "#FB923C", "java": "#F472B6", "ruby": "#F87171",
+    "c": "#94A3B8", "cpp": "#F06595", "csharp": "#51CF66", "php": "#9AA0E8", "twig": "#B6D94C", "blade": "#FB7185", "kotlin": "#C792EA", "swift": "#FF9E64",
+    "scala": "#FB7185", "lua": "#7AA2F7", "bash": "#A6E22E", "html": "#FB923C", "css": "#A78BFA", "scss": "#F472B6", "vue": "#4ADE80", "svelte": "#FB7185",
+    "dart": "#2DD4BF", "elixir": "#C792EA", "ocaml": "#FBBF24", "solidity": "#B0AAA2", "zig": "#F0A868", "r": "#5B9BE0", "elm": "#7FD0E0", "rescript": "#FB7185",
+    "tlaplus": "#94A3B8", "objc": "#7AA2F7", "embedded_template": "#B8B2A6", "systemrdl": "#A8A29E", "ql": "#FB923C", "elisp": "#C792EA", "markdown": "#C4B5FD",
+    "json": "#94A3B8", "yaml": "#FCA5A5", "toml": "#D6A57E", "sql": "#F0ABFC", "graphql": "#F472B6", "eda": "#C8895A", "other": "#A8A29E",
+}
+#: Colours and labels by type of file.
+TYPE_COLOURS = {"source": "#3B82F6", "test": "#22C55E", "config": "#F59E0B", "types": "#A78BFA", "docs": "#64748B", "style": "#EC4899", "build": "#475569"}
+TYPE_LABELS = {"source": "source", "test": "tests", "config": "config", "types": "types", "docs": "docs", "style": "styles", "build": "build"}
+
+
+def language_colour(language: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGE_COLOURS.items() for x in pair])
+    return F.coalesce(known[language], F.lit(LANGUAGE_COLOURS["other"]))

@@ -226,3 +226,31 @@ def find_symbol_view(graph: Graph, scores: DataFrame, sources: DataFrame, name:
         ids[h.file_id] = None
     rest = len(hits) - len(blocks)
     return View("\n\n".join(blocks) + (f"\n\n… {rest} more match(es) omitted (narrow the query)." if rest else ""), list(ids))
+
+
+def request_view(graph: Graph, request_id: str, instruction: str, paths: list[str], kind: str = "instruction", budget: int = 2500) -> View:
+    """A viewer's request with the context staged for it; the files are those selected and those staged."""
+    spark = graph.files.sparkSession
+    asked = spark.createDataFrame([(p,) for p in paths], "target string")
+    found = {r.target: r.file_id for r in resolve_file_target(graph.files, graph.symbols, asked).collect()}
+    selected = [found[p] for p in dict.fromkeys(paths) if found.get(p) is not None]
+    staged = resolve_context(graph, instruction + ("\n\nFocus files:\n" + "\n".join(paths) if paths else ""), budget)
+    question = kind == "question"
+    closing = f"answer with submit_answer, request_id {request_id}" if question else "carry it out"
+    text = "\n".join([f"# {'question' if question else 'instruction'} {request_id} ({closing})", instruction, "", "## selected", " ".join(f"@{p}" for p in paths) or "(none)", "", "## staged context", staged.text])
+    return View(text, list(dict.fromkeys([*selected, *staged.file_ids])))
+
+
+def task_skeleton(graph: Graph, task: str = "", budget: int = 1500) -> View:
+    """The command line's skeleton: ranked for a task, or by centrality without one."""
+    return skeleton(graph, budget, ranking=rank.rank_for_task(graph.files, graph.symbols, links(graph), task))
+
+
+def savings(estimates: DataFrame) -> DataFrame:
+    """``line`` rows, in order of ``no``, of a table of ``task, tokens, baseline``, and their totals last."""
+    shown = lambda n: F.when(n >= 1000, F.format_string("%.1fK", n / 1000)).otherwise(n.cast("string"))
+    ratio = F.when(F.col("tokens") > 0, F.col("baseline") / F.col("tokens")).otherwise(F.lit(0.0))
+    line = F.format_string("| %s | %s | %s | %.1f× |", "task", shown(F.col("tokens")), shown(F.col("baseline")), ratio)
+    totals = estimates.agg(F.sum("tokens").alias("tokens"), F.sum("baseline").alias("baseline")).select(F.lit("total").alias("task"), "tokens", "baseline", F.lit(1).alias("last"))
+    both = estimates.select("task", "tokens", "baseline", F.lit(0).alias("last")).unionByName(totals)
+    return both.select(F.row_number().over(Window.orderBy("last", "task")).alias("no"), line.alias("line"))

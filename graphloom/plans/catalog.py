@@ -1,39 +1,21 @@
-"""All queries of the graph engine by name, with oracle SQL where there is any."""
+"""Queries of the graph engine by name, with oracle SQL where there is any.
 
-from __future__ import annotations
+Importing this module registers those of its sibling modules too.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import assemble, budget, churn, index_state, neighborhood, rank, retrieval, viewer, views as rendered
+from graphloom.operators import assemble, budget, churn, index_state, neighborhood, rank, retrieval, viewer
 from graphloom.operators.model import Graph
 from graphloom.plans import views as V
+from graphloom.plans.registry import ORACLES, QUERIES, query, with_  # noqa: F401  a driver reads both tables here
 from graphloom.sources import exchange, languages, scan
 from graphloom.streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register under the function's name; without SQL a driver can only count rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def with_(*ctes: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
-
-
 # ---- scanning and scalar functions -------------------------------------------------
 
 @query(with_(V.DOCS) + r"""
@@ -206,10 +188,10 @@ def pagerank_plain(spark, d):
     return _rounded(_scores(spark, d), V.files(spark, d).count())
 
 
-@query(with_(V.FILES, V.RANK_EDGES, V.pagerank_sql("CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END")) + ROUNDED)
+@query(with_(V.FILES, V.RANK_EDGES, V.pagerank_sql("CASE WHEN language = 'go' THEN loc ELSE 0 END")) + ROUNDED)
 def pagerank_personalized(spark, d):
     f = V.files(spark, d)
-    lean = f.where("id % 97 = 0").select("id", F.lit(1.0).alias("weight"))
+    lean = f.where("language = 'go'").select("id", F.col("loc").cast("double").alias("weight"))
     return _rounded(rank.centrality(f, V.rank_edges(spark, d), lean), f.count())
 
 
@@ -256,38 +238,41 @@ def find_symbols_regex(spark, d):
 
 def _neighbours(spark, d, direction):
     f = V.files(spark, d)
-    out = retrieval.neighbours(V.rank_edges(spark, d), f, _scores(spark, d), f.where("id % 40 = 0").select("id"), direction)
+    out = retrieval.neighbours(V.rank_edges(spark, d), f, _scores(spark, d), f.select("id"), direction)
     return out.select("centre", "id", "weight", F.round("score", 6).alias("score"))
 
 
-@query(RANKS + "SELECT dst AS centre, src AS id, weight, round(score, 6) AS score FROM edges JOIN ranks ON ranks.id = src WHERE dst % 40 = 0")
+@query(RANKS + "SELECT dst AS centre, src AS id, weight, round(score, 6) AS score FROM edges JOIN ranks ON ranks.id = src")
 def dependents(spark, d):
     return _neighbours(spark, d, "in")
 
 
-@query(RANKS + "SELECT src AS centre, dst AS id, weight, round(score, 6) AS score FROM edges JOIN ranks ON ranks.id = dst WHERE src % 40 = 0")
+@query(RANKS + "SELECT src AS centre, dst AS id, weight, round(score, 6) AS score FROM edges JOIN ranks ON ranks.id = dst")
 def dependencies(spark, d):
     return _neighbours(spark, d, "out")
 
 
 @query(with_(V.FILES, V.SYMBOLS) + """, targets AS (
-  SELECT path AS target FROM files WHERE id % 50 = 0 UNION SELECT split_part(path, '/', 3) FROM files WHERE id % 50 = 1
+  SELECT path AS target FROM files UNION SELECT split_part(path, '/', 3) FROM files UNION SELECT './' || path FROM files
   UNION SELECT name FROM symbols UNION SELECT 'nowhere.ts'),
-exact AS (SELECT target, f.id FROM targets JOIN files f ON path = target),
-tail AS (SELECT target, min(f.id) AS id FROM targets JOIN files f ON path = target OR ends_with(path, '/' || target) GROUP BY target HAVING count(*) = 1),
-sym AS (SELECT target, min(file_id) AS id FROM targets JOIN symbols ON name = target GROUP BY target HAVING count(DISTINCT file_id) = 1)
+cleaned AS (SELECT target, CASE WHEN starts_with(target, './') THEN substr(target, 3) ELSE target END AS t FROM targets),
+tails AS (SELECT id, path AS t FROM files UNION ALL SELECT id, split_part(path, '/', 2) || '/' || split_part(path, '/', 3) FROM files UNION ALL SELECT id, split_part(path, '/', 3) FROM files),
+exact AS (SELECT target, f.id FROM cleaned JOIN files f ON path = t),
+tail AS (SELECT target, min(tails.id) AS id FROM cleaned JOIN tails USING (t) GROUP BY target HAVING count(*) = 1),
+sym AS (SELECT target, min(file_id) AS id FROM cleaned JOIN symbols ON name = t GROUP BY target HAVING count(DISTINCT file_id) = 1)
 SELECT target, coalesce(e.id, t.id, s.id) AS file_id, CASE WHEN e.id IS NOT NULL THEN 'path' WHEN t.id IS NOT NULL THEN 'suffix' WHEN s.id IS NOT NULL THEN 'symbol' END AS via
 FROM targets LEFT JOIN exact e USING (target) LEFT JOIN tail t USING (target) LEFT JOIN sym s USING (target)""")
 def resolve_file_target(spark, d):
     f, s = V.files(spark, d), V.symbols(spark, d)
-    targets = f.where("id % 50 = 0").select(F.col("path").alias("target")).unionByName(f.where("id % 50 = 1").select(T.base_name(F.col("path")).alias("target")))
+    targets = f.select(F.explode(F.array("path", T.base_name(F.col("path")), F.concat(F.lit("./"), "path"))).alias("target"))
     targets = targets.unionByName(s.select(F.col("name").alias("target"))).unionByName(spark.sql("SELECT 'nowhere.ts' AS target")).distinct()
     return retrieval.resolve_file_target(f, s, targets)
 
 
-@query(with_(V.EDGES) + "SELECT src, dst, weight FROM edges WHERE src % 9 = 0 AND dst % 9 = 0")
+@query(with_(V.FILES, V.EDGES) + """SELECT src, dst, weight FROM edges JOIN files s ON s.id = src JOIN files t ON t.id = dst
+WHERE s.language IN ('python', 'go') AND t.language IN ('python', 'go')""")
 def spotlight_payload(spark, d):
-    return retrieval.payload_edges(V.edges(spark, d), V.files(spark, d).where("id % 9 = 0"))
+    return retrieval.payload_edges(V.edges(spark, d), V.files(spark, d).where(F.col("language").isin("python", "go")))
 
 
 KEYWORDS = ["tion", "thon", "licensed", "general"]
@@ -311,40 +296,39 @@ def exploration_baseline(spark, d):
 
 # ---- traversal ---------------------------------------------------------------------
 
-def _rings_sql(edges: str, step: int, depth: int) -> str:
-    head = with_(edges, "ways AS (SELECT src AS a, dst AS b, 1 AS way FROM edges UNION ALL SELECT dst, src, 2 FROM edges)", f"r0 AS (SELECT p_partkey AS centre, p_partkey AS id, 0 AS ring, 'center' AS relation FROM part WHERE p_partkey % {step} = 0)")
+#: Rings are a search: its queries are the files whose id is divisible by this, against all files and edges.
+CENTRES = 20
+
+
+def _rings_sql(depth: int) -> str:
+    head = with_(V.EDGES, "ways AS (SELECT src AS a, dst AS b, 1 AS way FROM edges UNION ALL SELECT dst, src, 2 FROM edges)", f"r0 AS (SELECT p_partkey AS centre, p_partkey AS id, 0 AS ring, 'center' AS relation FROM part WHERE p_partkey % {CENTRES} = 0)")
     seen = ["r0"]
     for k in range(1, depth + 1):
         known = " UNION ALL ".join(f"SELECT centre, id FROM {r}" for r in seen)
-        head += f""", r{k} AS (SELECT centre, b AS id, {k} AS ring, CASE bit_or(way) WHEN 1 THEN 'dependency' WHEN 2 THEN 'dependent' ELSE 'mixed' END AS relation
-  FROM r{k - 1} JOIN ways ON a = id WHERE (centre, b) NOT IN ({known}) GROUP BY centre, b)
+        head += f""", r{k} AS (SELECT h.* FROM (SELECT centre, b AS id, {k} AS ring, CASE bit_or(way) WHEN 1 THEN 'dependency' WHEN 2 THEN 'dependent' ELSE 'mixed' END AS relation
+  FROM r{k - 1} JOIN ways ON a = id GROUP BY centre, b) h ANTI JOIN ({known}) s USING (centre, id))
 """
         seen.append(f"r{k}")
     return head + " UNION ALL ".join(f"SELECT centre, id, ring, relation FROM {r}" for r in seen)
 
 
-def _rings(spark, d, edges, step, depth):
-    return neighborhood.rings(edges, V.files(spark, d).where(f"id % {step} = 0").select("id"), depth)
+def _rings(spark, d, depth):
+    return neighborhood.rings(V.edges(spark, d), V.files(spark, d).where(f"id % {CENTRES} = 0").select("id"), depth)
 
 
-@query(_rings_sql(V.RANK_EDGES, 40, 1))
+@query(_rings_sql(1))
 def neighborhood_depth1(spark, d):
-    return _rings(spark, d, V.rank_edges(spark, d), 40, 1)
+    return _rings(spark, d, 1)
 
 
-@query(_rings_sql(V.RANK_EDGES, 40, 2))
+@query(_rings_sql(2))
 def neighborhood_depth2(spark, d):
-    return _rings(spark, d, V.rank_edges(spark, d), 40, 2)
+    return _rings(spark, d, 2)
 
 
-@query(_rings_sql(V.RANK_EDGES, 40, 3))
+@query(_rings_sql(3))
 def neighborhood_depth3(spark, d):
-    return _rings(spark, d, V.rank_edges(spark, d), 40, 3)
-
-
-@query(_rings_sql(V.EDGES, 400, 2))
-def neighborhood_dense(spark, d):
-    return _rings(spark, d, V.edges(spark, d), 400, 2)
+    return _rings(spark, d, 3)
 
 
 # ---- budgets -----------------------------------------------------------------------
@@ -359,16 +343,16 @@ def repo_totals(spark, d):
     return V.files(spark, d).agg(F.count("*").alias("n_files"), F.sum("loc").alias("total_loc"), F.countDistinct("language").alias("n_languages"), F.max("loc").alias("max_loc"))
 
 
-LIMIT = 400
+LIMIT = 200
 
 
 @query(RANKS + f""", hits AS (SELECT src AS id, path, weight, ceil(length(path) / 4.0) AS tok, row_number() OVER (ORDER BY round(score, 12) DESC, weight DESC, path) AS no
-  FROM edges JOIN files ON files.id = src JOIN ranks ON ranks.id = src WHERE dst % 40 = 0),
+  FROM edges JOIN files ON files.id = src JOIN ranks ON ranks.id = src WHERE dst = (SELECT max(id) FROM files)),
 runs AS (SELECT *, sum(tok) OVER (ORDER BY no) AS used FROM hits)
 SELECT id, path, weight FROM runs WHERE no < coalesce((SELECT min(no) FROM runs WHERE used > {LIMIT} AND no > 1), 1000000000)""")
 def dependents_budgeted(spark, d):
     f = V.files(spark, d)
-    hits = retrieval.neighbours(V.rank_edges(spark, d), f, _scores(spark, d), f.where("id % 40 = 0").select("id"), "in")
+    hits = retrieval.neighbours(V.rank_edges(spark, d), f, _scores(spark, d), f.agg(F.max("id").alias("id")), "in")
     kept = budget.within_budget(hits, [F.round("score", 12).desc(), F.desc("weight"), F.asc("path")], T.estimate_tokens(F.col("path")), LIMIT)
     return kept.select("id", "path", "weight")
 
@@ -391,25 +375,6 @@ def _graph(spark, d) -> Graph:
     return Graph("parts", f, s, numbered, calls_)
 
 
-def _shown(spark, view) -> DataFrame:
-    return spark.createDataFrame([(view.text, view.file_ids)], "text string, file_ids array<long>")
-
-
-@query()
-def skeleton(spark, d):
-    return _shown(spark, rendered.skeleton(_graph(spark, d)))
-
-
-@query()
-def neighborhood_view(spark, d):
-    return _shown(spark, rendered.neighborhood(_graph(spark, d), 40))
-
-
-@query()
-def resolve_context(spark, d):
-    return _shown(spark, rendered.resolve_context(_graph(spark, d), TASK))
-
-
 # ---- history -----------------------------------------------------------------------
 
 @query(with_(V.FILES, V.COMMITS) + f"SELECT path, count(*) AS commits FROM commits JOIN files ON files.id = file_id WHERE ts >= {UNTIL} - INTERVAL 90 DAY GROUP BY path")
@@ -423,7 +388,7 @@ def history_30_90(spark, d):
     return churn.history(V.commits(spark, d), V.files(spark, d), V.last_commit(spark, d))
 
 
-@query(with_("t AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem)", "k AS (SELECT c FROM t GROUP BY c HAVING count(*) BETWEEN 2 AND 50)") + """
+@query(with_("t AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem)", "k AS (SELECT c FROM t GROUP BY c HAVING count(*) >= 2)") + """
 SELECT a.f AS file_a_id, b.f AS file_b_id, count(*) AS co_changes FROM k JOIN t a USING (c) JOIN t b ON b.c = a.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2""")
 def coupling(spark, d):
     return churn.coupling(V.commits(spark, d), V.files(spark, d))
@@ -548,9 +513,7 @@ def legend_bands(spark, d):
 @query()
 def layout(spark, d):
     f, e = V.files(spark, d), V.rank_edges(spark, d)
-    scores = _scores(spark, d)
-    # Viewers lay out a capped graph.
-    return viewer.graph_layout(viewer.cap_files(f, e, 1500).select("id", "path"), e, scores)
+    return viewer.graph_layout(f.select("id", "path"), e, _scores(spark, d))
 
 
 # ---- sets and differences ----------------------------------------------------------
@@ -599,13 +562,6 @@ def last_event(spark, d):
     return live.last_event(V.events(spark, d))
 
 
-@query()
-def request_queue(spark, d):
-    action = F.when(F.col("kind") == "purchase", "take").when(F.col("kind") == "error", "take_question").otherwise("put")
-    kind = F.when(F.col("kind") == "signup", "question").otherwise("instruction")
-    return live.queue_results(V.events(spark, d).select((F.col("key") % 10).alias("key"), "ts", "event_id", action.alias("action"), kind.alias("kind")))
-
-
 @query(with_(V.FILES, "e AS (SELECT user_id, ceil(length(props) / 4.0)::BIGINT AS tok, (props::JSON->>'k')::BIGINT AS f FROM events)",
     "b AS (SELECT user_id, count(*) AS n_files, sum(greatest(loc, 1) * 8)::BIGINT AS baseline FROM (SELECT DISTINCT user_id, f FROM e) JOIN files ON files.id = f GROUP BY user_id)") + """
 SELECT e.user_id AS session, count(*) AS calls, sum(tok)::BIGINT AS tokens, coalesce(any_value(n_files), 0) AS n_files, coalesce(any_value(baseline), 0) AS baseline FROM e LEFT JOIN b USING (user_id) GROUP BY e.user_id""")
@@ -646,3 +602,6 @@ IGNORES = ["brand1/", "*.css", "!brand2/**", "/brand3/economy", "#comment"]
   WHEN path LIKE '%.css' THEN false WHEN path LIKE 'brand1/%' THEN false ELSE true END""")
 def ignore_rules(spark, d):
     return V.files(spark, d).where(~scan.excluded(F.col("path"), scan.compile_rules(IGNORES))).select("id", "path")
+
+
+from graphloom.plans import scalars, scanning, shown  # noqa: E402, F401

@@ -2,39 +2,95 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import base_name
 from graphloom.operators import assemble
 from graphloom.operators.model import Graph
 from graphloom.plans.shared_folder import written
 from graphloom.sources import parse, scan
 
-#: Languages whose packages resolve to the first file under a folder, or to the first path that holds the name.
-BY_FOLDER, BY_SUBSTRING = ["java", "kotlin", "scala", "csharp"], ["go"]
+#: Languages whose packages resolve to the first file under a folder.
+BY_FOLDER = ["java", "kotlin", "scala", "csharp"]
+#: Modules that Swift brings along.
+SWIFT_OWN = ["Foundation", "UIKit", "SwiftUI", "AppKit", "CoreData", "Dispatch", "Combine"]
+CONFIGS = ("tsconfig.json", "jsconfig.json")
+
+Rules = list[tuple[str, str, list[str]]]
+
+
+def aliases_of(files: DataFrame) -> dict[str, Rules]:
+    """Alias rules by the folder of each compiler config among ``path, content`` rows; configs are few, and one that can't be read counts for none."""
+    found: dict[str, Rules] = {}
+    configs = files.where(base_name(F.col("path")).isin(*CONFIGS)).select("path", "content").collect()
+    for row in sorted(configs, key=lambda r: (r["path"].count("/"), not r["path"].endswith(CONFIGS[0]))):
+        folder = row["path"].rpartition("/")[0]
+        try:
+            config = scan.parse_jsonc(row["content"])
+        except ValueError:
+            continue
+        rules = scan.alias_rules(config, folder) if isinstance(config, dict) else []
+        if rules:
+            found.setdefault(folder, rules)
+    return found
+
+
+def _same_folded(wanted: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+    """``key..., path, target_id``: the first path that is one of ``names``, whatever the case."""
+    named = wanted.select(*key, F.explode("names").alias("name")).withColumn("name", F.lower("name"))
+    found = named.join(files.select(F.lower("path").alias("name"), "path", F.col("id").alias("target_id")), "name")
+    return found.groupBy(*key).agg(F.min("path").alias("path"), F.min_by("target_id", "path").alias("target_id"))
+
 
+def resolve(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
+    """``file_id, specifier, target_id``: candidate paths first, then what a language has besides.
 
-def resolve(files: DataFrame, imports: DataFrame, aliases: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
-    """``file_id, specifier, target_id``: candidate paths first, then folders and substrings where a language has them."""
+    ``aliases`` are the rules of configs by folder, of which a file's nearest holds
+    (or one list for all files).  Java and its like take the first file under the
+    package's folder; Go the first path that holds the module's; Swift the same
+    among its own files; Elm a path that differs in case alone; OCaml and Elixir
+    the first path that is the module's, or holds its name, whatever the case.
+    """
+    aliases = {"": aliases} if isinstance(aliases, list) else aliases or {}
     named = imports.join(files.select(F.col("id").alias("file_id"), "path", "language"), "file_id")
     tried = parse.candidates(F.col("language"), F.col("path"), F.col("specifier"))
     if aliases:
+        dirs = files.sparkSession.createDataFrame([(d,) for d in aliases], "config_dir string")
+        nearest = assemble.nearest_config(files, dirs).withColumnRenamed("id", "file_id")
+        named = named.join(nearest, "file_id", "left")
+        made = F.array().cast("array<string>")
+        for folder, rules in aliases.items():
+            made = F.when(F.col("config_dir") == folder, assemble.alias_candidates(F.col("specifier"), rules)).otherwise(made)
+        made = F.flatten(F.transform(made, lambda c: F.array(*[F.concat(c, F.lit(e)) for e in parse.TRIED["typescript"]])))
         script = F.col("language").isin("typescript", "javascript") & ~F.col("specifier").startswith(".")
-        made = F.flatten(F.transform(assemble.alias_candidates(F.col("specifier"), aliases), lambda c: F.array(*[F.concat(c, F.lit(e)) for e in parse.TRIED["typescript"]])))
         tried = F.when(script, F.concat(made, tried)).otherwise(tried)
     key = ["file_id", "specifier"]
     direct = assemble.first_candidate(named.select(*key, tried.alias("candidates")), files, key)
     left = named.join(direct, key, "left_anti")
     slashed = F.replace(F.regexp_replace("specifier", r"\.\*$", ""), F.lit("."), F.lit("/"))
-    folders = assemble.under_folder(left.where(F.col("language").isin(BY_FOLDER)).select(*key, slashed.alias("folder")), files, key)
-    go = left.where(F.col("language").isin(BY_SUBSTRING) & F.split("specifier", "/")[0].contains("."))
+    of = lambda *languages: left.where(F.col("language").isin(*languages))
+    folders = assemble.under_folder(of(*BY_FOLDER).select(*key, slashed.alias("folder")), files, key)
+    go = of("go").where(F.split("specifier", "/")[0].contains("."))
     inside = assemble.containing(go.select(*key, F.col("specifier").alias("needle")), files, key)
-    return direct.unionByName(folders).unionByName(inside)
+    swift = of("swift").where(~F.col("specifier").isin(*SWIFT_OWN)).select(*key, slashed.alias("needle"))
+    elm = _same_folded(of("elm").select(*key, F.array(F.concat(slashed, F.lit(".elm"))).alias("names")), files, key)
+    folded = of("ocaml", "elixir")
+    holding = assemble.containing(folded.select(*key, F.col("specifier").alias("needle")), files, key, fold_case=True).join(files.select(F.col("id").alias("target_id"), "path"), "target_id")
+    equal = _same_folded(folded.select(*key, F.array(F.concat(slashed, F.lit(".ml")), F.concat(slashed, F.lit(".mli"))).alias("names")), files, key)
+    first = holding.select(*key, "path", "target_id").unionByName(equal).groupBy(*key).agg(F.min_by("target_id", "path").alias("target_id"))
+    rest = (folders, inside, assemble.containing(swift, files, key, suffix=".swift"), elm.drop("path"), first)
+    for found in rest:
+        direct = direct.unionByName(found)
+    return direct
 
 
-def build_graph(spark: SparkSession, scanned: DataFrame, name: str, known: DataFrame | None = None, aliases: list[tuple[str, str, list[str]]] | None = None) -> Graph:
-    """Ids, parsed symbols, import edges and call edges of scanned files."""
+def build_graph(spark: SparkSession, scanned: DataFrame, name: str, known: DataFrame | None = None, aliases: dict[str, Rules] | Rules | None = None) -> Graph:
+    """Ids, parsed symbols, import edges and call edges of scanned files; aliases, unless given, are those of the configs among them."""
     files = written(assemble.file_ids(scanned, known), "files")
+    aliases = aliases_of(files) if aliases is None else aliases
     parsed = written(parse.parse_files(files), "parsed")
     symbols, imports, calls = parse.tables(files, parsed)
     symbols = written(assemble.symbol_ids(symbols).drop("pos"), "symbols")
@@ -49,15 +105,5 @@ def build_graph(spark: SparkSession, scanned: DataFrame, name: str, known: DataF
 
 
 def build_repo(spark: SparkSession, root: str, known: DataFrame | None = None) -> Graph:
-    """A repository on the driver's disk; its compiler config's aliases count."""
-    import os
-
-    aliases = []
-    for config in ("tsconfig.json", "jsconfig.json"):
-        try:
-            with open(os.path.join(root, config), encoding="utf-8") as f:
-                aliases = scan.alias_rules(scan.parse_jsonc(f.read()))
-            break
-        except (OSError, ValueError):
-            continue
-    return build_graph(spark, scan.scan_repo(spark, root), os.path.basename(os.path.abspath(root)), known, aliases)
+    """A repository on a disk that executors reach."""
+    return build_graph(spark, scan.scan_repo(spark, root), os.path.basename(os.path.abspath(root)), known)

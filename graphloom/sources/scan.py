@@ -17,11 +17,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import loc, looks_binary, low_byte_sha
-from graphloom.sources.languages import detect_language
+from graphloom.sources.languages import BINARY, detect_language
 
 MOST_BYTES = 1_500_000
 #: Folders that no repository wants indexed.
-ALWAYS_IGNORED = [".git/", "node_modules/", ".DS_Store", "__pycache__/", ".venv/", ".idea/", ".cache/"]
+ALWAYS_IGNORED = [
+    ".git/", ".hg/", ".svn/", ".idea/", ".vscode/",
+    "node_modules/",
+    ".venv/", "venv/", "__pycache__/", ".mypy_cache/", ".pytest_cache/", ".ruff_cache/", ".tox/", ".nox/",
+    ".next/", ".nuxt/", ".svelte-kit/", ".astro/", ".turbo/", ".parcel-cache/", ".cache/",
+    ".gradle/", ".dart_tool/", ".cargo/", ".vercel/", ".netlify/", ".output/", ".docusaurus/",
+]
+#: What a repository leaves out only because it has a language; build outputs are below.
+LANGUAGE_IGNORED = {
+    "typescript": [".contentlayer/", ".wrangler/", ".expo/", ".linaria-cache/", ".rollup.cache/", "storybook-static/", "coverage/", "*.min.js", "*.map", "*.bundle.js"],
+    "javascript": [".contentlayer/", ".wrangler/", ".expo/", ".linaria-cache/", ".rollup.cache/", "storybook-static/", "coverage/", "*.min.js", "*.map", "*.bundle.js"],
+    "python": [".env/", "env/", ".hypothesis/", ".mypy/", ".pyre/", ".pytype/", "*.egg-info/", "*.egg/", "*.pyc", "*.pyo", "htmlcov/", ".coverage*"],
+    "go": ["vendor/", "bin/"],
+    "rust": ["target/"],
+    "java": ["target/", "*.class", "*.jar", "*.war"],
+    "c": ["CMakeFiles/", ".cmake/", ".clangd/", ".ccls-cache/", "*.o", "*.obj", "*.a", "*.so", "*.dylib", "*.dll"],
+    "cpp": ["CMakeFiles/", ".cmake/", ".clangd/", ".ccls-cache/", "*.o", "*.obj", "*.a", "*.so", "*.dylib", "*.dll"],
+    "csharp": ["bin/", "obj/", ".vs/", "packages/", "*.dll", "*.exe", "*.nupkg"],
+    "kotlin": ["target/", ".kotlin/", "*.class", "*.jar"],
+    "ruby": ["vendor/bundle/", ".bundle/", "tmp/", "log/", "*.gem"],
+    "php": ["vendor/", "var/", "bootstrap/cache/", "*.phar"],
+    "swift": [".build/", "DerivedData/", "Pods/", "Carthage/"],
+    "scala": [".ivy/", ".coursier/", ".sbt/", ".metals/", ".bloop/", ".bsp/", "target/", "*.class", "*.jar"],
+    "dart": [".pub-cache/", "*.g.dart", "*.freezed.dart"],
+    "zig": ["zig-cache/", ".zig-cache/", "zig-out/", "*.o"],
+    "lua": ["lua_modules/", ".luarocks/", "*.luac"],
+    "r": ["renv/", "packrat/", ".Rproj.user/", "*.o", "*.so", "*.dll"],
+    "elixir": ["deps/", "_build/", ".elixir_ls/", ".lexical/", "rel/", "cover/", "doc/", "*.beam"],
+    "elm": ["elm-stuff/"],
+    "ocaml": ["_opam/", "_build/", ".merlin", "*.cmo", "*.cmi", "*.cmx", "*.o"],
+    "rescript": ["lib/bs/", "lib/es6/", "lib/ocaml/", "*.bs.js"],
+    "solidity": ["artifacts/", "cache/", "broadcast/", "typechain-types/", "*.abi.json"],
+    "tlaplus": [".toolbox/", "*.states", "*.traces"],
+    "objc": ["DerivedData/", "Pods/", "*.o", "*.obj", "*.a"],
+    "vue": ["coverage/", "storybook-static/", "*.min.js", "*.map"],
+    "html": ["_site/"],
+    "css": [".sass-cache/", "*.min.css", "*.css.map"],
+    "json": ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb"],
+    "embedded_template": ["vendor/", "tmp/", "log/"],
+    "systemrdl": ["gen/", "generated/"],
+    "ql": [".codeql/", "*.bqrs", "*.sarif"],
+    "elisp": ["elpa/", "quelpa/", "straight/", "*.elc", "*.eln"],
+}
+#: Languages whose build output lies in a folder of each of these names.
+OUTPUTS = {
+    "dist/": "typescript javascript python go rust php dart zig lua r elm ocaml rescript solidity tlaplus bash vue html css json yaml toml embedded_template ql elisp".split(),
+    "build/": "typescript javascript python go rust java c cpp kotlin php swift scala dart zig lua r elm ocaml rescript solidity tlaplus objc bash vue html css json yaml toml embedded_template systemrdl ql elisp".split(),
+    "out/": "typescript javascript java c cpp kotlin scala dart elm rescript solidity tlaplus bash vue html css json yaml toml embedded_template systemrdl ql elisp".split(),
+}
 
 
 @dataclass(frozen=True)
@@ -34,7 +82,10 @@ class Rule:
 
 
 def compile_rule(line: str, folder: str = "") -> Rule | None:
-    """A subset of gitignore: comments, ``!``, leading and trailing slashes, ``*``, ``**`` and ``?``; a space means ``**`` too."""
+    """A subset of gitignore: comments, ``!``, leading and trailing slashes, ``*``, ``**`` and ``?``.
+
+    A space means ``**`` too: a deviation from gitignore that existing indexes rely on.
+    """
     text = line.strip()
     if not text or text.startswith("#"):
         return None
@@ -51,6 +102,18 @@ def compile_rules(lines: list[str], folder: str = "") -> list[Rule]:
     return [r for r in (compile_rule(x, folder) for x in lines) if r]
 
 
+def language_rules(present: list[str]) -> list[Rule]:
+    """Rules that hold in a repository because it has these languages; they are known once it has been listed."""
+    lines = [line for language in sorted(present) for line in LANGUAGE_IGNORED.get(language, [])]
+    return compile_rules([*lines, *(folder for folder, having in OUTPUTS.items() if set(having) & set(present))])
+
+
+def without_outputs(files: DataFrame) -> DataFrame:
+    """``path, language, ...`` without what the rules of the languages present exclude; the languages are a bounded list."""
+    present = [r["language"] for r in files.select("language").where("language is not null").distinct().collect()]
+    return files.where(~excluded(F.col("path"), language_rules(present)))
+
+
 def excluded(path: Column, rules: list[Rule]) -> Column:
     """Whether the last rule that matches a path excludes it."""
     out = F.lit(False)
@@ -74,17 +137,17 @@ def is_excluded(path: str, rules: list[Rule]) -> bool:
 
 def parse_jsonc(text: str):
     """JSON with comments and trailing commas; what looks like either inside a string stays."""
-    tokens = re.findall(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|[^"/]+|/', text, re.S)
-    bare = [t for t in tokens if not t.startswith(("//", "/*"))]
-    out = ""
-    for i, t in enumerate(bare):
-        if not t.startswith('"'):
-            follow = "".join(bare[i:])
-            t = re.sub(r",(\s*[}\]])", r"\1", t)
-            if re.fullmatch(r"\s*,\s*", t) and re.match(r"\s*,\s*[}\]]", follow):
-                t = t.replace(",", "")
-        out += t
-    return json.loads(out)
+    tokens = re.findall(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|\s+|,|[^"/,\s]+|/', text, re.S)
+    out: list[str] = []
+    comma = None  # where the last token but gaps is a comma
+    for t in tokens:
+        if t.startswith(("//", "/*")) or t.isspace():
+            continue
+        if t[0] in "}]" and comma is not None:
+            out[comma] = ""
+        comma = len(out) if t == "," else None
+        out.append(t)
+    return json.loads("".join(out))
 
 
 def config_excludes(root: str, folder: str) -> list[str]:
@@ -148,8 +211,8 @@ def scan_repo(spark: SparkSession, root: str, extra: list[str] | None = None, mo
     """
     root = os.path.abspath(root)
     paths = spark.createDataFrame([(p,) for p in listed(root, extra)], "path string")
-    # Known binaries are never opened.
-    wanted = paths.where(detect_language(F.col("path")).isNotNull())
+    # Known binaries and other languages' outputs are never opened.
+    wanted = without_outputs(paths.withColumn("language", detect_language(F.col("path"))).where("language is not null")).select("path")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -186,3 +249,33 @@ def commit_log(spark: SparkSession, text_path: str, prefix: str = "") -> DataFra
     if prefix:
         rows = rows.where(F.startswith("path", F.lit(prefix))).withColumn("path", F.substring("path", F.lit(len(prefix) + 1), F.length("path")))
     return rows.select("path", "commit_id", "ts", "author")
+
+
+#: What is indexed without a checkout at most (files, bytes, bytes of a file), and folders that are left out there.
+HOSTED_FILES, HOSTED_BYTES, HOSTED_FILE_BYTES = 1500, 20 << 20, 3 << 19
+HOSTED_IGNORED = r"(^|/)(node_modules|\.git|dist|build|out|\.next|\.turbo|coverage|vendor|target|__pycache__|\.venv|venv)(/|$)"
+
+
+def hosted(tree: DataFrame) -> DataFrame:
+    """Files (``kind`` blob) of a hosted repository's ``path, kind, size`` listing that are fetched."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    return tree.where((F.col("kind") == "blob") & ~F.col("path").rlike(HOSTED_IGNORED) & ~suffix.isin(*BINARY.split()) & (F.coalesce("size", F.lit(0)) <= HOSTED_FILE_BYTES))
+
+
+def checked_size(picked: DataFrame, most_files: int = HOSTED_FILES, most_bytes: int = HOSTED_BYTES) -> DataFrame:
+    """``picked``, or an error if that is more than is indexed without a checkout."""
+    n, size = picked.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if n > most_files or size > most_bytes:
+        raise ValueError(f"too large to index without a checkout: {n} files, {size} bytes")
+    return picked
+
+
+def browsed(entries: DataFrame, hidden: bool = False) -> DataFrame:
+    """``name, is_git`` of folders to choose from, repositories first, then by name whatever the case; hidden ones on demand."""
+    kept = entries if hidden else entries.where(~F.startswith("name", F.lit(".")))
+    return kept.orderBy(F.desc("is_git"), F.lower("name"), "name")
+
+
+def fresh(written_at: Column, index_at: Column, now: Column, ttl_minutes: int = 60) -> Column:
+    """Whether a stored graph may be served: younger than its time to live and newer than the repository's index."""
+    return (now - written_at < F.expr(f"interval {ttl_minutes} minutes")) & (index_at.isNull() | (written_at > index_at))

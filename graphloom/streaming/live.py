@@ -130,6 +130,43 @@ def answers(requests: DataFrame, replies: DataFrame, within: str = "10 minutes")
     return joined.select("q.request_id", "q.kind", "a.answer", (F.unix_millis("a.ts") - F.unix_millis("q.ts")).alias("waited_ms"))
 
 
+#: Milliseconds between an answer's partial frames.
+FRAME_GAP_MS = 120
+
+
+def throttled(frames: DataFrame, gap_ms: int = FRAME_GAP_MS) -> DataFrame:
+    """``request_id, ts, text, done`` of frames that are sent: partial ones ``gap_ms`` or more after the last sent, and the final one.
+
+    Which partial frames are sent depends on the ones before, so a request's frames are folded in order.
+    """
+    listed = frames.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(F.unix_millis("ts").alias("at"), "done", "text", "ts"))).alias("f"))
+
+    def step(sent, frame):
+        last = F.try_element_at(F.filter(sent, lambda x: ~x["done"]), F.lit(-1))["at"]
+        due = frame["done"] | last.isNull() | (frame["at"] - last >= gap_ms)
+        return F.when(due, F.concat(sent, F.array(frame))).otherwise(sent)
+
+    none = F.filter("f", lambda x: F.lit(False))
+    return listed.select("request_id", F.explode(F.aggregate("f", none, step)).alias("s")).select("request_id", "s.ts", "s.text", "s.done")
+
+
+def running_receipt(calls: DataFrame) -> DataFrame:
+    """``session, ts, event_id, calls, tokens`` so far, after each call of a session."""
+    so_far = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return calls.select("session", "ts", "event_id", F.count("*").over(so_far).alias("calls"), F.sum("tokens").over(so_far).alias("tokens"))
+
+
+def questions(requests: DataFrame) -> DataFrame:
+    """Requests that an agent answers by itself: those of no kind or of the kind ``question``."""
+    return requests.where(F.col("kind").isNull() | (F.col("kind") == "question"))
+
+
+def answer_events(replies: DataFrame) -> DataFrame:
+    """``kind, request_id, answer, done, ts`` events from ``request_id, answer, ts``; a reply that lacks either is none."""
+    given = replies.where((F.coalesce("request_id", F.lit("")) != "") & (F.coalesce("answer", F.lit("")) != ""))
+    return given.select(F.lit("answer").alias("kind"), "request_id", "answer", F.lit(True).alias("done"), "ts")
+
+
 def watch(changes: DataFrame, reindex: Callable[[DataFrame, int], None], every: str = "200 milliseconds", checkpoint: str | None = None):
     """Reindex on changed paths: what comes while a batch runs makes exactly one next batch."""
 
