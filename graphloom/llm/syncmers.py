@@ -118,6 +118,14 @@ def likeness(a: Column, b: Column) -> Column:
     return alike(links(anchors_of(a)), links(anchors_of(b)))
 
 
+def _below(cuts: list[int], key: Column, step: int = 64) -> Column:
+    """How many of some sorted numbers aren't above ``key``: first among every ``step``-th, then among those between two of these."""
+    count = lambda numbers: F.size(F.filter(numbers, lambda c: c <= key))
+    listed = lambda numbers: F.array(*map(F.lit, numbers)).cast("array<bigint>")
+    whole = count(listed(cuts[step - 1 :: step]))
+    return whole * step + count(F.slice(listed(cuts), whole * step + 1, step - 1))
+
+
 def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """``doc_id, text, anchored, next_text, next_anchored``: the next document by id, after the last the first.
 
@@ -131,8 +139,7 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     n = min(MAX_BLOCKS, blocks or 2 * parallelism(spark))
     cuts = base.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("b")).first()["b"]
     cuts = sorted(set(cuts or []))
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("key")))
-    base = base.withColumn("block", block)
+    base = base.withColumn("block", _below(cuts, F.col("key")))
     # Each block's first id is told to the block before it as well; one id a block, so the list is bounded.
     heads = sorted(tuple(r) for r in base.groupBy("block").agg(F.min("key")).collect())
     blocks_before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}  # the first's is the last
