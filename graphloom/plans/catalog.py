@@ -496,7 +496,7 @@ SELECT 'f' || id AS node, round(r * 0.7 * (1 - (away / r) ** 2) + (xor(h, h >> 1
 def atlas_heights(spark, d):
     f = V.files(spark, d)
     flat = f.select("id", (F.col("id") * 7919 % 1009).alias("x"), (F.col("id") * 104729 % 1013).alias("y"))
-    return viewer.atlas_nodes(f, V.symbols(spark, d).limit(0), flat).select("node", F.round("z", 5).alias("z"))
+    return viewer.atlas_nodes(f, V.symbols(spark, d), flat).where("type = 'file'").select("node", F.round("z", 5).alias("z"))
 
 
 @query(with_(V.FILES) + """, m AS (SELECT greatest(1, max(loc)) AS top FROM files)
