@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import release, small_batches, table, text_of
 
-#: Pieces and neighbour checks remembered by a worker, at most.
-CACHE, PAIRS = 150_000, 100_000
+#: Pieces and neighbour checks remembered by a worker, at most, and places that tell whether a piece was seen (a power of two).
+CACHE, PAIRS, SEEN = 200_000, 250_000, 1 << 21
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,6 +48,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.size_of = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         #: A node maps a byte to a node; at -1 it has the token that ends there.  A node without children is its token.
         self.trie: dict = {}
@@ -98,6 +99,41 @@ class Vocabulary:
             found = self._valid[key] = self._stay_apart(self.edges(left)[1], self.edges(right)[0])
         return found
 
+    def last_tokens(self, data: bytes) -> list[int]:
+        """The last token of each prefix of a piece, as ``PrefixTable`` builds it, in one go."""
+        trie, valid, adjacent, size = self.trie, self._valid, self.adjacent, len(data)
+        last, before = [-1] * size, 0
+        for begin in range(size):
+            node = trie
+            for end in range(begin, size):
+                node = node.get(data[end])
+                if node is None:
+                    break
+                token = node if node.__class__ is int else node.get(-1)
+                if token is not None and last[end] < 0:
+                    if begin:
+                        fits = valid.get(before << 32 | token)
+                        if fits or fits is None and adjacent(before, token):
+                            last[end] = token
+                    else:
+                        last[end] = token
+                if node is token:
+                    break
+            before = last[begin]
+            if before < 0:
+                raise ValueError("the vocabulary lacks a byte")
+        return last
+
+    def parted(self, last: list[int]) -> list[int]:
+        """The encoding that last tokens of prefixes stand for, walked from the end."""
+        out, end, size_of = [], len(last), self.size_of
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= size_of[token]
+        out.reverse()
+        return out
+
     def _stay_apart(self, ends: list[int], starts: list[int]) -> bool:
         never, i, j = 1 << 60, 0, 0
         while True:
@@ -165,11 +201,7 @@ class PrefixTable:
         return self
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocabulary.bytes_of[out[-1]])
-        return out[::-1]
+        return self.vocabulary.parted(self.last)
 
 
 class Codec:
@@ -180,18 +212,23 @@ class Codec:
 
         self.vocabulary, self.pieces = Vocabulary(ranks), regex.compile(pattern).findall
         self._known: dict[str, tuple[int, ...]] = {}
+        self._seen = bytearray(SEEN)
         self.shown = {rank: str(rank) for rank in self.vocabulary.bytes_of}
 
     def _learn(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        found = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
-        if len(self._known) >= CACHE:
-            # The older half goes; dictionaries keep the order of insertion.
-            for old in list(islice(self._known, CACHE // 2)):
-                del self._known[old]
-        if len(piece) <= 64:
-            self._known[piece] = found
+        found = (whole,) if whole is not None else tuple(self.vocabulary.parted(self.vocabulary.last_tokens(data)))
+        # Most pieces occur once, so one is remembered from its second time on (or where it shares a place with one).
+        place = hash(piece) & (SEEN - 1)
+        if self._seen[place]:
+            if len(self._known) >= CACHE:
+                # The older half goes; dictionaries keep the order of insertion.
+                for old in list(islice(self._known, CACHE // 2)):
+                    del self._known[old]
+            if len(piece) <= 64:
+                self._known[piece] = found
+        self._seen[place] = 1
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -203,6 +240,7 @@ class Codec:
     def forget(self) -> None:
         """What was remembered goes; the vocabulary stays."""
         self._known.clear()
+        self._seen = bytearray(SEEN)
         self.vocabulary._valid.clear()
 
     def decode(self, ids: Iterable[int]) -> bytes:
