@@ -23,9 +23,11 @@ Of equal payloads of at least ``least`` bytes the row with the largest
 ``page_id`` is the response; of repeated rows with that id, one.  A null id
 counts as the smallest.  Record ids are made of page id, payload digest and, for
 repeated rows, a number, so they differ.  Pages have no date of their own, so all
-records have the one given.  Payloads may hold version lines or gzip magic.  Very
-long payloads up to ``MOST_BYTES`` are read; larger ones become gaps.  An empty
-table writes no archive.  Other columns are ignored.
+records have the one given.  Payloads may hold version lines or gzip magic.  Headers
+(urls are among them) and payloads of any length are read; a block longer than
+``HELD_BYTES`` passes by under running digests, and the reader goes back to its
+begin if a check fails.  An empty table writes no archive.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,15 +50,19 @@ from graphloom.llm.shared import parallelism, scratch, small_batches, table, tex
 VERSION = b"WARC/1.1\r\n"
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 64 << 20
-#: What the reader fetches at a time, and the most that one record may take once decompressed.
-CHUNK, MOST_BYTES = 1 << 20, 1 << 30
+#: What the reader fetches at a time, the longest block that it holds whole, and the longest name of a header.
+CHUNK, HELD_BYTES, NAME_BYTES = 1 << 20, 1 << 26, 256
 SALTS = 62
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def base32_of(digest) -> str:
+    return base64.b32encode(digest.digest()).decode()
+
+
 def base32_sha1(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return base32_of(hashlib.sha1(payload))
 
 
 def record_id(page_id: int | None, digest: str, copy: int = 1) -> str:
@@ -84,14 +90,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 @dataclass
 class Record:
+    """``block`` is None where it is longer than ``HELD_BYTES``; the rest is known of all."""
+
     offset: int
     headers: dict[str, str]
-    block: bytes
-
-    @property
-    def http(self) -> tuple[bytes, bytes]:
-        head, _, payload = self.block.partition(b"\r\n\r\n")
-        return head, payload
+    block: bytes | None
+    head: bytes
+    payload_bytes: int
+    payload_digest: str
+    length: int
 
 
 @dataclass
@@ -111,20 +118,19 @@ class Broken(Malformed):
     """A member that doesn't decompress to its end."""
 
 
-@dataclass
 class _Ahead:
-    """A file seen through a buffer that only moves on."""
+    """A source that can seek, seen through a buffer that only moves on."""
 
-    file: io.RawIOBase
-    base: int = 0
-    data: bytearray = field(default_factory=bytearray)
-    ended: bool = False
+    def __init__(self, source, length: int | None = None):
+        self.source, self.length, self.base, self.data, self.ended = source, length, 0, bytearray(), False
 
     def fetch(self) -> bool:
-        more = b"" if self.ended else self.file.read(CHUNK)
-        self.ended = not more
-        self.data += more
-        return bool(more)
+        if not self.ended:
+            self.source.seek(self.base + len(self.data))
+            more = self.source.read(CHUNK)
+            self.ended = not more
+            self.data += more
+        return not self.ended
 
     def has(self, n: int) -> bool:
         while len(self.data) < n and self.fetch():
@@ -132,83 +138,141 @@ class _Ahead:
         return len(self.data) >= n
 
     def drop(self, n: int) -> None:
+        """Moves on, past the buffer too."""
+        if n > len(self.data):
+            self.ended = False
         self.base += n
         del self.data[:n]
 
+    def view(self, at: int, n: int) -> bytes:
+        """Up to ``n`` bytes from a position, from the buffer, or past it once that is long; none at the end."""
+        i = at - self.base
+        if 0 <= i <= len(self.data):
+            if i == len(self.data) < HELD_BYTES:
+                self.fetch()
+            if i < len(self.data):
+                return bytes(self.data[i : i + n])
+        self.source.seek(at)
+        return self.source.read(n)
+
+
+def _headers(ahead: _Ahead) -> tuple[dict[str, str], int]:
+    """Headers after the version line, and where the block begins.  Values have no bound; what isn't a header line is refused at once."""
+    headers, at, seen = {}, 10, 10
+    while True:
+        end = ahead.data.find(b"\r\n", seen)
+        if end == at:
+            return headers, end + 2
+        begin = ahead.data[at : end if end >= 0 else len(ahead.data)][: NAME_BYTES + 2]
+        if not (named := re.match(rb"([^\x00-\x20\x7f:]+)[ \t]*:", begin)) and (end >= 0 or len(begin) > NAME_BYTES):
+            raise Malformed("a header without colon")
+        if end < 0:
+            seen = max(at, len(ahead.data) - 1)
+            if not ahead.fetch():
+                raise Malformed("headers without end")
+            continue
+        headers[named[1].decode("latin-1").lower()] = bytes(ahead.data[at + named.end() : end]).strip().decode("utf-8", "replace")
+        at = seen = end + 2
 
-def parse(data: bytes | bytearray, ahead: _Ahead | None = None) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of ``data``, which ``ahead`` may extend."""
-    if not re.match(rb"WARC/\d\.\d\r\n", data[:10]):
+
+def parse(ahead: _Ahead) -> Record:
+    """The record at the buffer's start.  A block up to ``HELD_BYTES`` is held, a longer one only passes by."""
+    if not re.match(rb"WARC/\d\.\d\r\n", ahead.data[:10]):
         raise Malformed("no version line")
-    while (end := data.find(b"\r\n\r\n")) < 0:
-        if len(data) > 1 << 20 or ahead is None or not ahead.fetch():
-            raise Malformed("headers without end")
-    headers = {}
-    for line in bytes(data[:end]).split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Malformed("a header without colon")
-        headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+    headers, begin = _headers(ahead)
     stated = headers.get("content-length", "")
-    if not stated.isascii() or not stated.isdigit() or int(stated) > MOST_BYTES:
+    if not stated.isascii() or not stated.isdigit() or len(stated) > 18:
         raise Malformed("no valid length")
-    stop = end + 4 + int(stated)
-    if ahead is not None:
+    size = int(stated)
+    stop = begin + size
+    unended = Malformed("the block doesn't end where it should")
+    if ahead.length is not None and ahead.base + stop + 4 > ahead.length:
+        raise unended
+    held = size <= HELD_BYTES
+    if held:
         ahead.has(stop + 4)
-    if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
-        raise Malformed("the block doesn't end where it should")
-    block = bytes(data[end + 4 : stop])
-    if (digest := headers.get("warc-block-digest", "")).startswith("sha1:") and base32_sha1(block) != digest[5:]:
+        if ahead.data[stop : stop + 4] != b"\r\n\r\n":
+            raise unended
+    whole, payload, head, payload_bytes, found = hashlib.sha1(), hashlib.sha1(), bytearray(), 0, False
+    at, left = ahead.base + begin, size
+    while left:
+        piece = ahead.view(at, min(CHUNK, left))
+        if not piece:
+            raise unended
+        at, left = at + len(piece), left - len(piece)
+        whole.update(piece)
+        if not found and len(head) <= HELD_BYTES:
+            head += piece
+            if found := (cut := head.find(b"\r\n\r\n", max(0, len(head) - len(piece) - 3))) >= 0:
+                piece = bytes(head[cut + 4 :])
+                del head[cut:]
+        if found:
+            payload.update(piece)
+            payload_bytes += len(piece)
+    if not held:
+        end = b""
+        while len(end) < 4 and (piece := ahead.view(at + len(end), 4 - len(end))):
+            end += piece
+        if end != b"\r\n\r\n":
+            raise unended
+    if (digest := headers.get("warc-block-digest", "")).startswith("sha1:") and base32_of(whole) != digest[5:]:
         raise Malformed("the block has another digest")
     if headers.get("warc-type") == "response" and (digest := headers.get("warc-payload-digest", "")).startswith("sha1:"):
-        if base32_sha1(block.partition(b"\r\n\r\n")[2]) != digest[5:]:
+        if base32_of(payload) != digest[5:]:
             raise Malformed("the payload has another digest")
-    return headers, block, stop + 4
+    return Record(ahead.base, headers, bytes(ahead.data[begin:stop]) if held else None, bytes(head), payload_bytes, base32_of(payload), stop + 4)
+
 
+class _Member:
+    """What the gzip member at a buffer's start decompresses to; going back begins it anew."""
 
-class _Content:
-    """What the gzip member at a buffer's start decompresses to."""
+    def __init__(self, outer: _Ahead):
+        self.outer, self.start = outer, outer.base
+        self.restart()
 
-    def __init__(self, ahead: _Ahead):
-        self.ahead, self.unzip, self.fed = ahead, zlib.decompressobj(31), 0
+    def restart(self) -> None:
+        self.unzip, self.fed, self.at = zlib.decompressobj(31), self.start, 0
 
     def read(self, n: int) -> bytes:
         while not self.unzip.eof:
             piece = self.unzip.unconsumed_tail
             if not piece:
-                if self.fed == len(self.ahead.data) and not self.ahead.fetch():
+                piece = self.outer.view(self.fed, CHUNK)
+                if not piece:
                     raise Broken("a member without end")
-                piece = bytes(self.ahead.data[self.fed : self.fed + CHUNK])
                 self.fed += len(piece)
             try:
                 out = self.unzip.decompress(piece, n)
             except zlib.error as error:
                 raise Broken(f"a broken member: {error}") from None
             if out:
+                self.at += len(out)
                 return out
         return b""
 
-    def position(self) -> int:
-        return self.ahead.base + self.fed - len(self.unzip.unconsumed_tail) - len(self.unzip.unused_data)
+    def seek(self, at: int) -> None:
+        if at < self.at:
+            self.restart()
+        while self.at < at and self.read(min(CHUNK, at - self.at)):
+            pass
 
-    def settle(self, position: int) -> None:
-        """What is surely read needs no second look, so a member of any length takes bounded memory."""
-        self.fed -= position - self.ahead.base
-        self.ahead.drop(position - self.ahead.base)
+    def position(self) -> int:
+        """How far the archive is read; at a member's end what is left over is in both of the tails."""
+        return self.fed - len(self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail)
 
 
 def _member(ahead: _Ahead) -> Iterator[Record | Gap]:
     """Records and gaps in the member at the buffer's start, which is dropped as its records pass."""
-    content, begin = _Content(ahead), ahead.base
-    inner, held, start, reason, at = _Ahead(content), None, None, "", begin
+    member, begin = _Member(ahead), ahead.base
+    inner, held, start, reason, at = _Ahead(member), None, None, "", begin
 
     def lost() -> Gap:
-        return Gap(begin, content.position(), f"bytes {start} to {inner.base} of a member's content: {reason}")
+        return Gap(begin, member.position(), f"bytes {start} to {inner.base} of a member's content: {reason}")
 
     while inner.has(1):
         try:
-            inner.has(5)
-            headers, block, length = parse(inner.data, inner)
+            inner.has(10)
+            found = parse(inner)
         except Broken:
             raise
         except Malformed as error:
@@ -218,29 +282,29 @@ def _member(ahead: _Ahead) -> Iterator[Record | Gap]:
             _skip(inner, rb"WARC/\d")
             continue
         if held is not None:
-            content.settle(at)
+            # What is surely read needs no second look.
+            ahead.drop(at - ahead.base)
             yield held
         if start is not None:
             yield lost()
             start = None
-        held, at = Record(begin, headers, block), content.position()
-        inner.drop(length)
+        held, found.offset, at = found, begin, member.position()
+        inner.drop(found.length)
     # The member is whole: its checksum was checked at its end.
     last = None if start is None else lost()
-    content.settle(content.position())
+    ahead.drop(member.position() - ahead.base)
     yield from (x for x in (held, last) if x is not None)
 
 
 def _plain(ahead: _Ahead) -> Iterator[Record]:
-    headers, block, length = parse(ahead.data, ahead)
-    found = Record(ahead.base, headers, block)
-    ahead.drop(length)
+    found = parse(ahead)
+    ahead.drop(found.length)
     yield found
 
 
 def read(file: io.RawIOBase) -> Iterator[Record | Gap]:
-    """Records of an archive, compressed by member or plain, and the gaps between them."""
-    ahead, start, reason = _Ahead(file), None, ""
+    """Records of an archive (which can seek), compressed by member or plain, and the gaps between them."""
+    ahead, start, reason = _Ahead(file, file.seek(0, io.SEEK_END)), None, ""
     while ahead.has(1):
         ahead.has(10)
         try:
@@ -360,10 +424,9 @@ def described(path: str, item: Record | Gap) -> tuple:
     kind, digest = h.get("warc-type"), h.get("warc-payload-digest")
     size = None
     if kind == "response" or kind == "revisit":
-        head, payload = item.http
-        stated = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})", head)
+        stated = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})", item.head)
         # A revisit's payload is elsewhere; how long it is its HTTP header tells.
-        size = len(payload) if kind == "response" else int(stated[1]) if stated else None
+        size = item.payload_bytes if kind == "response" else int(stated[1]) if stated else None
     name = h.get("warc-record-id")
     return ("record", path, item.offset, None, None, name, kind, h.get("warc-target-uri"), digest and digest.removeprefix("sha1:"), size, page_of(name), page_of(h.get("warc-refers-to")))
 
@@ -378,7 +441,7 @@ def salvage(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 held = []
-                with store.open_input_stream(f"{root}/{path}", compression=None) as file:
+                with store.open_input_file(f"{root}/{path}") as file:
                     for item in read(file):
                         held.append(described(path, item))
                         if len(held) >= 1000:

@@ -619,7 +619,7 @@ def test_impure_templates_are_rejected_and_variables_generalised(spark):
 def test_archives_round_trip(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.1\r\n\r\n\x1f\x8b", "é" * 5000, "<p>a</p>", "<p>a</p>"]
     ids = [1, 2, 3, 4, 5, 6, None, 2]
-    pages = spark.createDataFrame([(i, f"http://x/{k} \r\n", h, "clash") for k, (i, h) in enumerate(zip(ids, html, strict=True))], "page_id long, url string, html string, digest string").repartition(3)
+    pages = spark.createDataFrame([(i, f"http://x/{k} \r\n" + "u" * (5 << 20 if k in (2, 5) else 0), h, "clash") for k, (i, h) in enumerate(zip(ids, html, strict=True))], "page_id long, url string, html string, digest string").repartition(3)
     folder = shared.scratch(spark, "warc")
     manifest = shared.written(warc.write(warc.roles(pages), folder, most=2000), "manifest")
     items = shared.written(warc.salvage(manifest, folder), "items")
@@ -651,6 +651,48 @@ def test_salvage_reads_on_after_damage(packed):
     assert lost == len(damaged) - sum(len(parts[i]) for i in range(40) if i not in (10, 20))
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_long_headers_and_blocks_are_read_in_bounded_memory(monkeypatch, packed):
+    """Urls of 5 MiB, and blocks over the limit that is held, before, between and behind damage."""
+    monkeypatch.setattr(warc, "HELD_BYTES", 300_000)
+    rng = random.Random(7)
+    payloads = [rng.randbytes(n) for n in (10, 3 << 20, 300_000, 5, 2 << 20, 1 << 20)]
+    # A payload that holds a whole record: it is found only where the outer one fails.
+    payloads[4] += warc.record(99, "http://inside/", b"inner", None, False) + bytes(1000)
+    records = [warc.record(i, "http://a/" + "u" * (5 << 20 if i in (0, 3) else 3), p, None, False) for i, p in enumerate(payloads)]
+
+    def archive(parts):
+        return b"".join(gzip.compress(r, 1, mtime=0) if packed else r for r in parts)
+
+    found = list(warc.read(io.BytesIO(archive(records))))
+    assert [(f.headers["warc-target-uri"], f.payload_bytes, f.payload_digest) for f in found] == [("http://a/" + "u" * (5 << 20 if i in (0, 3) else 3), len(p), warc.base32_sha1(p)) for i, p in enumerate(payloads)]
+    assert [f.block is None for f in found] == [False, True, True, False, True, True]
+    broken = bytearray(records[4])
+    broken[1 << 20] ^= 1
+    items = list(warc.read(io.BytesIO(archive([*records[:4], bytes(broken), records[5]]))))
+    read = [i.headers["warc-record-id"] for i in items if isinstance(i, warc.Record)]
+    assert read == [warc.record_id(k, warc.base32_sha1(p)) for k, p in [*enumerate(payloads[:4]), (99, b"inner"), (5, payloads[5])]]
+    assert any("another digest" in i.reason for i in items if isinstance(i, warc.Gap))
+
+
+def test_several_long_records_in_one_member(monkeypatch):
+    monkeypatch.setattr(warc, "HELD_BYTES", 50_000)
+    rng = random.Random(9)
+    payloads = [rng.randbytes(2_500_000 if i % 3 else 40) for i in range(7)]
+    data = gzip.compress(b"".join(warc.record(i, None, p, None, False) for i, p in enumerate(payloads)), 1) + warc.record(7, None, b"plain", None, False)
+    found = list(warc.read(io.BytesIO(data)))
+    assert [f.payload_digest for f in found] == [warc.base32_sha1(p) for p in (*payloads, b"plain")]
+    cut = data[: len(data) // 2]
+    kept = [f for f in warc.read(io.BytesIO(cut)) if isinstance(f, warc.Record)]
+    assert [f.payload_digest for f in kept] == [warc.base32_sha1(p) for p in payloads[: len(kept)]] and len(kept) >= 2
+
+
+def test_version_lines_before_junk_are_refused_soon():
+    junk = b"WARC/1.1\r\n" + b"x" * 3_000_000
+    items = list(warc.read(io.BytesIO(junk + warc.record(1, None, b"p", None, False))))
+    assert [type(i) for i in items] == [warc.Gap, warc.Record] and items[0].end == len(junk) and items[0].reason == "a header without colon"
+
+
 def test_archives_on_disk_are_gzip_by_member_and_are_salvaged(spark, tmp_path):
     import os
 
