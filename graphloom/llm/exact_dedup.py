@@ -39,7 +39,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import bitmap, marked, new_name, parallelism, salt_mask, salt_of, salts_of, scratch, table, text_of, written
+from graphloom.llm.shared import bitmap, listed, marked, new_name, parallelism, salt_mask, salt_of, salts_of, scratch, table, text_of, written
 
 #: The logarithm of the length of the bitmaps; 2 * 2 MB are broadcast.
 BITS = 24
@@ -70,13 +70,13 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets or parallelism(spark)
         self.name = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+        columns = "digest BINARY, keep_id BIGINT, n BIGINT, first BOOLEAN, batch STRING, part STRING"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, n BIGINT, first BOOLEAN, batch STRING, part STRING) "
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) "
             f"USING parquet PARTITIONED BY (part) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
-        # Partitions that an earlier session wrote are found in the folder, which a new index doesn't have yet.
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+        # Partitions that an earlier session wrote are found in the folder; a write of no rows makes that where it is missing.
+        spark.createDataFrame([], columns).write.mode("append").partitionBy("part").parquet(path)
         spark.sql(f"MSCK REPAIR TABLE {self.name}")
 
     def parts(self) -> list[str]:
@@ -191,12 +191,12 @@ def keep_new(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_c
     kept_rows = written(bitmap(told, F.xxhash64(told_digest, told_id), bits), "bitmap")
 
     given = marked(docs.withColumn(digest, digest_of(text_col)), F.xxhash64(digest), many, bits, repeated)
-    alone = given.where(~F.col(repeated)).select(*[f"`{c}`" for c in docs.columns])
+    alone = given.where(~F.col(repeated)).select(*listed(docs))
     number = F.col(id_col).cast("long")
     copies = marked(given.where(F.col(repeated)), F.xxhash64(F.col(digest), number), kept_rows, bits, kept).where(F.col(kept))
     joined = copies.join(told, (F.col(digest) == F.col(told_digest)) & number.eqNullSafe(F.col(told_id)), "left_semi")
     joined = joined.withColumn(first, F.row_number().over(Window.partitionBy(digest).orderBy(digest)))
-    return alone.unionByName(joined.where(F.col(first) == 1).select(*[f"`{c}`" for c in docs.columns]))
+    return alone.unionByName(joined.where(F.col(first) == 1).select(*listed(docs)))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

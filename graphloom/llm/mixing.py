@@ -45,13 +45,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from graphloom.llm.shared import new_name, release, small_batches, table, text_of, written
+from graphloom.llm.shared import listed, new_name, parallelism, release, small_batches, table, text_of, written
 from graphloom.llm.words import U64, hashes, words_of
 
 TEMPER, BUDGET, ROUNDS, TOLERANCE = 0.7, 0.5, 50, 1e-9
 TOPICS, DIMS, PASSES, SEEDS = 8, 64, 6, 256
 #: The logarithm of the number of places for words' document counts; the shares of documents between which words count.
 PLACE_BITS, COMMON, RARE = 18, 0.15, 0.001
+#: Places that one task adds up; units in which vectors' components (1 at most) are added, enough for 2**35 vectors.
+RANGE, FIXED = 1 << 10, float(1 << 28)
 #: Cells (rows of three short strings and numbers) that the driver may hold.
 MOST_CELLS = 100_000
 CELL = ["source", "lang", "topic"]
@@ -84,7 +86,15 @@ def _lower_words(text: str | None) -> list[bytes]:
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
-    """Rarity by place, from the number of documents that each place's words occur in."""
+    """Rarity by place, from the number of documents that each place's words occur in.
+
+    Tasks' counts meet by ranges of places, so they are added up by as many tasks as
+    there are ranges; the driver gets one row a range, 2 MB in all.
+    """
+    ranges, schema, names = (1 << PLACE_BITS) // RANGE, "g int, n long, counts binary", ["g", "n", "counts"]
+
+    def told(g, n, counts):
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(n, pa.int64()), pa.array(counts, pa.binary())], names)
 
     def count(batches):
         total, n = np.zeros(1 << PLACE_BITS, np.int64), 0
@@ -94,22 +104,33 @@ def word_weights(docs: DataFrame) -> np.ndarray:
                 if words:
                     n += 1
                     total[np.unique(hashes(list(set(words))) >> U64(64 - PLACE_BITS)).astype(np.int64)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_packed(total)], pa.binary())], ["n", "counts"])
+        parts = [(g, part) for g, part in enumerate(total.reshape(ranges, RANGE)) if part.any()]
+        yield told([-1, *[g for g, _ in parts]], [n, *[0] * len(parts)], [None, *[_packed(part) for _, part in parts]])
+        release()
 
     def add(batches):
-        total, n = np.zeros(1 << PLACE_BITS, np.int64), 0
+        at, n, total = None, 0, np.zeros(RANGE, np.int64)
         for batch in batches:
-            n += sum(batch.column(0).to_pylist())
-            for counts in batch.column(1):
-                total += _unpacked(counts.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_packed(total)], pa.binary())], ["n", "counts"])
-
-    schema, total, n = "n long, counts binary", np.zeros(1 << PLACE_BITS, np.int64), 0
-    for row in docs.select(text_of("text").alias("text")).mapInArrow(count, schema).repartition(16).mapInArrow(add, schema).toLocalIterator():
-        n += row["n"]
-        total += _unpacked(bytes(row["counts"]))
-    counted = (total >= max(2, RARE * n)) & (total <= max(2, COMMON * n))
-    return np.where(counted, np.log(max(1, n) / np.maximum(1, total)), 0.0).astype(np.float32)
+            for g, more, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if g != at and at is not None:
+                    yield told([at], [n], [_packed(total)])
+                    n, total = 0, np.zeros(RANGE, np.int64)
+                at, n = g, n + more
+                if counts.is_valid:
+                    total += _unpacked(counts.as_py())
+        if at is not None:
+            yield told([at], [n], [_packed(total)])
+
+    counted = docs.select(text_of("text").alias("text")).mapInArrow(count, schema)
+    dealt = counted.repartition(parallelism(docs.sparkSession), "g").sortWithinPartitions("g")
+    total, n = np.zeros(1 << PLACE_BITS, np.int64), 0
+    for row in written(dealt.mapInArrow(add, schema), "mix-words").collect():
+        if row["g"] < 0:
+            n = row["n"]
+        else:
+            total[row["g"] * RANGE : (row["g"] + 1) * RANGE] = _unpacked(bytes(row["counts"]))
+    kept = (total >= max(2, RARE * n)) & (total <= max(2, COMMON * n))
+    return np.where(kept, np.log(max(1, n) / np.maximum(1, total)), 0.0).astype(np.float32)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -148,21 +169,33 @@ def _first_centres(vectors: DataFrame, topics: int) -> np.ndarray:
     return found[chosen]
 
 
+def centre_sums(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The vectors' sums by their nearest centre, in one job; ``len(centres) * DIMS`` rows reach the driver.
+
+    Components are added as integers, so the order of tasks changes nothing.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        total = np.zeros(shared.value.shape, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                v = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, DIMS)
+                np.add.at(total, np.argmax(v @ shared.value.T, axis=1), np.rint(v.astype(np.float64) * FIXED).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.int64()))], ["centre", "sums"])
+
+    parts = vectors.select("vector").mapInArrow(run, "centre int, sums array<long>").select("centre", F.posexplode("sums").alias("place", "value"))
+    sums = np.zeros(centres.shape, np.int64)
+    for r in parts.groupBy("centre", "place").agg(F.sum("value").alias("value")).collect():
+        sums[r["centre"], r["place"]] = r["value"]
+    return sums / FIXED
+
+
 def fitted(vectors: DataFrame, weights: np.ndarray, topics: int = TOPICS, passes: int = PASSES) -> Topics:
-    """Spherical k-means: each pass over all vectors sums them by centre within tasks; the driver adds the tasks' few sums."""
+    """Spherical k-means: each pass over all vectors sums them by centre within tasks, and tasks' sums by key."""
     centres = _first_centres(vectors, topics)
     for _ in range(passes if len(centres) else 0):
-        shared = vectors.sparkSession.sparkContext.broadcast(centres)
-
-        def run(batches, shared=shared):
-            total = np.zeros_like(shared.value, dtype=np.float64)
-            for batch in batches:
-                if batch.num_rows:
-                    v = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, DIMS)
-                    np.add.at(total, np.argmax(v @ shared.value.T, axis=1), v.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-        sums = sum(np.frombuffer(bytes(r["sums"])).reshape(centres.shape) for r in vectors.select("vector").mapInArrow(run, "sums binary").toLocalIterator())
+        sums = centre_sums(vectors, centres)
         size = np.sqrt((sums**2).sum(axis=1, keepdims=True))
         # A centre that lost all documents stays where it was.
         centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres).round(6).astype(np.float32)
@@ -304,7 +337,7 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
 
     given = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[2], StringType())]))
     given = given.withColumns({names[0]: F.col("source").cast("string"), names[1]: F.col("lang").cast("string"), names[3]: draw()})
-    return _told(given, cells, names[:3]).where(F.col(names[3]) < F.col("cell_probability")).select(*[f"`{c}`" for c in docs.columns])
+    return _told(given, cells, names[:3]).where(F.col(names[3]) < F.col("cell_probability")).select(*listed(docs))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ Labels, language, source and ids are never inputs of a score.
 
 Defined cases.  Null or empty text has no words and is scored from its structure
 and the bias, so every row has a score between 0 and 1.  Labelled rows without
-a document, or with a null label, are left out of the fit; without any labelled
-row, every score is the prior 0.5.  Repeated rows repeat their score.  An
+a document, or with a null label, are left out of the fit; of documents that share
+a labelled id, the fit takes one.  Without any labelled row, every score is the
+prior 0.5.  Repeated rows repeat their score.  An
 empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -129,7 +130,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> M
     """Fit on the labelled documents outside fold 0, at most ``most_rows`` of least hash."""
     small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").where(fold("doc_id") != 0)
-    chosen = known.select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
+    chosen = known.select("doc_id", F.col("quality").cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
 
     def run(batches):
         for batch in batches:
@@ -138,7 +139,9 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> M
 
     # At most `most_rows` ids are broadcast, so texts don't move.
     texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    rows = texts.mapInArrow(run, "doc_id long, p binary, x binary, y int").collect()
+    # One row for each id and label, whatever number of documents share the id, so no more than `most_rows` reach the driver.
+    found = texts.mapInArrow(run, "doc_id long, p binary, x binary, y int").groupBy("doc_id", "y").agg(F.min(F.struct("p", "x")).alias("f"))
+    rows = found.select("doc_id", "y", "f.*").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["p"]), r["y"]))
     return fit([(np.frombuffer(bytes(r["p"]), np.int32).astype(np.int64), np.frombuffer(bytes(r["x"])), r["y"]) for r in rows])
 

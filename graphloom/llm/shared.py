@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listed(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on Arrow batches to ``BATCH_BYTES``, so that long texts take bounded memory."""
     now = spark.conf.get(_BATCH).lower()
@@ -130,4 +135,4 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int =
     seen = marked(docs, F.xxhash64(number), written(bitmap(ids, F.xxhash64(gone), bits), "bitmap"), bits, flag)
     stay = seen.where(~F.col(flag)).drop(flag)
     maybe = seen.where(F.col(flag)).drop(flag)
-    return stay.unionByName(maybe.join(ids, number == F.col(gone), "left_anti")).select(*[f"`{c}`" for c in docs.columns])
+    return stay.unionByName(maybe.join(ids, number == F.col(gone), "left_anti")).select(*listed(docs))

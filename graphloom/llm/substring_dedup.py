@@ -156,8 +156,9 @@ def estimated_repeated(docs: DataFrame, size: int = WINDOW, inner: int = ANCHOR,
     # A task for each range, or as many as there are tasks; the bits of all are at most 2 * 2 * 2**28 / 8 bytes (128 MB).
     tasks = max(parallelism(docs.sparkSession), min(ROWS * per, 1024))
     dealt = _sketches(docs, size, inner, bits).repartition(tasks, "g").sortWithinPartitions("g")
-    merged = dealt.mapInArrow(merge, "g int, repeated binary, hot binary").coalesce(parallelism(docs.sparkSession))
-    return bits, {row["g"]: (bytes(row["repeated"]), bytes(row["hot"])) for row in merged.toLocalIterator()}
+    # All ranges are merged at once and written; the driver then only reads what is there.
+    merged = written(dealt.mapInArrow(merge, "g int, repeated binary, hot binary"), "sketch")
+    return bits, {row["g"]: (bytes(row["repeated"]), bytes(row["hot"])) for row in merged.toLocalIterator(prefetchPartitions=True)}
 
 
 def _unpacked(found: dict[int, tuple[bytes, bytes]], bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:

@@ -234,8 +234,45 @@ def test_candidates_connect_all_that_share_a_key(rows, batch, few):
                 assert (c, d) in pairs or any({c, d} <= m for m in hubs.values())
 
 
+def test_classes_of_one_name_are_told_apart(spark, monkeypatch):
+    """With first halves of three bits nearly all classes share a name, and get one of both halves."""
+    digest = jaccard_join.digest_of
+
+    def short(tokens):
+        first, second = digest(tokens)
+        return first & 7, second
+
+    rows = edited_rows(random.Random(4))
+    name = {}
+    for _, text in rows:
+        s = words.shingle_set(words.words_of(text, lower=True))
+        if len(s):
+            name[s.tobytes()] = short(s)
+    halves = spark.createDataFrame([(i, k, *name[s], 1, b"h") for i, (k, s) in enumerate((len(x) // 8, x) for x in name)], "doc_id long, n_shingles long, class long, check long, own long, histogram binary")
+    named, classes, same = jaccard_join._classes(halves.unionByName(halves).withColumn("salt", F.lit(0)))
+    assert classes.count() == len(name) and classes.select("class").distinct().count() == len(name) and same == {a for a, n in collections.Counter(a for a, _ in name.values()).items() if n > 1} != set()
+    monkeypatch.setattr(jaccard_join, "digest_of", short)
+    for s, (a, b) in name.items():
+        assert jaccard_join.class_of(np.frombuffer(s, np.uint64), same) == (a ^ b if a in same else a)
+    assert {r.n_rows for r in classes.collect()} == {2} and named.count() == 2 * len(name)
+
+
+def test_key_counts_add_up_by_range(spark):
+    rng = np.random.default_rng(3)
+    parts = []
+    for _ in range(5):
+        costs = jaccard_join.Costs()
+        costs.add(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+        costs.counts[0, 5] = 30_000
+        parts.append(costs)
+    rows = [(g, bytearray(part)) for c in parts for g, part in c.ranges()]
+    total = jaccard_join._merged(spark.createDataFrame(rows, "g int, sketch binary").repartition(4))
+    want = np.minimum(65535, sum(c.counts.astype(np.int64) for c in parts))
+    assert np.array_equal(total, want) and total[0, 5] == 65535
+
+
 def test_near_survivors(spark, docs, none):
-    clash = docs.withColumns({"id_that_goes": F.lit(1), "may_go": F.lit(2), "component_id": F.lit(3)})
+    clash = docs.withColumns({"id_that_goes": F.lit(1), "may_go": F.lit(2), "component_id": F.lit(3), "a `name`": F.lit(4)})
     out = jaccard_join.keep_one(clash)
     found = jaccard_join.join(clash).collect()
     gone = {r.doc_id for r in found if r.doc_id is not None and r.doc_id != r.component_id}
@@ -531,6 +568,16 @@ def test_classifier_scores_every_row_without_labels_or_meta(spark, docs, none):
     assert quality_fm.trained(docs, labels.limit(0)).score("anything") == pytest.approx(0.5, abs=0.05)
 
 
+def test_a_labelled_id_that_many_documents_share_counts_once(spark, monkeypatch):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (3, 0), (4, None)], "doc_id long, quality int")
+    rows = [(1, f"text {i % 3}") for i in range(500)] + [(3, "other words"), (None, "no id")]
+    fitted = []
+    monkeypatch.setattr(quality_fm, "fit", lambda rows: fitted.append(rows))
+    monkeypatch.setattr(quality_fm, "fold", lambda c: F.lit(1))
+    quality_fm.trained(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels)
+    assert sorted(y for _, _, y in fitted[0]) == [0, 0, 1]
+
+
 def test_classifier_learns_from_other_folds(spark):
     d = "/root/testdata/sf0.01"
     found = quality_fm.scored(*(lambda t, y: (t, quality_fm.trained(t, y)))(shared.table(spark, d, "documents"), shared.table(spark, d, "labels")), ["doc_id"])
@@ -575,6 +622,49 @@ def test_rows_without_an_id_draw_by_their_text(spark):
     assert 120 < mixing.sample(rows).count() < 280
 
 
+def test_passes_add_up_whatever_the_tasks(spark):
+    """A pass is one job whose tasks run side by side, and sums don't depend on how rows are dealt."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, mixing.DIMS)).astype(np.float32)
+    v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
+    centres = v[:5]
+    rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in v], "vector binary")
+    found = [mixing.centre_sums(rows.repartition(n), centres) for n in (1, 7)]
+    nearest = np.argmax(v @ centres.T, axis=1)
+    assert np.array_equal(*found)
+    assert np.allclose(found[0], [v[nearest == k].sum(axis=0, dtype=np.float64) for k in range(5)], atol=1e-5)
+
+
+def test_tasks_of_a_pass_run_side_by_side(spark):
+    import time
+
+    v = np.ones((8, mixing.DIMS), np.float32) / 8
+
+    def slow(batches):
+        for batch in batches:
+            if batch.num_rows:
+                time.sleep(1.5)
+            yield batch
+
+    rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in v], "vector binary").repartition(8, F.monotonically_increasing_id())
+    rows = rows.mapInArrow(slow, "vector binary")
+    mixing.centre_sums(rows, v[:2])
+    began = time.time()
+    mixing.centre_sums(rows, v[:2])
+    assert time.time() - began < 7  # one after the other, batches would sleep for up to 12 seconds
+
+
+def test_words_are_counted_by_ranges(spark):
+    texts = [f"common w{i} w{i % 40}" for i in range(300)] + [None, ""]
+    weights = mixing.word_weights(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    seen = collections.Counter(w for t in texts if t for w in {int(h) >> (64 - mixing.PLACE_BITS) for h in words.hashes([x.encode() for x in t.split()])})
+    n = 300
+    for place, count in seen.items():
+        want = np.log(n / count) if max(2, mixing.RARE * n) <= count <= max(2, mixing.COMMON * n) else 0.0
+        assert weights[place] == pytest.approx(want, rel=1e-6)
+    assert np.count_nonzero(weights) <= len(seen)
+
+
 def test_topics_are_what_documents_are_about(spark):
     rng, rows = random.Random(5), []
     common = [f"the{i}" for i in range(20)]
