@@ -604,4 +604,4 @@ def ignore_rules(spark, d):
     return V.files(spark, d).where(~scan.excluded(F.col("path"), scan.compile_rules(IGNORES))).select("id", "path")
 
 
-from graphloom.plans import scalars, scanning, shown  # noqa: E402, F401
+from graphloom.plans import scalars, scanning, shown, streamed  # noqa: E402, F401

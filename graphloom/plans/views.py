@@ -81,7 +81,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "value", "props")
+    return events_of(read(spark, sf_dir, "events"))
+
+
+def events_of(table: DataFrame) -> DataFrame:
+    return table.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "value", "props")
 
 
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"

@@ -135,19 +135,52 @@ FRAME_GAP_MS = 120
 
 
 def throttled(frames: DataFrame, gap_ms: int = FRAME_GAP_MS) -> DataFrame:
-    """``request_id, ts, text, done`` of frames that are sent: partial ones ``gap_ms`` or more after the last sent, and the final one.
+    """``request_id, ts, text, done`` of frames that are sent: partial ones ``gap_ms`` or more after the last partial one sent, and every final one.
 
-    Which partial frames are sent depends on the ones before, so a request's frames are folded in order.
+    Which partial frames are sent depends on the ones before, so a request's frames
+    pass in order through a task that holds a batch of them and the time of the last.
     """
-    listed = frames.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(F.unix_millis("ts").alias("at"), "done", "text", "ts"))).alias("f"))
-
-    def step(sent, frame):
-        last = F.try_element_at(F.filter(sent, lambda x: ~x["done"]), F.lit(-1))["at"]
-        due = frame["done"] | last.isNull() | (frame["at"] - last >= gap_ms)
-        return F.when(due, F.concat(sent, F.array(frame))).otherwise(sent)
-
-    none = F.filter("f", lambda x: F.lit(False))
-    return listed.select("request_id", F.explode(F.aggregate("f", none, step)).alias("s")).select("request_id", "s.ts", "s.text", "s.done")
+    request = dict(frames.dtypes)["request_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        request_id = last = None
+        for batch in batches:
+            due = []
+            for key, at, done in zip(batch["request_id"], batch["at"], batch["done"], strict=True):
+                if key != request_id:
+                    request_id, last = key, None
+                ms = at // 1000
+                due.append(bool(done or last is None or ms - last >= gap_ms))
+                if due[-1] and not done:
+                    last = ms
+            yield batch[due]
+
+    order = ["request_id", F.unix_millis("ts"), "done", "text"]
+    dealt = frames.where("request_id is not null").repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id").sortWithinPartitions(*order)
+    sent = dealt.select("request_id", F.unix_micros("ts").alias("at"), "text", "done").mapInPandas(run, f"request_id {request}, at long, text string, done boolean")
+    return sent.select("request_id", F.timestamp_micros("at").alias("ts"), "text", "done")
+
+
+def replayed(events: DataFrame, join: str = "join") -> DataFrame:
+    """``key, joined_id, ts, event_id, kind``: for each event of the kind ``join`` the key's last other event before."""
+    before = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    other = F.when(F.col("kind") != join, F.struct("ts", "event_id", "kind"))
+    found = events.withColumn("last", F.last(other, ignorenulls=True).over(before)).where((F.col("kind") == join) & F.col("last").isNotNull())
+    return found.select("key", F.col("event_id").alias("joined_id"), "last.ts", "last.event_id", "last.kind")
+
+
+def running_files(calls: DataFrame) -> DataFrame:
+    """``session, ts, event_id, calls, tokens, n_files, baseline`` so far, after each call of ``session, ts, event_id, tokens, file_ids, locs``.
+
+    A file counts at its session's first call that touches it.
+    """
+    touched = calls.select("session", "ts", "event_id", F.explode(F.arrays_zip("file_ids", "locs")).alias("f"))
+    first = touched.groupBy("session", "f.file_ids").agg(F.min(F.struct("ts", "event_id", "f.locs")).alias("at"))
+    fresh = first.groupBy("session", "at.event_id").agg(F.count("*").alias("more"), F.sum(F.greatest("at.locs", F.lit(1)) * 8).alias("lines"))
+    so_far = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"calls": F.count("*"), "tokens": F.sum("tokens"), "n_files": F.sum(F.coalesce("more", F.lit(0))), "baseline": F.sum(F.coalesce("lines", F.lit(0)))}
+    joined = calls.select("session", "ts", "event_id", "tokens").join(fresh, ["session", "event_id"], "left")
+    return joined.select("session", "ts", "event_id", *[v.over(so_far).cast("long").alias(k) for k, v in sums.items()])
 
 
 def running_receipt(calls: DataFrame) -> DataFrame:
