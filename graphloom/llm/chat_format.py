@@ -72,23 +72,35 @@ def _turns(turns: DataFrame, tokens) -> DataFrame:
     return t.withColumns({"tie": F.xxhash64("body"), "tokens": tokens(F.col("body"))})
 
 
-def starts_of(turns: DataFrame, budget: int, history: int) -> DataFrame:
-    """``key, starts``: the numbers (from 1) of the turns that open a span, by conversation."""
-    listed = turns.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "tie", "tokens", "is_system"))).alias("t"))
-    system = F.when(F.get("t", F.lit(0))["is_system"], F.get("t", F.lit(0))["tokens"]).otherwise(F.lit(0))
-    listed = listed.select("key", F.transform("t", lambda x: x["tokens"]).alias("tokens"), F.greatest(F.lit(1), F.lit(budget - history) - system).cast("long").alias("room"))
+def spans_of(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """``key, span_of``: the span (from 0) of each turn of a conversation, in order.
 
-    def jump(state, n):
-        fits = state["used"] + n <= F.when(F.size(state["starts"]) == 1, F.lit(budget).cast("long")).otherwise(F.col("room"))
-        opens = (state["no"] > 1) & ~fits
-        return F.struct(
-            (state["no"] + 1).alias("no"),
-            F.when(opens, n).otherwise(state["used"] + n).alias("used"),
-            F.when(opens, F.concat(state["starts"], F.array(state["no"]))).otherwise(state["starts"]).alias("starts"),
-        )
-
-    none = F.struct(F.lit(1).alias("no"), F.lit(0).cast("long").alias("used"), F.array(F.lit(1)).alias("starts"))
-    return listed.select("key", F.aggregate("tokens", none, jump)["starts"].alias("starts"))
+    Prefix sums grow with every turn, so where a span ends is found by halving; the
+    fold jumps from span to span.
+    """
+    order = Window.partitionBy("key").orderBy("turn", "role", "tie")
+    summed = turns.withColumn("end", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = summed.groupBy("key").agg(F.sort_array(F.collect_list("end")).alias("ends"), F.min(F.struct("turn", "role", "tie", "is_system", "tokens")).alias("first"))
+    system = F.when(F.col("first.is_system"), F.col("first.tokens")).otherwise(F.lit(0))
+    listed = listed.select("key", "ends", F.size("ends").alias("n"), F.greatest(F.lit(1), F.lit(budget - history) - system).cast("long").alias("room"))
+
+    def fitting(limit: Column) -> Column:
+        """How many turns end at a limit or before."""
+        halves = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+        return F.aggregate(halves, F.lit(0), lambda at, step: F.when((at + step <= F.col("n")) & (F.try_element_at("ends", F.greatest(F.lit(1), at + step)) <= limit), at + step).otherwise(at))
+
+    def jump(state: Column, _: Column) -> Column:
+        at = state["at"]
+        limit = F.when(at == 0, F.lit(budget).cast("long")).otherwise(F.get("ends", at - 1) + F.col("room"))
+        moved = F.transform(F.array(F.greatest(at + 1, fitting(limit))), lambda to: F.struct(to.alias("at"), F.concat(state["starts"], F.array(to)).alias("starts")))
+        return F.when(at < F.col("n"), F.get(moved, F.lit(0))).otherwise(state)
+
+    none = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("starts"))
+    # Starts of all spans, and the end of the last.
+    starts = F.aggregate("ends", none, jump)["starts"]
+    found = listed.select("key", starts.alias("starts"))
+    lengths = F.transform(F.slice("starts", 1, F.size("starts") - 1), lambda s, i: F.array_repeat(i, F.get("starts", i + 1) - s))
+    return found.select("key", F.flatten(lengths).alias("span_of"))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=estimated_tokens) -> DataFrame:
@@ -99,7 +111,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     lists ``start`` (from 0) and ``length``, in characters, of the target texts.
     """
     t = _turns(turns, tokens)
-    starts = starts_of(t, budget, history)
+    spans = spans_of(t, budget, history)
     by = Window.partitionBy("key")
     order = by.orderBy("turn", "role", "tie")
     t = t.withColumn("no", F.row_number().over(order))
@@ -109,9 +121,10 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     t = t.withColumn("before", F.coalesce("before", F.lit(0)))
     # Whole turns before this one that start at most `history` tokens back; the system turn comes apart.
     recent = F.collect_list(piece).over(by.orderBy("before").rangeBetween(-history, -1))
-    t = t.withColumn("recent", recent).join(starts, "key").withColumn("opens", F.array_contains("starts", F.col("no"))).drop("starts")
-    t = t.withColumn("span", F.sum(F.col("opens").cast("long")).over(by.orderBy("no")) - 1)
-    t = t.withColumn("history", F.when(F.col("opens") & (F.col("no") > 1), F.col("recent")))
+    t = t.withColumn("recent", recent).join(spans, "key")
+    span = F.get("span_of", F.col("no") - 1)
+    opens = (F.col("no") > 1) & (span != F.get("span_of", F.greatest(F.lit(0), F.col("no") - 2)))
+    t = t.withColumns({"span": span.cast("long"), "history": F.when(opens, F.col("recent"))}).drop("span_of")
     spans = t.groupBy("key", "span").agg(
         F.first("conv_id").alias("conv_id"),
         F.min("no").alias("first_no"),
