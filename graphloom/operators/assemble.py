@@ -40,13 +40,19 @@ def first_candidate(wanted: DataFrame, files: DataFrame, key: list[str]) -> Data
     return found.groupBy(*key).agg(F.min_by("target_id", "pos").alias("target_id"))
 
 
+#: Of a run that more paths have, their rows are dealt over several tasks.
+COMMON_RUN = 100_000
+
+
 def containing(wanted: DataFrame, files: DataFrame, key: list[str], suffix: str | None = None, fold_case: bool = False) -> DataFrame:
     """``key..., target_id``: the first path, in path order, that contains ``needle``.
 
     A substring has no key to join by; both sides share every run of four
-    characters, so needles join by their first run and then are checked.  A
-    shorter needle joins by runs of its own length, which only paths of a run that
-    some needle has are cut into.  An empty needle is in the first path.
+    characters.  A needle joins by that one of its runs that fewest paths have (by a
+    count of all runs of paths that some needle has), and then is checked; if no path
+    has one of its runs, it is nowhere.  A run that even so very many paths have is
+    dealt out.  A needle of up to four characters is a run itself, so the least path
+    of each run answers it.  An empty needle is in the first path.
     """
     run = 4
     of = (lambda c: F.lower(c)) if fold_case else (lambda c: c)
@@ -54,17 +60,23 @@ def containing(wanted: DataFrame, files: DataFrame, key: list[str], suffix: str
     if suffix:
         paths = paths.where(F.col("path").endswith(suffix))
     needles = wanted.withColumn("n", of(F.col("needle"))).where("n is not null").withColumn("size", F.least(F.lit(run), F.length("n")))
-    needles = needles.withColumn("gram", F.substring("n", F.lit(1), F.col("size")))
     sizes = sorted(r["size"] for r in needles.select("size").distinct().collect())  # at most five numbers
-    runs = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - size + 1)), lambda i: F.substring(F.col("p"), i, F.lit(size)))
-    cut = F.flatten(F.array(*[F.array(F.lit("")) if size == 0 else runs(size) for size in sizes])) if sizes else F.array().cast("array<string>")
-    grams = paths.withColumn("gram", F.explode(F.array_distinct(cut)))
+    runs = lambda c, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1)), lambda i: F.substring(F.col(c), i, F.lit(size))))
+    cut = F.array_distinct(F.flatten(F.array(*[F.array(F.lit("")) if size == 0 else runs("p", size) for size in sizes]))) if sizes else F.array().cast("array<string>")
+    # Only what stands in some needle: such runs are few where needles are.
+    told = needles.select(F.explode(F.when(F.length("n") > run, runs("n", run)).otherwise(F.array("n"))).alias("gram")).distinct()
+    grams = paths.withColumn("gram", F.explode(cut)).join(told, "gram", "left_semi")
     # Of the paths with a run the least is enough for a needle that is no longer.
-    least = grams.groupBy("gram").agg(F.min_by("target_id", "path").alias("target_id"))
-    short = needles.where(F.length("n") <= run).join(least, "gram").select(*key, "target_id")
-    found = needles.where(F.length("n") > run).join(grams, "gram").where(F.contains("p", "n"))
-    long = found.groupBy(*key).agg(F.min_by("target_id", "path").alias("target_id"))
-    return long.unionByName(short.dropDuplicates(key))
+    least = grams.groupBy("gram").agg(F.min_by("target_id", "path").alias("target_id"), F.ceil(F.count("*") / COMMON_RUN).cast("int").alias("parts"), F.count("*").alias("paths"))
+    short = needles.where(F.length("n") <= run).join(least.select("gram", "target_id"), F.col("n") == F.col("gram")).select(*key, "target_id").dropDuplicates(key)
+    if run not in sizes:
+        return short
+    long = needles.where(F.length("n") > run).select("n").distinct().withColumn("gram", F.explode(runs("n", run)))
+    rated = long.join(least.select("gram", "paths", "parts"), "gram", "left").groupBy("n").agg(F.min(F.struct(F.coalesce("paths", F.lit(0)).alias("paths"), "gram", "parts")).alias("best"))
+    rarest = rated.where("best.paths > 0").select("n", "best.gram", F.explode(F.sequence(F.lit(0), F.col("best.parts") - 1)).alias("part"), "best.parts")
+    held = grams.join(rarest.select("gram", "parts").distinct(), "gram").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    found = rarest.drop("parts").join(held, ["gram", "part"]).where(F.contains("p", "n")).groupBy("n").agg(F.min_by("target_id", "path").alias("target_id"))
+    return needles.join(found, "n").select(*key, "target_id").dropDuplicates(key).unionByName(short)
 
 
 def under_folder(wanted: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:

@@ -2,23 +2,25 @@
 
 Two strategies give the same ranks.  ``single_task`` holds the graph as arrays in
 one task and serves graphs whose measured size is under ``SMALL_NODES`` and
-``SMALL_EDGES``; ``distributed`` joins ranks with edges once an iteration and
-writes to the shared folder every few, for graphs of any size.
+``SMALL_EDGES``; ``distributed`` keeps edges and ranks in the same buckets and
+writes ranks once an iteration, for graphs of any size.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
 from graphloom.operators.numbering import numbered
-from graphloom.plans.shared_folder import written
+from graphloom.plans.shared_folder import scratch
 
 DAMPING, ITERATIONS, MATCH_WEIGHT = 0.85, 40, 2.0
-SMALL_NODES, SMALL_EDGES, CUT_EVERY = 200_000, 2_000_000, 5
+SMALL_NODES, SMALL_EDGES = 200_000, 2_000_000
 FOCUS, PATH_HIT, SYMBOL_HIT = 3.0, 1.0, 2.0
 
 
@@ -72,12 +74,33 @@ def _single_task(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     return rows.groupBy().applyInPandas(run, "id long, rank double, score double")
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int, name: str, path: str) -> DataFrame:
+    """The rows as a table bucketed by ``key``; ``df`` should be dealt by it already, so that a bucket is one file."""
+    df.write.format("parquet").bucketBy(buckets, key).mode("overwrite").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def _contributions(shares: DataFrame, state: DataFrame) -> DataFrame:
+    """``id, flow``: what the nodes' ranks give to each target.  Both tables lie in the same buckets, so only contributions move, summed within tasks first."""
+    given = shares.join(state.select(F.col("id").alias("src"), "rank").hint("shuffle_hash"), "src")
+    return given.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+
+
 def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None, iterations: int) -> DataFrame:
+    """One job an iteration: it reads shares and ranks bucket by bucket, shuffles contributions, and writes the next ranks.
+
+    What leaves lose, and the largest rank, are observed while ranks are written.
+    Ranks are written in turn to one of two paths.
+    """
+    spark = nodes.sparkSession
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
+    buckets, run = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    tables = {kind: (f"rank_{kind}_{run}", scratch(spark, f"rank-{kind}")) for kind in ("shares", "even", "odd")}
     out = links.groupBy("src").agg(F.sum("weight").alias("out_w"))
-    shares = written(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_w")).alias("share")), "rank-shares")
+    shares = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_w")).alias("share"))
+    shares = _bucketed(shares.repartition(buckets, "src"), "src", buckets, *tables["shares"])
     if teleport is None:
         based = nodes.withColumn("lean", F.lit(1.0))
     else:
@@ -86,18 +109,23 @@ def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     total = based.agg(F.sum("lean")).first()[0]
     jump = F.col("lean") / total if total and total > 0 else F.lit(1 / n)
     leaf = F.col("out_w").isNull()
-    state = based.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", jump.alias("jump"), leaf.alias("leaf"))
-    state = written(state.withColumn("rank", F.lit(1 / n)), "rank-start")
-    for i in range(1, iterations + 1):
-        # What leaves lose is one number; it is the only thing that reaches the driver.
-        lost = state.agg(F.sum(F.when(F.col("leaf"), F.col("rank")))).first()[0] or 0.0
-        flow = shares.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+    state = based.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", jump.alias("jump"), leaf.alias("leaf"), F.lit(1 / n).alias("rank"))
+
+    def stored(df: DataFrame, step: int) -> tuple[DataFrame, float, float]:
+        seen = Observation()
+        watched = df.observe(seen, F.sum(F.when(F.col("leaf"), F.col("rank"))).alias("lost"), F.max("rank").alias("top"))
+        kept = _bucketed(watched, "id", buckets, *tables["odd" if step % 2 else "even"])
+        return kept, seen.get["lost"] or 0.0, seen.get["top"]
+
+    state, lost, top = stored(state.repartition(buckets, "id"), 0)
+    for step in range(1, iterations + 1):
         rank = F.lit(1 - DAMPING + DAMPING * lost) * F.col("jump") + F.lit(DAMPING) * F.coalesce("flow", F.lit(0.0))
-        state = state.join(flow.withColumnRenamed("dst", "id"), "id", "left").select("id", "jump", "leaf", rank.alias("rank"))
-        if i % CUT_EVERY == 0 or i == iterations:
-            state = written(state, "rank-state")
-    top = state.agg(F.max("rank")).first()[0]
-    return state.select("id", "rank", (F.col("rank") / top if top else F.lit(0.0)).alias("score"))
+        moved = state.join(_contributions(shares, state), "id", "left").select("id", "jump", "leaf", rank.alias("rank"))
+        state, lost, top = stored(moved, step)
+    for name, _ in tables.values():
+        spark.sql(f"DROP TABLE {name}")  # the entry: files of a table with a path stay
+    last = spark.read.parquet(tables["odd" if iterations % 2 else "even"][1])
+    return last.select("id", "rank", (F.col("rank") / top if top else F.lit(0.0)).alias("score"))
 
 
 def ranked(files: DataFrame, scores: DataFrame) -> DataFrame:

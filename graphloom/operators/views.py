@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import symbol_line
+from graphloom.functions.text import estimate_tokens, symbol_line
 from graphloom.operators import rank
 from graphloom.operators.budget import Budget, tokens_of
 from graphloom.operators.churn import hotspots
 from graphloom.operators.model import Graph
 from graphloom.operators.neighborhood import rings
 from graphloom.operators.retrieval import find_symbols, neighbours, resolve_file_target
+from graphloom.streaming.live import Queue
 
 
 @dataclass
@@ -189,21 +192,58 @@ def languages_view(files: DataFrame, budget: int = 500) -> View:
     return _listed(head, rows, budget, "\n  … {} more language(s) omitted (raise budget_tokens).")
 
 
-def sliced(symbols: DataFrame, sources: DataFrame, budget: int = 400, head: int = 8) -> DataFrame:
-    """``id, anchor, source, elided``: a symbol's lines, or its first ones and a pointer; ``sources``: ``file_id, path, content``."""
-    joined = symbols.join(sources.select("file_id", "path", "content"), "file_id")
-    lines = F.split("content", "\r?\n")
-    begin = F.greatest(F.lit(1), F.col("start_line"))
-    end = F.least(F.size(lines), F.col("end_line"))
-    body = F.slice(lines, begin, F.greatest(F.lit(0), end - begin + 1))
+def line_breaks(sources: DataFrame, key: str = "sha") -> DataFrame:
+    """``key, breaks``: at which bytes each content has its line breaks; to be kept with an index, by digest."""
+    kind = dict(sources.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            found = [np.flatnonzero(np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8) == 10) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], [key, "breaks"])
+
+    return sources.dropDuplicates([key]).select(key, "content").mapInArrow(run, f"{key} {kind}, breaks array<long>")
+
+
+def sliced(symbols: DataFrame, sources: DataFrame, budget: int = 400, head: int = 8, breaks: DataFrame | None = None) -> DataFrame:
+    """``id, anchor, source, elided``: a symbol's lines, or its first ones and a pointer; ``sources``: ``file_id, path, content`` (and ``sha``, if ``breaks`` are given).
+
+    Only files that have a wanted symbol are read, each once: its symbols' lines
+    are cut out of its bytes by the places of its line breaks.
+    """
+    wanted = symbols.groupBy("file_id").agg(F.collect_list(F.struct("id", "start_line", "end_line")).alias("wanted"))
+    read = sources.join(wanted, "file_id")
+    read = read.join(line_breaks(read.select("file_id", "content"), "file_id"), "file_id") if breaks is None else read.join(breaks, "sha")
+    each = read.select("path", F.col("content").cast("binary").alias("data"), "breaks", "wanted").withColumn("lines", F.size("breaks") + 1)
+
+    def cut(s):
+        begin = F.greatest(F.lit(1), s["start_line"])
+        n = F.greatest(F.lit(0), F.least(F.col("lines"), s["end_line"]) - begin + 1)
+        kept = F.least(n, F.lit(max(1, head)))
+        return F.struct(s["id"].alias("id"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), n.alias("n"), kept.alias("kept"), text(begin, n).alias("full"), text(begin, kept).alias("short"))
+
+    def text(begin, n):
+        """``n`` lines from a line on; a break in the text may have a carriage return before it."""
+        at = F.when(begin > 1, F.get("breaks", (begin - 2).cast("int")) + 1).otherwise(F.lit(0))
+        last = (begin + n - 2).cast("int")
+        ended = last < F.size("breaks")
+        stop = F.when(ended, F.get("breaks", last) + 1).otherwise(F.length("data"))
+        told = F.replace(F.substring(F.col("data"), (at + 1).cast("int"), (stop - at).cast("int")).cast("string"), F.lit("\r\n"), F.lit("\n"))
+        return F.when(n <= 0, F.lit("")).when(ended, F.substring(told, F.lit(1), F.length(told) - 1)).otherwise(told)
+
+    cuts = each.select("path", F.explode(F.transform("wanted", cut)).alias("s")).select("path", "s.*")
     anchor = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
-    from graphloom.functions.text import estimate_tokens
+    pointer = F.concat("short", F.lit("\n  … "), (F.col("n") - F.col("kept")).cast("string"), F.lit(" more line(s) — read "), anchor)
+    fits = estimate_tokens(F.col("full")) <= budget
+    return cuts.select("id", anchor.alias("anchor"), F.when(fits, F.col("full")).otherwise(pointer).alias("source"), (~fits).alias("elided"))
+
 
-    cut = joined.select("id", anchor.alias("anchor"), body.alias("body"))
-    full = F.array_join("body", "\n")
-    kept = F.slice("body", 1, max(1, head))
-    short = F.concat(F.array_join(kept, "\n"), F.lit("\n  … "), (F.size("body") - F.size(kept)).cast("string"), F.lit(" more line(s) — read "), F.col("anchor"))
-    return cut.select("id", "anchor", F.when(estimate_tokens(full) <= budget, full).otherwise(short).alias("source"), (estimate_tokens(full) > budget).alias("elided"))
+def neighborhood_of(graph: Graph, target: str, depth: int = 1, budget: int = 1200) -> View:
+    """The neighbourhood of a path, a path's suffix or a symbol's file, if that is one file."""
+    asked = graph.files.sparkSession.createDataFrame([(target,)], "target string")
+    found = resolve_file_target(graph.files, graph.symbols, asked).first()
+    if found is None or found.file_id is None:
+        return View(f'Could not resolve "{target}" to a single file (unknown or ambiguous). Try a fuller path.')
+    return neighborhood(graph, found.file_id, depth, budget)
 
 
 def find_symbol_view(graph: Graph, scores: DataFrame, sources: DataFrame, name: str | None = None, pattern: str | None = None, budget: int = 800) -> View:
@@ -241,6 +281,15 @@ def request_view(graph: Graph, request_id: str, instruction: str, paths: list[st
     return View(text, list(dict.fromkeys([*selected, *staged.file_ids])))
 
 
+def next_request(graph: Graph, queue: Queue, requests: dict[int, dict], now: float, budget: int = 2500) -> View:
+    """The view of the oldest waiting request, which the queue gives away once; ``requests`` has what was asked, by number."""
+    taken = queue.take(now)
+    if taken is None:
+        return View("No pending viewer request.")
+    asked = requests.pop(taken)
+    return request_view(graph, str(taken), asked["instruction"], asked.get("paths") or [], asked.get("kind") or "instruction", asked.get("budget") or budget)
+
+
 def task_skeleton(graph: Graph, task: str = "", budget: int = 1500) -> View:
     """The command line's skeleton: ranked for a task, or by centrality without one."""
     return skeleton(graph, budget, ranking=rank.rank_for_task(graph.files, graph.symbols, links(graph), task))

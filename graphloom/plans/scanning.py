@@ -8,9 +8,9 @@ from graphloom.functions import text as T
 from graphloom.operators import assemble, index_state
 from graphloom.operators.model import Graph
 from graphloom.plans import views as V
-from graphloom.plans.registry import query, with_
+from graphloom.plans.registry import ORACLES, query, with_
 from graphloom.plans.shared_folder import scratch, written
-from graphloom.sources import build, exchange, parse, scan
+from graphloom.sources import build, exchange, incremental, parse, scan
 
 #: Folders to put before a path; the last few are kept by every rule.
 PLACES = [".git", "a/.svn", "node_modules", "x/venv", ".next", "b/.mypy_cache", ".docusaurus", "dist", "c/vendor", "target", "a/__pycache__", "src", "avenv", "distant"]
@@ -136,6 +136,78 @@ def built_import_edges(spark, d):
     return assemble.import_edges(build.resolve(files, parse.tables(files, parsed)[1]))
 
 
+#: By language: the suffix, then six lines for an item ``@n`` that calls ``@c``; symbols (name, kind, first and last line, exported) and calls (name, line) that these have.
+HARD = {
+    "typescript": ("ts", ["export class K@n extends B {", "  run(", "    a = \"}) {\", b = '({' // }", "  ): void { return @c(a) }", "  m() { if (this.x) { @c<T>({ k: `}` }) } }", "}"],
+        [("K@n", "class", 0, 5, True)], [("@c", 3), ("@c", 4)]),
+    "go": ("go", ["func (t *T) F@n(", "  a int, /* ) { */", "  b string) (int, error) {", "  if @c(a) { return x.@c(`}{`), nil }", "  go func() { @c('}') }()", "}"],
+        [("F@n", "function", 0, 5, True)], [("@c", 3), ("@c", 3), ("@c", 4)]),
+    "rust": ("rs", ["pub fn f@n<'a>(", "  x: &'a str, // {", "  y: i32) -> &'a str {", "  if @c(x) { @c('{', r#\"}\"#) } else { x }", "  /* a /* nested */ } */", "}"],
+        [("f@n", "function", 0, 5, True)], [("@c", 3), ("@c", 3)]),
+    "java": ("java", ["public class A@n<T> extends B {", "  protected <R> int run@n(", "      String a /* ) { */, int b) throws X, Y {", "    return @c(\"}\" + '{', new Foo@n() { void in() { @c(1); } });", "  }", "}"],
+        [("A@n", "class", 0, 5, True), ("run@n", "function", 1, 4, False), ("in", "function", 3, 3, False)], [("@c", 3), ("Foo@n", 3), ("@c", 3)]),
+    "cpp": ("cpp", ["class X@n : public Y {", "  virtual int run@n(int a,", "          int b) const override {", "    return ns::@c(a, R\"(}))\", 1'000);", "  }", "};"],
+        [("X@n", "class", 0, 5, True), ("run@n", "function", 1, 4, True)], [("@c", 3)]),
+    "csharp": ("cs", ["public class A@n {", "  public string P@n { get; set; }", "  internal async Task<int> R@n(", "      int a) {", "    return @c(@\"}\"\"{\", a); } delegate int D@n(int x);", "}"],
+        [("A@n", "class", 0, 5, True), ("P@n", "const", 1, 1, True), ("R@n", "function", 2, 4, False), ("D@n", "function", 4, 4, False)], [("@c", 4)]),
+    "kotlin": ("kt", ["public class A@n(val x: Int) {", "  fun run@n(a: String = \"}\"): Int {", "    list.map { @c(it) } /* } /* } */ */", "    return @c(a) { it } + \"\"\"{ \"\"\".length", "  }", "}"],
+        [("A@n", "class", 0, 5, True), ("run@n", "function", 1, 4, False)], [("@c", 2), ("@c", 3)]),
+    "php": ("php", ["class A@n {", "  public function run@n($a = \"}\",", "      $b = '{') { // }", "    return $this->@c(\"", "  }\"); }", "}"],
+        [("A@n", "class", 0, 5, True), ("run@n", "function", 1, 4, True)], [("@c", 3)]),
+}
+_HARD = list(HARD)
+
+
+def _hard_sources(spark, d):
+    """``id, path, language, sha, content``: a file for each part with six lines for each line item."""
+    li = V.read(spark, d, "lineitem")
+    kind = (F.col("l_partkey") % len(_HARD)).cast("int")
+    lines = F.get(F.array(*[F.lit("\n".join(HARD[n][1])) for n in _HARD]), kind)
+    name = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_suppkey")
+    item = F.replace(F.replace(lines, F.lit("@n"), name), F.lit("@c"), F.concat(F.lit("c_"), F.col("l_suppkey").cast("string")))
+    rows = li.select("l_partkey", F.struct("l_orderkey", "l_linenumber", "l_suppkey", item.alias("text")).alias("r")).groupBy("l_partkey").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("l_partkey") % len(_HARD)).cast("int"))
+    path = F.concat(F.lit("g"), F.col("l_partkey").cast("string"), F.lit("."), of([HARD[n][0] for n in _HARD]))
+    out = rows.select(F.col("l_partkey").alias("id"), path.alias("path"), of(_HARD).alias("language"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("content"))
+    return out.withColumn("sha", T.low_byte_sha(F.col("content")))
+
+
+HARD_ITEMS = f"""items AS (SELECT l_partkey AS file_id, l_partkey % {len(HARD)} AS k, l_orderkey || '_' || l_linenumber || '_' || l_suppkey AS n, 'c_' || l_suppkey AS c,
+  6 * (row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1) + 1 AS line FROM lineitem)"""
+_SYMBOL_ROWS = ", ".join(f"({k}, '{n}', '{kind}', {a}, {b}, {str(e).lower()})" for k, (_, _, found, _) in enumerate(HARD.values()) for n, kind, a, b, e in found)
+_CALL_ROWS = ", ".join(f"({k}, '{n}', {a})" for k, (_, _, _, found) in enumerate(HARD.values()) for n, a in found)
+
+
+@query(f"""WITH {HARD_ITEMS}, made AS (SELECT * FROM (VALUES {_SYMBOL_ROWS}) AS t(k, name, kind, a, b, exported))
+SELECT file_id, replace(name, '@n', n) AS name, kind, (line + a)::INT AS start_line, (line + b)::INT AS end_line, exported FROM items JOIN made USING (k)""")
+def parsed_nested_symbols(spark, d):
+    """Nesting, heads of several lines, and brackets in strings, characters and comments."""
+    files = written(_hard_sources(spark, d), "hard-sources")
+    return parse.tables(files, parse.parse_files(files))[0].select("file_id", "name", "kind", "start_line", "end_line", "exported")
+
+
+@query(f"""WITH {HARD_ITEMS}, made AS (SELECT * FROM (VALUES {_CALL_ROWS}) AS t(k, name, a))
+SELECT file_id, replace(replace(name, '@n', n), '@c', c) AS callee, (line + a)::INT AS line FROM items JOIN made USING (k)""")
+def parsed_nested_calls(spark, d):
+    files = written(_hard_sources(spark, d), "hard-sources")
+    return parse.tables(files, parse.parse_files(files))[2].select("file_id", "callee", "line")
+
+
+@query(ORACLES["built_import_edges"])
+def reindexed_edges(spark, d):
+    """The same edges from an index that got there by batches: files missing and with other contents at first, then others gone, then all."""
+    files = written(_sources(spark, d), "made-sources")
+    early = F.when(F.col("id") % 5 == 0, F.concat(F.lit("\n"), "content")).when(F.col("id") % 6 == 0, F.lit("")).otherwise(F.col("content"))
+    first = files.where("id % 7 <> 0").withColumn("content", early).withColumn("sha", T.low_byte_sha(F.col("content")))
+    index = incremental.Index(spark, scratch(spark, "index"))
+    for batch, version in enumerate((first, files.where("id % 8 <> 3"), files)):
+        index.apply(version, batch)
+    number = index.files().select("id", F.regexp_extract("path", r"f(\d+)\.", 1).cast("long").alias("number"))
+    edges = index.import_edges()
+    ends = lambda c: number.select(F.col("id").alias(c), F.col("number").alias(f"{c}_number"))
+    return edges.join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("src_number").alias("src"), F.col("dst_number").alias("dst"), "weight")
+
+
 CONFIGS = """configs AS (SELECT * FROM (VALUES ('', '@/', 'src/'), ('brand1', '@/', 'brand1/economy_x/'), ('brand2', '~', 'brand2/')) AS t(dir, prefix, target))"""
 
 

@@ -189,15 +189,48 @@ def surfaces(spark, d):
     return found.select("file_id", "n_symbols", F.array_join("lines", "\n").alias("lines"))
 
 
-@query(with_(V.FILES, V.SYMBOLS, V.DOCS) + r""", cut AS (SELECT s.id, f.path || ':' || start_line || '-' || end_line AS anchor, regexp_split_to_array(content, '\r?\n') AS l, start_line, end_line
-  FROM symbols s JOIN files f ON f.id = s.file_id JOIN docs d ON d.id = s.file_id),
+def _sliced(symbols: str, budget: int, head: int) -> str:
+    """``sized(id, anchor, b, t, elided)``: the lines of symbols whose file has a text."""
+    return rf"""cut AS (SELECT s.id, f.path || ':' || start_line || '-' || end_line AS anchor, regexp_split_to_array(content, '\r?\n') AS l, start_line, end_line
+  FROM {symbols} s JOIN files f ON f.id = s.file_id JOIN docs d ON d.id = s.file_id),
 body AS (SELECT id, anchor, CASE WHEN least(len(l), end_line) >= greatest(1, start_line) THEN l[greatest(1, start_line):least(len(l), end_line)] ELSE [] END AS b FROM cut),
 whole AS (SELECT *, array_to_string(b, chr(10)) AS t FROM body),
-sized AS (SELECT *, ceil((length(t) + length(regexp_replace(t, '[\x{0}-\x{FFFF}]', '', 'g'))) / 4.0) > 40 AS elided FROM whole)
-SELECT id, anchor, CASE WHEN NOT elided THEN t ELSE array_to_string(b[1:2], chr(10)) || chr(10) || '  … ' || (len(b) - len(b[1:2])) || ' more line(s) — read ' || anchor END AS source, elided FROM sized""")
+sized AS (SELECT *, ceil((length(t) + length(regexp_replace(t, '[\x{{0}}-\x{{FFFF}}]', '', 'g'))) / 4.0) > {budget} AS elided FROM whole),
+slices AS (SELECT id, anchor, CASE WHEN NOT elided THEN t ELSE array_to_string(b[1:{head}], chr(10)) || chr(10) || '  … ' || (len(b) - len(b[1:{head}])) || ' more line(s) — read ' || anchor END AS source, elided FROM sized)"""
+
+
+def _sources(spark, d):
+    return V.documents(spark, d).select(F.col("id").alias("file_id"), "content").join(V.files(spark, d).select(F.col("id").alias("file_id"), "path"), "file_id")
+
+
+@query(with_(V.FILES, V.SYMBOLS, V.DOCS, _sliced("symbols", 40, 2)) + "SELECT id, anchor, source, elided FROM slices")
 def symbol_slices(spark, d):
-    sources = V.documents(spark, d).select(F.col("id").alias("file_id"), "content").join(V.files(spark, d).select(F.col("id").alias("file_id"), "path"), "file_id")
-    return rendered.sliced(V.symbols(spark, d), sources, 40, 2)
+    return rendered.sliced(V.symbols(spark, d), _sources(spark, d), 40, 2)
+
+
+FOUND = with_(
+    V.FILES, V.SYMBOLS, V.DOCS, V.RANK_EDGES, V.pagerank_sql(),
+    "hits AS (SELECT s.*, f.path, row_number() OVER (ORDER BY round(r.score, 12) DESC, exported DESC, f.path, start_line, s.id) AS k FROM symbols s JOIN files f ON f.id = s.file_id JOIN ranks r ON r.id = f.id WHERE name = 'fn_7' QUALIFY k <= 25)",
+    _sliced("hits", 300, 8),
+    """blocks AS (SELECT k, file_id, '  @' || coalesce(anchor, path || ':' || start_line || '-' || end_line) || chr(10) || coalesce(source, '(source unavailable — read the anchor)') AS block FROM hits LEFT JOIN slices USING (id))""",
+    r"""spent AS (SELECT *, sum(ceil((2 + length(block) + length(regexp_replace(block, '[\x{0}-\x{FFFF}]', '', 'g'))) / 4.0)) OVER (ORDER BY k) AS used FROM blocks)""",
+    "fits AS (SELECT * FROM spent WHERE k = 1 OR used <= 800)",
+)
+
+
+@query(FOUND + """SELECT (SELECT string_agg(block, chr(10) || chr(10) ORDER BY k) FROM fits)
+  || CASE WHEN (SELECT count(*) FROM blocks) > (SELECT count(*) FROM fits) THEN chr(10) || chr(10) || '… ' || ((SELECT count(*) FROM blocks) - (SELECT count(*) FROM fits)) || ' more match(es) omitted (narrow the query).' ELSE '' END AS text,
+  (SELECT list(file_id ORDER BY m) FROM (SELECT file_id, min(k) AS m FROM fits GROUP BY file_id)) AS file_ids""")
+def find_symbol_view(spark, d):
+    g = C._graph(spark, d)
+    return _shown(spark, rendered.find_symbol_view(g, C._scores(spark, d), _sources(spark, d), name="fn_7"))
+
+
+@query(with_(*GRAPH, *_hood("shown", "40", "1200")) + "SELECT text, file_ids FROM shown")
+def neighborhood_of_a_name(spark, d):
+    """The target is the end of a path, which only one file has."""
+    name = V.files(spark, d).where("id = 40").select(T.base_name(F.col("path")).alias("n")).first().n
+    return _shown(spark, rendered.neighborhood_of(C._graph(spark, d), name))
 
 
 @query(with_(V.FILES, V.SYMBOLS, V.CALLS, V.RANK_EDGES, C.ENCLOSED, C.CALLEES, C.CALL_EDGES) + """, listed AS (
@@ -381,12 +414,15 @@ def touched_files(spark, d):
     return retrieval.one_hop(chosen, V.edges(spark, d))
 
 
-LISTED = ["src/a.ts", "node_modules/b.js", "dist/c.js", "d.png", "docs/e.md", "vendor/f.go", "build", "g.lock", "distant/h.py", ".git/i"]
+LISTED = [
+    "src/a.ts", "node_modules/b.js", "dist/c.js", "d.png", "docs/e.md", "vendor/f.go", "build", "g.lock", "distant/h.py", ".git/i", "k.ear", "l.pyo", "m.o", "n.a", "p.lib", "q.obj", "r.avro", "s.orc",
+    "t.sqlite3", "u.mdb", "v.psd", "w.ai", "x.sketch", "y.PNG", "bin", "a.zip/z", "a.b/bin", "c.sqlite", "e.war",
+]
 _LISTED = "[" + ", ".join(f"'{p}'" for p in LISTED) + "]"
 
 
 @query(f"""WITH t AS (SELECT p_partkey AS id, {_LISTED}[p_partkey % {len(LISTED)} + 1] AS p, p_size * 50000 AS size, p_partkey % 7 = 0 AS tree FROM part)
-SELECT id, p AS path, size FROM t WHERE NOT tree AND p IN ('src/a.ts', 'docs/e.md', 'distant/h.py') AND size <= 1572864""")
+SELECT id, p AS path, size FROM t WHERE NOT tree AND p IN ('src/a.ts', 'docs/e.md', 'distant/h.py', 'k.ear', 'l.pyo', 'm.o', 'n.a', 'p.lib', 'q.obj', 'r.avro', 's.orc', 't.sqlite3', 'u.mdb', 'v.psd', 'w.ai', 'x.sketch', 'a.zip/z', 'a.b/bin') AND size <= 1572864""")
 def hosted_files(spark, d):
     path = F.get(F.array(*map(F.lit, LISTED)), (F.col("p_partkey") % len(LISTED)).cast("int"))
     tree = V.read(spark, d, "part").select(F.col("p_partkey").alias("id"), path.alias("path"), F.when(F.col("p_partkey") % 7 == 0, "tree").otherwise("blob").alias("kind"), (F.col("p_size") * 50_000).alias("size"))
@@ -394,14 +430,12 @@ def hosted_files(spark, d):
 
 
 @query("""SELECT row_number() OVER (ORDER BY is_git DESC, lower(name), name) AS no, name, is_git FROM (
-  SELECT CASE WHEN c_custkey % 6 = 0 THEN '.' || c_name WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE c_name END AS name, c_acctbal > 5000 AS is_git FROM customer) WHERE name NOT LIKE '.%' ORDER BY no LIMIT 200""")
+  SELECT CASE WHEN c_custkey % 6 = 0 THEN '.' || c_name WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE c_name END AS name, c_acctbal > 5000 AS is_git FROM customer) WHERE name NOT LIKE '.%'""")
 def browsed_folders(spark, d):
     c = V.read(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("."), "c_name")).when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.col("c_name"))
-    top = scan.browsed(c.select(name.alias("name"), (F.col("c_acctbal") > 5000).alias("is_git"))).limit(200)
-    from pyspark.sql import Window
-
-    return top.select(F.row_number().over(Window.orderBy(F.desc("is_git"), F.lower("name"), "name")).alias("no"), "name", "is_git")
+    listed = scan.browsed(c.select(name.alias("name"), (F.col("c_acctbal") > 5000).alias("is_git")))
+    return numbered(listed.withColumns({"last": ~F.col("is_git"), "folded": F.lower("name")}), ["last", "folded", "name"], "no", start=1).select("no", "name", "is_git")
 
 
 @query("""SELECT event_id, TIMESTAMP '2024-01-15 12:00:00' - ts < INTERVAL 60 MINUTE AND (user_id % 3 = 0 OR ts > TIMESTAMP '2024-01-15 11:30:00') AS fresh FROM events""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import base_name
+from graphloom.functions.text import ancestors, base_name
 from graphloom.operators import assemble
 from graphloom.operators.model import Graph
 from graphloom.plans.shared_folder import written
@@ -45,18 +45,11 @@ def _same_folded(wanted: DataFrame, files: DataFrame, key: list[str]) -> DataFra
     return found.groupBy(*key).agg(F.min("path").alias("path"), F.min_by("target_id", "path").alias("target_id"))
 
 
-def resolve(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
-    """``file_id, specifier, target_id``: candidate paths first, then what a language has besides.
-
-    ``aliases`` are the rules of configs by folder, of which a file's nearest holds
-    (or one list for all files).  Java and its like take the first file under the
-    package's folder; Go the first path that holds the module's; Swift the same
-    among its own files; Elm a path that differs in case alone; OCaml and Elixir
-    the first path that is the module's, or holds its name, whatever the case.
-    """
+def tried(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
+    """``file_id, specifier, path, language, candidates``: the paths that each import tries, in order."""
     aliases = {"": aliases} if isinstance(aliases, list) else aliases or {}
     named = imports.join(files.select(F.col("id").alias("file_id"), "path", "language"), "file_id")
-    tried = parse.candidates(F.col("language"), F.col("path"), F.col("specifier"))
+    made_of = parse.candidates(F.col("language"), F.col("path"), F.col("specifier"))
     if aliases:
         dirs = files.sparkSession.createDataFrame([(d,) for d in aliases], "config_dir string")
         nearest = assemble.nearest_config(files, dirs).withColumnRenamed("id", "file_id")
@@ -66,24 +59,87 @@ def resolve(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Ru
             made = F.when(F.col("config_dir") == folder, assemble.alias_candidates(F.col("specifier"), rules)).otherwise(made)
         made = F.flatten(F.transform(made, lambda c: F.array(*[F.concat(c, F.lit(e)) for e in parse.TRIED["typescript"]])))
         script = F.col("language").isin("typescript", "javascript") & ~F.col("specifier").startswith(".")
-        tried = F.when(script, F.concat(made, tried)).otherwise(tried)
+        made_of = F.when(script, F.concat(made, made_of)).otherwise(made_of)
+    return named.withColumn("candidates", made_of)
+
+
+def slashed_name() -> Column:
+    """A dotted specifier as a path."""
+    return F.replace(F.regexp_replace("specifier", r"\.\*$", ""), F.lit("."), F.lit("/"))
+
+
+def watched(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
+    """``file_id, kind, value``: what a path that comes or goes must be for an import to be resolved anew.
+
+    The inverse of ``resolve``: a path that is tried (``path``; ``folded`` in lower
+    case), a folder that it lies in (``folder``), or a part of it (``part``;
+    ``folded_part`` in lower case).
+    """
+    named = tried(files, imports, aliases)
+    slashed, none = slashed_name(), F.array().cast("array<struct<kind: string, value: string>>")
+    of = lambda kind, *values: F.array(*[F.struct(F.lit(kind).alias("kind"), v.alias("value")) for v in values])
+    language, folded = F.col("language"), F.lower("specifier")
+    more = (
+        F.when(language.isin(*BY_FOLDER), of("folder", slashed))
+        .when(language == "go", of("part", F.col("specifier")))
+        .when(language == "swift", of("part", slashed))
+        .when(language == "elm", of("folded", F.lower(F.concat(slashed, F.lit(".elm")))))
+        .when(language.isin("ocaml", "elixir"), F.concat(of("folded_part", folded), of("folded", F.lower(F.concat(slashed, F.lit(".ml"))), F.lower(F.concat(slashed, F.lit(".mli"))))))
+        .otherwise(none)
+    )
+    paths = F.transform("candidates", lambda c: F.struct(F.lit("path").alias("kind"), c.alias("value")))
+    return named.select("file_id", F.explode(F.concat(paths, more)).alias("w")).select("file_id", "w.kind", "w.value").distinct()
+
+
+def touched_importers(watch: DataFrame, moved: DataFrame) -> DataFrame:
+    """``file_id`` of those whose imports a path among ``moved`` (those that came or went) may resolve otherwise."""
+    run, path = 4, F.col("path")
+    equal = moved.select(F.lit("path").alias("kind"), path.alias("value")).unionByName(moved.select(F.lit("folded").alias("kind"), F.lower("path").alias("value")))
+    equal = equal.unionByName(moved.select(F.lit("folder").alias("kind"), F.explode(ancestors(path)).alias("value"))).distinct()
+    found = watch.join(equal, ["kind", "value"], "left_semi").select("file_id")
+    parts = watch.where(F.col("kind").isin("part", "folded_part")).withColumn("size", F.least(F.lit(run), F.length("value")))
+    parts = parts.withColumn("gram", F.substring("value", F.lit(1), F.col("size")))
+    forms = moved.select(F.lit("part").alias("kind"), path.alias("p")).unionByName(moved.select(F.lit("folded_part").alias("kind"), F.lower("path").alias("p")))
+    runs = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - size + 1)), lambda i: F.struct(F.lit(size).alias("size"), F.substring(F.col("p"), i, F.lit(size)).alias("gram")))
+    grams = forms.select("kind", "p", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("size"), F.lit("").alias("gram"))), *[runs(k) for k in range(1, run + 1)])).alias("g")).select("kind", "p", "g.*").distinct()
+    held = parts.join(grams, ["kind", "size", "gram"]).where(F.contains("p", "value")).select("file_id")
+    return found.unionByName(held).distinct()
+
+
+def resolve(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
+    """``file_id, specifier, target_id``: candidate paths first, then what a language has besides.
+
+    ``aliases`` are the rules of configs by folder, of which a file's nearest holds
+    (or one list for all files).  Java and its like take the first file under the
+    package's folder; Go the first path that holds the module's; Swift the same
+    among its own files; Elm a path that differs in case alone; OCaml and Elixir
+    the first path that is the module's, or holds its name, whatever the case.
+    """
     key = ["file_id", "specifier"]
-    direct = assemble.first_candidate(named.select(*key, tried.alias("candidates")), files, key)
-    left = named.join(direct, key, "left_anti")
-    slashed = F.replace(F.regexp_replace("specifier", r"\.\*$", ""), F.lit("."), F.lit("/"))
+    named = tried(files, imports, aliases)
+    direct = assemble.first_candidate(named.select(*key, "candidates"), files, key)
+    # One row a language; those that have no other way need no other join.
+    present = {r["language"] for r in named.select("language").distinct().collect()}
+    if not present & {*BY_FOLDER, "go", "swift", "elm", "ocaml", "elixir"}:
+        return direct
+    direct = written(direct, "direct")
+    left, slashed = written(named.drop("candidates").join(direct, key, "left_anti"), "unresolved"), slashed_name()
     of = lambda *languages: left.where(F.col("language").isin(*languages))
-    folders = assemble.under_folder(of(*BY_FOLDER).select(*key, slashed.alias("folder")), files, key)
-    go = of("go").where(F.split("specifier", "/")[0].contains("."))
-    inside = assemble.containing(go.select(*key, F.col("specifier").alias("needle")), files, key)
-    swift = of("swift").where(~F.col("specifier").isin(*SWIFT_OWN)).select(*key, slashed.alias("needle"))
-    elm = _same_folded(of("elm").select(*key, F.array(F.concat(slashed, F.lit(".elm"))).alias("names")), files, key)
-    folded = of("ocaml", "elixir")
-    holding = assemble.containing(folded.select(*key, F.col("specifier").alias("needle")), files, key, fold_case=True).join(files.select(F.col("id").alias("target_id"), "path"), "target_id")
-    equal = _same_folded(folded.select(*key, F.array(F.concat(slashed, F.lit(".ml")), F.concat(slashed, F.lit(".mli"))).alias("names")), files, key)
-    first = holding.select(*key, "path", "target_id").unionByName(equal).groupBy(*key).agg(F.min_by("target_id", "path").alias("target_id"))
-    rest = (folders, inside, assemble.containing(swift, files, key, suffix=".swift"), elm.drop("path"), first)
-    for found in rest:
-        direct = direct.unionByName(found)
+    if present & set(BY_FOLDER):
+        direct = direct.unionByName(assemble.under_folder(of(*BY_FOLDER).select(*key, slashed.alias("folder")), files, key))
+    if "go" in present:
+        go = of("go").where(F.split("specifier", "/")[0].contains("."))
+        direct = direct.unionByName(assemble.containing(go.select(*key, F.col("specifier").alias("needle")), files, key))
+    if "swift" in present:
+        swift = of("swift").where(~F.col("specifier").isin(*SWIFT_OWN)).select(*key, slashed.alias("needle"))
+        direct = direct.unionByName(assemble.containing(swift, files, key, suffix=".swift"))
+    if "elm" in present:
+        direct = direct.unionByName(_same_folded(of("elm").select(*key, F.array(F.concat(slashed, F.lit(".elm"))).alias("names")), files, key).drop("path"))
+    if present & {"ocaml", "elixir"}:
+        folded = of("ocaml", "elixir")
+        holding = assemble.containing(folded.select(*key, F.col("specifier").alias("needle")), files, key, fold_case=True).join(files.select(F.col("id").alias("target_id"), "path"), "target_id")
+        equal = _same_folded(folded.select(*key, F.array(F.concat(slashed, F.lit(".ml")), F.concat(slashed, F.lit(".mli"))).alias("names")), files, key)
+        direct = direct.unionByName(holding.select(*key, "path", "target_id").unionByName(equal).groupBy(*key).agg(F.min_by("target_id", "path").alias("target_id")))
     return direct
 
 

@@ -49,9 +49,20 @@ def _inner(ddl: str) -> str:
     return ", ".join(out)
 
 
-def write_bundle(tables: dict[str, DataFrame], repo: tuple[str, str], path: str, exported_at: str) -> None:
-    """All tables of a graph as one JSON document; an exchange file is one object, so its tables must be viewer-sized."""
+#: Rows of a table that an exchange file may hold.
+MOST_BUNDLE_ROWS = 1_000_000
+
+
+def write_bundle(tables: dict[str, DataFrame], repo: tuple[str, str], path: str, exported_at: str, most_rows: int = MOST_BUNDLE_ROWS) -> None:
+    """All tables of a graph as one JSON document.
+
+    An exchange file is one object, so its tables must be viewer-sized: more than
+    ``most_rows`` rows of a table, counted before any is gathered, are refused.
+    """
     spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        if df.limit(most_rows + 1).count() > most_rows:
+            raise ValueError(f"too large for an exchange file: {name} has more than {most_rows} rows")
     one = spark.range(1).select(F.lit("graph-bundle").alias("kind"), F.lit(1).alias("version"), F.lit(exported_at).alias("exportedAt"))
     parts = []
     for name, df in tables.items():

@@ -1,11 +1,17 @@
 """Parsing source text to symbols, imports and calls, and resolving import specifiers to candidate paths.
 
-Python is parsed by its own grammar (``ast``).  Other languages are read by one
-table of patterns per language: definitions with their kind, how a block ends,
-imports, and calls.  Patterns see code only (comments and strings blanked, with
-import specifiers read from the text itself).  Extraction of these languages is
-less exact than a full grammar's: nested declarations follow the rule of each
-language on what is kept, ends of blocks follow braces or indentation.
+Python is parsed by its own grammar (``ast``).  Other languages are read in two
+steps.  One linear pass blanks comments and literals (each language has its own)
+and pairs brackets: a brace closes what is open inside it, other brackets never
+reach across a brace.  Then one table of patterns per language finds definitions
+with their kind, imports and calls in what is left; how deep a definition lies,
+where its head and block end and whether a name before parentheses is a
+definition or a call follow from the brackets.  Extraction is less exact than a
+full grammar's, but nesting, literals that hold brackets and heads of several
+lines don't mislead it.
+
+A file has ``SECONDS``; one that takes longer, or that can't be parsed, yields
+nothing but the reason (``failed``), and its neighbours are parsed.
 
 ``register`` adds a language.
 """
@@ -13,11 +19,14 @@ language on what is kept, ends of blocks follow braces or indentation.
 from __future__ import annotations
 
 import ast
-import re
+import time
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
+import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +51,13 @@ class Language:
     comment: str = r"//[^\n]*|/\*.*?\*/"
 
 
-_CALL = (r"\b([A-Za-z_$][\w$]*)\s*\(",)
+_CALL = (r"\b([A-Za-z_$][\w$]*+)\s*+(?:<[^<>(){};]*+>)?+\(",)
 _ID = r"(?P<name>[A-Za-z_$][\w$]*)"
 _HASH = r"#[^\n]*"
 #: Words before a parenthesis that are no calls.
-_NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "def", "match", "when", "elif", "sizeof", "new", "await", "typeof"}
+_NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "def", "match", "when", "elif", "sizeof", "new", "await", "typeof", "import", "using", "lock", "foreach", "synchronized", "throw", "in", "of", "and", "or", "not"}
+#: Those of them that no method is named.
+_CONTROL = {"if", "for", "while", "switch", "catch", "return", "sizeof", "new", "using", "lock", "foreach", "synchronized", "throw"}
 _EXPORT = lambda name, head: bool(re.match(r"\s*export\b", head))
 _PUBLIC = lambda name, head: bool(re.search(r"\bpublic\b", head))
 _JS_SYMBOLS = (
@@ -57,19 +68,22 @@ _JS_SYMBOLS = (
 _TS_SYMBOLS = (*_JS_SYMBOLS, ("interface", rf"^[ \t]*(?:export\s+)?(?:declare\s+)?interface\s+{_ID}"), ("type", rf"^[ \t]*(?:export\s+)?(?:declare\s+)?type\s+{_ID}\s*[=<]"), ("type", rf"^[ \t]*(?:export\s+)?(?:const\s+)?enum\s+{_ID}"))
 _JS_IMPORTS = (r"\bimport\s+(?:[^'\";]*?\sfrom\s+)?['\"]([^'\"]+)['\"]", r"\bexport\s+[^'\";]*?\sfrom\s+['\"]([^'\"]+)['\"]", r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]")
 _JS = Language(_JS_SYMBOLS, _JS_IMPORTS, _CALL, _EXPORT, True)
-_C_FUNCTION = ("function", rf"^(?!\s*(?:return|else|if|while|for|switch)\b)[A-Za-z_][\w\s\*&:<>,]*?\b{_ID}\s*\([^;{{}}]*\)\s*(?:const\s*)?\{{")
+_C_FUNCTION = ("function", rf"^[ \t]*(?!(?:return|else|if|while|for|switch|typedef|using|namespace|new|throw|case|goto|delete|do)\b)[A-Za-z_][\w\s\*&:<>,~]*?\b{_ID}\s*\(")
+_C_CONST = ("const", rf"^[ \t]*(?!(?:return|else|goto|case|typedef|using)\b)(?:[A-Za-z_]\w*[ \t]+)*[A-Za-z_]\w*[ \t\*]+{_ID}(?:\[[^\]\n]*\])*[ \t]*=(?!=)")
+_MODIFIERS = "public|private|protected|internal|static|final|abstract|synchronized|native|default|async|override|virtual|sealed|extern|unsafe|partial|readonly"
+_TYPED_METHOD = ("function", rf"(?:^|(?<=[{{}};]))[ \t]*(?!(?:return|new|else|throw|case|assert|package|import|yield|await|goto|using|do)\b)(?:@\w+\s+)*(?:[\w.<>\[\],?]+\s+)*?(?!(?:{_MODIFIERS})\b)[\w.<>\[\],?]+\s+{_ID}\s*\(")
 _INCLUDE = (r"^[ \t]*#[ \t]*include\s*([\"<][^\">]+[\">])",)
-_DOTTED_IMPORT = (r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;?",)
+_DOTTED_IMPORT = (r"^\s*import\s+(?:static\s+)?(\w+(?:\.\w+)*(?:\.\*)?)\s*;?",)
 
 LANGUAGES: dict[str, Language] = {
     "typescript": Language(_TS_SYMBOLS, _JS_IMPORTS, _CALL, _EXPORT, True),
     "javascript": _JS,
     "go": Language((("function", rf"^func\s+(?:\([^)]*\)\s*)?{_ID}"), ("type", rf"^type\s+{_ID}")), (r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$",), _CALL, lambda n, h: n[:1].isupper(), True),
     "rust": Language((("function", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+{_ID}"), ("class", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+{_ID}"), ("type", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+{_ID}"), ("interface", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?trait\s+{_ID}"), ("const", rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?const\s+{_ID}\s*:")), (r"^\s*(?:pub\s+)?use\s+([\w:]+)",), _CALL, lambda n, h: h.lstrip().startswith("pub")),
-    "java": Language((("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("type", rf"\benum\s+{_ID}"), ("function", rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]+\s+{_ID}\s*\(")), _DOTTED_IMPORT, _CALL, _PUBLIC),
-    "c": Language((_C_FUNCTION, ("class", rf"\bstruct\s+{_ID}\s*\{{"), ("type", rf"\b(?:union|enum)\s+{_ID}\s*\{{"), ("type", rf"^\s*typedef\b[^;{{]*\b{_ID}\s*;")), _INCLUDE, _CALL),
-    "cpp": Language((_C_FUNCTION, ("class", rf"\b(?:class|struct)\s+{_ID}[^;{{]*\{{"), ("type", rf"\b(?:union|enum(?:\s+class)?)\s+{_ID}[^;{{]*\{{")), _INCLUDE, (r"(?:\b[\w]+::)*\b([A-Za-z_]\w*)\s*\(",)),
-    "csharp": Language((("class", rf"\b(?:class|struct)\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("type", rf"\benum\s+{_ID}"), ("function", rf"^[ \t]*(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\],? ]+\s+{_ID}\s*\("), ("const", rf"^[ \t]*(?:(?:public|private|protected|internal|static)\s+)+[\w<>\[\],?]+\s+{_ID}\s*\{{\s*get\b")), (r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",), _CALL, _PUBLIC),
+    "java": Language((("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("type", rf"\benum\s+{_ID}"), _TYPED_METHOD), _DOTTED_IMPORT, _CALL, _PUBLIC),
+    "c": Language((_C_FUNCTION, ("class", rf"\bstruct\s+{_ID}\s*\{{"), ("type", rf"\b(?:union|enum)\s+{_ID}\s*\{{"), ("type", rf"^\s*typedef\b[^;{{]*\b{_ID}\s*;"), _C_CONST), _INCLUDE, _CALL),
+    "cpp": Language((_C_FUNCTION, ("class", rf"\b(?<!\benum\s+)(?:class|struct)\s+{_ID}[^;{{]*\{{"), ("type", rf"\b(?:union|enum(?:\s+(?:class|struct))?)\s+{_ID}[^;{{]*\{{")), _INCLUDE, (r"(?:\b[\w]+::)*\b([A-Za-z_]\w*)\s*\(",)),
+    "csharp": Language((("class", rf"\b(?:class|struct)\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("type", rf"\benum\s+{_ID}"), ("function", rf"\bdelegate\s+[\w<>\[\],.?]+\s+{_ID}\s*(?:<[^>]*>)?\s*(?=\()"), _TYPED_METHOD, ("const", rf"^[ \t]*(?:(?:public|private|protected|internal|static|virtual|override|abstract|required)\s+)+[\w<>\[\],.?]+\s+{_ID}\s*\{{\s*(?:(?:private|protected|internal)\s+)?(?:get|set|init)\b")), (r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",), _CALL, _PUBLIC),
     "kotlin": Language((("class", rf"\b(?:class|object)\s+{_ID}"), ("function", rf"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?{_ID}\s*\("), ("const", rf"^[ \t]*(?:\w+\s+)*va[lr]\s+{_ID}"), ("type", rf"\btypealias\s+{_ID}")), (r"^\s*import\s+([\w.]+)",), _CALL, _PUBLIC),
     "ruby": Language((("function", r"^\s*def\s+(?:self\.)?(?P<name>\w+[?!]?)"), ("class", r"^\s*(?:class|module)\s+(?P<name>\w+)")), (r"^\s*require(?:_relative)?\s*\(?['\"]([^'\"]+)['\"]",), (r"\b([a-z_]\w*[?!]?)\s*\(",), block="end", comment=_HASH),
     "php": Language((("function", rf"\bfunction\s+&?{_ID}"), ("class", rf"\b(?:class|trait)\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("type", rf"\benum\s+{_ID}"), ("const", rf"\bconst\s+{_ID}\s*=")), (r"\b(?:include|require)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]", r"^\s*use\s+([\w\\]+)"), _CALL, comment=r"//[^\n]*|#[^\n\[]*|/\*.*?\*/"),
@@ -80,7 +94,7 @@ LANGUAGES: dict[str, Language] = {
     "lua": Language((("function", r"\bfunction\s+(?P<name>[\w.:]+)"),), top_only=True, block="end", comment=r"--[^\n]*"),
     "r": Language((("function", r"^\s*(?P<name>[\w.]+)\s*(?:<-|=)\s*function\b"),), (), _CALL, comment=_HASH),
     "elixir": Language((("function", r"^\s*defp?\s+(?P<name>\w+[?!]?)"), ("function", r"^\s*defmodule\s+(?P<name>[\w.]+)")), (), (r"\b([a-z_]\w*[?!]?)\(",), block="end", comment=_HASH),
-    "elm": Language((("function", r"^(?P<name>[a-z]\w*)(?:\s+[\w_]+)*\s*="), ("type", r"^type\s+(?:alias\s+)?(?P<name>\w+)")), (r"^import\s+([\w.]+)",), (), block="indent", comment=r"--[^\n]*"),
+    "elm": Language((("function", r"^(?!(?:type|import|module|port)\b)(?P<name>[a-z]\w*)(?:\s+[\w_]+)*\s*="), ("type", r"^type\s+(?:alias\s+)?(?P<name>\w+)")), (r"^import\s+([\w.]+)",), (), block="indent", comment=r"--[^\n]*"),
     "ocaml": Language((("const", r"^\s*let\s+(?:rec\s+)?(?P<name>\w+)"), ("class", r"^\s*class\s+(?P<name>\w+)")), (r"^\s*(?:open|include)\s+([\w.]+)",), block="indent", comment=r"\(\*.*?\*\)"),
     "rescript": Language((("const", r"^\s*let\s+(?:rec\s+)?(?P<name>\w+)"), ("class", r"^\s*module\s+(?P<name>\w+)")), (r"^\s*open\s+([\w.]+)",)),
     "solidity": Language((("class", rf"\bcontract\s+{_ID}"),), (r"^\s*import\s+(?:[^'\";]*\sfrom\s+)?['\"]([^'\"]+)['\"]",), _CALL),
@@ -107,60 +121,152 @@ def short_signature(text: str) -> str:
     return flat if len(flat) <= 200 else flat[:197] + "…"
 
 
-def _blanked(text: str, language: Language, strings: bool = True) -> str:
-    """Comments (and strings) as spaces of the same length, line breaks kept."""
-    quoted = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
-
-    def blank(m: re.Match) -> str:
-        if m["q"] is not None and not strings:
-            return m[0]
-        return re.sub(r"[^\n]", " ", m[0])
-
-    return re.sub(rf"(?P<q>{quoted})|(?:{language.comment})", blank, text, flags=re.S)
+#: Seconds that a file may take.
+SECONDS = 20.0
+_STRING, _LONG_STRING, _CHAR = r'"(?:\\.|[^"\\\n])*+"', r'"(?:\\[\s\S]|[^"\\])*+"', r"'(?:\\[^\n][^'\n]{0,8}|[^'\\\n])'"
+_QUOTED, _LONG_QUOTED = r"'(?:\\.|[^'\\\n])*+'", r"'(?:\\[\s\S]|[^'\\])*+'"
+_TRIPLE, _BACKTICK = r'"""[\s\S]*?"""', r"`(?:\\[\s\S]|[^`\\])*+`"
+_DOCUMENT = r"<<[<~-]?[ \t]*(?P<mark>['\"]?)(?P<doc>[A-Z_]\w*)(?P=mark)[^\n]*\n[\s\S]*?\n[ \t]*(?P=doc)\b"
+_PATTERN = r"(?<=[=(,:\[!&|?;{}\n][ \t]*|\breturn[ \t]+)/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/"
+_SCRIPT = (_STRING, _QUOTED, _BACKTICK, _PATTERN)
+#: What a language's literals look like; strings in either quotes and backticks unless given.
+LITERALS = {
+    "typescript": _SCRIPT, "javascript": _SCRIPT, "go": (_STRING, r"`[^`]*+`", _CHAR), "c": (_STRING, _CHAR), "zig": (_STRING, _CHAR), "ocaml": (_LONG_STRING, _CHAR), "elm": (_TRIPLE, _STRING, _CHAR),
+    "rust": (r'\bb?r(?P<hashes>#*)"[\s\S]*?"(?P=hashes)', _LONG_STRING, _CHAR), "cpp": (r'R"(?P<tag>[^()\\\s]{0,16})\([\s\S]*?\)(?P=tag)"', _STRING, r"(?<!\d)" + _CHAR),
+    "java": (_TRIPLE, _STRING, _CHAR), "kotlin": (_TRIPLE, _STRING, _CHAR), "scala": (_TRIPLE, _STRING, _CHAR), "swift": (_TRIPLE, _STRING), "csharp": (r'\$?@\$?"(?:""|[^"])*+"', _TRIPLE, _STRING, _CHAR),
+    "php": (_DOCUMENT, _LONG_STRING, _LONG_QUOTED), "ruby": (_DOCUMENT, _LONG_STRING, _LONG_QUOTED), "bash": (_DOCUMENT, _LONG_STRING, _LONG_QUOTED), "lua": (r"\[(?P<eq>=*)\[[\s\S]*?\](?P=eq)\]", _STRING, _QUOTED), "elisp": (_LONG_STRING,),
+}
+_NESTED = r"//[^\n]*|(?P<nested>/\*(?:[^*/]++|\*(?!/)|/(?!\*)|(?&nested))*+(?:\*/|\Z))"
+#: Comments that differ from what the table of languages says: those that nest.
+COMMENTS = {name: _NESTED for name in ("rust", "kotlin", "swift", "scala", "dart")} | {"lua": r"--\[(?P<level>=*)\[[\s\S]*?\](?P=level)\]|--[^\n]*"}
+#: Languages in which a line's end doesn't end a statement, and those in which a body after parentheses makes a definition.
+SEMICOLONS = {"c", "cpp", "java", "csharp", "rust", "php", "solidity", "dart", "zig", "ql"}
+BODIED = {"typescript", "javascript", "java", "csharp", "c", "cpp", "php", "dart", "solidity"}
+TYPED = {"java", "csharp", "c", "cpp", "dart"}
+_AFTER_HEAD = r"(?:\s|\bthrows\b[\w\s,.]++|\b(?:const|noexcept|override|final|async)\b|->[\w:<>&*\s]++|\bwhere\b[^{};]++|:\s*\w[\w.<>\[\]|,:()\s]*+)*+"
+_BODY = re.compile(_AFTER_HEAD + r"\{")
+#: What makes a typed head a definition: a body, an arrow, in Java and C# a semicolon too.
+_DEFINES = {name: re.compile(_AFTER_HEAD + (r"(?:\{|=>|;)" if name in ("java", "csharp") else r"(?:\{|=>)")) for name in TYPED}
+_BEFORE = re.compile(r"(?:^|[{};(\n])[ \t]*(?P<words>(?:[\w@]+[ \t]+)*)$")
+#: Words before a name with parentheses that say it is defined there, and those that may stand before a call.
+_DEFINING, _CALLING = re.compile(r"\b(?:fn|fun|func|function|def|defp|sub)\s+$"), re.compile(r"\b(?:return|new|else|throw|await|yield|case|in|do|and|or|not|delete|goto|is|as|when|assert|co_return|co_await)\s+$")
+_TYPE_BEFORE = re.compile(r"(?:[\w\]]|\w>)\s+$")
+_GOES_ON = re.compile(r"\s*(?:[{.:,=&|?)\]+*<>-]|(?:where|extends|implements|throws|with|as)\b)")
+
+
+@lru_cache(maxsize=None)
+def _hidden(name: str, comment: str) -> re.Pattern:
+    return re.compile(f"(?P<literal>{'|'.join(LITERALS.get(name, (_STRING, _QUOTED, _BACKTICK)))})|(?:{COMMENTS.get(name, comment)})", re.S if name not in COMMENTS else 0)
+
+
+class Code:
+    """A text with comments and literals blanked (``code``), or comments alone (``told``), and its brackets in pairs."""
+
+    def __init__(self, name: str, language: Language, text: str, seconds: float = SECONDS):
+        self.name, self.language, self.text, self.until = name, language, text, time.monotonic() + seconds
+        code, told, at = [], [], 0
+        for m in _hidden(name, language.comment).finditer(text, timeout=seconds):
+            blank = re.sub(r"[^\n]", " ", m[0])
+            code += [text[at : m.start()], blank]
+            told += [text[at : m.start()], blank if m["literal"] is None else m[0]]
+            at = m.end()
+        self.code, self.told = "".join([*code, text[at:]]), "".join([*told, text[at:]])
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.partner: dict[int, int] = {}
+        self.places, self.depths, stack, n_open = [], [], [], {"(": 0, "[": 0, "{": 0}
+        for m in re.finditer(r"[()\[\]{}]", self.code):
+            c, at = m[0], m.start()
+            if c in n_open:
+                stack.append((c, at))
+                n_open[c] += 1
+            else:
+                opener = {")": "(", "]": "[", "}": "{"}[c]
+                k = len(stack) - 1
+                while n_open[opener] and k >= 0 and stack[k][0] != opener and (c == "}" or stack[k][0] != "{"):
+                    k -= 1
+                if not n_open[opener] or k < 0 or stack[k][0] != opener:
+                    continue  # closes nothing
+                for inner, place in stack[k:]:
+                    self.partner[place] = at
+                    n_open[inner] -= 1
+                del stack[k:]
+            self.places.append(at)
+            self.depths.append(len(stack))
+        self.partner.update((at, len(text)) for _, at in stack)
+
+    def found(self, pattern: str, source: str):
+        """Matches, within the time that is left."""
+        return re.finditer(pattern, source, re.M, timeout=max(0.001, self.until - time.monotonic()))
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.breaks, at) + 1
+
+    def depth(self, at: int) -> int:
+        """How many brackets are open before a place."""
+        k = bisect_left(self.places, at)
+        return self.depths[k - 1] if k else 0
+
+    def has_body(self, at: int, after: re.Pattern | None = None) -> bool:
+        """Whether a body (or what ``after`` says) follows the parentheses that open at a place."""
+        close = self.partner.get(at)
+        return close is not None and (after or _BODY).match(self.code, close + 1, close + 400) is not None
+
+    def begin(self, at: int) -> int:
+        """Where a definition begins on its line, with the modifiers before it."""
+        before = _BEFORE.search(self.code, max(0, self.code.rfind("\n", 0, at)), at)
+        return before.start("words") if before else at
+
+    def end(self, at: int, kind: str) -> int:
+        """Where the definition that begins at a place ends: with its block, its semicolon, or a line that nothing goes on from."""
+        code, i = self.code, at
+        while m := re.compile(r"[({\[;\n})\]]").search(code, i):
+            c, i = m[0], m.start()
+            if c in "([" or c == "{" and kind == "const" and self.name != "csharp":
+                i = self.partner[i] + 1
+            elif c == "{":
+                return min(self.partner[i], len(code) - 1)
+            elif c == ";":
+                return i
+            elif c in "})]":
+                return max(at, len(code[:i].rstrip()) - 1) if i - at < 2000 else i
+            elif self.name not in SEMICOLONS and not _GOES_ON.match(code, i) and not re.search(r"(?:[,=(&|?:+*.\[-]|=>)\s*$", code[max(at, i - 80) : i]):
+                return i
+            else:
+                i += 1
+        return len(code) - 1
 
 
-def _block_end(code: str, at: int, style: str) -> int:
-    """Where the definition that starts at ``at`` ends."""
+def _margin_end(code: str, at: int, style: str) -> int:
+    """Where a definition ends whose block is what stands further in (``indent``; ``end``: and its closing line), or its line."""
     line_end = code.find("\n", at)
     line_end = len(code) if line_end < 0 else line_end
-    if style == "brace":
-        depth, i = 0, at
-        while i < len(code):
-            c = code[i]
-            if c in "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if depth <= 0:
-                    return i
-            elif c == ";" and depth == 0 or c == "\n" and depth == 0 and not re.match(r"[\s)]*[\w\s:<>,|&=>(\[]*\{", code[i : i + 400]) and i > line_end - 1:
-                return i
-            i += 1
-        return len(code) - 1
-    if style in ("indent", "end"):
-        begin = code.rfind("\n", 0, at) + 1
-        margin = len(code[begin:]) - len(code[begin:].lstrip(" \t"))
-        last, pos = line_end, line_end + 1
-        while pos < len(code):
-            stop = code.find("\n", pos)
-            stop = len(code) if stop < 0 else stop
-            line = code[pos:stop]
-            if line.strip():
-                inner = len(line) - len(line.lstrip(" \t"))
-                if inner <= margin:
-                    return stop if style == "end" and line.strip().startswith("end") else last
-                last = stop
-            pos = stop + 1
-        return last
-    return line_end
-
-
-def parse_text(language: str, text: str) -> dict:
-    """``symbols``, ``imports`` and ``calls`` of one file; whatever fails gives none of them."""
+    if style not in ("indent", "end"):
+        return line_end
+    begin = code.rfind("\n", 0, at) + 1
+    margin = re.compile(r"[ \t]*").match(code, begin).end() - begin
+    last, pos = line_end, line_end + 1
+    while pos < len(code):
+        stop = code.find("\n", pos)
+        stop = len(code) if stop < 0 else stop
+        line = code[pos:stop]
+        if line.strip():
+            inner = len(line) - len(line.lstrip(" \t"))
+            if inner <= margin:
+                return stop if style == "end" and line.strip().startswith("end") else last
+            last = stop
+        pos = stop + 1
+    return last
+
+
+def parse_text(language: str, text: str, seconds: float = SECONDS) -> dict:
+    """``symbols``, ``imports`` and ``calls`` of one file, and ``failed``: why there are none."""
     try:
-        return _python(text) if language == "python" else _patterns(LANGUAGES[language], text)
-    except (SyntaxError, ValueError, KeyError, RecursionError):
-        return {"symbols": [], "imports": [], "calls": []}
+        return _python(text) if language == "python" else _patterns(Code(language, LANGUAGES[language], text, seconds))
+    except TimeoutError:
+        reason = "time"
+    except (SyntaxError, ValueError, KeyError, RecursionError, MemoryError) as error:
+        reason = type(error).__name__
+    return {"symbols": [], "imports": [], "calls": [], "failed": reason}
 
 
 def _python(text: str) -> dict:
@@ -182,28 +288,43 @@ def _python(text: str) -> dict:
     return _parsed(symbols, imports, sorted(calls, key=lambda c: c[1]))
 
 
-def _patterns(language: Language, text: str) -> dict:
-    code, with_strings = _blanked(text, language), _blanked(text, language, strings=False)
-    line_of = lambda at: text.count("\n", 0, at) + 1
-    symbols, seen = [], set()
+def _patterns(tree: Code) -> dict:
+    language, name, text, code = tree.language, tree.name, tree.text, tree.code
+    symbols, seen, defined = [], set(), set()
     for kind, pattern in language.symbols:
-        source = with_strings if '"' in pattern else code
-        for m in re.finditer(pattern, source, re.M):
-            at = m.start() + len(m[0]) - len(m[0].lstrip())
-            if language.top_only and (source[:at].count("{") - source[:at].count("}") > 0 or source[source.rfind("\n", 0, at) + 1 : at].strip(" \t") == "" and at > source.rfind("\n", 0, at) + 1):
+        source = tree.told if '"' in pattern else code
+        for m in tree.found(pattern, source):
+            at = tree.begin(m.start() + len(m[0]) - len(m[0].lstrip()))
+            opens = m.end() - 1 if m[0].endswith("(") else None
+            if kind == "function" and name in TYPED and opens is not None:
+                if m["name"] in _CONTROL or not tree.has_body(opens, _DEFINES[name]):
+                    continue
+            defined.add(m.start("name"))
+            if language.top_only and (tree.depth(at) > 0 or language.block != "brace" and at != source.rfind("\n", 0, at) + 1):
                 continue
-            start = line_of(at)
+            start = tree.line(at)
             if (m["name"], start) in seen:
                 continue
             seen.add((m["name"], start))
-            head = text[at : text.find("\n", at) if "\n" in text[at:] else len(text)]
-            symbols.append((m["name"], kind, short_signature(text[at : at + 1000]), start, max(start, line_of(_block_end(source, at, language.block))), language.exported(m["name"], head)))
+            stop = text.find("\n", at)
+            head = text[at : stop if stop >= 0 else len(text)]
+            end = tree.end(at, kind) if language.block == "brace" else _margin_end(source, at, language.block)
+            symbols.append((m["name"], kind, short_signature(text[at : at + 1000]), start, max(start, tree.line(end)), language.exported(m["name"], head)))
     imports: dict[str, None] = {}
     for pattern in language.imports:
-        imports.update(dict.fromkeys(s for m in re.finditer(pattern, with_strings, re.M) if (s := m[1].strip())))
-    calls = sorted(((m[1], line_of(m.start(1))) for p in language.calls for m in re.finditer(p, code, re.M) if m[1] not in _NOT_CALLS), key=lambda c: c[1])
-    defined = {(s[0], s[3]) for s in symbols}
-    return _parsed(symbols, imports, [c for c in calls if c not in defined])
+        imports.update(dict.fromkeys(s for m in tree.found(pattern, tree.told) if (s := m[1].strip())))
+    calls = []
+    for pattern in language.calls:
+        for m in tree.found(pattern, code):
+            at = m.start(1)
+            before = code[max(0, at - 40) : at]
+            if m[1] in _NOT_CALLS or at in defined or _DEFINING.search(before):
+                continue
+            if m[0].endswith("(") and not _CALLING.search(before):
+                if name in BODIED and tree.has_body(m.end() - 1) or name in TYPED and _TYPE_BEFORE.search(before):
+                    continue  # a method, or what is only declared
+            calls.append((m[1], at))
+    return _parsed(symbols, imports, [(c, tree.line(at)) for c, at in sorted(set(calls), key=lambda c: c[1])])
 
 
 def _parsed(symbols: list, imports: dict, calls: list) -> dict:
@@ -212,20 +333,21 @@ def _parsed(symbols: list, imports: dict, calls: list) -> dict:
         "symbols": [dict(zip(names, s, strict=True)) for s in sorted(symbols, key=lambda s: s[3])],
         "imports": list(imports),
         "calls": [{"callee": c, "line": n} for c, n in calls],
+        "failed": None,
     }
 
 
-def parse_files(files: DataFrame, enabled: set[str] | None = None) -> DataFrame:
-    """``sha, language, symbols, imports, calls``: each distinct content of a language is parsed once."""
+def parse_files(files: DataFrame, enabled: set[str] | None = None, seconds: float = SECONDS) -> DataFrame:
+    """``sha, language, symbols, imports, calls, failed``: each distinct content of a language is parsed once."""
     wanted = ((set(LANGUAGES) | {"python"}) - DISABLED) | (enabled or set())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [parse_text(lang, text) for lang, text in zip(f["language"], f["content"], strict=True)]
-            yield pd.DataFrame({"sha": f["sha"], "language": f["language"], **{k: [p[k] for p in found] for k in ("symbols", "imports", "calls")}})
+            found = [parse_text(lang, text, seconds) for lang, text in zip(f["language"], f["content"], strict=True)]
+            yield pd.DataFrame({"sha": f["sha"], "language": f["language"], **{k: [p[k] for p in found] for k in ("symbols", "imports", "calls", "failed")}})
 
     todo = files.where(F.col("language").isin(sorted(wanted))).dropDuplicates(["sha", "language"])
-    return todo.select("sha", "language", "content").mapInPandas(run, f"sha string, language string, {PARSED}")
+    return todo.select("sha", "language", "content").mapInPandas(run, f"sha string, language string, {PARSED}, failed string")
 
 
 def tables(files: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,7 +1,8 @@
 """Scanning a repository: ignore rules, languages, line counts, digests.
 
-Names are listed on the driver so that ignored folders are never entered; tasks
-read the content of the files that are left.
+Folders are listed by tasks, level by level, each with the ignore rules that hold in
+it, so that ignored ones are never entered and no list of paths is on the driver;
+tasks read the content of the files that are left.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import loc, looks_binary, low_byte_sha
-from graphloom.sources.languages import BINARY, detect_language
+from graphloom.functions.text import loc, loc_trimmed, looks_binary, low_byte_sha
+from graphloom.plans.shared_folder import written
+from graphloom.sources import rules as automaton
+from graphloom.sources.languages import detect_language
+from graphloom.sources.rules import RuleSet
 
 MOST_BYTES = 1_500_000
 #: Folders that no repository wants indexed.
@@ -28,48 +33,45 @@ ALWAYS_IGNORED = [
     ".next/", ".nuxt/", ".svelte-kit/", ".astro/", ".turbo/", ".parcel-cache/", ".cache/",
     ".gradle/", ".dart_tool/", ".cargo/", ".vercel/", ".netlify/", ".output/", ".docusaurus/",
 ]
-#: What a repository leaves out only because it has a language; build outputs are below.
+#: What a repository leaves out only because it has a language.
 LANGUAGE_IGNORED = {
-    "typescript": [".contentlayer/", ".wrangler/", ".expo/", ".linaria-cache/", ".rollup.cache/", "storybook-static/", "coverage/", "*.min.js", "*.map", "*.bundle.js"],
-    "javascript": [".contentlayer/", ".wrangler/", ".expo/", ".linaria-cache/", ".rollup.cache/", "storybook-static/", "coverage/", "*.min.js", "*.map", "*.bundle.js"],
-    "python": [".env/", "env/", ".hypothesis/", ".mypy/", ".pyre/", ".pytype/", "*.egg-info/", "*.egg/", "*.pyc", "*.pyo", "htmlcov/", ".coverage*"],
-    "go": ["vendor/", "bin/"],
-    "rust": ["target/"],
-    "java": ["target/", "*.class", "*.jar", "*.war"],
-    "c": ["CMakeFiles/", ".cmake/", ".clangd/", ".ccls-cache/", "*.o", "*.obj", "*.a", "*.so", "*.dylib", "*.dll"],
-    "cpp": ["CMakeFiles/", ".cmake/", ".clangd/", ".ccls-cache/", "*.o", "*.obj", "*.a", "*.so", "*.dylib", "*.dll"],
+    "typescript": ["dist/", "build/", "out/", ".contentlayer/", ".wrangler/", ".expo/", ".linaria-cache/", ".rollup.cache/", "storybook-static/", "coverage/", "*.min.js", "*.map", "*.bundle.js"],
+    "javascript": ["dist/", "build/", "out/", ".contentlayer/", ".wrangler/", ".expo/", ".linaria-cache/", ".rollup.cache/", "storybook-static/", "coverage/", "*.min.js", "*.map", "*.bundle.js"],
+    "python": ["dist/", "build/", ".env/", "env/", ".hypothesis/", ".mypy/", ".pyre/", ".pytype/", "*.egg-info/", "*.egg/", "*.pyc", "*.pyo", "htmlcov/", ".coverage*"],
+    "go": ["dist/", "build/", "vendor/", "bin/"],
+    "rust": ["dist/", "build/", "target/"],
+    "java": ["build/", "out/", "target/", "*.class", "*.jar", "*.war"],
+    "c": ["build/", "out/", "CMakeFiles/", ".cmake/", ".clangd/", ".ccls-cache/", "*.o", "*.obj", "*.a", "*.so", "*.dylib", "*.dll"],
+    "cpp": ["build/", "out/", "CMakeFiles/", ".cmake/", ".clangd/", ".ccls-cache/", "*.o", "*.obj", "*.a", "*.so", "*.dylib", "*.dll"],
     "csharp": ["bin/", "obj/", ".vs/", "packages/", "*.dll", "*.exe", "*.nupkg"],
-    "kotlin": ["target/", ".kotlin/", "*.class", "*.jar"],
+    "kotlin": ["build/", "out/", "target/", ".kotlin/", "*.class", "*.jar"],
     "ruby": ["vendor/bundle/", ".bundle/", "tmp/", "log/", "*.gem"],
-    "php": ["vendor/", "var/", "bootstrap/cache/", "*.phar"],
-    "swift": [".build/", "DerivedData/", "Pods/", "Carthage/"],
-    "scala": [".ivy/", ".coursier/", ".sbt/", ".metals/", ".bloop/", ".bsp/", "target/", "*.class", "*.jar"],
-    "dart": [".pub-cache/", "*.g.dart", "*.freezed.dart"],
-    "zig": ["zig-cache/", ".zig-cache/", "zig-out/", "*.o"],
-    "lua": ["lua_modules/", ".luarocks/", "*.luac"],
-    "r": ["renv/", "packrat/", ".Rproj.user/", "*.o", "*.so", "*.dll"],
+    "php": ["dist/", "build/", "vendor/", "var/", "bootstrap/cache/", "*.phar"],
+    "swift": ["build/", ".build/", "DerivedData/", "Pods/", "Carthage/"],
+    "scala": ["build/", "out/", ".ivy/", ".coursier/", ".sbt/", ".metals/", ".bloop/", ".bsp/", "target/", "*.class", "*.jar"],
+    "dart": ["dist/", "build/", "out/", ".pub-cache/", "*.g.dart", "*.freezed.dart"],
+    "zig": ["dist/", "build/", "zig-cache/", ".zig-cache/", "zig-out/", "*.o"],
+    "lua": ["dist/", "build/", "lua_modules/", ".luarocks/", "*.luac"],
+    "r": ["dist/", "build/", "renv/", "packrat/", ".Rproj.user/", "*.o", "*.so", "*.dll"],
     "elixir": ["deps/", "_build/", ".elixir_ls/", ".lexical/", "rel/", "cover/", "doc/", "*.beam"],
-    "elm": ["elm-stuff/"],
-    "ocaml": ["_opam/", "_build/", ".merlin", "*.cmo", "*.cmi", "*.cmx", "*.o"],
-    "rescript": ["lib/bs/", "lib/es6/", "lib/ocaml/", "*.bs.js"],
-    "solidity": ["artifacts/", "cache/", "broadcast/", "typechain-types/", "*.abi.json"],
-    "tlaplus": [".toolbox/", "*.states", "*.traces"],
-    "objc": ["DerivedData/", "Pods/", "*.o", "*.obj", "*.a"],
-    "vue": ["coverage/", "storybook-static/", "*.min.js", "*.map"],
-    "html": ["_site/"],
-    "css": [".sass-cache/", "*.min.css", "*.css.map"],
-    "json": ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb"],
-    "embedded_template": ["vendor/", "tmp/", "log/"],
-    "systemrdl": ["gen/", "generated/"],
-    "ql": [".codeql/", "*.bqrs", "*.sarif"],
-    "elisp": ["elpa/", "quelpa/", "straight/", "*.elc", "*.eln"],
-}
-#: Languages whose build output lies in a folder of each of these names.
-OUTPUTS = {
-    "dist/": "typescript javascript python go rust php dart zig lua r elm ocaml rescript solidity tlaplus bash vue html css json yaml toml embedded_template ql elisp".split(),
-    "build/": "typescript javascript python go rust java c cpp kotlin php swift scala dart zig lua r elm ocaml rescript solidity tlaplus objc bash vue html css json yaml toml embedded_template systemrdl ql elisp".split(),
-    "out/": "typescript javascript java c cpp kotlin scala dart elm rescript solidity tlaplus bash vue html css json yaml toml embedded_template systemrdl ql elisp".split(),
-}
+    "elm": ["dist/", "build/", "out/", "elm-stuff/"],
+    "ocaml": ["dist/", "build/", "_opam/", "_build/", ".merlin", "*.cmo", "*.cmi", "*.cmx", "*.o"],
+    "rescript": ["dist/", "build/", "out/", "lib/bs/", "lib/es6/", "lib/ocaml/", "*.bs.js"],
+    "solidity": ["dist/", "build/", "out/", "artifacts/", "cache/", "broadcast/", "typechain-types/", "*.abi.json"],
+    "tlaplus": ["dist/", "build/", "out/", ".toolbox/", "*.states", "*.traces"],
+    "objc": ["build/", "DerivedData/", "Pods/", "*.o", "*.obj", "*.a"],
+    "bash": ["dist/", "build/", "out/"],
+    "vue": ["dist/", "build/", "out/", "coverage/", "storybook-static/", "*.min.js", "*.map"],
+    "html": ["dist/", "build/", "out/", "_site/"],
+    "css": ["dist/", "build/", "out/", ".sass-cache/", "*.min.css", "*.css.map"],
+    "json": ["dist/", "build/", "out/", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb"],
+    "yaml": ["dist/", "build/", "out/"],
+    "toml": ["dist/", "build/", "out/"],
+    "embedded_template": ["dist/", "build/", "out/", "vendor/", "tmp/", "log/"],
+    "systemrdl": ["build/", "out/", "gen/", "generated/"],
+    "ql": ["dist/", "build/", "out/", ".codeql/", "*.bqrs", "*.sarif"],
+    "elisp": ["dist/", "build/", "out/", "elpa/", "quelpa/", "straight/", "*.elc", "*.eln"],
+}
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,7 @@ class Rule:
     pattern: str
     negate: bool
     folder: str = ""
+    line: str = ""
 
 
 def compile_rule(line: str, folder: str = "") -> Rule | None:
@@ -95,7 +98,7 @@ def compile_rule(line: str, folder: str = "") -> Rule | None:
     anchored = text.startswith("/")
     text = text[1:] if anchored else text
     body = "".join({"**": ".*", " ": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*|.", text))
-    return Rule(("^" if anchored else "(^|/)") + body + "(/|$)", negate, folder)
+    return Rule(("^" if anchored else "(^|/)") + body + "(/|$)", negate, folder, line)
 
 
 def compile_rules(lines: list[str], folder: str = "") -> list[Rule]:
@@ -104,8 +107,7 @@ def compile_rules(lines: list[str], folder: str = "") -> list[Rule]:
 
 def language_rules(present: list[str]) -> list[Rule]:
     """Rules that hold in a repository because it has these languages; they are known once it has been listed."""
-    lines = [line for language in sorted(present) for line in LANGUAGE_IGNORED.get(language, [])]
-    return compile_rules([*lines, *(folder for folder, having in OUTPUTS.items() if set(having) & set(present))])
+    return compile_rules(sorted({line for language in present for line in LANGUAGE_IGNORED.get(language, [])}))
 
 
 def without_outputs(files: DataFrame) -> DataFrame:
@@ -116,12 +118,7 @@ def without_outputs(files: DataFrame) -> DataFrame:
 
 def excluded(path: Column, rules: list[Rule]) -> Column:
     """Whether the last rule that matches a path excludes it."""
-    out = F.lit(False)
-    for r in rules:
-        below = F.substring(path, F.lit(len(r.folder) + 2), F.length(path)) if r.folder else path
-        fits = below.rlike(r.pattern) & (path.startswith(r.folder + "/") if r.folder else F.lit(True))
-        out = F.when(fits, F.lit(not r.negate)).otherwise(out)
-    return out
+    return automaton.excluded(path, [(r.line, r.folder) for r in rules])
 
 
 def is_excluded(path: str, rules: list[Rule]) -> bool:
@@ -181,19 +178,57 @@ def _lines(path: str) -> list[str]:
         return []
 
 
-def listed(root: str, extra: list[str] | None = None) -> list[str]:
-    """Paths of files that no rule excludes; ignored folders are not entered, nested rules hold below their folder."""
-    rules = compile_rules([*ALWAYS_IGNORED, *_lines(os.path.join(root, ".gitignore")), *config_excludes(root, ""), *(extra or [])])
-    found = []
-    for here, folders, names in os.walk(root):
-        rel = os.path.relpath(here, root).replace(os.sep, "/")
-        rel = "" if rel == "." else rel
-        if rel:
-            rules = rules + compile_rules([*_lines(os.path.join(here, ".gitignore")), *config_excludes(root, rel)], rel)
-        join = (lambda n: f"{rel}/{n}") if rel else (lambda n: n)
-        folders[:] = sorted(d for d in folders if not is_excluded(join(d), rules))
-        found += [join(n) for n in names if not is_excluded(join(n), rules)]
-    return sorted(found)
+def rules_of(root: str, folder: str = "") -> list[tuple[str, str]]:
+    """``(line, folder)`` of a folder's own ignore file and compiler config."""
+    own = _lines(os.path.join(root, folder, ".gitignore")) + config_excludes(root, folder)
+    return [(line, folder) for line in own]
+
+
+def in_folder(root: str, folder: str, rules: list[tuple[str, str]]) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """``(path, size, modified)`` of a folder's files and the folders in it, without what the rules exclude; links aren't followed."""
+    kept, files, folders = RuleSet(rules), [], []
+    with os.scandir(os.path.join(root, folder)) as entries:
+        for e in sorted(entries, key=lambda e: e.name):
+            path = f"{folder}/{e.name}" if folder else e.name
+            if kept.excludes(path):
+                continue
+            if e.is_dir(follow_symlinks=False):
+                folders.append(path)
+            elif e.is_file():
+                told = e.stat()
+                files.append((path, told.st_size, told.st_mtime_ns // 1_000_000))
+    return files, folders
+
+
+def listed(spark: SparkSession, root: str, extra: list[str] | None = None, most_bytes: int | None = None, suffixes: list[str] | None = None) -> DataFrame:
+    """``path, size, last_modified_ms`` of files that no rule excludes; nested rules hold below their folder.
+
+    A job lists one level of folders, of which the driver only learns how many there
+    are.  ``most_bytes`` and ``suffixes`` are applied where files are listed.
+    """
+    root, wanted = os.path.abspath(root), None if suffixes is None else tuple(f".{x.lower()}" for x in suffixes)
+    names, tasks = "path string, size long, last_modified_ms long, folder string, rules array<struct<line: string, folder: string>>", int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for folder, given in zip(frame["folder"], frame["rules"], strict=True):
+                rules = [(r["line"], r["folder"]) for r in given]
+                rules += rules_of(root, folder) if folder else []
+                files, folders = in_folder(root, folder, rules)
+                out += [(p, n, t, None, None) for p, n, t in files if (most_bytes is None or n <= most_bytes) and (wanted is None or p.lower().endswith(wanted))]
+                out += [(None, None, None, f, [{"line": a, "folder": b} for a, b in rules]) for f in folders]
+            found = pd.DataFrame(out, columns=["path", "size", "last_modified_ms", "folder", "rules"])
+            yield found.astype({"size": "Int64", "last_modified_ms": "Int64"})
+
+    first = [(line, "") for line in ALWAYS_IGNORED] + rules_of(root) + [(line, "") for line in extra or []]
+    level = spark.createDataFrame([("", first)], "folder string, rules array<struct<line: string, folder: string>>")
+    levels = []
+    while not level.isEmpty():
+        found = written(level.repartition(tasks).mapInPandas(run, names), "listed")
+        levels.append(found.where("path is not null").select("path", "size", "last_modified_ms"))
+        level = found.where("folder is not null").select("folder", "rules")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def described(raw: DataFrame) -> DataFrame:
@@ -210,7 +245,7 @@ def scan_repo(spark: SparkSession, root: str, extra: list[str] | None = None, mo
     the repository must lie where executors reach it.
     """
     root = os.path.abspath(root)
-    paths = spark.createDataFrame([(p,) for p in listed(root, extra)], "path string")
+    paths = listed(spark, root, extra, most_bytes)
     # Known binaries and other languages' outputs are never opened.
     wanted = without_outputs(paths.withColumn("language", detect_language(F.col("path"))).where("language is not null")).select("path")
 
@@ -229,8 +264,9 @@ def scan_repo(spark: SparkSession, root: str, extra: list[str] | None = None, mo
 
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """The same from ``(path, content)`` pairs in memory."""
-    return described(spark.createDataFrame(rows, "path string, content string").withColumn("last_modified_ms", F.lit(0).cast("long")))
+    """The same from ``(path, content)`` pairs in memory, where lines of blanks alone don't count."""
+    given = described(spark.createDataFrame(rows, "path string, content string").withColumn("last_modified_ms", F.lit(0).cast("long")))
+    return given.withColumn("loc", loc_trimmed(F.col("content")))
 
 
 def repo_url(url: Column) -> Column:
@@ -252,14 +288,22 @@ def commit_log(spark: SparkSession, text_path: str, prefix: str = "") -> DataFra
 
 
 #: What is indexed without a checkout at most (files, bytes, bytes of a file), and folders that are left out there.
-HOSTED_FILES, HOSTED_BYTES, HOSTED_FILE_BYTES = 1500, 20 << 20, 3 << 19
+HOSTED_FILES, HOSTED_BYTES, HOSTED_FILE_BYTES = 1500, 20_971_520, 1_572_864
 HOSTED_IGNORED = r"(^|/)(node_modules|\.git|dist|build|out|\.next|\.turbo|coverage|vendor|target|__pycache__|\.venv|venv)(/|$)"
+#: Suffixes of files that are not fetched; fewer than those of ``languages.BINARY``.
+HOSTED_BINARY = (
+    "png jpg jpeg gif bmp ico webp tiff svg avif heic pdf mp4 mov avi webm mkv mp3 wav flac ogg m4a woff woff2 ttf otf eot "
+    "zip tar gz tgz bz2 xz zst rar 7z jar war class so dylib dll exe bin dat wasm node pyc parquet db sqlite lock"
+)
 
 
 def hosted(tree: DataFrame) -> DataFrame:
-    """Files (``kind`` blob) of a hosted repository's ``path, kind, size`` listing that are fetched."""
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
-    return tree.where((F.col("kind") == "blob") & ~F.col("path").rlike(HOSTED_IGNORED) & ~suffix.isin(*BINARY.split()) & (F.coalesce("size", F.lit(0)) <= HOSTED_FILE_BYTES))
+    """Files (``kind`` blob) of a hosted repository's ``path, kind, size`` listing that are fetched.
+
+    What follows a path's last dot is its suffix, the whole path where it has none.
+    """
+    suffix = F.lower(F.substring_index("path", ".", -1))
+    return tree.where((F.col("kind") == "blob") & ~F.col("path").rlike(HOSTED_IGNORED) & ~suffix.isin(*HOSTED_BINARY.split()) & (F.coalesce("size", F.lit(0)) <= HOSTED_FILE_BYTES))
 
 
 def checked_size(picked: DataFrame, most_files: int = HOSTED_FILES, most_bytes: int = HOSTED_BYTES) -> DataFrame:

@@ -11,14 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import assemble, rank
-from graphloom.plans import catalog, scalars, scanning, shown
+from graphloom.plans import catalog, scalars, scanning, shown, streamed
 from graphloom.plans import views as V
 from graphloom.sources import build, scan
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Two symbols of the smallest tables tie in everything that orders them.
 TIED = {"symbol_slices", "atlas_orbits", "atlas_visible"}
-MODULES = {m.__name__ for m in (scalars, scanning, shown)}
+MODULES = {m.__name__ for m in (scalars, scanning, shown, streamed)}
 NAMES = sorted(n for n in catalog.ORACLES if catalog.QUERIES[n].__module__ in MODULES)
 
 
@@ -83,6 +83,30 @@ def test_containing_equals_all_pairs(spark, fold, suffix):
     assert {r.needle: r.target_id for r in found.collect()} == {n: i for n, i in want.items() if i is not None}
 
 
+def test_common_runs_are_avoided_and_dealt_out(spark, monkeypatch):
+    """Half of all paths share a folder, whose name is the first run of every needle."""
+    monkeypatch.setattr(assemble, "COMMON_RUN", 7)
+    paths = sorted([f"common/name{i:03d}.go" for i in range(150)] + [f"other/{i}/common" for i in range(150)])
+    needles = ["common/name07", "common/name149.go", "common/none", "common", "ommon/name", "other/77/common"]
+    files = spark.createDataFrame(list(enumerate(paths)), "id long, path string")
+    found = assemble.containing(spark.createDataFrame([(n, k) for n in needles for k in range(2)], "needle string, k int"), files, ["needle", "k"])
+    want = {n: next((i for i, p in enumerate(paths) if n in p), None) for n in needles}
+    assert {(r.needle, r.k): r.target_id for r in found.collect()} == {(n, k): i for n, i in want.items() if i is not None for k in range(2)}
+
+
+def test_a_request_is_given_once_and_a_target_may_be_a_name(spark):
+    from graphloom.operators import views
+    from graphloom.streaming.live import Queue
+
+    graph = catalog._graph(spark, SMALL)
+    queue, asked = Queue(), {1: {"instruction": "look", "paths": ["nowhere.ts"]}, 2: {"instruction": "why", "kind": "question"}}
+    queue.put(0.0, 1, "instruction")
+    queue.put(1.0, 2, "question")
+    first, second, none = (views.next_request(graph, queue, asked, 2.0) for _ in range(3))
+    assert "instruction 1" in first.text and "question 2" in second.text and none.text == "No pending viewer request." and not asked
+    assert views.neighborhood_of(graph, "no such name").text.startswith('Could not resolve "no such name"')
+
+
 def test_imports_of_more_languages_resolve(spark):
     files = [
         (0, "Sources/Net/Http.swift", "swift"), (1, "lib/parser.ml", "ocaml"), (2, "src/Data/List.elm", "elm"), (3, "DATA/tree.elm", "elm"), (4, "Net/readme.md", "markdown"), (5, "app/main.ts", "typescript"),
