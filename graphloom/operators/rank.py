@@ -76,7 +76,10 @@ def _single_task(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
 
 def _bucketed(df: DataFrame, key: str, buckets: int, name: str, path: str) -> DataFrame:
     """The rows as a table bucketed by ``key``; ``df`` should be dealt by it already, so that a bucket is one file."""
-    df.write.format("parquet").bucketBy(buckets, key).mode("overwrite").option("path", path).saveAsTable(name)
+    if df.sparkSession.catalog.tableExists(name):
+        df.write.insertInto(name, overwrite=True)
+    else:
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -97,7 +100,7 @@ def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
     buckets, run = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
-    tables = {kind: (f"rank_{kind}_{run}", scratch(spark, f"rank-{kind}")) for kind in ("shares", "even", "odd")}
+    tables = {kind: (f"rank_{kind}_{run}", scratch(spark, f"rank-{kind}")) for kind in ("shares", "nodes", "even", "odd")}
     out = links.groupBy("src").agg(F.sum("weight").alias("out_w"))
     shares = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_w")).alias("share"))
     shares = _bucketed(shares.repartition(buckets, "src"), "src", buckets, *tables["shares"])
@@ -109,18 +112,20 @@ def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     total = based.agg(F.sum("lean")).first()[0]
     jump = F.col("lean") / total if total and total > 0 else F.lit(1 / n)
     leaf = F.col("out_w").isNull()
-    state = based.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", jump.alias("jump"), leaf.alias("leaf"), F.lit(1 / n).alias("rank"))
+    based = based.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", jump.alias("jump"), leaf.alias("leaf"))
+    based = _bucketed(based.repartition(buckets, "id"), "id", buckets, *tables["nodes"])
 
     def stored(df: DataFrame, step: int) -> tuple[DataFrame, float, float]:
         seen = Observation()
         watched = df.observe(seen, F.sum(F.when(F.col("leaf"), F.col("rank"))).alias("lost"), F.max("rank").alias("top"))
-        kept = _bucketed(watched, "id", buckets, *tables["odd" if step % 2 else "even"])
+        kept = _bucketed(watched.drop("leaf"), "id", buckets, *tables["odd" if step % 2 else "even"])
         return kept, seen.get["lost"] or 0.0, seen.get["top"]
 
-    state, lost, top = stored(state.repartition(buckets, "id"), 0)
+    # A rank follows from what flows in, not from the rank before, so ranks are read once for the next.
+    state, lost, top = stored(based.select("id", "leaf", F.lit(1 / n).alias("rank")), 0)
     for step in range(1, iterations + 1):
         rank = F.lit(1 - DAMPING + DAMPING * lost) * F.col("jump") + F.lit(DAMPING) * F.coalesce("flow", F.lit(0.0))
-        moved = state.join(_contributions(shares, state), "id", "left").select("id", "jump", "leaf", rank.alias("rank"))
+        moved = based.join(_contributions(shares, state), "id", "left").select("id", "leaf", rank.alias("rank"))
         state, lost, top = stored(moved, step)
     for name, _ in tables.values():
         spark.sql(f"DROP TABLE {name}")  # the entry: files of a table with a path stay
