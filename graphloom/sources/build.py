@@ -46,7 +46,11 @@ def _same_folded(wanted: DataFrame, files: DataFrame, key: list[str]) -> DataFra
 
 
 def tried(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
-    """``file_id, specifier, path, language, candidates``: the paths that each import tries, in order."""
+    """``file_id, specifier, path, language, candidates``: the paths that each import tries, in order.
+
+    ``aliases`` are the rules of configs by folder, of which a file's nearest holds
+    (or one list for all files).
+    """
     aliases = {"": aliases} if isinstance(aliases, list) else aliases or {}
     named = imports.join(files.select(F.col("id").alias("file_id"), "path", "language"), "file_id")
     made_of = parse.candidates(F.col("language"), F.col("path"), F.col("specifier"))
@@ -68,14 +72,13 @@ def slashed_name() -> Column:
     return F.replace(F.regexp_replace("specifier", r"\.\*$", ""), F.lit("."), F.lit("/"))
 
 
-def watched(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
-    """``file_id, kind, value``: what a path that comes or goes must be for an import to be resolved anew.
+def watched(named: DataFrame) -> DataFrame:
+    """``file_id, kind, value`` of ``tried`` rows: what a path that comes or goes must be for an import to be resolved anew.
 
     The inverse of ``resolve``: a path that is tried (``path``; ``folded`` in lower
     case), a folder that it lies in (``folder``), or a part of it (``part``;
     ``folded_part`` in lower case).
     """
-    named = tried(files, imports, aliases)
     slashed, none = slashed_name(), F.array().cast("array<struct<kind: string, value: string>>")
     of = lambda kind, *values: F.array(*[F.struct(F.lit(kind).alias("kind"), v.alias("value")) for v in values])
     language, folded = F.col("language"), F.lower("specifier")
@@ -107,16 +110,19 @@ def touched_importers(watch: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def resolve(files: DataFrame, imports: DataFrame, aliases: dict[str, Rules] | Rules | None = None) -> DataFrame:
-    """``file_id, specifier, target_id``: candidate paths first, then what a language has besides.
+    """``file_id, specifier, target_id`` of imports; ``resolved`` says how."""
+    return resolved(files, written(tried(files, imports, aliases), "tried"))
 
-    ``aliases`` are the rules of configs by folder, of which a file's nearest holds
-    (or one list for all files).  Java and its like take the first file under the
-    package's folder; Go the first path that holds the module's; Swift the same
-    among its own files; Elm a path that differs in case alone; OCaml and Elixir
-    the first path that is the module's, or holds its name, whatever the case.
+
+def resolved(files: DataFrame, named: DataFrame) -> DataFrame:
+    """``file_id, specifier, target_id`` of ``tried`` rows: candidate paths first, then what a language has besides.
+
+    Java and its like take the first file under the package's folder; Go the first
+    path that holds the module's; Swift the same among its own files; Elm a path that
+    differs in case alone; OCaml and Elixir the first path that is the module's, or
+    holds its name, whatever the case.
     """
     key = ["file_id", "specifier"]
-    named = tried(files, imports, aliases)
     direct = assemble.first_candidate(named.select(*key, "candidates"), files, key)
     # One row a language; those that have no other way need no other join.
     present = {r["language"] for r in named.select("language").distinct().collect()}

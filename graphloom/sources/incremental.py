@@ -102,9 +102,9 @@ class Index:
             stale = build.touched_importers(self.rows("watch", kept, done), moved).unionByName(_below_configs(kept, changed))
             imports = imports.unionByName(self.rows("imports", kept, done).join(stale, "file_id", "left_semi"))
         again = self._put("again", batch, fresh_ids.unionByName(stale).distinct())
-        imports = self._put("todo", batch, imports)
-        resolved = self._put("resolved", batch, build.resolve(listing, imports, aliases))
-        self._put("watch", batch, build.watched(listing, imports, aliases))
+        named = self._put("tried", batch, build.tried(listing, imports, aliases))
+        resolved = self._put("resolved", batch, build.resolved(listing, named))
+        self._put("watch", batch, build.watched(named))
 
         # What is linked: calls of all these, and of the importers of files with new symbols.
         relinked = again
