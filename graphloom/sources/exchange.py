@@ -32,7 +32,7 @@ def read_table(bundle: DataFrame, name: str) -> DataFrame:
 
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """A bundle, one row a file; a malformed graph is an error."""
+    """A bundle, one row a document; a malformed graph is an error."""
     schema = f"kind string, version int, exportedAt string, graph struct<{_inner(GRAPH_JSON)}>"
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
@@ -49,28 +49,33 @@ def _inner(ddl: str) -> str:
     return ", ".join(out)
 
 
-#: Rows of a table that an exchange file may hold.
-MOST_BUNDLE_ROWS = 1_000_000
+#: Rows of a table that one document of a bundle holds, about.
+DOCUMENT_ROWS = 100_000
 
 
-def write_bundle(tables: dict[str, DataFrame], repo: tuple[str, str], path: str, exported_at: str, most_rows: int = MOST_BUNDLE_ROWS) -> None:
-    """All tables of a graph as one JSON document.
+def write_bundle(tables: dict[str, DataFrame], repo: tuple[str, str], path: str, exported_at: str, most_rows: int | None = None, document_rows: int = DOCUMENT_ROWS) -> None:
+    """All tables of a graph as JSON documents, a file each; every document is a bundle with a share of the rows.
 
-    An exchange file is one object, so its tables must be viewer-sized: more than
-    ``most_rows`` rows of a table, counted before any is gathered, are refused.
+    A table of up to ``document_rows`` rows is whole in the first document, so small
+    graphs are one document.  With ``most_rows`` (for readers that take but one), a
+    table of more rows, counted before any is gathered, is refused.
     """
     spark = next(iter(tables.values())).sparkSession
+    sizes = {}
     for name, df in tables.items():
-        if df.limit(most_rows + 1).count() > most_rows:
+        if most_rows is not None and df.limit(most_rows + 1).count() > most_rows:
             raise ValueError(f"too large for an exchange file: {name} has more than {most_rows} rows")
-    one = spark.range(1).select(F.lit("graph-bundle").alias("kind"), F.lit(1).alias("version"), F.lit(exported_at).alias("exportedAt"))
+        sizes[name] = -(-df.count() // document_rows)
+    documents = spark.range(max(1, *sizes.values())).withColumnRenamed("id", "document")
     parts = []
     for name, df in tables.items():
-        gathered = df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
-        one = one.join(F.broadcast(gathered))
-        parts.append(F.col(name))
+        share = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, sizes[name]))).alias("document")
+        gathered = df.select(share, F.struct(*df.columns).alias("row")).groupBy("document").agg(F.sort_array(F.collect_list("row")).alias(name))
+        documents = documents.join(gathered, "document", "left")
+        parts.append(F.coalesce(name, F.array().cast(gathered.schema[name].dataType)).alias(name))
     head = F.struct(F.lit(repo[0]).alias("id"), F.lit(repo[1]).alias("name"))
-    one.select("kind", "version", "exportedAt", F.struct(head.alias("repo"), *parts).alias("graph")).coalesce(1).write.mode("overwrite").json(path)
+    told = (F.lit("graph-bundle").alias("kind"), F.lit(1).alias("version"), F.lit(exported_at).alias("exportedAt"))
+    documents.select(*told, F.struct(head.alias("repo"), *parts).alias("graph")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def bundle_name(name: Column) -> Column:

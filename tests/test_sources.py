@@ -120,6 +120,17 @@ def test_bundle_round_trip_and_verdicts(spark, tmp_path):
     assert exchange.read_telemetry(spark, f"file://{tmp_path}/t.jsonl").count() == 1
 
 
+def test_bundle_of_several_documents(spark, tmp_path):
+    """A table of more rows than a document holds is dealt out whole, beside one that fits and an empty one."""
+    e = spark.range(1000).select("id", (F.col("id") % 7).alias("source_id"), F.lit(3).cast("long").alias("target_id"))
+    tables = {"files": spark.range(3).select("id", F.lit("a.ts").alias("path")), "edges": e, "coupling": spark.range(0).select(F.col("id").alias("file_a_id"))}
+    exchange.write_bundle(tables, ("r", "repo"), f"file://{tmp_path}/b", "2024-01-01T00:00:00Z", document_rows=100)
+    back = exchange.read_bundle(spark, f"file://{tmp_path}/b")
+    assert back.count() == 10 and {r.name for r in back.select("graph.repo.name").collect()} == {"repo"}
+    assert sorted((r.id, r.source_id) for r in exchange.read_table(back, "edges").collect()) == [(i, i % 7) for i in range(1000)]
+    assert sorted(r.id for r in exchange.read_table(back, "files").collect()) == [0, 1, 2] and exchange.read_table(back, "coupling").count() == 0
+
+
 def test_commit_log(spark, tmp_path):
     (tmp_path / "log").write_text("\x01aaa\x021700000000\x02Ann\n\nsrc/a.ts\ndoc.md\n\x01bbb\x021700000100\x02Bob\n\nsrc/a.ts\n")
     rows = scan.commit_log(spark, f"file://{tmp_path}/log", "src/").collect()
