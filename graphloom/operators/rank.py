@@ -2,25 +2,27 @@
 
 Two strategies give the same ranks.  ``single_task`` holds the graph as arrays in
 one task and serves graphs whose measured size is under ``SMALL_NODES`` and
-``SMALL_EDGES``; ``distributed`` keeps edges and ranks in the same buckets and
-writes ranks once an iteration, for graphs of any size.
+``SMALL_EDGES``; ``distributed`` deals nodes and their edges to blocks and moves
+sums between them once an iteration, for graphs of any size.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import terms
 from graphloom.operators.numbering import numbered
-from graphloom.plans.shared_folder import scratch
+from graphloom.plans.shared_folder import written
 
 DAMPING, ITERATIONS, MATCH_WEIGHT = 0.85, 40, 2.0
 SMALL_NODES, SMALL_EDGES = 200_000, 2_000_000
+#: The most links and nodes of a block, about; rows that a task packs at once; iterations between two writes.
+BLOCK_LINKS, BLOCK_NODES, PACKED_ROWS, STEPS_A_JOB = 4_000_000, 1_000_000, 200_000, 10
 FOCUS, PATH_HIT, SYMBOL_HIT = 3.0, 1.0, 2.0
 
 
@@ -46,7 +48,7 @@ def power_iteration(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: n
     s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
     out = np.bincount(s, weights=weight, minlength=n)
     jump = lean / lean.sum() if lean.sum() > 0 else np.full(n, 1 / n)
-    share = weight / out[s] if len(s) else weight
+    share = np.divide(weight, out[s], out=np.zeros(len(s)), where=out[s] != 0)
     rank = np.full(n, 1 / n)
     for _ in range(iterations):
         lost = rank[out == 0].sum()
@@ -74,62 +76,176 @@ def _single_task(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     return rows.groupBy().applyInPandas(run, "id long, rank double, score double")
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int, name: str, path: str) -> DataFrame:
-    """The rows as a table bucketed by ``key``; ``df`` should be dealt by it already, so that a bucket is one file."""
-    if df.sparkSession.catalog.tableExists(name):
-        df.write.insertInto(name, overwrite=True)
-    else:
-        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    return df.sparkSession.table(name)
+def _own(block: int) -> int:
+    return block
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``block, kind, a, b, other, w`` rows as columns of bytes, some rows of each block together."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def handed():
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            order = np.argsort(whole[0] * 2 + whole[1], kind="stable")
+            whole = [c[order] for c in whole]
+            starts = np.flatnonzero(np.r_[True, (np.diff(whole[0]) != 0) | (np.diff(whole[1]) != 0)])
+            ends = np.r_[starts[1:], len(order)]
+            columns = [[c[i:j].tobytes() for i, j in zip(starts, ends, strict=True)] for c in whole[2:]]
+            return pa.RecordBatch.from_arrays([pa.array(whole[0][starts]), pa.array(whole[1][starts]), *[pa.array(c, pa.binary()) for c in columns]], ["block", "kind", "a", "b", "other", "w"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                n += batch.num_rows
+            if n > PACKED_ROWS:
+                yield handed()
+                held, n = [], 0
+        if n:
+            yield handed()
+
+    return rows.mapInArrow(run, "block long, kind long, a binary, b binary, other binary, w binary")
+
+
+def _graph_blocks(items, jump_of):
+    """A block's own part of the graph, and to each block the targets there, which later come as sums in that order."""
+    nodes, links, block = [], [], None
+    for block, (kind, a, b, other, w) in items:
+        (links if kind else nodes).append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(other, np.int64), np.frombuffer(w)))
+    if block is None:
+        return
+    ids, _, _, lean = map(np.concatenate, zip(*nodes, strict=True)) if nodes else (np.empty(0, np.int64),) * 3 + (np.empty(0),)
+    order = np.argsort(ids, kind="stable")
+    ids, jump = ids[order], jump_of(lean[order])
+    out, outgoing = np.zeros(len(ids)), []
+    if links:
+        src, dst, other, weight = map(np.concatenate, zip(*links, strict=True))
+        at = np.searchsorted(ids, src)
+        known = at < len(ids)
+        known[known] = ids[at[known]] == src[known]
+        at, dst, other, weight = at[known], dst[known], other[known], weight[known]
+        order = np.lexsort((at, dst, other))  # sums run in a fixed order, so results repeat bit by bit
+        at, dst, other, weight = at[order], dst[order], other[order], weight[order]
+        out = np.bincount(at, weights=weight, minlength=len(ids))
+        share = np.divide(weight, out[at], out=np.zeros(len(at)), where=out[at] != 0)
+        for target in np.unique(other).tolist():
+            i, j = np.searchsorted(other, [target, target + 1])
+            targets, place = np.unique(dst[i:j], return_inverse=True)
+            outgoing.append((target, at[i:j].astype(np.int32), place.astype(np.int32), share[i:j]))
+            yield target, ("targets", block, targets)
+    yield block, ("graph", block, (ids, jump, out == 0, outgoing))
+
+
+def _placed(items):
+    """A block's part of the graph with the places of the targets that each block will send sums for."""
+    graph, targets = None, []
+    for block, (kind, source, value) in items:
+        if kind == "graph":
+            graph = (block, *value)
+        else:
+            targets.append((source, value))
+    if graph is None:
+        return
+    block, ids, jump, leaf, outgoing = graph
+    places = {}
+    for source, found in targets:
+        at = np.searchsorted(ids, found)
+        known = at < len(ids)
+        known[known] = ids[at[known]] == found[known]
+        places[source] = (at[known].astype(np.int32), None if known.all() else known)
+    yield block, ("graph", block, (ids, jump, leaf, outgoing, places))
 
 
-def _contributions(shares: DataFrame, state: DataFrame) -> DataFrame:
-    """``id, flow``: what the nodes' ranks give to each target.  Both tables lie in the same buckets, so only contributions move, summed within tasks first."""
-    given = shares.join(state.select(F.col("id").alias("src"), "rank").hint("shuffle_hash"), "src")
-    return given.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+def _next_ranks(items, first: float | None):
+    """``block, graph, ranks`` from a block's part of the graph and what came from others; ``first`` is the rank at the start."""
+    graph, came = None, []
+    for block, (kind, source, value) in items:
+        if kind == "graph":
+            graph = (block, *value)
+        else:
+            came.append((source, *value))
+    if graph is None:
+        return None
+    block, ids, jump, *_, places = graph
+    if first is not None:
+        return block, graph, np.full(len(ids), first)
+    flow, lost = np.zeros(len(ids)), 0.0
+    for source, sums, gone in sorted(came, key=lambda x: x[0]):
+        lost += gone
+        if sums is not None:
+            at, known = places[source]
+            flow[at] += sums if known is None else sums[known]
+    return block, graph, (1 - DAMPING + DAMPING * lost) * jump + DAMPING * flow
+
+
+def _sent(items, first: float | None, blocks: int):
+    """What a block's ranks give to the targets in each block, and what its leaves lose, to all."""
+    found = _next_ranks(items, first)
+    if found is None:
+        return
+    block, (_, _, _, leaf, outgoing, _), rank = found
+    gone, to = float(rank[leaf].sum()), {}
+    for target, at, place, share in outgoing:
+        to[target] = np.bincount(place, weights=rank[at] * share)
+    for target in range(blocks):
+        yield target, ("sums", block, (to.get(target), gone))
+
+
+def _told(items, first: float | None):
+    found = _next_ranks(items, first)
+    if found is not None:
+        _, (_, ids, *_), rank = found
+        for i in range(0, len(ids), PACKED_ROWS):
+            yield bytearray(ids[i : i + PACKED_ROWS].tobytes()), bytearray(rank[i : i + PACKED_ROWS].tobytes())
 
 
 def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None, iterations: int) -> DataFrame:
-    """One job an iteration: it reads shares and ranks bucket by bucket, shuffles contributions, and writes the next ranks.
+    """Nodes fall into blocks by hash, with the links that leave them; an iteration is one shuffle of sums.
 
-    What leaves lose, and the largest rank, are observed while ranks are written.
-    Ranks are written in turn to one of two paths.
+    A block knows beforehand which targets each other block sums up, so sums
+    alone move, one for each pair of a block and a target.  What leaves lose
+    goes along.  Every ``STEPS_A_JOB`` iterations sums are written, so the
+    files of shuffles that are done with can go.
     """
     spark = nodes.sparkSession
-    n = nodes.count()
-    if n == 0:
-        return nodes.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
-    buckets, run = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
-    tables = {kind: (f"rank_{kind}_{run}", scratch(spark, f"rank-{kind}")) for kind in ("shares", "nodes", "even", "odd")}
-    out = links.groupBy("src").agg(F.sum("weight").alias("out_w"))
-    shares = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_w")).alias("share"))
-    shares = _bucketed(shares.repartition(buckets, "src"), "src", buckets, *tables["shares"])
     if teleport is None:
         based = nodes.withColumn("lean", F.lit(1.0))
     else:
         given = teleport.groupBy("id").agg(F.sum("weight").cast("double").alias("lean"))
         based = nodes.join(given, "id", "left").select("id", F.coalesce("lean", F.lit(0.0)).alias("lean"))
-    total = based.agg(F.sum("lean")).first()[0]
-    jump = F.col("lean") / total if total and total > 0 else F.lit(1 / n)
-    leaf = F.col("out_w").isNull()
-    based = based.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", jump.alias("jump"), leaf.alias("leaf"))
-    based = _bucketed(based.repartition(buckets, "id"), "id", buckets, *tables["nodes"])
-
-    def stored(df: DataFrame, step: int) -> tuple[DataFrame, float, float]:
-        seen = Observation()
-        watched = df.observe(seen, F.sum(F.when(F.col("leaf"), F.col("rank"))).alias("lost"), F.max("rank").alias("top"))
-        kept = _bucketed(watched.drop("leaf"), "id", buckets, *tables["odd" if step % 2 else "even"])
-        return kept, seen.get["lost"] or 0.0, seen.get["top"]
-
-    # A rank follows from what flows in, not from the rank before, so ranks are read once for the next.
-    state, lost, top = stored(based.select("id", "leaf", F.lit(1 / n).alias("rank")), 0)
+    based, links = written(based, "rank-nodes"), written(links, "rank-links")
+    n, total = based.agg(F.count("*"), F.sum("lean")).first()
+    if n == 0:
+        return nodes.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
+    blocks = max(spark.sparkContext.defaultParallelism, -(-links.count() // BLOCK_LINKS), -(-n // BLOCK_NODES))
+    jump_of = (lambda lean: lean / total) if total > 0 else (lambda lean: np.full(len(lean), 1 / n))
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias
+    none, kind = F.lit(0).cast("long"), lambda k: F.lit(k).cast("long").alias("kind")
+    rows = based.select(block_of("id")("block"), kind(0), F.col("id").alias("a"), none.alias("b"), none.alias("other"), F.col("lean").alias("w"))
+    rows = rows.unionByName(links.select(block_of("src")("block"), kind(1), F.col("src").alias("a"), F.col("dst").alias("b"), block_of("dst")("other"), F.col("weight").alias("w")))
+    dealt = _packed(rows).rdd.map(lambda r: (r[0], tuple(r[1:]))).partitionBy(blocks, _own)
+    graph = dealt.mapPartitions(lambda items: _graph_blocks(items, jump_of)).partitionBy(blocks, _own).mapPartitions(_placed, preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
+
+    came, first = graph, 1 / n  # nothing came yet
     for step in range(1, iterations + 1):
-        rank = F.lit(1 - DAMPING + DAMPING * lost) * F.col("jump") + F.lit(DAMPING) * F.coalesce("flow", F.lit(0.0))
-        moved = based.join(_contributions(shares, state), "id", "left").select("id", "leaf", rank.alias("rank"))
-        state, lost, top = stored(moved, step)
-    for name, _ in tables.values():
-        spark.sql(f"DROP TABLE {name}")  # the entry: files of a table with a path stay
-    last = spark.read.parquet(tables["odd" if iterations % 2 else "even"][1])
+        came = came.mapPartitions(lambda items, first=first: _sent(items, first, blocks)).partitionBy(blocks, _own)
+        if step % STEPS_A_JOB == 0 and step < iterations:
+            rows = came.map(lambda r: (r[0], r[1][1], None if r[1][2][0] is None else bytearray(r[1][2][0].tobytes()), r[1][2][1]))
+            kept = written(spark.createDataFrame(rows, "block long, source long, sums binary, gone double"), "rank-sums")
+            came = kept.rdd.map(lambda r: (r[0], ("sums", r[1], (None if r[2] is None else np.frombuffer(r[2]), r[3])))).partitionBy(blocks, _own)
+        # Both are dealt alike, so a block's part of the graph meets what came for it without moving.
+        came, first = graph.union(came), None
+    told = spark.createDataFrame(came.mapPartitions(lambda items: _told(items, first)), "ids binary, ranks binary")
+
+    def rows_of(batches):
+        for batch in batches:
+            for ids, ranks in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_py(), np.int64)), pa.array(np.frombuffer(ranks.as_py()))], ["id", "rank"])
+
+    last = written(told.mapInArrow(rows_of, "id long, rank double"), "ranks")
+    graph.unpersist()
+    top = last.agg(F.max("rank")).first()[0]
     return last.select("id", "rank", (F.col("rank") / top if top else F.lit(0.0)).alias("score"))
 
 

@@ -41,6 +41,19 @@ def test_strategies_agree(spark):
     assert rank.centrality(f.limit(0), e.limit(0)).count() == 0
 
 
+def test_rank_in_blocks_is_the_single_tasks(spark, monkeypatch):
+    """Many blocks, some without nodes; ends that are no files; links of no weight; several writes on the way."""
+    monkeypatch.setattr(rank, "BLOCK_LINKS", 40)
+    monkeypatch.setattr(rank, "STEPS_A_JOB", 3)
+    f = spark.range(60).select((F.col("id") * 11 - 50).alias("id"), F.col("id").cast("string").alias("path"))
+    e = spark.range(900).select((F.col("id") * 7 % 60 * 11 - 50).alias("src"), (F.col("id") * 13 % 41 * 11 - 50).alias("dst"), (F.col("id") % 5).alias("weight")).where("src % 3 <> 0")
+    lean = spark.createDataFrame([(-50, 2.0), (61, 1.0), (61, 3.0)], "id long, weight double")
+    one = {r.id: r["rank"] for r in rank.centrality(f, e, lean, 8, "single_task").collect()}
+    strangers = spark.createDataFrame([(999_983, -50, 5)], "src long, dst long, weight long")
+    many = {r.id: r["rank"] for r in rank.centrality(f, e.unionByName(strangers), lean, 8, "distributed").collect()}
+    assert len(many) == 60 and all(abs(one[k] - many[k]) < 1e-12 for k in one)
+
+
 def test_diamond_is_mixed_on_its_ring(spark):
     e = edges(spark, [(0, 1), (2, 0), (1, 3), (3, 2)])
     found = {r.id: (r.ring, r.relation) for r in neighborhood.rings(e, files(spark, "abcd").where("id = 0").select("id"), 2).collect()}
