@@ -895,3 +895,11 @@ def test_escaping_hides_all_control_strings(parts):
     for c in reversed(chat_format.CONTROL):
         back = back.replace(c[0] + "\\" + c[1:], c)
     assert back.replace("\\\\", "\\") == text
+
+
+@pytest.mark.parametrize("percent", [1, 10, 30, 40, 49, 50, 60, 80, 95])
+def test_sets_that_can_link_share_a_band(percent):
+    """Below 50 a set links with others of more than the next band."""
+    for size in range(1, 130):
+        for more in {size, size * 100 // percent, (size + size * 100 // percent) // 2}:
+            assert set(jaccard_join.bands_of(size, percent)) & set(jaccard_join.bands_of(more, percent)), (size, more)
