@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.shared_folder import written
 
 #: Up to so many rows (counted first) one task numbers them.
 SMALL = 50_000
+#: How far Spark shifts a task's number in the ids that it gives to rows.
+TASK_BITS = 33
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """``df`` with ``name`` = ``start, start + 1, ...`` in ``order``, which should be total.
 
-    Large inputs are ranged over tasks by the order's columns; each task numbers
-    its range, and the ranges' counts (one number a task) give the offsets.
+    Large inputs are ranged over tasks by the order's columns and sorted there. Rows
+    are written once, each with its task and place in it; the tasks' counts (one
+    number a task) give the offsets.
     """
     spark = df.sparkSession
     if df.limit(SMALL + 1).count() <= SMALL:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    # The id counts a task's rows in their order; its upper bits name the task.
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    kept = written(ranged, "numbered")
+    task = F.shiftright("__place", TASK_BITS).cast("int")
+    sizes = {r["task"]: r["count"] for r in kept.groupBy(task.alias("task")).count().collect()}
     at, offsets = start, []
-    for k in sorted(sizes):
-        offsets += [F.lit(k), F.lit(at)]
-        at += sizes[k]
-    number: Column = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1 + F.create_map(*offsets)[F.col("__range")]
-    # Numbered tables are used several times, so the rows are written once.
-    return written(ranged.withColumn(name, number.cast("long")).drop("__range"), "numbered")
+    for k in range(max(sizes) + 1):
+        offsets.append(at - (k << TASK_BITS))
+        at += sizes.get(k, 0)
+    shift = F.element_at(F.lit(offsets).cast("array<bigint>"), task + 1)
+    return kept.select(*df.columns, (F.col("__place") + shift).alias(name))

@@ -152,3 +152,26 @@ def test_requests_stage_their_files(spark):
     view = rendered.request_view(graph, "q7", "what is this", ["no/such/file.ts", path, path], "question")
     assert view.file_ids[0] == 3 and len(view.file_ids) == len(set(view.file_ids)) and f"@no/such/file.ts @{path}" in view.text and "submit_answer" in view.text
     assert rendered.request_view(graph, "q8", "red widget", []).text.startswith("# instruction q8")
+
+
+@pytest.mark.parametrize("colliding", [False, True])
+def test_callees_equal_all_pairs(spark, monkeypatch, colliding):
+    """Names that no symbol has don't move; names of one hash stay apart."""
+    if colliding:
+        monkeypatch.setattr(assemble.F, "hash", F.length)
+    packed = []
+    monkeypatch.setattr(assemble, "written", lambda df, name: packed.append(df) or df, raising=False)
+    rng = random.Random(5)
+    symbols = [(i, rng.randrange(12), f"n{rng.randrange(25)}", rng.random() < 0.5) for i in range(90)]
+    calls = [(rng.randrange(12), f"n{rng.randrange(40)}") for _ in range(300)] + [(3, None), (99, "n1")]
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(40)] + [(99, 1), (99, 2), (99, 2)]
+    found = assemble.resolved_callees(spark.createDataFrame(calls, "file_id long, callee string"), spark.createDataFrame(symbols, "id long, file_id long, name string, exported boolean"), spark.createDataFrame(edges, "src long, dst long"))
+    want = {}
+    for file, name in set(calls):
+        own = [i for i, f, n, _ in symbols if (f, n) == (file, name)]
+        far = [(not x, i) for i, f, n, x in symbols if n == name and (file, f) in edges]
+        if own or far:
+            want[file, name] = (min(own), "same_file") if own else (min(far)[1], "imported")
+    assert {(r.file_id, r.callee): (r.callee_id, r.via) for r in found.collect()} == want and {v for _, v in want.values()} == {"same_file", "imported"}
+    held = {n for _, _, n, _ in symbols}
+    assert packed and {r.n for r in packed[0].select(F.explode("sought").alias("n")).collect()} <= held < {n for _, n in calls if n} | held

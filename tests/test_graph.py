@@ -201,3 +201,15 @@ def test_enclosing_passes_over_each_row_once(spark):
     assert "Generate" not in plan and plan.count("Exchange") == 1
     inside = s.join(c, "file_id").where("start_line <= line and line <= end_line").groupBy("call_id").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "start_line", "id")).alias("b"))
     assert {(r.call_id, r.caller_id) for r in found.collect()} == {(r.call_id, r.b.id) for r in inside.collect()}
+
+
+def test_a_large_table_is_numbered_with_one_write(spark, monkeypatch):
+    from graphloom.operators import numbering
+
+    written, names = numbering.written, []
+    monkeypatch.setattr(numbering, "SMALL", 10)
+    monkeypatch.setattr(numbering, "written", lambda df, name: names.append(name) or written(df, name))
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("x")).repartition(5)
+    rows = numbered(df, ["k"], "no", start=5).collect()
+    assert sorted(r.no for r in rows) == list(range(5, 1005)) and all(r.no == r.k + 5 for r in rows)
+    assert names == ["numbered"]
