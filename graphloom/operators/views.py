@@ -7,7 +7,7 @@ by the cluster (a top-k and a ranked window); only it is rendered on the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +47,18 @@ def surfaces(graph: Graph, most: int) -> DataFrame:
 
 
 def _prefix(ranking: DataFrame, graph: Graph, most: int, limit: int, needs_symbols: bool) -> list[Row]:
-    """At most ``limit`` files in order, with their symbol lines."""
-    info = graph.files.select("id", "language", "loc")
-    joined = ranking.join(info, "id").join(surfaces(graph, most).withColumnRenamed("file_id", "id"), "id", "inner" if needs_symbols else "left")
-    return joined.orderBy("rnk").limit(limit).collect()
+    """At most ``limit`` files in order, with their symbol lines, which are made for these files only."""
+    if needs_symbols:
+        ranking = ranking.join(graph.symbols.select(F.col("file_id").alias("id")).distinct(), "id", "left_semi")
+    top = ranking.join(graph.files.select("id", "language", "loc"), "id").orderBy("rnk").limit(limit).collect()
+    if not top:
+        return []
+    ids = graph.files.sparkSession.createDataFrame([(r.id,) for r in top], "file_id long")
+    files = graph.files.join(F.broadcast(ids.withColumnRenamed("file_id", "id")), "id", "left_semi")
+    symbols = graph.symbols.join(F.broadcast(ids), "file_id", "left_semi")
+    found = {r.file_id: r for r in surfaces(replace(graph, files=files, symbols=symbols), most).collect()}
+    none = Row(n_symbols=None, lines=None)
+    return [Row(**r.asDict(), n_symbols=s.n_symbols, lines=s.lines) for r in top for s in [found.get(r.id, none)]]
 
 
 def skeleton(graph: Graph, budget: int = 1500, most: int = 12, ranking: DataFrame | None = None, inventory: bool = False) -> View:

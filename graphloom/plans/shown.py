@@ -10,6 +10,7 @@ from graphloom.operators.numbering import numbered
 from graphloom.plans import catalog as C
 from graphloom.plans import views as V
 from graphloom.plans.registry import query, with_
+from graphloom.plans.shared_folder import written
 from graphloom.sources import scan
 from graphloom.streaming import live
 
@@ -242,9 +243,11 @@ def edges_of_both_kinds(spark, d):
     """Import edges numbered by path, call edges after them."""
     from graphloom.operators.model import Graph
 
-    f, s, e = V.files(spark, d), V.symbols(spark, d), V.rank_edges(spark, d)
+    f, s, e = V.files(spark, d), V.symbols(spark, d), written(V.rank_edges(spark, d), "edges")
     imports = assemble.numbered_edges(e, f)
-    called = numbered(assemble.call_edges(V.calls(spark, d), s, e), ["src", "dst"], start=imports.count())
+    # Counted first and then numbered, so they are made once.
+    linked = written(assemble.call_edges(V.calls(spark, d), s, e), "call-edges")
+    called = numbered(linked, ["src", "dst"], start=imports.count())
     return Graph("parts", f, s, imports, called.select("id", F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "weight")).edges()
 
 

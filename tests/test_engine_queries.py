@@ -175,3 +175,11 @@ def test_callees_equal_all_pairs(spark, monkeypatch, colliding):
     assert {(r.file_id, r.callee): (r.callee_id, r.via) for r in found.collect()} == want and {v for _, v in want.values()} == {"same_file", "imported"}
     held = {n for _, _, n, _ in symbols}
     assert packed and {r.n for r in packed[0].select(F.explode("sought").alias("n")).collect()} <= held < {n for _, n in calls if n} | held
+
+
+def test_calls_are_linked_once_before_they_are_numbered(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(shown, "written", lambda df, name: made.append((name, df)) or catalog.written(df, name), raising=False)
+    rows = catalog.QUERIES["edges_of_both_kinds"](spark, SMALL).collect()
+    assert [name for name, _ in made] == ["edges", "call-edges"]
+    assert sum(r.kind == "calls" for r in rows) == made[1][1].count() > 0
