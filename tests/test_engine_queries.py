@@ -183,3 +183,14 @@ def test_calls_are_linked_once_before_they_are_numbered(spark, monkeypatch):
     rows = catalog.QUERIES["edges_of_both_kinds"](spark, SMALL).collect()
     assert [name for name, _ in made] == ["edges", "call-edges"]
     assert sum(r.kind == "calls" for r in rows) == made[1][1].count() > 0
+
+
+def test_lines_are_made_for_the_files_that_can_show(spark, monkeypatch):
+    from graphloom.operators import views
+
+    surfaces, seen = views.surfaces, []
+    monkeypatch.setattr(views, "surfaces", lambda graph, most: seen.append(graph.files.count()) or surfaces(graph, most))
+    g = catalog._graph(spark, SMALL)
+    ranking = g.files.selectExpr("id", "path", "cast(id as double) as score", "id as rnk")
+    rows = views._prefix(ranking, g, 2, 7, needs_symbols=True)
+    assert seen == [7] and [r.id for r in rows] == sorted(r.id for r in rows) and len(rows) == 7 and all(1 <= len(r.lines) <= 2 and r.n_symbols >= len(r.lines) for r in rows)
