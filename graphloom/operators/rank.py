@@ -9,7 +9,6 @@ sums between them once an iteration, for graphs of any size.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -32,14 +31,17 @@ def centrality(files: DataFrame, edges: DataFrame, teleport: DataFrame | None =
     ``edges``: ``src, dst, weight``.  ``teleport``: ``id, weight``, else uniform;
     without any positive weight it is uniform too.  A file without outgoing
     edges gives its rank to the teleport targets.  The start is uniform.
+    Edges are read twice (to count, to rank): what is dear to make is written first.
     """
     nodes = files.select(F.col("id").cast("long").alias("id")).distinct()
     links = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    n_links = links.count() if strategy != "single_task" else 0
     if strategy == "auto":
-        small = nodes.limit(SMALL_NODES + 1).count() <= SMALL_NODES and links.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES
+        small = n_links <= SMALL_EDGES and nodes.limit(SMALL_NODES + 1).count() <= SMALL_NODES
         strategy = "single_task" if small else "distributed"
-    run = _single_task if strategy == "single_task" else _distributed
-    return run(nodes, links, teleport, iterations)
+    if strategy == "single_task":
+        return _single_task(nodes, links, teleport, iterations)
+    return _distributed(nodes, links, n_links, teleport, iterations)
 
 
 def power_iteration(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, lean: np.ndarray, iterations: int) -> np.ndarray:
@@ -62,7 +64,9 @@ def _single_task(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     if teleport is not None:
         rows = rows.unionByName(teleport.select(F.lit(2).alias("kind"), F.col("id").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("weight").cast("double").alias("w")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf):
+        import pandas as pd  # here, as the blocks' many workers do without it
+
         pdf = pdf.sort_values(["kind", "a", "b", "w"])
         ids = pdf.loc[pdf.kind == 0, "a"].to_numpy()
         e = pdf[pdf.kind == 1]
@@ -200,7 +204,7 @@ def _told(items, first: float | None):
             yield bytearray(ids[i : i + PACKED_ROWS].tobytes()), bytearray(rank[i : i + PACKED_ROWS].tobytes())
 
 
-def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None, iterations: int) -> DataFrame:
+def _distributed(nodes: DataFrame, links: DataFrame, n_links: int, teleport: DataFrame | None, iterations: int) -> DataFrame:
     """Nodes fall into blocks by hash, with the links that leave them; an iteration is one shuffle of sums.
 
     A block knows beforehand which targets each other block sums up, so sums
@@ -214,11 +218,11 @@ def _distributed(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     else:
         given = teleport.groupBy("id").agg(F.sum("weight").cast("double").alias("lean"))
         based = nodes.join(given, "id", "left").select("id", F.coalesce("lean", F.lit(0.0)).alias("lean"))
-    based, links = written(based, "rank-nodes"), written(links, "rank-links")
+    based = written(based, "rank-nodes")
     n, total = based.agg(F.count("*"), F.sum("lean")).first()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
-    blocks = max(spark.sparkContext.defaultParallelism, -(-links.count() // BLOCK_LINKS), -(-n // BLOCK_NODES))
+    blocks = max(spark.sparkContext.defaultParallelism, -(-n_links // BLOCK_LINKS), -(-n // BLOCK_NODES))
     jump_of = (lambda lean: lean / total) if total > 0 else (lambda lean: np.full(len(lean), 1 / n))
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias
     none, kind = F.lit(0).cast("long"), lambda k: F.lit(k).cast("long").alias("kind")

@@ -169,7 +169,8 @@ rows AS (SELECT row_number() OVER (ORDER BY round(score, 12) DESC, weight DESC,
     + _list("rows", "(SELECT head FROM h)", 300, "chr(10) || '  … ' || rest || ' more omitted.'"))
 def dependents_view(spark, d):
     target = V.files(spark, d).orderBy("path").first().path
-    return _shown(spark, rendered.dependents_view(C._graph(spark, d), C._scores(spark, d), target, budget=300)).select("text")
+    g = C._graph(spark, d)
+    return _shown(spark, rendered.dependents_view(g, C._scores(spark, d, rendered.links(g)), target, budget=300)).select("text")
 
 
 @query(C.RANKS.rstrip() + f""", ch AS (SELECT l_partkey AS id, count(*) AS commits FROM lineitem WHERE l_shipdate >= {C.UNTIL} - INTERVAL 90 DAY GROUP BY 1),
@@ -180,7 +181,8 @@ summed AS (SELECT no, line, (SELECT {_tokens("head")} FROM h) + sum({_tokens("ch
 SELECT (SELECT head FROM h) || string_agg(line, chr(10) ORDER BY no) AS text FROM summed WHERE used <= 600""")
 def hotspot_view(spark, d):
     churned = churn.churn(V.commits(spark, d), V.last_commit(spark, d))
-    return _shown(spark, rendered.hotspot_view(C._graph(spark, d), C._scores(spark, d), churned)).select("text")
+    g = C._graph(spark, d)
+    return _shown(spark, rendered.hotspot_view(g, C._scores(spark, d, rendered.links(g)), churned)).select("text")
 
 
 @query(with_(V.FILES, V.SYMBOLS, _surface("s", 5)) + "SELECT file_id, n AS n_symbols, array_to_string(lines, chr(10)) AS lines FROM s")
@@ -225,7 +227,7 @@ FOUND = with_(
   (SELECT list(file_id ORDER BY m) FROM (SELECT file_id, min(k) AS m FROM fits GROUP BY file_id)) AS file_ids""")
 def find_symbol_view(spark, d):
     g = C._graph(spark, d)
-    return _shown(spark, rendered.find_symbol_view(g, C._scores(spark, d), _sources(spark, d), name="fn_7"))
+    return _shown(spark, rendered.find_symbol_view(g, C._scores(spark, d, rendered.links(g)), _sources(spark, d), name="fn_7"))
 
 
 @query(with_(*GRAPH, *_hood("shown", "40", "1200")) + "SELECT text, file_ids FROM shown")
@@ -451,4 +453,4 @@ def fresh_graphs(spark, d):
 @query(with_(V.FILES, V.RANK_EDGES, V.pagerank_sql()) + "SELECT id, round(score, 6) AS score FROM ranks")
 def pagerank_distributed(spark, d):
     """The strategy for graphs of any size; ranks are those of the single task."""
-    return rank.centrality(V.files(spark, d), V.rank_edges(spark, d), strategy="distributed").select("id", F.round("score", 6).alias("score"))
+    return rank.centrality(V.files(spark, d), C._edges(spark, d), strategy="distributed").select("id", F.round("score", 6).alias("score"))

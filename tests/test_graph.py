@@ -213,3 +213,15 @@ def test_a_large_table_is_numbered_with_one_write(spark, monkeypatch):
     rows = numbered(df, ["k"], "no", start=5).collect()
     assert sorted(r.no for r in rows) == list(range(5, 1005)) and all(r.no == r.k + 5 for r in rows)
     assert names == ["numbered"]
+
+
+@pytest.mark.parametrize("name", ["dependents", "dependents_budgeted", "dependents_view", "find_symbol_view"])
+def test_queries_that_rank_make_edges_once(spark, monkeypatch, name):
+    from graphloom.plans import catalog, shown  # noqa: F401  the second registers views
+    from graphloom.plans import views as V
+
+    made, make = [], V.rank_edges
+    monkeypatch.setattr(V, "rank_edges", lambda *a: made.append(a) or make(*a))
+    monkeypatch.setattr(rank, "centrality", lambda files, edges, *a, **k: files.select("id", F.lit(1.0).alias("rank"), F.lit(1.0).alias("score")))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
