@@ -80,11 +80,11 @@ def _single_task(nodes: DataFrame, links: DataFrame, teleport: DataFrame | None,
     return rows.groupBy().applyInPandas(run, "id long, rank double, score double")
 
 
-def _own(block: int) -> int:
+def own(block: int) -> int:
     return block
 
 
-def _packed(rows: DataFrame) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
     """``block, kind, a, b, other, w`` rows as columns of bytes, some rows of each block together."""
 
     def run(batches):
@@ -92,7 +92,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
         def handed():
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            order = np.argsort(whole[0] * 2 + whole[1], kind="stable")
+            order = np.lexsort((whole[1], whole[0]))
             whole = [c[order] for c in whole]
             starts = np.flatnonzero(np.r_[True, (np.diff(whole[0]) != 0) | (np.diff(whole[1]) != 0)])
             ends = np.r_[starts[1:], len(order)]
@@ -228,16 +228,16 @@ def _distributed(nodes: DataFrame, links: DataFrame, n_links: int, teleport: Dat
     none, kind = F.lit(0).cast("long"), lambda k: F.lit(k).cast("long").alias("kind")
     rows = based.select(block_of("id")("block"), kind(0), F.col("id").alias("a"), none.alias("b"), none.alias("other"), F.col("lean").alias("w"))
     rows = rows.unionByName(links.select(block_of("src")("block"), kind(1), F.col("src").alias("a"), F.col("dst").alias("b"), block_of("dst")("other"), F.col("weight").alias("w")))
-    dealt = _packed(rows).rdd.map(lambda r: (r[0], tuple(r[1:]))).partitionBy(blocks, _own)
-    graph = dealt.mapPartitions(lambda items: _graph_blocks(items, jump_of)).partitionBy(blocks, _own).mapPartitions(_placed, preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
+    dealt = packed(rows).rdd.map(lambda r: (r[0], tuple(r[1:]))).partitionBy(blocks, own)
+    graph = dealt.mapPartitions(lambda items: _graph_blocks(items, jump_of)).partitionBy(blocks, own).mapPartitions(_placed, preservesPartitioning=True).persist(StorageLevel.DISK_ONLY)
 
     came, first = graph, 1 / n  # nothing came yet
     for step in range(1, iterations + 1):
-        came = came.mapPartitions(lambda items, first=first: _sent(items, first, blocks)).partitionBy(blocks, _own)
+        came = came.mapPartitions(lambda items, first=first: _sent(items, first, blocks)).partitionBy(blocks, own)
         if step % STEPS_A_JOB == 0 and step < iterations:
             rows = came.map(lambda r: (r[0], r[1][1], None if r[1][2][0] is None else bytearray(r[1][2][0].tobytes()), r[1][2][1]))
             kept = written(spark.createDataFrame(rows, "block long, source long, sums binary, gone double"), "rank-sums")
-            came = kept.rdd.map(lambda r: (r[0], ("sums", r[1], (None if r[2] is None else np.frombuffer(r[2]), r[3])))).partitionBy(blocks, _own)
+            came = kept.rdd.map(lambda r: (r[0], ("sums", r[1], (None if r[2] is None else np.frombuffer(r[2]), r[3])))).partitionBy(blocks, own)
         # Both are dealt alike, so a block's part of the graph meets what came for it without moving.
         came, first = graph.union(came), None
     told = spark.createDataFrame(came.mapPartitions(lambda items: _told(items, first)), "ids binary, ranks binary")

@@ -225,3 +225,16 @@ def test_queries_that_rank_make_edges_once(spark, monkeypatch, name):
     monkeypatch.setattr(rank, "centrality", lambda files, edges, *a, **k: files.select("id", F.lit(1.0).alias("rank"), F.lit(1.0).alias("score")))
     catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def test_layout_in_blocks_is_the_single_tasks(spark, monkeypatch):
+    """Over twice so many links as files, ends that are no files, blocks without any; several writes on the way."""
+    f = files(spark, [f"src/d{i % 3}/f{i}.ts" for i in range(30)])
+    e = edges(spark, [(i % 30, (i * 7 + 1) % 30) for i in range(70)] + [(3, 999), (999, 4)])
+    scores = f.select("id", (F.col("id") / 30).alias("score"))
+    one = sorted(map(tuple, viewer.graph_layout(f, e, scores, iterations=5).collect()))
+    for name, value in {"SMALL_LAYOUT": 9, "LAYOUT_FILES": 2, "STEPS_A_WRITE": 2, "BODIES_AT_ONCE": 3}.items():
+        monkeypatch.setattr(viewer, name, value)
+    monkeypatch.setattr(viewer, "refine", None)  # no task has all files
+    many = sorted(map(tuple, viewer.graph_layout(f, e, scores, iterations=5).collect()))
+    assert [r[0] for r in many] == [r[0] for r in one] and all(abs(a - b) <= 1 for r, s in zip(one, many, strict=True) for a, b in zip(r, s, strict=True))
