@@ -276,7 +276,8 @@ def task_matches(files: DataFrame, symbols: DataFrame, task: str, focus: list[in
 
 def rank_for_task(files: DataFrame, symbols: DataFrame, edges: DataFrame, task: str = "", focus: list[int] | None = None) -> DataFrame:
     """``id, path, score, rnk``: direct matches first, then personalised centrality; without a match plain centrality."""
-    matches = task_matches(files, symbols, task, focus)
+    # Used three times, and every symbol's name is cut into terms for it.
+    matches = written(task_matches(files, symbols, task, focus), "matches")
     top = matches.agg(F.max("weight")).first()[0]
     if not top:
         return ranked(files, centrality(files, edges))

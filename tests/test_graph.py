@@ -238,3 +238,18 @@ def test_layout_in_blocks_is_the_single_tasks(spark, monkeypatch):
     monkeypatch.setattr(viewer, "refine", None)  # no task has all files
     many = sorted(map(tuple, viewer.graph_layout(f, e, scores, iterations=5).collect()))
     assert [r[0] for r in many] == [r[0] for r in one] and all(abs(a - b) <= 1 for r, s in zip(one, many, strict=True) for a, b in zip(r, s, strict=True))
+
+
+def test_symbols_are_matched_with_a_task_once(spark):
+    f, e = files(spark, ["src/login.ts", "src/other.ts", "lib/role.ts"]), edges(spark, [(0, 1), (1, 2)])
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    symbols = spark.createDataFrame([(i, i % 3, f"role_{i}") for i in range(10)], "id long, file_id long, name string").mapInArrow(counted, "id long, file_id long, name string")
+    found = [r.path for r in rank.rank_for_task(f, symbols, e, "check the login role").orderBy("rnk").collect()]
+    assert found[0] == "lib/role.ts" or found[0] == "src/login.ts"
+    assert passed.value == 10
