@@ -23,13 +23,17 @@ PARSED = (
 
 @dataclass
 class Graph:
-    """``import_edges`` join file ids, ``call_edges`` symbol ids; they are kept apart so ids never mix."""
+    """``import_edges`` join file ids, ``call_edges`` symbol ids; they are kept apart so ids never mix.
+
+    A graph for views that show neither call edges nor many ids of symbols may
+    do without the former, and its symbols may have ``pos`` in place of ids.
+    """
 
     name: str
     files: DataFrame
     symbols: DataFrame
     import_edges: DataFrame
-    call_edges: DataFrame
+    call_edges: DataFrame | None = None
 
     def edges(self) -> DataFrame:
         """Both kinds with their kind."""

@@ -253,3 +253,23 @@ def test_symbols_are_matched_with_a_task_once(spark):
     found = [r.path for r in rank.rank_for_task(f, symbols, e, "check the login role").orderBy("rnk").collect()]
     assert found[0] == "lib/role.ts" or found[0] == "src/login.ts"
     assert passed.value == 10
+
+
+def test_ids_in_few_files_are_those_among_all(spark):
+    """Found by counting the symbols of files before; nulls stand first."""
+    rows = [(None if i % 11 == 0 else i * 7 % 13, i * 5 % 4, i) for i in range(200)]
+    s = spark.createDataFrame(rows, "file_id long, start_line int, pos long")
+    want = {(r.file_id, r.start_line, r.pos): r.id for r in assemble.symbol_ids(s).collect() if r.file_id in (0, 5, 12)}
+    got = {(r.file_id, r.start_line, r.pos): r.id for r in assemble.ids_in_files(s, [12, 0, 5, 5, 99]).collect()}
+    assert got == want and assemble.ids_in_files(s, []).count() == 0
+
+
+@pytest.mark.parametrize("name", ["find_symbols_exact"])
+def test_views_of_imports_make_no_call_edges_and_number_few_symbols(spark, monkeypatch, name):
+    from graphloom.plans import catalog
+
+    want = [tuple(r) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()]
+    refuse = lambda *_: pytest.fail("made for nothing")
+    monkeypatch.setattr(assemble, "call_edges", refuse)
+    monkeypatch.setattr(assemble, "symbol_ids", refuse)
+    assert [tuple(r) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()] == want
