@@ -261,7 +261,7 @@ def find_symbol_view(graph: Graph, scores: DataFrame, sources: DataFrame, name:
     hits = find_symbols(graph.symbols, graph.files, scores, name, pattern).collect()
     if not hits:
         return View(f"No symbols match {name or pattern}.")
-    wanted = graph.symbols.where(F.col("id").isin([h.id for h in hits]))
+    wanted = graph.files.sparkSession.createDataFrame([(h.id, h.file_id, h.start_line, h.end_line) for h in hits], "id long, file_id long, start_line int, end_line int")
     found = {r.id: r for r in sliced(wanted, sources, 300).collect()}
     purse, blocks, ids = Budget(budget), [], {}
     for h in hits:

@@ -226,7 +226,7 @@ FOUND = with_(
   || CASE WHEN (SELECT count(*) FROM blocks) > (SELECT count(*) FROM fits) THEN chr(10) || chr(10) || '… ' || ((SELECT count(*) FROM blocks) - (SELECT count(*) FROM fits)) || ' more match(es) omitted (narrow the query).' ELSE '' END AS text,
   (SELECT list(file_id ORDER BY m) FROM (SELECT file_id, min(k) AS m FROM fits GROUP BY file_id)) AS file_ids""")
 def find_symbol_view(spark, d):
-    g = C._graph(spark, d)
+    g = C._imports_graph(spark, d)
     return _shown(spark, rendered.find_symbol_view(g, C._scores(spark, d, rendered.links(g)), _sources(spark, d), name="fn_7"))
 
 
