@@ -264,7 +264,7 @@ def test_ids_in_few_files_are_those_among_all(spark):
     assert got == want and assemble.ids_in_files(s, []).count() == 0
 
 
-@pytest.mark.parametrize("name", ["find_symbol_view", "find_symbols_exact"])
+@pytest.mark.parametrize("name", ["dependents_view", "find_symbol_view", "find_symbols_exact"])
 def test_views_of_imports_make_no_call_edges_and_number_few_symbols(spark, monkeypatch, name):
     from graphloom.plans import catalog
 
