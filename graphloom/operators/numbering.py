@@ -13,8 +13,8 @@ SMALL = 50_000
 TASK_BITS = 33
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
-    """``df`` with ``name`` = ``start, start + 1, ...`` in ``order``, which should be total.
+def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``name`` = ``start, start + 1, ...`` in ``order``, which should be total; columns to ``drop`` only order.
 
     Large inputs are ranged over tasks by the order's columns and sorted there. Rows
     are written once, each with its task and place in it; the tasks' counts (one
@@ -22,11 +22,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0)
     """
     spark = df.sparkSession
     if df.limit(SMALL + 1).count() <= SMALL:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long")).drop(*drop)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The id counts a task's rows in their order; its upper bits name the task.
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
-    kept = written(ranged, "numbered")
+    kept = written(ranged.drop(*drop), "numbered")
     task = F.shiftright("__place", TASK_BITS).cast("int")
     sizes = {r["task"]: r["count"] for r in kept.groupBy(task.alias("task")).count().collect()}
     at, offsets = start, []
@@ -34,4 +34,4 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0)
         offsets.append(at - (k << TASK_BITS))
         at += sizes.get(k, 0)
     shift = F.element_at(F.lit(offsets).cast("array<bigint>"), task + 1)
-    return kept.select(*df.columns, (F.col("__place") + shift).alias(name))
+    return kept.select(*[c for c in df.columns if c not in drop], (F.col("__place") + shift).alias(name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,7 +21,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to ``spark.checkpoint.dir`` (a temporary folder only in a local session where that is unset) and read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write to ``spark.checkpoint.dir`` (a temporary folder only in a local session where that is unset) and read again.
+
+    Spark removes the files of a shuffle only after the driver's JVM has collected
+    what refers to it, which may be never in a short session; so it is told to.
+    """
+    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -50,10 +50,10 @@ def raw_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+def symbols(spark: SparkSession, sf_dir: str, without: tuple[str, ...] = ()) -> DataFrame:
     from graphloom.operators.assemble import symbol_ids
 
-    return symbol_ids(raw_symbols(spark, sf_dir)).drop("pos")
+    return symbol_ids(raw_symbols(spark, sf_dir).drop(*without), drop=("pos",))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

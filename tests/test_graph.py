@@ -273,3 +273,35 @@ def test_views_of_imports_make_no_call_edges_and_number_few_symbols(spark, monke
     monkeypatch.setattr(assemble, "call_edges", refuse)
     monkeypatch.setattr(assemble, "symbol_ids", refuse)
     assert [tuple(r) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()] == want
+
+
+def test_atlas_links_of_the_query_are_not_looked_up_among_nodes(spark):
+    """All ends come from the symbols and edges themselves; a file that ``part`` lacks is linked too, as in the SQL."""
+    from graphloom.plans import catalog
+
+    plan = catalog.QUERIES["atlas_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+    s = spark.createDataFrame([(0, 7), (1, 8)], "id long, file_id long")
+    found = viewer.atlas_links(None, s, edges(spark, [(7, 8)]), edges(spark, [(1, 0)]))
+    assert sorted(map(tuple, found.collect())) == [("f7", "f8", "imports"), ("f7", "s0", "defines"), ("f8", "s1", "defines"), ("s1", "s0", "calls")]
+
+
+def test_callees_whose_hashes_are_equal_are_told_apart(spark):
+    """Among 3,000 names many have equal hashes of sixteen bits; file 1 has the odd ones, and file 0 calls all."""
+    names = [f"name_{i}" for i in range(3000)]
+    c = spark.createDataFrame([(0, n, 1) for n in names], "file_id long, callee string, line int")
+    s = spark.createDataFrame([(i, 1 if i % 2 else 2, n, True) for i, n in enumerate(names)], "id long, file_id long, name string, exported boolean")
+    short = spark.createDataFrame([(n,) for n in names], "n string").select(F.hash("n").bitwiseAND(F.lit(0xFFFF)).alias("h"))
+    assert short.distinct().count() < len(names)
+    found = {r.callee: r.callee_id for r in assemble.resolved_callees(c, s, edges(spark, [(0, 1)])).collect()}
+    assert found == {n: i for i, n in enumerate(names) if i % 2}
+
+
+def test_numbered_rows_leave_out_what_only_orders(spark, monkeypatch):
+    from graphloom.operators import numbering
+
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), (F.col("id") * 37 % 100).alias("x"))
+    for small in (10, 1000):
+        monkeypatch.setattr(numbering, "SMALL", small)
+        rows = numbered(df, ["k"], "no", drop=("k",)).collect()
+        assert [set(r.asDict()) for r in rows] == [{"x", "no"}] * 100 and all(r.no == r.x for r in rows)
