@@ -299,7 +299,8 @@ def atlas_bounds(spark, d):
 @query(C.ATLAS_WITH + """SELECT source, target, kind FROM links WHERE kind <> 'imports'
   AND source NOT IN (SELECT 's' || id FROM symbols WHERE kind = 'class') AND target NOT IN (SELECT 's' || id FROM symbols WHERE kind = 'class')""")
 def atlas_visible(spark, d):
-    return viewer.visible(_nodes(spark, d), C._atlas(spark, d), ["class"], ["imports"])[1]
+    s, e = viewer.marked(V.symbols(spark, d, without=("signature",)), ["class"]), C._edges(spark, d)
+    return viewer.visible_links(s, e, assemble.call_edges(V.calls(spark, d), s, e), ["class"], ["imports"])
 
 
 FOCUS = 40

@@ -305,3 +305,17 @@ def test_numbered_rows_leave_out_what_only_orders(spark, monkeypatch):
         monkeypatch.setattr(numbering, "SMALL", small)
         rows = numbered(df, ["k"], "no", drop=("k",)).collect()
         assert [set(r.asDict()) for r in rows] == [{"x", "no"}] * 100 and all(r.no == r.x for r in rows)
+
+
+@pytest.mark.parametrize("hidden_types", [[], ["class"], ["file"], ["function", "class"]])
+def test_visible_links_are_those_between_shown_nodes(spark, hidden_types):
+    f = files(spark, ["a.ts", "b.ts"])
+    s = spark.createDataFrame([(i, i % 2, f"n{i}", "class" if i % 3 else "function") for i in range(8)], "id long, file_id long, name string, kind string")
+    imports, calls = edges(spark, [(0, 1)]), edges(spark, [(i, i * 3 % 8) for i in range(1, 8) if i != 4])
+    nodes = viewer.atlas_nodes(f, s, f.select("id", F.lit(0).alias("x"), F.lit(0).alias("y")))
+    want = viewer.visible(nodes, viewer.atlas_links(f, s, imports, calls), hidden_types, ["imports"])[1]
+    marked = viewer.marked(s, hidden_types)
+    twice = marked.select("id", F.shiftright("id", 1).alias("plain"))
+    of_marked = calls.join(twice.select(F.col("plain").alias("src"), F.col("id").alias("s")), "src").join(twice.select(F.col("plain").alias("dst"), F.col("id").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    got = viewer.visible_links(marked, imports, of_marked, hidden_types, ["imports"])
+    assert sorted((r.source, r.target, r.kind) for r in got.collect()) == sorted((r.source, r.target, r.kind) for r in want.collect())
