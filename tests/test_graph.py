@@ -319,3 +319,23 @@ def test_visible_links_are_those_between_shown_nodes(spark, hidden_types):
     of_marked = calls.join(twice.select(F.col("plain").alias("src"), F.col("id").alias("s")), "src").join(twice.select(F.col("plain").alias("dst"), F.col("id").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
     got = viewer.visible_links(marked, imports, of_marked, hidden_types, ["imports"])
     assert sorted((r.source, r.target, r.kind) for r in got.collect()) == sorted((r.source, r.target, r.kind) for r in want.collect())
+
+
+def test_files_of_finished_shuffles_go_with_the_next_write(spark):
+    import glob
+    import time
+
+    from graphloom.plans.shared_folder import written
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    n_files = lambda: sum(len(glob.glob(f"{d}/*/shuffle_*.data")) for d in folders)
+    written(spark.range(10), "first")
+    time.sleep(2)
+    before = n_files()
+    for _ in range(3):
+        written(spark.range(1000).repartition(5, "id"), "moved")
+    for _ in range(100):
+        if n_files() <= before:
+            break
+        time.sleep(0.1)
+    assert n_files() <= before
