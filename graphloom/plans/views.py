@@ -33,6 +33,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consecutive(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of edges, with repeats."""
+    return _consecutive(spark, sf_dir).select("src", "dst")
+
+
 def rank_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with weights that differ more, so that ranks do too."""
     return _consecutive(spark, sf_dir).groupBy("src", "dst").agg(F.sum("l_linenumber").cast("long").alias("weight"))

@@ -60,6 +60,25 @@ def test_diamond_is_mixed_on_its_ring(spark):
     assert found == {0: (0, "center"), 1: (1, "dependency"), 2: (1, "dependent"), 3: (2, "mixed")}
 
 
+@pytest.mark.parametrize("small", [{}, {"CHUNK_LINKS": 20, "KEPT_CHUNKS": 1, "GROUP": 5, "TASK_CENTRES": 7, "MOST_MET": 15, "MOST_HELD": 60, "TOLD_ROWS": 3}])
+def test_far_rings_are_walked_without_moving_what_is_met(spark, monkeypatch, small):
+    """As by joins, whatever the sizes: a hub with many chunks' links, loops, repeats, ids of any size, a centre without edges."""
+    for name, value in small.items():
+        monkeypatch.setattr(neighborhood, name, value)
+    long = lambda n: F.when(n % 9 == 0, n - (1 << 62)).otherwise(n * 1_000_003)
+    e = spark.range(300).select(long(F.col("id") * 7 % 90).alias("src"), long(F.col("id") * F.col("id") % 83).alias("dst"))
+    e = e.unionByName(e.limit(40)).unionByName(spark.range(1, 60).select(long(F.col("id")).alias("src"), long(F.lit(0)).alias("dst")))
+    centres = spark.range(0, 100, 3).select(long(F.col("id")).alias("id"))
+    for edges_, depth in ((e, 3), (e, 4), (e.limit(0), 3)):
+        walked = neighborhood.rings(edges_, centres, depth)
+        # Only edges and centres move.
+        assert "hashpartitioning(centre" not in walked._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in walked.select("centre", "id", "ring", "relation").collect())
+        monkeypatch.setattr(neighborhood, "JOINED_RINGS", 9)
+        assert got == sorted(tuple(r) for r in neighborhood.rings(edges_, centres, depth).select("centre", "id", "ring", "relation").collect())
+        monkeypatch.setattr(neighborhood, "JOINED_RINGS", 2)
+
+
 def test_enclosing_symbol_ties(spark):
     s = spark.createDataFrame([(0, 1, "a", 1, 10, True), (1, 1, "b", 2, 6, True), (2, 1, "c", 3, 7, True)], "id long, file_id long, name string, start_line int, end_line int, exported boolean")
     c = spark.createDataFrame([("x", 1, "f", 5), ("y", 1, "f", 9), ("z", 1, "f", 40)], "call_id string, file_id long, callee string, line int")
