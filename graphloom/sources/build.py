@@ -18,6 +18,8 @@ BY_FOLDER = ["java", "kotlin", "scala", "csharp"]
 #: Modules that Swift brings along.
 SWIFT_OWN = ["Foundation", "UIKit", "SwiftUI", "AppKit", "CoreData", "Dispatch", "Combine"]
 CONFIGS = ("tsconfig.json", "jsconfig.json")
+#: What is watched by a part of a path.
+PARTS = ("part", "folded_part")
 
 Rules = list[tuple[str, str, list[str]]]
 
@@ -73,11 +75,12 @@ def slashed_name() -> Column:
 
 
 def watched(named: DataFrame) -> DataFrame:
-    """``file_id, kind, value`` of ``tried`` rows: what a path that comes or goes must be for an import to be resolved anew.
+    """``file_id, kind, digest, value`` of ``tried`` rows: what a path that comes or goes must be for an import to be resolved anew.
 
     The inverse of ``resolve``: a path that is tried (``path``; ``folded`` in lower
     case), a folder that it lies in (``folder``), or a part of it (``part``;
-    ``folded_part`` in lower case).
+    ``folded_part`` in lower case).  Of all but parts only a digest is kept: one that is
+    equal by chance has an import resolved again that stays the same.
     """
     slashed, none = slashed_name(), F.array().cast("array<struct<kind: string, value: string>>")
     of = lambda kind, *values: F.array(*[F.struct(F.lit(kind).alias("kind"), v.alias("value")) for v in values])
@@ -91,21 +94,23 @@ def watched(named: DataFrame) -> DataFrame:
         .otherwise(none)
     )
     paths = F.transform("candidates", lambda c: F.struct(F.lit("path").alias("kind"), c.alias("value")))
-    return named.select("file_id", F.explode(F.concat(paths, more)).alias("w")).select("file_id", "w.kind", "w.value").distinct()
+    part = F.col("w.kind").isin(*PARTS)
+    every = named.select("file_id", F.explode(F.concat(paths, more)).alias("w"))
+    return every.select("file_id", F.when(part, F.col("w.kind")).alias("kind"), F.when(~part, F.xxhash64("w.kind", "w.value")).alias("digest"), F.when(part, F.col("w.value")).alias("value"))
 
 
 def touched_importers(watch: DataFrame, moved: DataFrame) -> DataFrame:
-    """``file_id`` of those whose imports a path among ``moved`` (those that came or went) may resolve otherwise."""
-    run, path = 4, F.col("path")
+    """``file_id`` (and ``batch``, if rows have it) of those whose imports a path among ``moved`` (those that came or went) may resolve otherwise."""
+    run, path, key = 4, F.col("path"), [c for c in ("file_id", "batch") if c in watch.columns]
     equal = moved.select(F.lit("path").alias("kind"), path.alias("value")).unionByName(moved.select(F.lit("folded").alias("kind"), F.lower("path").alias("value")))
-    equal = equal.unionByName(moved.select(F.lit("folder").alias("kind"), F.explode(ancestors(path)).alias("value"))).distinct()
-    found = watch.join(equal, ["kind", "value"], "left_semi").select("file_id")
-    parts = watch.where(F.col("kind").isin("part", "folded_part")).withColumn("size", F.least(F.lit(run), F.length("value")))
+    equal = equal.unionByName(moved.select(F.lit("folder").alias("kind"), F.explode(ancestors(path)).alias("value"))).select(F.xxhash64("kind", "value").alias("digest")).distinct()
+    found = watch.where("digest is not null").join(equal, "digest", "left_semi").select(*key)
+    parts = watch.where(F.col("kind").isin(*PARTS)).distinct().withColumn("size", F.least(F.lit(run), F.length("value")))
     parts = parts.withColumn("gram", F.substring("value", F.lit(1), F.col("size")))
     forms = moved.select(F.lit("part").alias("kind"), path.alias("p")).unionByName(moved.select(F.lit("folded_part").alias("kind"), F.lower("path").alias("p")))
     runs = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("p") - size + 1)), lambda i: F.struct(F.lit(size).alias("size"), F.substring(F.col("p"), i, F.lit(size)).alias("gram")))
     grams = forms.select("kind", "p", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("size"), F.lit("").alias("gram"))), *[runs(k) for k in range(1, run + 1)])).alias("g")).select("kind", "p", "g.*").distinct()
-    held = parts.join(grams, ["kind", "size", "gram"]).where(F.contains("p", "value")).select("file_id")
+    held = parts.join(grams, ["kind", "size", "gram"]).where(F.contains("p", "value")).select(*key)
     return found.unionByName(held).distinct()
 
 

@@ -140,3 +140,16 @@ def test_batches_and_their_rows_join_without_broadcasts(spark, monkeypatch):
     # One explicit broadcast is left: the names that symbols have, up to a bounded number.
     assert {table for table, plan in plans if "BroadcastExchange" in plan} <= {"links"}
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_an_index_of_imports_parses_and_keeps_nothing_else(spark, tmp_path):
+    texts = {p: t for p, t in some_texts().items() if p.endswith((".ts", ".py", ".json"))}
+    index = incremental.Index(spark, f"file://{tmp_path}", links=False)
+    index.apply(table(spark, {p: t for p, t in texts.items() if p != "src/b.ts"}), 1)
+    index.apply(table(spark, texts), 2)
+    paths = {r.id: r.path for r in index.files().collect()}
+    assert {(paths[r.src], paths[r.dst]) for r in index.import_edges().collect()} == {("src/a.ts", "src/b.ts"), ("src/a.ts", "src/lib/c.ts"), ("py/m.py", "py/n.py")}
+    parsed = spark.read.parquet(f"{tmp_path}/parsed/batch=1")
+    assert parsed.where("size(symbols) + size(calls) > 0").count() == 0 and not {p.name for p in tmp_path.iterdir()} & {"symbols", "calls", "links"}
+    # What is watched is told by digests, but for parts of paths.
+    assert index.rows("watch").where("(digest is null) = (value is null)").count() == 0
